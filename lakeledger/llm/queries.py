@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, quality_rules, secrets, substring_dedup
+from . import line_dedup, near_dedup, quality_rules, secrets, substring_dedup
 from .common import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(read(spark, sf_dir, "documents"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group_near_duplicates(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
 
@@ -26,6 +30,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op4_secrets, op8_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op4_secrets, op8_quality_rules, op10_substring_dedup)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}
