@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, quality_rules, secrets, substring_dedup
+from . import decontaminate, line_dedup, near_dedup, packing, quality_rules, secrets, substring_dedup, warc
 from .common import read
 
 
@@ -17,19 +17,32 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group_near_duplicates(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure_quality(read(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_pages(read(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_order")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op4_secrets, op8_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_packing, op4_secrets, op5_decontamination, op8_quality_rules, op9_warc, op10_substring_dedup)}
 
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op9_warc": warc.ORACLE}
