@@ -35,17 +35,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(batch: pa.RecordBatch, sizes: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose ``sizes`` add up to about ``limit``, or of one row if that alone is larger."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Each batch cut so that ``column`` holds about ``limit`` bytes, or one row if that alone is longer."""
+    """Each batch cut so that ``column`` holds about ``limit`` bytes."""
     for batch in batches:
-        sizes = np.nan_to_num(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), nan=0)
-        ends = np.cumsum(sizes)
-        at = 0
-        while at < batch.num_rows:
-            done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
-            yield batch.slice(at, to - at)
-            at = to
+        yield from cut(batch, np.nan_to_num(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), nan=0), limit)
 
 
 def null_safe_id(name: str = "doc_id"):

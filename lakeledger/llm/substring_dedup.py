@@ -3,8 +3,9 @@
 Words are removed where a window of 20 words also starts earlier.  The first length is half of
 that: each 20-word window stands under its least 10-gram hash, so equal windows stand under the
 same one and only about one word in six is sent.  Windows whose 10-gram repeats, and they alone,
-are extended to 20 words, where a 128-bit hash decides; there the question of the contract is
-answered, so no longer length is needed.  Texts equal as word sequences are set apart first: all
+are extended to 20 words and compared by 128-bit hashes, first as runs under one seed, then singly
+where the runs of a seed differ; there it is decided which start earlier, so no longer length is
+needed.  Texts equal as word sequences are set apart first: all
 but the smallest id lose all words (from 20 words on), so no group of copies enters a level.
 
 Results: a null or empty text has no words and keeps none.  A null id counts as the smallest.
@@ -18,13 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe_id, pieces, written
-from .words import U64, Words, mix, whole_hash, windows, words
+from .common import cut, null_safe_id, pieces, written
+from .words import BASE, INVERSE, U64, Words, byte_view, mix, powers, whole_hash, windows, words
 
 WINDOW, SEED = 20, 10
+SALT = 0x5851F42D4C957F2D
 TOP = np.iinfo(np.uint64).max
 KEPT_SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
 
@@ -61,7 +64,7 @@ def _lists(values: np.ndarray, text: np.ndarray, n: int) -> pa.ListArray:
 def sketch(ids: pa.Array, texts: pa.Array, window: int = WINDOW, seed: int = SEED) -> pa.RecordBatch:
     """Per text: number of words, hashes of the whole, and its windows' seeds.
 
-    A seed's lowest bit says that it stands at two places of the text or more.
+    A seed that stands at two places of the text or more is listed twice.
     """
     w = words(texts)
     n = len(texts)
@@ -69,18 +72,16 @@ def sketch(ids: pa.Array, texts: pa.Array, window: int = WINDOW, seed: int = SEE
     values, owner = np.zeros(0, U64), np.zeros(0, np.int64)
     if len(at):
         s, s_text, s_at = windows(w, seed)
-        low = np.zeros(len(w.hashes) + window, U64)  # greatest window minimum over the windows that hold each seed
+        low = np.zeros(len(w.hashes) + window, U64)  # the least seed of each window, at the window's last seed
         low[at + window] = least
-        width = window - seed + 1
-        best = TOP - _least(TOP - low, width)  # best[i]: windows that start at i - window .. i - window + width - 1
-        chosen = best[s_at + seed] == s >> U64(1)
+        greatest = TOP - _least(TOP - low, window - seed + 1)  # over the windows that hold the seed
+        chosen = greatest[s_at + seed] == s >> U64(1)
         s, s_text = s[chosen] >> U64(1), s_text[chosen]
         order = np.lexsort((s, s_text))
         s, s_text = s[order], s_text[order]
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (s_text[1:] != s_text[:-1])])
-        starts = np.flatnonzero(new)
-        twice = np.diff(np.concatenate([starts, [len(s)]])) > 1
-        values, owner = (s[starts] << U64(1)) | twice.astype(U64), s_text[starts]
+        third = np.zeros(len(s), bool)
+        third[2:] = (s[2:] == s[:-2]) & (s_text[2:] == s_text[:-2])
+        values, owner = s[~third], s_text[~third]
     return pa.RecordBatch.from_arrays(
         [ids, pa.array(w.counts), pa.array(whole_hash(w).view(np.int64)), pa.array(whole_hash(w, 1).view(np.int64)), _lists(values, owner, n)],
         names=["id", "n_words", "c1", "c2", "seeds"],
@@ -101,11 +102,11 @@ def _among(values: np.ndarray, rows: np.ndarray, lists: pa.Array) -> np.ndarray:
     return np.isin(mix(values ^ mix(rows.astype(U64))), mix(known ^ mix(of.astype(U64))))
 
 
-def candidates(w: Words, lists: pa.Array, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows whose seed repeats somewhere: hash, text and first word."""
+def candidates(w: Words, lists: pa.Array, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows whose seed is in the list of their text: hash, text, first word and seed."""
     h, text, at, least = seeded_windows(w, window, seed)
     keep = _among(least, text, lists)
-    return h[keep], text[keep], at[keep]
+    return h[keep], text[keep], at[keep], least[keep]
 
 
 def _first_in_text(h: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -120,12 +121,12 @@ def _first_in_text(h: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 def strip(batch: pa.RecordBatch, window: int, seed: int) -> pa.RecordBatch:
     """Texts without the words of windows that start earlier; see ``remove_repeats`` for the columns."""
-    texts = batch.column("text")
-    w = words(texts)
+    w = words(unpacked(batch))
     n = batch.num_rows
     gone = np.zeros(len(w.hashes) + 1, np.int64)
-    h, text, at = candidates(w, batch.column("seeds"), window, seed)
-    later = ~(_first_in_text(h, text) & _among(h, text, batch.column("firsts")))
+    h, text, at, least = candidates(w, batch.column("seeds"), window, seed)
+    mine = _among(least, text, batch.column("own")) | _among(h, text, batch.column("firsts"))
+    later = ~(_first_in_text(h, text) & mine)
     gone[at[later]] += 1
     np.subtract.at(gone, at[later] + window, 1)
     gone = np.cumsum(gone[:-1]) > 0
@@ -141,6 +142,20 @@ def strip(batch: pa.RecordBatch, window: int, seed: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w.counts), pa.array(removed), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
+def units(batch: pa.RecordBatch, window: int, seed: int) -> pa.RecordBatch:
+    """Runs of consecutive windows under one seed: the seed, the hash of all words they span, the id."""
+    w = words(unpacked(batch))
+    h, text, at, least = candidates(w, batch.column("seeds"), window, seed)
+    if not len(at):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["seed", "u1", "u2", "id"])
+    new = np.concatenate([[True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])])
+    first = np.flatnonzero(new)
+    a = at[first]
+    b = at[np.concatenate([first[1:], [len(at)]]) - 1] + window
+    ids = batch.column("id").to_numpy(zero_copy_only=False)[text[first]]
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (least[first], run_hashes(w, a, b), run_hashes(w, a, b, SALT), ids)], names=["seed", "u1", "u2", "id"])
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """Per document: words, words removed and the kept words joined by one space."""
     own = docs.select("doc_id", null_safe_id().alias("id"), "text")
@@ -153,41 +168,70 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
 
     # copies: all but the smallest id of each word sequence
     smallest = known.groupBy("c1", "c2").agg(F.min("id").alias("first_id"))
-    originals = known.join(smallest.withColumnRenamed("first_id", "id"), ["c1", "c2", "id"], "left_semi")
-    copies = known.select("id", "c1", "c2").join(smallest, ["c1", "c2"]).filter("id > first_id")
-
-    # level 1: seeds that stand in two different texts, or twice in one
-    seeds = originals.select("id", "c1", F.explode("seeds").alias("value")).select("id", "c1", F.shiftrightunsigned("value", 1).alias("seed"), F.col("value").bitwiseAND(1).alias("twice"))
-    shared = seeds.groupBy("seed").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("twice").alias("twice")).filter("lo < hi or twice = 1").select("seed")
-    alive = seeds.select("seed", "id").join(shared, "seed")
-    plan = written(
-        alive.groupBy("id").agg(F.collect_set("seed").alias("seeds")).join(copies.groupBy("id").agg(F.collect_set("c1").alias("copies")), "id", "full"),
-        "plan",
-    )
+    copies = known.select("id", "c1", "c2").join(smallest, ["c1", "c2"]).filter("id > first_id").groupBy("id").agg(F.collect_set("c1").alias("copies"))
 
-    # last level: whole windows of what is left; the smallest id that has each
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # first length: seeds that stand twice, in one text or in two (a text repeats those that it has twice)
+    shared = known.select(F.explode("seeds").alias("seed")).groupBy("seed").count().filter("count > 1").select("seed")
+    alive = known.select("id", F.explode(F.array_distinct("seeds")).alias("seed")).join(shared, "seed")
+    plan = written(alive.groupBy("id").agg(F.collect_set("seed").alias("seeds")).join(copies, "id", "full"), "plan")
+
+    # double length: runs of windows under one seed.  Where all runs of a seed span the same words,
+    # the smallest id has them first; other seeds are open, and their windows are compared one by one
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            w = words(batch.column("text"))
-            h, text, at = candidates(w, batch.column("seeds"), window, seed)
-            second = whole_windows(w, window, at)
-            new = _first_in_text(h, text)
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[text[new]]), pa.array(h[new].view(np.int64)), pa.array(second[new].view(np.int64))], names=["id", "h1", "h2"])
+            yield packed(batch)
 
-    text = own.join(plan, "id", "left")
-    found = text.filter("seeds is not null").select("id", "text", "seeds").mapInArrow(extend, "id long, h1 long, h2 long")
-    firsts = found.groupBy("h1", "h2").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("h1").alias("firsts"))
+    def units_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in unpackable(batches):
+            yield units(batch, window, seed)
+
+    def windows_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in unpackable(batches):
+            w = words(unpacked(batch))
+            h, text, at, _ = candidates(w, batch.column("open"), window, seed)
+            new = _first_in_text(h, text)
+            ids = batch.column("id").to_numpy(zero_copy_only=False)[text[new]]
+            second = run_hashes(w, at[new], at[new] + window, SALT)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h[new].view(np.int64)), pa.array(second.view(np.int64))], names=["id", "h1", "h2"])
 
     def strip_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in unpackable(batches):
             yield strip(batch, window, seed)
 
-    return text.join(firsts, "id", "left").select("doc_id", "text", "seeds", "copies", "firsts").mapInArrow(strip_all, KEPT_SCHEMA)
+    text = own.mapInArrow(pack, "doc_id long, id long, n_bytes long, packed binary").join(plan, "id", "left")
+    runs = text.filter("seeds is not null and copies is null").select("id", "n_bytes", "packed", "seeds").mapInArrow(units_all, "seed long, u1 long, u2 long, id long")
+    spans = runs.groupBy("seed").agg(*(f(c).alias(f"{n}_{c}") for c in ("u1", "u2") for n, f in (("lo", F.min), ("hi", F.max))), F.min("id").alias("id"))
+    same = (F.col("lo_u1") == F.col("hi_u1")) & (F.col("lo_u2") == F.col("hi_u2"))
+    settled = spans.filter(same).groupBy("id").agg(F.collect_list("seed").alias("own"))
+    open_ = runs.select("seed", "id").join(spans.filter(~same).select("seed"), "seed").groupBy("id").agg(F.collect_set("seed").alias("open"))
+    found = text.join(open_, "id").select("id", "n_bytes", "packed", "open").mapInArrow(windows_all, "id long, h1 long, h2 long")
+    firsts = found.groupBy("h1", "h2").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("h1").alias("firsts"))
+    rows = text.join(settled, "id", "left").join(firsts, "id", "left")
+    return rows.select("doc_id", "n_bytes", "packed", "seeds", "copies", "own", "firsts").mapInArrow(strip_all, KEPT_SCHEMA)
+
+
+def run_hashes(w: Words, a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of the words ``a:b`` of each pair; another one for another salt."""
+    h = mix(w.hashes + U64(salt)) if salt else w.hashes
+    total = np.zeros(len(h) + 1, U64)
+    np.cumsum(h * powers(BASE, len(h)), out=total[1:])
+    return mix((total[b] - total[a]) * powers(INVERSE, len(h) + 1)[a] + (b - a).astype(U64))
+
+
+def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Compressed texts, which are what joins by id move about."""
+    data, offsets = byte_view(batch.column("text"))
+    raw, press = data.tobytes(), zstandard.ZstdCompressor(3)
+    blobs = [press.compress(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), pa.array(np.diff(offsets)), pa.array(blobs, pa.binary())], names=["doc_id", "id", "n_bytes", "packed"])
+
+
+def unpacked(batch: pa.RecordBatch) -> pa.Array:
+    press = zstandard.ZstdDecompressor()
+    return pa.array([press.decompress(x) for x in batch.column("packed").to_pylist()], pa.large_binary())
 
 
-def whole_windows(w: Words, window: int, at: np.ndarray) -> np.ndarray:
-    """A second, independent hash of the windows that start at ``at``."""
-    salted = Words(w.data, w.offsets, w.starts, w.ends, mix(w.hashes + U64(0x5851F42D4C957F2D)), w.first)
-    h, _, all_at = windows(salted, window)
-    return h[np.searchsorted(all_at, at)]
+def unpackable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the unpacked texts of each are of bounded size."""
+    for batch in batches:
+        yield from cut(batch, batch.column("n_bytes").to_numpy(zero_copy_only=False))
