@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, packing, quality_rules, secrets, substring_dedup, warc
+from . import decontaminate, line_dedup, near_dedup, packing, quality_model, quality_rules, secrets, substring_dedup, toxicity, warc
 from .common import read
 
 
@@ -29,6 +29,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure_quality(read(spark, sf_dir, "documents"))
 
@@ -43,6 +51,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_packing, op4_secrets, op5_decontamination, op8_quality_rules, op9_warc, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_packing, op4_secrets, op5_decontamination, op6_toxicity, op7_quality_model, op8_quality_rules, op9_warc, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op9_warc": warc.ORACLE}
