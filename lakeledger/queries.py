@@ -62,7 +62,7 @@ def reconcile_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{MATCHED}, sums as (select product_id, count(*) as n_items from left_item group by 1)
-select bucket, count(*) as n_products, coalesce(sum(n_items), 0) as n_items from rows_ left join sums on product_id = left_id group by 1""", "left_product", "right_product", "left_item")
+select bucket, count(*) as n_products, cast(coalesce(sum(n_items), 0) as bigint) as n_items from rows_ left join sums on product_id = left_id group by 1""", "left_product", "right_product", "left_item")
 def reconcile_summary(spark: SparkSession, d: str) -> DataFrame:
     """Counts of the reconcile report."""
     return reports.summary(reconcile_report(spark, d))
@@ -283,7 +283,7 @@ def family_defaults(spark: SparkSession, d: str) -> DataFrame:
 @query("""it as (select product_id, arg_min(spool_weight, id) as item_tare from (select id, product_id, case when id % 4 = 0 then 100.0 + id % 50 end as spool_weight from left_item) where spool_weight is not null group by 1),
 ov as (select product_id, arg_min(tare, id) as override from (select id, product_id, 10.0 + id % 7 as tare from left_item where id % 90 = 0) group by 1),
 fa as (select left_id as id, 5.0 as family_tare from product_mapping where left_id % 2 = 0)
-select l.id, coalesce(override, item_tare, spool_weight, family_tare) as tare, case when override is not null then 'override' when item_tare is not null then 'item' when spool_weight is not null then 'product' when family_tare is not null then 'family' else 'none' end as source
+select l.id, cast(coalesce(override, item_tare, spool_weight, family_tare) as double) as tare, case when override is not null then 'override' when item_tare is not null then 'item' when spool_weight is not null then 'product' when family_tare is not null then 'family' else 'none' end as source
 from left_product l left join it on it.product_id = l.id left join ov on ov.product_id = l.id left join fa on fa.id = l.id""", "left_product", "left_item", "product_mapping")
 def tare_ladder(spark: SparkSession, d: str) -> DataFrame:
     """Where a left product's tare comes from."""
@@ -310,7 +310,7 @@ def nominal_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""c as (select l.*, trim(lower(vendor)) as v, trim(lower(material)) as m from left_product l), n as (select product_id, count(*) filter (where not archived) as k from left_item group by 1),
 r as (select v, m, c.id, coalesce(k, 0) as k, length(name) as len from c left join n on n.product_id = c.id)
-select v as vendor, m as material, count(*) as n, sum(k) as n_active, first(id order by k desc, len, id) as master_id from r group by 1, 2 having count(*) >= 2""", "left_product", "left_item")
+select v as vendor, m as material, count(*) as n, cast(sum(k) as bigint) as n_active, first(id order by k desc, len, id) as master_id from r group by 1, 2 having count(*) >= 2""", "left_product", "left_item")
 def product_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters and their masters (finishes switched off)."""
     rows = view(spark, d, "left_product").withColumn("cluster", text.cluster_key(F.col("vendor"), F.col("material"), F.col("name"), ()))
@@ -476,7 +476,7 @@ def import_plan_rows(spark: SparkSession, d: str) -> DataFrame:
     return _plan(spark, d).select("left_id", "item_id", "action", "right_id", "remaining_weight")
 
 
-@query(PLAN + " select action, count(*) as n_products, sum(n_items) as n_items, count(*) filter (where tare is null) as n_default_tare, round(sum(round(weight, 2)), 2) as weight from pr group by 1", *PLAN_VIEWS)
+@query(PLAN + " select action, count(*) as n_products, cast(sum(n_items) as bigint) as n_items, count(*) filter (where tare is null) as n_default_tare, round(sum(round(weight, 2)), 2) as weight from pr group by 1", *PLAN_VIEWS)
 def import_preview(spark: SparkSession, d: str) -> DataFrame:
     """Counts of the plan."""
     return import_plan.preview(_plan(spark, d))
@@ -494,7 +494,7 @@ def import_actions(spark: SparkSession, d: str) -> DataFrame:
     return import_plan.execution(_plan(spark, d))
 
 
-@query("""select id, case when color_hex is null then '' else concat('#', color_hex) end as color, lower(name) as name, vendor, round(price, 2) as cost, spool_weight as tare from left_product""", "left_product")
+@query("""select id, case when color_hex is null then '' else concat('#', color_hex) end as color, lower(name) as name, vendor, round(price, 2) as cost, cast(spool_weight as double) as tare from left_product""", "left_product")
 def right_payloads(spark: SparkSession, d: str) -> DataFrame:
     """D2, IO12: payloads for the right side, read back from their JSON."""
     rows = import_plan.right_payload(view(spark, d, "left_product"))
@@ -502,7 +502,7 @@ def right_payloads(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", p.alias("p")).select("id", F.coalesce("p.color", F.lit("")).alias("color"), "p.name", "p.vendor", "p.cost", F.col("p.spoolWeight").alias("tare"))
 
 
-@query("""select id, trim(name) as name, vendor, type as material, 1.24 as density, 1.75 as diameter, nullif(ltrim(color, '#'), '') as color_hex, tare as spool_weight from right_product""", "right_product")
+@query("""select id, trim(name) as name, vendor, type as material, cast(1.24 as double) as density, cast(1.75 as double) as diameter, nullif(ltrim(color, '#'), '') as color_hex, tare as spool_weight from right_product""", "right_product")
 def left_payloads(spark: SparkSession, d: str) -> DataFrame:
     """D3: new left products with their defaults."""
     rows = view(spark, d, "right_product").withColumn("density", F.lit(None).cast("double")).withColumn("diameter", F.lit(None).cast("double"))
@@ -537,7 +537,7 @@ def conflict_writes(spark: SparkSession, d: str) -> DataFrame:
     return resolve.writes(resolve.choose(c, _decisions(c))).select("id", "side", "value")
 
 
-@query("""select id, case when id % 2 = 0 then 'usage' when id % 3 = 0 then 'set' else 'none' end as kind, case when id % 2 = 0 then 10.0 end as grams, round(greatest(remaining_weight + case when id % 2 = 0 then -10 when id % 3 = 0 then 7 else 0 end, 0), 2) as weight from left_item where remaining_weight > 10""", "left_item")
+@query("""select id, case when id % 2 = 0 then 'usage' when id % 3 = 0 then 'set' else 'none' end as kind, case when id % 2 = 0 then cast(10.0 as double) end as grams, round(greatest(remaining_weight + case when id % 2 = 0 then -10 when id % 3 = 0 then 7 else 0 end, 0), 2) as weight from left_item where remaining_weight > 10""", "left_item")
 def weight_convergence(spark: SparkSession, d: str) -> DataFrame:
     """Absolute weights as events or sets."""
     rows = view(spark, d, "left_item").filter("remaining_weight > 10")
@@ -618,7 +618,7 @@ def completeness(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""pk as (select product_id as material, id as ord, case when id % 3 = 0 then remaining_weight end as net, id % 100 as c from left_item), j as (select pk.*, case when c % 4 <> 0 then 100.0 + c end as tare from pk),
 f as (select material, arg_min(net, ord) filter (where net is not null) as net, arg_min(tare, ord) filter (where tare is not null) as tare from j group by 1)
-select l.id as slug, net, tare from left_product l left join f on f.material = l.id""", "left_product", "left_item")
+select l.id as slug, net, cast(tare as double) as tare from left_product l left join f on f.material = l.id""", "left_product", "left_item")
 def package_weights(spark: SparkSession, d: str) -> DataFrame:
     """Net weight and tare from packages and their containers."""
     packages = view(spark, d, "left_item").select(F.col("product_id").alias("material"), F.col("id").alias("ord"), F.when(F.col("id") % 3 == 0, F.col("remaining_weight")).alias("net"), (F.col("id") % 100).alias("container"))
