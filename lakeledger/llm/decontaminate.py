@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, written
 from .words import U64, Words, byte_view, range_hashes, spans, windows
 
 SEED, RARE, SIMILARITY = 3, 1e-7, 0.45
@@ -154,17 +154,17 @@ def leaks(w: Words, items: Items, least: float) -> tuple[np.ndarray, ...]:
     return text[keep], item[keep], similarity[keep], a[keep] - w.first[text[keep]], (a + end)[keep] - w.first[text[keep]]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
-    """The test items in blocks of at most about ``BLOCK_BYTES``, with their seeds."""
+def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Items, bool]]:
+    """The test items in blocks of at most about ``BLOCK_BYTES``, with their seeds; whether it is the only one.
+
+    One block at a time is on the driver.
+    """
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    blocks = []
     for block in range(n_blocks):
         rows = benchmark.select("item_id", "text").filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).toArrow()
-        w = folded_words(rows.column("text").combine_chunks()) if rows.num_rows else folded_words(pa.array([], pa.string()))
-        blocks.append((rows.column("item_id").to_numpy(), w, np.unique(w.hashes)))
-    for ids, w, vocabulary in blocks:
-        yield index_items(ids, w, word_shares(docs, vocabulary))
+        w = folded_words(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
+        yield index_items(rows.column("item_id").to_numpy(), w, word_shares(docs, np.unique(w.hashes))), n_blocks == 1
 
 
 def word_shares(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, float]:
@@ -190,7 +190,7 @@ def word_shares(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, float]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, similarity, ...) for each test item that a document holds a copy of."""
     out = None
-    for items in _blocks(docs, benchmark):
+    for items, only in _blocks(docs, benchmark):
 
         def search(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches):
@@ -199,6 +199,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (items.ids[item], score.astype(float), np.diff(items.first)[item], a, b + 1 if len(b) else b))], names=[f.split()[0] for f in LEAK_SCHEMA.split(", ")])
 
         found = docs.select("doc_id", "text").mapInArrow(search, LEAK_SCHEMA)
+        found = found if only else written(found, "leaks")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -206,7 +207,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, in its columns, that hold no copy of a test item; filtered where they are read."""
     out = docs
-    for items in _blocks(docs, benchmark):
+    for items, only in _blocks(docs, benchmark):
 
         def clean(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches):
@@ -215,4 +216,5 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMIL
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(clean, docs.schema)
+        out = out if only else written(out, "clean")
     return out

@@ -4,9 +4,12 @@ A document is the weighted set of its five-word shingles (weight 1 + ln of the c
 shingle starts a Poisson process at the rate of its weight; every arrival falls on one register,
 and a register keeps the shingle that came first.  A shingle stops as soon as its next arrival is
 later than all registers of its document.  Two registers agree with the probability Jaccard
-similarity, so bands of registers become buckets.  In each bucket every document is set against
-one leader, not against all others: pairs that agree on at least 0.8 of their distinct shingles
-are links.  Further rounds take other leaders, for documents that are not yet in one class.
+similarity, so bands of registers become buckets.  In each bucket every document is first set
+against the smallest one: pairs that agree on at least 0.8 of their distinct shingles are links.
+Buckets that then still hold several classes go on in turns: in each, about eight documents from
+outside the bucket's largest class lead and are set against all of other classes, until each of
+them has led or the bucket is one class.  So no pair of a bucket is left out, and pairs inside a
+class, which are nearly all pairs of a large group, are never made.
 
 Results: documents of equal word sequences are copies and share a class whatever their length;
 so are all documents without a word (null or empty text).  A text of one to four words is one
@@ -29,7 +32,7 @@ from .words import U64, Words, mix, whole_hash, windows, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no bucket with probability (1 - 0.8 ** 5) ** 25 = 5e-5
-ROUNDS = 4
+LEADERS = 8  # documents of a bucket that are set against the others in one turn
 
 
 def shingles(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +110,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "text", "other").mapInArrow(check, "a long, b long")
 
 
-def group_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def _some(waiting: DataFrame, turn: int) -> DataFrame:
+    """All waiting documents of a bucket if they are few, else about ``LEADERS`` of them, by hash."""
+    shares = waiting.groupBy("key").agg(F.ceil(F.count("*") / LEADERS).alias("share"))
+    return waiting.join(shares, "key").filter(F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("share")) == 0).drop("share")
+
+
+def group_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id, class_id) for every id of ``docs``."""
     own = docs.select(null_safe_id().alias("id"), "text")
 
@@ -125,25 +134,37 @@ def group_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, round
     buckets = written(banded.join(shared, "key").select("key", "id", "lead"), "buckets")
     texts = written(own.join(buckets.select("id").distinct(), "id", "left_semi"), "texts")
 
-    links, labels = None, None
-    pairs = buckets.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    tried = written(pairs, "pairs")
-    for turn in range(rounds):
-        if tried.isEmpty():
-            break
-        found = written(_verified(tried, texts, similarity), "links")
-        links = found if links is None else links.union(found)
+    # first every document against the smallest of its buckets, which settles most groups
+    tried = written(buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    labels = None
+    if not tried.isEmpty():
+        links = written(_verified(tried, texts, similarity), "links")
         labels = classes(links)
-        if turn + 1 == rounds:
-            break
-        # another leader for each bucket that still holds several classes
-        open_ = buckets.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        order = F.xxhash64("id", "key", F.lit(turn))
-        mixed = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(order).alias("first")).filter("lo < hi").select("key", "first")
-        rows = open_.join(mixed, "key")
-        leads = rows.filter(order == F.col("first")).select("key", F.col("id").alias("b"), F.col("label").alias("lead_label"))
-        pairs = rows.join(leads, "key").filter("label <> lead_label").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        tried = written(pairs, "pairs")
+    # then, in buckets that still hold several classes, those outside the largest class against the others
+    led, turn = None, 0
+    while labels is not None:
+        named = buckets.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        sizes = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count("*").alias("n_classes"))
+        rows = written(named.join(sizes.filter("n_classes > 1").select("key", "largest"), "key"), "open")
+        waiting = rows.filter("label <> largest").select("key", "id", "label")
+        waiting = waiting if led is None else waiting.join(led, ["key", "id"], "left_anti")
+        leaders = written(_some(waiting, turn), "leaders")
+        turn += 1
+        if leaders.isEmpty():
+            if waiting.isEmpty():
+                break
+            continue  # by hash, no document of the large buckets led in this turn
+        led = leaders.select("key", "id") if led is None else led.union(leaders.select("key", "id"))
+        against = leaders.select("key", F.col("id").alias("lead"), F.col("label").alias("lead_label"))
+        met = rows.join(against, "key").filter("label <> lead_label").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        pairs = written(met.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        tried = tried.union(pairs)
+        found = written(_verified(pairs, texts, similarity), "links")
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = classes(links)
     if labels is None:
         return members.groupBy("id").agg(F.min("rep").alias("class_id"))
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("class_id"))
