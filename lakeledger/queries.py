@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import color, text, units, values
-from .operators import changes, conflicts, fuzzy, lexicon, matching, tare
+from .operators import changes, conflicts, fuzzy, lexicon, matching, records, tare
 from .options import Options
-from .plans import import_plan, reports, resolve
+from .plans import decisions, import_plan, reports, resolve
 from .sources import state
 from .sources.views import view, with_views
 from .streaming import runner
@@ -665,3 +665,50 @@ def versions(spark: SparkSession, d: str) -> DataFrame:
     """Versions compared."""
     rows = spark.createDataFrame([("1.2.3", "1.2.2"), ("1.2", "1.2.0"), ("v2.0.0", "10.0.0"), ("x", "1.0.0")], "a string, b string")
     return rows.select("a", "b", units.is_newer(F.col("a"), F.col("b")).alias("newer"), units.at_least(F.col("a"), F.col("b")).alias("enough"))
+
+
+@query("""select cast(unnest(['a', 'k' || cast(id % 3 as varchar)]) as varchar) as key, id from left_product""".replace("select cast(", "u as (select cast(").replace("from left_product", "from left_product) select key, count(*) as n from u group by 1"), "left_product")
+def field_definitions(spark: SparkSession, d: str) -> DataFrame:
+    """IO4: keys of an open map."""
+    extra = F.create_map(F.lit("a"), F.lit("1"), F.concat(F.lit("k"), (F.col("id") % 3).cast("string")), F.lit("2"))
+    return records.field_definitions(view(spark, d, "left_product").select(extra.alias("extra")))
+
+
+@query(PAIRED + """ select left_item_id, right_item_id, 'weight' as field, round(left_now + 200, 2) is not distinct from right_now as agree from p where left_id is not null and right_id is not null
+union all select left_item_id, right_item_id, 'id', false from p where left_id is not null and right_id is not null""", "left_item", "right_item", "item_mapping")
+def side_by_side(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of a pair next to each other."""
+    rows = _paired(spark, d).filter("left_id is not null and right_id is not null").withColumn("gross", F.round(F.col("left_remaining_weight") + 200, 2))
+    return records.side_by_side(rows, [("weight", "gross", "right_total_weight"), ("id", "left_id", "right_id")]).select("left_item_id", "right_item_id", "field", "agree")
+
+
+@query("""select entity_id, min(captured_at) as anchor, max(captured_at) as last_synced from (select cast(entity_id as varchar) as entity_id, 10 + entity_id % 5 as captured_at from snapshot_left union all select replace(entity_id, 'S', ''), 12 from snapshot_right) group by 1""", "snapshot_left", "snapshot_right")
+def snapshot_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """The captures between which an entity changed."""
+    a = view(spark, d, "snapshot_left").select(F.col("entity_id").cast("string").alias("entity_id"), (10 + F.col("entity_id") % 5).alias("captured_at"))
+    b = view(spark, d, "snapshot_right").select(F.replace("entity_id", F.lit("S"), F.lit("")).alias("entity_id"), F.lit(12).cast("long").alias("captured_at"))
+    return records.anchors(a.union(b))
+
+
+@query("""select m.id, m.left_id, case when left_id % 6 = 0 then 'R0' else right_id end as right_id from product_mapping m where left_id % 10 <> 1""", "product_mapping")
+def relinked_mappings(spark: SparkSession, d: str) -> DataFrame:
+    """Mappings after relinking some and unlinking others."""
+    mapping = view(spark, d, "product_mapping")
+    linked = decisions.relink(mapping, mapping.filter("left_id % 6 = 0").select("left_id", F.lit("R0").alias("right_id")))
+    return decisions.unlink(linked, mapping.filter("left_id % 10 = 1")).select("id", "left_id", "right_id")
+
+
+@query("""select id as left_id, 'tare' as field, cast(200 + id % 3 as varchar) as value from left_product where spool_weight is distinct from 200 + id % 3""", "left_product")
+def minimal_patches(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of a payload that change something."""
+    rows = view(spark, d, "left_product")
+    payload = rows.select(F.col("id").alias("left_id"), F.lit("tare").alias("field"), (200 + F.col("id") % 3).cast("string").alias("value"))
+    current = rows.select(F.col("id").alias("left_id"), F.lit("tare").alias("field"), F.col("spool_weight").cast("string").alias("value"))
+    return decisions.minimal_patch(payload, current)
+
+
+@query("""select i.id, case i.id % 4 when 3 then null else 'shelf ' || cast(i.id % 4 as varchar) end as location from left_item i""", "left_item")
+def located_items(spark: SparkSession, d: str) -> DataFrame:
+    """Names of locations, unknown ids without one."""
+    places = spark.range(3).select("id", F.concat(F.lit("shelf "), F.col("id").cast("string")).alias("name"))
+    return records.located(view(spark, d, "left_item").select("id", (F.col("id") % 4).alias("location_id")), places).select("id", "location")

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from lakeledger import queries
 from lakeledger.functions import color, text, units, values
-from lakeledger.operators import changes, conflicts, fuzzy, lexicon, matching
+from lakeledger.operators import changes, conflicts, fuzzy, lexicon, matching, records
 from lakeledger.options import FINISH_TAGS, Options, field_map, parse_pairs, parse_words
-from lakeledger.plans import import_plan, reports, resolve
-from lakeledger.sources import archive, state
+from lakeledger.plans import decisions, import_plan, reports, resolve
+from lakeledger.sources import archive, reference, state
 from lakeledger.streaming import runner
 
 from .conftest import SF_DIR
@@ -289,3 +289,51 @@ def test_options():
     assert field_map({"name": "title", "nope": "x"}, ("name", "price", "color_hex"), ("price", "color_hex"), ("color_hex",)) == {"name": "title", "price": "price"}
     with pytest.raises(ValueError, match="direction"):
         Options(direction="up").validated()
+
+
+def test_records(spark):
+    kids = "id string, children array<struct<id:string,label:string>>, label string"
+    rows = spark.createDataFrame([("p", [("c1", "a"), ("c2", "b")], "a"), ("q", [("c1", "a"), ("c2", "b")], "z"), ("r", [], "z")], kids)
+    assert [r.x for r in rows.select(records.created_child(F.col("children"), F.col("label"), F.col("id")).alias("x")).collect()] == ["c1", "c2", "r"]
+    assert rows.select(records.child_by_id(F.col("children"), F.lit("c2"))["label"].alias("x")).first().x == "b"
+    refs = spark.range(1).select(records.cross_references(F.col("id"), F.lit("R1"), F.lit(None).cast("string")).alias("x"))
+    assert refs.first().x == {"left_id": '"0"', "right_id": '"R1"'}
+    assert refs.select(records.extra_value(F.col("x"), "right_id").alias("v"), records.extra_value(F.col("x"), "none").alias("n"), decisions.without_references(F.col("x")).alias("m")).first() == ("R1", None, {})
+    printers = spark.createDataFrame([("a", [(1, "s")]), ("b", [])], "printer_id string, slots array<struct<position:int,item_id:string>>")
+    assert {tuple(r) for r in records.slots(printers).collect()} == {("a", 1, "s"), ("b", None, None)}
+    dried = spark.createDataFrame([(1, [("2024-01-02",), ("2024-03-01",)]), (2, None)], "id int, cycles array<struct<at:string>>")
+    assert {tuple(r) for r in records.dry_cycles(dried).collect()} == {(1, 2, "2024-03-01"), (2, 0, None)}
+    assert records.label_fields(spark.range(1), ["id"], ["nope", "id"]).first() == ("0",)
+    stamp = spark.range(1).select(records.file_time(F.lit("b-20240506-070809.json"), F.lit(None).cast("timestamp")).alias("x")).first().x
+    assert stamp == datetime.datetime(2024, 5, 6, 7, 8, 9)
+    done = spark.createDataFrame([(1, "created"), (2, "failed"), (3, "linked")], "ord int, action string")
+    assert [r.ord for r in records.failures_first(done).collect()] == [2, 1, 3]
+    named = records.conflict_identity(spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "id int, left_id int"), spark.createDataFrame([("5", "name", "Snap")], "entity_id string, field string, value string"), spark.createDataFrame([("6", '{"name": "Blob"}')], "left_id string, identity string"))
+    assert {(r.id, r.label) for r in named.collect()} == {(1, "Snap"), (2, "Blob"), (3, "#7")}
+    assert records.merged_buckets(matched=spark.range(2), ambiguous=spark.range(1)).count() == 3
+
+
+def test_decisions(spark):
+    old = spark.createDataFrame([(1, "link"), (2, "skip")], "left_id int, action string")
+    assert {tuple(r) for r in decisions.saved(old, spark.createDataFrame([(2, "create")], old.schema)).collect()} == {(1, "link"), (2, "create")}
+    config = decisions.seeded_config(spark.createDataFrame([("a", "1")], "key string, value string"), spark.createDataFrame([("a", "9"), ("b", "2")], "key string, value string"))
+    assert {tuple(r) for r in config.collect()} == {("a", "1"), ("b", "2")}
+    assert {tuple(r) for r in decisions.set_config(config, spark.createDataFrame([("a", "3")], config.schema)).collect()} == {("a", "3"), ("b", "2")}
+    left, = decisions.purge(spark.createDataFrame([(1,)], "left_id int"), (spark.createDataFrame([("1", "x"), ("2", "y")], "entity_id string, v string"), "entity_id"))
+    assert [r.v for r in left.collect()] == ["y"]
+    clusters = spark.createDataFrame([(1, [1, 2, 3])], "master_id int, members array<int>")
+    assert {tuple(r) for r in decisions.variant_masters(clusters).select("left_id", "master_id").collect()} == {(2, 1), (3, 1)}
+    row = spark.range(1).select(decisions.direction_of(F.lit("left")).alias("d"), decisions.target_of(F.lit("right_to_left")).alias("t"), decisions.canonical_field(F.lit(" Net_Weight"), {"net_weight": "weight"}).alias("f")).first()
+    assert tuple(row) == ("left_to_right", "left", "weight")
+
+
+def test_reference_freshness(spark):
+    now = F.to_timestamp(F.lit("2024-02-01"))
+    rows = spark.createDataFrame([("c1", 1, 1, datetime.datetime(2023, 1, 1)), ("c2", 1, 1, datetime.datetime(2024, 1, 31)), ("c1", 0, 1, datetime.datetime(2024, 1, 31)), ("c1", 1, 0, datetime.datetime(2024, 1, 31))], "identity string, schema_version int, lexicon_version int, fetched_at timestamp")
+    assert [r.action for r in reference.freshness(rows, "c1", now, 7).collect()] == ["keep", "reload", "reload", "mine"]
+    assert [r.action for r in reference.freshness(rows, None, now, 7).collect()] == ["reload", "keep", "reload", "mine"]
+    products = spark.createDataFrame([(1, "a")], "id int, name string")
+    one_ = reference.manifest(products, "c1", now)
+    a = reference.fingerprint(products, ["id", "name"], one_, "x")
+    b = reference.fingerprint(products.withColumn("name", F.lit("b")), ["id", "name"], one_, "x")
+    assert tuple(reference.inputs_changed(a, b).first()) == (False, True, False)
