@@ -7,7 +7,7 @@ exactly; lines without a visible character always stay.
 Two lines within one edit agree in the first or in the last half, counted in the length of the
 shorter.  So the neighbourhoods are built in three steps, each for the survivors of the one
 before: lines that share a half with another line; among these, lines that agree but for one
-segment of 64 characters; and only for that segment all variants with one character deleted, as
+segment (64 characters, or a 64th of a long half); and only for that segment all variants with one character deleted, as
 hashed keys.  Equal keys meet at the earliest line of the group, never pair by pair, and the edit
 distance to that line is verified on the whole texts.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import null_safe_id, written
 
-LEAST_CHARS, SEGMENT = 20, 64
+LEAST_CHARS, SEGMENT, SEGMENTS = 20, 64, 64
 
 
 def _lines(text: Column) -> Column:
@@ -80,13 +80,15 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         F.when(first_shared, F.substr("line", (h + 1).cast("int"))).otherwise(_left(F.col("line"), (F.char_length("line") - (m - h)).cast("int"))).alias("rest"),
         F.when(first_shared, m - h).otherwise(h).cast("int").alias("width"),
     )
-    cut = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("width") / SEGMENT) - 1).cast("int"))))
-    before = _left(F.col("rest"), F.col("j") * SEGMENT)
-    n_after = F.greatest(F.lit(0), F.col("width") - (F.col("j") + 1) * SEGMENT)
+    # long halves have 64 segments, whose keys and variants then cost about as much as one another
+    size = F.greatest(F.lit(SEGMENT), F.ceil(F.col("width") / SEGMENTS).cast("int"))
+    cut = rest.withColumn("size", size).withColumn("j", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("width") / F.col("size")) - 1).cast("int"))))
+    before = _left(F.col("rest"), F.col("j") * F.col("size"))
+    n_after = F.greatest(F.lit(0), F.col("width") - (F.col("j") + 1) * F.col("size"))
     segments = cut.select(
         "id", "no", "role",
         F.xxhash64("key", "j", before, _right(F.col("rest"), n_after)).alias("key"),
-        F.substr("rest", F.col("j") * SEGMENT + 1, F.char_length("rest") - F.col("j") * SEGMENT - n_after).alias("middle"),
+        F.substr("rest", F.col("j") * F.col("size") + 1, F.char_length("rest") - F.col("j") * F.col("size") - n_after).alias("middle"),
     )
     segments = segments.join(_shared(segments.withColumn("place", place), "key", "place"), "key", "left_semi")
 

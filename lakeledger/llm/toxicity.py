@@ -187,24 +187,47 @@ def train_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarr
     return beta
 
 
+def parts(column: pa.Array) -> Iterator[pa.Array]:
+    """The sample in pieces of bounded size."""
+    for piece in pieces(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), limit=1 << 20):
+        yield piece.column("text")
+
+
+def vocabulary(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Hashes and spellings of the distinct words, and the distinct pairs of word and text."""
+    spelled: dict[int, bytes] = {}
+    found = []
+    before = 0
+    for part in parts(column):
+        data, starts, ends, text = text_words(part)
+        hashes = range_hashes(CODE.astype(np.uint8)[data], starts, ends)
+        distinct, at = np.unique(hashes, return_index=True)
+        raw = data.tobytes()
+        for h, i in zip(distinct.tolist(), at.tolist(), strict=True):
+            if h not in spelled:
+                spelled[h] = raw[starts[i] : ends[i]]
+        rows = np.unique(np.column_stack([hashes, text.astype(np.uint64)]), axis=0)
+        found.append((rows[:, 0], rows[:, 1].astype(np.int64) + before))
+        before += len(part)
+    known = np.array(sorted(spelled), np.uint64)
+    word = np.searchsorted(known, np.concatenate([h for h, _ in found]))
+    return known, [spelled[h] for h in known.tolist()], np.column_stack([word, np.concatenate([t for _, t in found])])
+
+
 def fit(texts: list[str], labels: list[int], rate: float | None = None) -> Model:
     """A model from labelled texts; ``rate`` is the share of toxic ones before sampling."""
     seen: dict[str, int] = {}
     for text, label in zip(texts, labels, strict=True):  # copies would count as evidence of their own
         seen[text or ""] = max(seen.get(text or "", 0), int(label))
     labels_ = np.array(list(seen.values()), np.int64)
-    column = pa.array(list(seen), pa.string())
+    column = pa.array(list(seen), pa.large_string())
     if not len(labels_) or labels_.min() == labels_.max():
         return Model(np.zeros(SYMBOLS**3), 0.0, np.array([0.0] * BEST + [-40.0]))
-    data, starts, ends, text = text_words(column)
-    hashes = range_hashes(CODE.astype(np.uint8)[data], starts, ends)
-    known, at, word = np.unique(hashes, return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    spelled = lambda i: raw[starts[at[i]] : ends[at[i]]]
-    pairs = np.unique(np.column_stack([word.reshape(-1), text]), axis=0)
+    known, words, pairs = vocabulary(column)
+    spelled = words.__getitem__
     toxic_texts = np.bincount(pairs[labels_[pairs[:, 1]] == 1, 0], minlength=len(known))
     clean_texts = np.bincount(pairs[labels_[pairs[:, 1]] == 0, 0], minlength=len(known))
-    size = (ends - starts)[at]
+    size = np.array([len(w) for w in words])
     usable = long_enough = size >= 5  # three characters and the bounds
 
     # evidence to start with: words that many toxic texts and no clean text have (not just one family of near copies)
@@ -223,11 +246,10 @@ def fit(texts: list[str], labels: list[int], rate: float | None = None) -> Model
     frequent = in_clean[np.argsort(-clean_texts[in_clean], kind="stable")][: LANDMARKS // 4]
     strongest = positive[np.argsort(-lift[positive], kind="stable")][: LANDMARKS // 2]
     landmarks = np.unique(np.concatenate([strongest, frequent, negative[: LANDMARKS // 4]]))
-    basis = feature_rows([spelled(i) for i in landmarks])
-    value, vector = np.linalg.eigh((basis @ basis.T).astype(np.float64))
+    by_triple = np.ascontiguousarray(feature_rows([spelled(i) for i in landmarks]).T)
+    value, vector = np.linalg.eigh((by_triple.T @ by_triple).astype(np.float64))
     keep = value > 1e-4
     whiten = vector[:, keep] / np.sqrt(value[keep])  # Nyström map: kernel with landmarks times this
-    by_triple = np.ascontiguousarray(basis.T)
 
     def mapped(index: np.ndarray) -> np.ndarray:
         return np.column_stack([kernel_rows(by_triple, [spelled(i) for i in index]) @ whiten, np.ones(len(index))])
@@ -245,7 +267,7 @@ def fit(texts: list[str], labels: list[int], rate: float | None = None) -> Model
         model = (weights, float(beta[-1]))
         if turn + 1 == ROUNDS:
             break
-        value = _scores_of(weights, raw, starts, ends, at) + model[1]
+        value = word_scores(weights, *laid_out(words)) + model[1]
         # each toxic text's best words are further evidence; clean words that score high are added
         best_first = mine[np.lexsort((-value[mine[:, 0]], mine[:, 1]))]
         rank = np.arange(len(best_first)) - np.searchsorted(best_first[:, 1], best_first[:, 1])
@@ -253,18 +275,14 @@ def fit(texts: list[str], labels: list[int], rate: float | None = None) -> Model
         positive = np.union1d(positive, chosen[value[chosen] > 0])
         hard = in_clean[value[in_clean] > -0.5]
         negative = np.union1d(negative, hard[np.argsort(-value[hard], kind="stable")][: NEGATIVES // 4])
-    best = Model(*model, np.zeros(BEST + 1)).best(column)
+    plain = Model(*model, np.zeros(BEST + 1))
+    best = np.concatenate([plain.best(part) for part in parts(column)])
     share = labels_.mean()
     rate = share if rate is None else rate
     link = train_logistic(best, labels_, np.where(labels_ == 1, rate / share, (1 - rate) / (1 - share)))
     return Model(*model, link)
 
 
-def _scores_of(weights: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Scores of distinct words, laid side by side."""
-    return word_scores(weights, *laid_out([raw[starts[i] : ends[i]] for i in at]))
-
-
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled rows outside the held-out fold."""
     known = labels.select("doc_id", F.col("toxic").alias("label")).filter((fold(FOLDS) != HELD_OUT) & F.col("label").isin(0, 1))
