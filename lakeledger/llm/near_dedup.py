@@ -5,11 +5,13 @@ shingle starts a Poisson process at the rate of its weight; every arrival falls
 and a register keeps the shingle that came first.  A shingle stops as soon as its next arrival is
 later than all registers of its document.  Two registers agree with the probability Jaccard
 similarity, so bands of registers become buckets.  In each bucket every document is first set
-against the smallest one: pairs that agree on at least 0.8 of their distinct shingles are links.
-Buckets that then still hold several classes go on in turns: in each, about eight documents from
-outside the bucket's largest class lead and are set against all of other classes, until each of
-them has led or the bucket is one class.  So no pair of a bucket is left out, and pairs inside a
-class, which are nearly all pairs of a large group, are never made.
+against its lead, the one that shares most places in buckets: pairs that agree on at least 0.8 of their distinct shingles are
+links.  Where a lead's documents still hold several classes, two of them can only be a link if they
+share one of their first shingles in an order that both use: those that the lead lacks first, then
+by hash (as many first ones as a partner may lack at 0.8, and one).  So documents meet under lead,
+shingle and size, only those of different classes, and only where what follows the shingle can
+still be enough.  No pair of a bucket that could be a link is left out; near misses, which all
+have changed shingles of their own first, hardly meet.
 
 Results: documents of equal word sequences are copies and share a class whatever their length;
 so are all documents without a word (null or empty text).  A text of one to four words is one
@@ -19,11 +21,12 @@ id is the smallest id of the class.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import null_safe_id, pieces, written
@@ -32,7 +35,7 @@ from .words import U64, Words, mix, whole_hash, windows, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no bucket with probability (1 - 0.8 ** 5) ** 25 = 5e-5
-LEADERS = 8  # documents of a bucket that are set against the others in one turn
+SIZE_STEP = 1.05  # sizes within this factor share a bin
 
 
 def shingles(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,32 +91,54 @@ def sketch(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(whole_hash(w).view(np.int64)), pa.array(whole_hash(w, 1).view(np.int64)), bands], names=["id", "c1", "c2", "bands"])
 
 
-def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Similarity of the sets of distinct shingles of two texts, row by row; 0 where both are empty."""
+def compare(left: pa.Array, right: pa.Array, similarity: float) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """Row by row: similarity of two texts' sets of distinct shingles (0 where both are empty), and size and
+    first shingles of the right one, those that the left one lacks before the others, each by hash."""
     (h1, t1, _), (h2, t2, _) = shingles(words(left)), shingles(words(right))
     n = len(left)
-    a, b = mix(h1 ^ mix(t1.astype(U64))), mix(h2 ^ mix(t2.astype(U64)))
-    both = np.bincount(t1[np.isin(a, b)], minlength=n)
-    either = np.bincount(t1, minlength=n) + np.bincount(t2, minlength=n) - both
-    return both / np.maximum(either, 1)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose texts are similar enough."""
+    common = np.isin(mix(h2 ^ mix(t2.astype(U64))), mix(h1 ^ mix(t1.astype(U64))))
+    size = np.bincount(t2, minlength=n)
+    both = np.bincount(t2[common], minlength=n)
+    either = np.bincount(t1, minlength=n) + size - both
+    order = np.lexsort((h2, common, t2))
+    first = np.concatenate([[0], np.cumsum(size)])
+    n_first = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+    kept = np.arange(len(order)) - first[t2[order]] < n_first[t2[order]]
+    bounds = np.concatenate([[0], np.cumsum(n_first)]).astype(np.int32)
+    return both / np.maximum(either, 1), size, pa.ListArray.from_arrays(pa.array(bounds), pa.array(h2[order][kept].view(np.int64)))
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) with whether their texts are close, and size and first shingles of ``b`` as seen from ``a``."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            close = jaccard(batch.column("text"), batch.column("other")) >= similarity
-            yield batch.select(["a", "b"]).filter(pa.array(close))
+            for part in pieces(iter([batch]), "other"):
+                close, size, first = compare(part.column("text"), part.column("other"), similarity)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(close >= similarity), pa.array(size), first], names=["a", "b", "close", "n", "first"])
+
+    return both.select("a", "b", "text", "other").mapInArrow(check, "a long, b long, close boolean, n long, first array<long>")
+
 
-    return both.select("a", "b", "text", "other").mapInArrow(check, "a long, b long")
+def _bin(size: Column) -> Column:
+    return F.floor(F.log(size) / math.log(SIZE_STEP))
 
 
-def _some(waiting: DataFrame, turn: int) -> DataFrame:
-    """All waiting documents of a bucket if they are few, else about ``LEADERS`` of them, by hash."""
-    shares = waiting.groupBy("key").agg(F.ceil(F.count("*") / LEADERS).alias("share"))
-    return waiting.join(shares, "key").filter(F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("share")) == 0).drop("share")
+def _further_pairs(compared: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of documents of one lead and of different classes that may still be links."""
+    named = compared.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    mixed = named.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("a")
+    rows = written(named.join(written(mixed, "mixed"), "a").select("a", "b", "label", "n", F.posexplode("first").alias("at", "shingle")), "first-shingles")
+    shared = rows.groupBy("a", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("a", "shingle")
+    # with ``at`` shingles behind, the largest partner that the rest is enough for
+    most = F.col("n") / similarity - F.col("at") * (1 + similarity) / similarity + 1e-6
+    rows = written(rows.join(written(shared, "shared"), ["a", "shingle"]).select("a", "shingle", "b", "label", F.col("n").cast("double").alias("n"), most.alias("most")), "meeting")
+    smaller = rows.filter("most >= n").withColumn("size_bin", _bin(F.col("n")))
+    bins = F.sequence(_bin(F.greatest(F.ceil(F.col("n") * similarity - 1e-6), F.lit(1))), _bin(F.least("n", "most")))
+    larger = rows.filter(F.col("most") >= F.ceil(F.col("n") * similarity - 1e-6)).select("a", "shingle", F.explode(bins).alias("size_bin"), F.col("b").alias("c"), F.col("label").alias("c_label"), F.col("n").alias("c_n"), F.col("most").alias("c_most"))
+    met = smaller.join(larger, ["a", "shingle", "size_bin"]).filter("label <> c_label and n <= c_n and c_n <= most and n <= c_most")
+    return met.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
 
 
 def group_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -130,41 +155,26 @@ def group_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Da
     reps = known.join(smallest.withColumnRenamed("rep", "id"), ["c1", "c2", "id"], "left_semi")
 
     banded = reps.select("id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last").select("key", "lead")
-    buckets = written(banded.join(shared, "key").select("key", "id", "lead"), "buckets")
+    sizes = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = written(banded.join(sizes, "key"), "shared")
+    # the lead of a bucket is the document that shares most places in buckets: near the middle of its group
+    places = shared.groupBy("id").agg(F.sum("size").alias("places"))
+    leads = shared.join(places, "id").groupBy("key").agg(F.min(F.struct((-F.col("places")).alias("minus"), "id")).alias("top"))
+    buckets = written(shared.join(leads.select("key", F.col("top.id").alias("lead")), "key").select("id", "lead").distinct(), "buckets")
     texts = written(own.join(buckets.select("id").distinct(), "id", "left_semi"), "texts")
 
-    # first every document against the smallest of its buckets, which settles most groups
-    tried = written(buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    # first every document against the lead of its buckets, which settles most groups
+    tried = buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     labels = None
     if not tried.isEmpty():
-        links = written(_verified(tried, texts, similarity), "links")
+        compared = written(_compared(tried, texts, similarity), "compared")
+        links = compared.filter("close").select("a", "b")
         labels = classes(links)
-    # then, in buckets that still hold several classes, those outside the largest class against the others
-    led, turn = None, 0
-    while labels is not None:
-        named = buckets.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        sizes = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count("*").alias("n_classes"))
-        rows = written(named.join(sizes.filter("n_classes > 1").select("key", "largest"), "key"), "open")
-        waiting = rows.filter("label <> largest").select("key", "id", "label")
-        waiting = waiting if led is None else waiting.join(led, ["key", "id"], "left_anti")
-        leaders = written(_some(waiting, turn), "leaders")
-        turn += 1
-        if leaders.isEmpty():
-            if waiting.isEmpty():
-                break
-            continue  # by hash, no document of the large buckets led in this turn
-        led = leaders.select("key", "id") if led is None else led.union(leaders.select("key", "id"))
-        against = leaders.select("key", F.col("id").alias("lead"), F.col("label").alias("lead_label"))
-        met = rows.join(against, "key").filter("label <> lead_label").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        pairs = written(met.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        tried = tried.union(pairs)
-        found = written(_verified(pairs, texts, similarity), "links")
+        # then documents of one lead and of different classes, where they may still be links
+        pairs = written(_further_pairs(compared, labels, similarity).join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+        found = written(_compared(pairs, texts, similarity).filter("close").select("a", "b"), "links")
         if not found.isEmpty():
-            links = links.union(found)
-            labels = classes(links)
+            labels = classes(links.union(found))
     if labels is None:
         return members.groupBy("id").agg(F.min("rep").alias("class_id"))
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("class_id"))
