@@ -9,8 +9,8 @@ against its lead, the one that shares most places in buckets: pairs that agree o
 links.  Where a lead's documents still hold several classes, two of them can only be a link if they
 share one of their first shingles in an order that both use: those that the lead lacks first, then
 by hash (as many first ones as a partner may lack at 0.8, and one).  So documents meet under lead,
-shingle and size, only those of different classes, and only where what follows the shingle can
-still be enough.  No pair of a bucket that could be a link is left out; near misses, which all
+shingle and size, only those of different classes, once, and only where their common first shingles
+and what follows can be enough.  No pair of a bucket that could be a link is left out; near misses, which all
 have changed shingles of their own first, hardly meet.
 
 Results: documents of equal word sequences are copies and share a class whatever their length;
@@ -129,15 +129,20 @@ def _further_pairs(compared: DataFrame, labels: DataFrame, similarity: float) ->
     """Pairs of documents of one lead and of different classes that may still be links."""
     named = compared.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     mixed = named.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("a")
-    rows = written(named.join(written(mixed, "mixed"), "a").select("a", "b", "label", "n", F.posexplode("first").alias("at", "shingle")), "first-shingles")
+    rows = written(named.join(written(mixed, "mixed"), "a").select("a", "b", "label", "n", "first", F.posexplode("first").alias("at", "shingle")), "first-shingles")
     shared = rows.groupBy("a", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("a", "shingle")
     # with ``at`` shingles behind, the largest partner that the rest is enough for
     most = F.col("n") / similarity - F.col("at") * (1 + similarity) / similarity + 1e-6
-    rows = written(rows.join(written(shared, "shared"), ["a", "shingle"]).select("a", "shingle", "b", "label", F.col("n").cast("double").alias("n"), most.alias("most")), "meeting")
+    rows = written(rows.join(written(shared, "shared"), ["a", "shingle"]).select("a", "shingle", "b", "label", F.col("n").cast("double").alias("n"), most.alias("most"), "first"), "meeting")
     smaller = rows.filter("most >= n").withColumn("size_bin", _bin(F.col("n")))
     bins = F.sequence(_bin(F.greatest(F.ceil(F.col("n") * similarity - 1e-6), F.lit(1))), _bin(F.least("n", "most")))
-    larger = rows.filter(F.col("most") >= F.ceil(F.col("n") * similarity - 1e-6)).select("a", "shingle", F.explode(bins).alias("size_bin"), F.col("b").alias("c"), F.col("label").alias("c_label"), F.col("n").alias("c_n"), F.col("most").alias("c_most"))
-    met = smaller.join(larger, ["a", "shingle", "size_bin"]).filter("label <> c_label and n <= c_n and c_n <= most and n <= c_most")
+    larger = rows.filter(F.col("most") >= F.ceil(F.col("n") * similarity - 1e-6)).select("a", "shingle", F.explode(bins).alias("size_bin"), F.col("b").alias("c"), F.col("label").alias("c_label"), F.col("n").alias("c_n"), F.col("most").alias("c_most"), F.col("first").alias("c_first"))
+    # a pair meets once, at the first shingle that both have there; what else they can share lies behind
+    # the first shingles of one of them
+    common = F.array_intersect("first", "c_first")
+    behind = F.greatest(F.col("n") - F.size("first"), F.col("c_n") - F.size("c_first"))
+    enough = (F.get(common, F.lit(0)) == F.col("shingle")) & (F.size(common) + behind >= (F.col("n") + F.col("c_n")) * (similarity / (1 + similarity)) - 1e-6)
+    met = smaller.join(larger, ["a", "shingle", "size_bin"]).filter("label <> c_label and n <= c_n and c_n <= most and n <= c_most").filter(enough)
     return met.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
 
 
