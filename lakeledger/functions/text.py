@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import functools
+import re
 import unicodedata
 
 import pandas as pd
@@ -38,6 +40,44 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _bare(v: str | None) -> str:
+    return unicodedata.normalize("NFKC", v or "").lower().strip()
+
+
+@functools.lru_cache(10_000)
+def _unwanted(vendor: str, material: str, tags: tuple[str, ...]) -> tuple[re.Pattern, ...]:
+    """Whole words of vendor, base material, material and finishes, in the order in which they are removed."""
+    longest = sorted((t.lower() for t in tags), key=len, reverse=True)
+    base = material
+    for word in longest:
+        base = re.sub(rf"(?:^|[\s\-])?{re.escape(word)}(?:[\s\-]|$)?", " ", base, flags=re.IGNORECASE)
+    words = dict.fromkeys((*vendor.split(), *(base.split() or material.split()), *material.split(), *longest))
+    return tuple(re.compile(rf"\b{re.escape(w)}\b") for w in words)
+
+
+def residual(name: str | None, vendor: str | None, material: str | None, tags: tuple[str, ...]) -> list[list[str]]:
+    """Words of a name in parts that ``&`` and ``/`` separate, without those of vendor, material and finishes.
+
+    Single characters, numbers and grades such as 95a are no words.
+    """
+    line = _bare(name)
+    for pattern in _unwanted(_bare(vendor), _bare(material), tags):
+        line = pattern.sub(" ", line)
+    parts = ((w for w in re.split(r"[^a-z0-9_]+", part) if len(w) > 1 and not re.match(r"^\d+[a-z]?$", w)) for part in re.split("[&/]", line))
+    return [words for part in parts if (words := list(part))]
+
+
+def residual_words(name: Column, vendor: Column, material: Column, tags: dict[str, int]) -> Column:
+    """``residual`` as array<array<string>>; the patterns depend on the row, so Python applies them."""
+    keywords = tuple(tags)
+
+    @F.pandas_udf("array<array<string>>")
+    def words(names: pd.Series, vendors: pd.Series, materials: pd.Series) -> pd.Series:
+        return pd.Series([residual(n, v, m, keywords) for n, v, m in zip(names, vendors, materials, strict=True)], dtype="object")
+
+    return words(name, vendor, material)
+
+
 def name_key(c: Column) -> Column:
     """Lower case, trimmed, single spaces; null as empty."""
     return F.trim(F.regexp_replace(F.lower(_text(c)), r"\s+", " "))

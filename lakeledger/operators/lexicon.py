@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..options import BASE_COLORS, COMPOSITE_SEEDS, FINISH_TAGS, MODIFIER_SEEDS, STOP_WORDS
+
 LEAST_COUNT, LEAST_BRANDS, LEAST_LIFT = 5, 2, 8.0
 LEAST_COLOR_COUNT, LEAST_COLOR_BRANDS = 8, 3
+MOST_TERMS = 200_000  # that a task may hold; more is an error
 
 
 def segments(name: Column) -> Column:
@@ -17,7 +21,17 @@ def segments(name: Column) -> Column:
 
 def ngrams(names: DataFrame, name: str, brand: str, longest: int = 3) -> DataFrame:
     """(n, term, brand) for every run of up to ``longest`` words inside a segment."""
-    words = names.select(F.col(brand).alias("brand"), F.explode(segments(F.col(name))).alias("w"))
+    return runs(names.select(F.col(brand).alias("brand"), F.explode(segments(F.col(name))).alias("w")), longest)
+
+
+def residual_ngrams(names: DataFrame, name: str, brand: str, material: str | None, tags: dict[str, int], longest: int = 3) -> DataFrame:
+    """``ngrams`` of what a name has besides vendor, material and finish; the brand as its key."""
+    kind = F.lit(None).cast("string") if material is None else F.col(material)
+    return runs(names.select(text.vendor_key(F.col(brand)).alias("brand"), F.explode(text.residual_words(F.col(name), F.col(brand), kind, tags)).alias("w")), longest)
+
+
+def runs(words: DataFrame, longest: int) -> DataFrame:
+    """(n, term, brand) of segments (brand, w)."""
     out = None
     for n in range(1, longest + 1):
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
@@ -43,23 +57,41 @@ def lifts(counted: DataFrame, n_names: Column) -> DataFrame:
     return rows.select("term", "freq", "brands", (F.col("freq") * n_names / (F.col("fa") * F.col("fb"))).alias("lift"))
 
 
-def mine(names: DataFrame, name: str, brand: str, stop: tuple[str, ...] = (), seeds: tuple[str, ...] = ()) -> DataFrame:
-    """(term, n, freq): frequent terms of several brands, bigrams with lift, without what longer ones cover; and the seeds."""
-    counted = counts(ngrams(names, name, brand)).filter(~F.col("term").isin(*stop) if stop else F.lit(True))
-    total = names.count()
-    often = counted.filter((F.col("freq") >= LEAST_COUNT) & ((F.col("brands") >= LEAST_BRANDS) | (F.col("n") == 3)))
-    pairs = lifts(counted, F.lit(total)).filter(F.col("lift") >= LEAST_LIFT).select("term")
+def mine(
+    names: DataFrame, name: str, brand: str, material: str | None = None, stop: tuple[str, ...] = STOP_WORDS, seeds: tuple[str, ...] = MODIFIER_SEEDS,
+    composites: tuple[str, ...] = COMPOSITE_SEEDS, base: tuple[str, ...] = BASE_COLORS, tags: dict[str, int] = FINISH_TAGS,
+) -> DataFrame:
+    """(kind, term, n, freq): modifiers and colors, longest first, then by term; a seed that does not occur has freq 0.
+
+    Modifiers are frequent terms of several brands, bigrams with lift, without what longer ones cover;
+    and the seeds.  Colors are the base ones and what ``promoted`` finds.
+    """
+    counted = counts(residual_ngrams(names, name, brand, material, tags))
+    often = counted.filter((F.col("freq") >= LEAST_COUNT) & (F.col("brands") >= LEAST_BRANDS) & ~((F.col("n") == 1) & F.col("term").isin(*stop)))
+    pairs = lifts(counted, F.lit(names.count())).filter(F.col("lift") >= LEAST_LIFT).select("term")
     kept = often.filter("n <> 2").unionByName(often.filter("n = 2").join(pairs, "term", "left_semi").select(*often.columns))
     longer = kept.filter("n > 1").select("n", F.split("term", " ").alias("w"))
     inner = longer.select(F.explode("w").alias("term")).union(longer.filter("n = 3").select(F.explode(F.array(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]), F.concat_ws(" ", F.col("w")[1], F.col("w")[2])))))
-    mined = kept.join(inner.distinct(), "term", "left_anti").select("term", "n", "freq")
-    if not seeds:
-        return mined
-    seeded = names.sparkSession.createDataFrame([(s, len(s.split())) for s in seeds], "term string, n int")
-    rows = seeded.join(counted.select("term", "freq"), "term", "left").select("term", "n", F.coalesce("freq", F.lit(0)).alias("freq"))
-    return mined.unionByName(rows.join(mined.select("term"), "term", "left_anti"))
-
-
-def colors(counted: DataFrame, base: tuple[str, ...]) -> DataFrame:
-    """Color words: the base ones, and frequent ones of many brands among ``counted`` that a color name ends with."""
-    return counted.filter((F.col("n") == 1) & F.col("term").isin(*base) & (F.col("freq") >= LEAST_COLOR_COUNT) & (F.col("brands") >= LEAST_COLOR_BRANDS)).select("term", "freq", "brands")
+    mined = kept.join(inner.distinct(), "term", "left_anti").filter(~F.col("term").isin(*base))
+    found = mined.filter(~F.col("term").isin(*stop)).select(F.lit("modifier").alias("kind"), "term", "n", "freq")
+    found = found.unionByName(promoted(counted, mined, (*base, *stop, *seeds)).select(F.lit("color").alias("kind"), "term", "n", "freq"))
+    fixed = [("modifier", s, len(s.split())) for s in sorted({*seeds, *composites} - {*stop, *base})] + [("color", c, len(c.split())) for c in sorted({*base})]
+    always = names.sparkSession.createDataFrame(fixed, "kind string, term string, n int")
+    always = always.join(counted.select("term", "freq"), "term", "left").select("kind", "term", "n", F.coalesce("freq", F.lit(0)).alias("freq"))
+    return found.unionByName(always.join(found.select("kind", "term"), ["kind", "term"], "left_anti").select(*found.columns)).orderBy(F.col("kind").desc(), F.col("n").desc(), "term")
+
+
+def promoted(counted: DataFrame, modifiers: DataFrame, taken: tuple[str, ...]) -> DataFrame:
+    """Words that become colors: frequent ones of many brands among all, covered ones too, that are neither modifiers nor ``taken``."""
+    rows = counted.filter((F.col("n") == 1) & (F.col("freq") >= LEAST_COLOR_COUNT) & (F.col("brands") >= LEAST_COLOR_BRANDS) & ~F.col("term").isin(*taken))
+    return rows.join(modifiers.select("term"), "term", "left_anti").select("term", "n", "freq")
+
+
+def index(mined: DataFrame | None = None) -> frozenset[str]:
+    """The terms by which names are decomposed, the seeds without ``mined``; a lexicon is small, and one that is not is refused."""
+    if mined is None:
+        return frozenset((*MODIFIER_SEEDS, *COMPOSITE_SEEDS, *BASE_COLORS))
+    terms = [r["term"] for r in mined.select("term").limit(MOST_TERMS + 1).collect()]
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms: raise the least counts")
+    return frozenset(terms)

@@ -566,8 +566,8 @@ def bigram_lifts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mined_lexicon(spark: SparkSession, d: str) -> DataFrame:
-    """The lexicon after coverage, with seeds."""
-    return lexicon.mine(spark.read.parquet(f"{d}/part.parquet"), "p_name", "p_brand", seeds=("shiny gradient", "matte"))
+    """Modifiers and colors of names after coverage, with seeds and counts."""
+    return lexicon.mine(spark.read.parquet(f"{d}/part.parquet"), "p_name", "p_brand", "p_type")
 
 
 def _decomposed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lakeledger import queries
 from lakeledger.functions import color, text, units, values
 from lakeledger.operators import changes, conflicts, fuzzy, lexicon, matching, records
-from lakeledger.options import FINISH_TAGS, Options, field_map, parse_pairs, parse_words
+from lakeledger.options import BASE_COLORS, COMPOSITE_SEEDS, FINISH_TAGS, MODIFIER_SEEDS, STOP_WORDS, Options, field_map, parse_pairs, parse_words
 from lakeledger.plans import decisions, import_plan, reports, resolve
 from lakeledger.sources import archive, reference, state
 from lakeledger.streaming import runner
@@ -191,6 +191,47 @@ def test_lexicon(spark):
     assert rows == {r.term for r in lexicon.mine(frame, "name", "brand", seeds=("matte",)).collect()}
 
 
+def mined_plainly(rows):
+    """mine() as loops over (brand, name, material): {(kind, term): freq} in order."""
+    freq, brands = {}, {}
+    for brand, name, material in rows:
+        for words in text.residual(name, brand, material, tuple(FINISH_TAGS)):
+            for n in (1, 2, 3):
+                for i in range(len(words) - n + 1):
+                    term = " ".join(words[i : i + n])
+                    freq[term] = freq.get(term, 0) + 1
+                    brands.setdefault(term, set()).add(brand.lower())
+    often = {t for t in freq if freq[t] >= 5 and len(brands[t]) >= 2 and not (" " not in t and t in STOP_WORDS)}
+    kept = set()
+    for t in often:
+        w = t.split()
+        if len(w) != 2 or freq[t] * len(rows) / (freq[w[0]] * freq[w[1]]) >= 8:
+            kept.add(t)
+    covered = set()
+    for w in (t.split() for t in kept):
+        covered |= set(w) if len(w) > 1 else set()
+        covered |= {" ".join(w[:2]), " ".join(w[1:])} if len(w) == 3 else set()
+    mined = kept - covered - set(BASE_COLORS)
+    more = {t for t in freq if " " not in t and freq[t] >= 8 and len(brands[t]) >= 3} - {*BASE_COLORS, *STOP_WORDS, *MODIFIER_SEEDS} - mined
+    modifiers = (mined | {*MODIFIER_SEEDS, *COMPOSITE_SEEDS}) - {*STOP_WORDS, *BASE_COLORS}
+    order = lambda s: sorted(s, key=lambda t: (-len(t.split()), t))
+    return [("modifier", t, freq.get(t, 0)) for t in order(modifiers)] + [("color", t, freq.get(t, 0)) for t in order({*BASE_COLORS} | more)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_lexicon_is_the_plain_one(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(f"V{k % 3}", "zonk blip", "PLA") for k in range(9)]  # a bigram of three brands: its words become colors
+    rows += [("Solo", "neat product line", "PLA")] * 6 + [(f"V{k % 2}", "product", "PLA") for k in range(6)]  # a trigram of one brand covers nothing
+    rows += [(f"V{k % 2}", "Silk PLA+ tall dark stack & red", "PLA+ Silk") for k in range(5)] + [("V1", "V1 filament 95A", "TPU")] * 9
+    rows += [(f"V{rnd.randrange(4)}", " ".join(rnd.choice(["ochre", "umber", "glow", "V1", "matte", "red", "/", "fast", "x"]) for _ in range(5)), rnd.choice(["PLA", "PETG-CF", "", "umber"])) for _ in range(150)]
+    found = lexicon.mine(spark.createDataFrame(rows, "brand string, name string, type string"), "name", "brand", "type").collect()
+    assert [(r.kind, r.term, r.freq) for r in found] == mined_plainly(rows)
+    got = {(r.kind, r.term) for r in found}
+    assert {("color", "zonk"), ("modifier", "zonk blip"), ("modifier", "product"), ("modifier", "tall dark stack"), ("color", "peru")} <= got
+    assert not {t for _, t in got} & {"neat product line", "filament", "95a", "pla", "blip red"}
+
+
 def test_ranking(spark):
     o = Options()
     cols = "id string, vendor string, name string, type string, color string"
