@@ -2,28 +2,69 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, text, values
-from ..options import COLOR_WORDS, Options
+from ..options import BASE_COLORS, COLOR_SYNONYMS, Options
+from . import lexicon
 
 PARTS = ("family", "brand", "color", "modifier", "finish", "hex", "name")
-SYNONYMS = {"gray": "grey"}  # fixed value
+BASES = frozenset(BASE_COLORS)
 
 
-def decomposed(products: DataFrame, id_: str, vendor: str, name: str, material: str, hex_: str, options: Options, modifiers: tuple[str, ...] = ()) -> DataFrame:
-    """Each product once, ahead of the join: brand, family, finishes, colors with counts, modifiers, hex."""
-    words = F.filter(F.split(text.name_key(F.col(name)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    named = F.transform(F.filter(words, lambda w: w.isin(*COLOR_WORDS)), lambda w: text.replaced(w, SYNONYMS))
+def parsed(segments: list[list[str]], index: frozenset[str]) -> tuple[list[str], list[str]]:
+    """Modifiers, each once, and colors, as often as they stand: the longest term of three, two or one words first.
+
+    The words of a term are consumed.  Only base colors are colors; mined ones count as modifiers, as in the reference.
+    """
+    modifiers: dict[str, None] = {}
+    colors = []
+    for words in segments:
+        i = 0
+        while i < len(words):
+            n, term = next(((n, t) for n in (3, 2) if i + n <= len(words) and (t := " ".join(words[i : i + n])) in index), (1, words[i]))
+            if n == 1 and term in BASES and term in index:
+                colors.append(COLOR_SYNONYMS.get(term, term))
+            elif term in index or (len(term) >= 6 and term.endswith("fill")):
+                modifiers[term] = None
+            i += n
+    return list(modifiers), colors
+
+
+def name_parts(name: Column, vendor: Column, material: Column, tags: dict[str, int], index: frozenset[str]) -> Column:
+    """struct<modifiers, colors> of a name; Python scans it, once per product."""
+    keywords = tuple(tags)
+
+    @F.pandas_udf("modifiers array<string>, colors array<string>")
+    def parts(names: pd.Series, vendors: pd.Series, materials: pd.Series) -> pd.DataFrame:
+        rows = [parsed(text.residual(n, v, m, keywords), index) for n, v, m in zip(names, vendors, materials, strict=True)]
+        return pd.DataFrame({"modifiers": pd.Series([r[0] for r in rows], dtype="object"), "colors": pd.Series([r[1] for r in rows], dtype="object")})
+
+    return parts(name, vendor, material)
+
+
+def decomposed(
+    products: DataFrame, id_: str, vendor: str, name: str, material: str, hex_: str, options: Options, index: frozenset[str] | None = None,
+    profile: Column | None = None, hexes: Column | None = None, tag_words: Column | None = None,
+) -> DataFrame:
+    """Each product once, ahead of the join: brand, family, finishes, colors with counts, modifiers, hex, color profile, hexes and arity.
+
+    ``index`` holds the terms of a mined lexicon (``lexicon.index``), else the seeds; ``profile`` and ``hexes`` (how many)
+    are for catalogs with multiple colors, ``tag_words`` for one that has finishes as words beside the name.
+    """
+    index = lexicon.index() if index is None else index
+    products = products.withColumn("_parts", name_parts(F.col(name), F.col(vendor), F.col(material), options.finish_tags, index))
+    named = F.col("_parts")["colors"]
     found = F.map_from_entries(F.transform(F.array_distinct(named), lambda w: F.struct(w, F.size(F.filter(named, lambda x: x == w)))))
-    key = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    mods = F.filter(F.array(*(F.when(F.contains(key, F.lit(f" {m} ")), F.lit(m)) for m in modifiers)) if modifiers else F.array().cast("array<string>"), lambda m: m.isNotNull())
-    fill = F.filter(words, lambda w: (F.char_length(w) >= 6) & w.endswith("fill"))
+    hexes = F.when(F.coalesce(F.col(hex_), F.lit("")) != "", 1).otherwise(0) if hexes is None else hexes
+    kind = F.col(material) if tag_words is None else F.concat_ws(" ", F.col(material), tag_words)
     return products.select(
         F.col(id_).alias("id"), text.vendor_key(F.col(vendor), options.vendor_aliases).alias("brand"), text.name_key(F.col(name)).alias("name"),
-        text.material_family(F.col(material), options.finish_tags).alias("family"), text.finish_ids(F.col(name), F.col(material), options.finish_tags).alias("finishes"),
-        found.alias("colors"), F.array_distinct(F.concat(mods, fill)).alias("modifiers"), F.col(hex_).alias("hex"),
+        text.material_family(F.col(material), options.finish_tags).alias("family"), text.finish_ids(F.col(name), kind, options.finish_tags).alias("finishes"),
+        found.alias("colors"), F.col("_parts")["modifiers"].alias("modifiers"), F.col(hex_).alias("hex"),
+        (F.lit("single") if profile is None else profile).alias("profile"), hexes.alias("hexes"), color.arity(hexes, F.size(named)).alias("arity"),
     )
 
 
@@ -34,8 +75,8 @@ def scored(left: DataFrame, right: DataFrame, with_names: bool = False) -> DataF
     ``with_names`` adds the similarity of the names, which only Python computes.
     """
     a, b = (df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns)) for p, df in (("a", left), ("b", right)))
-    n = lambda m: F.size(F.map_keys(F.col(m)))
-    gates = (F.col("a_brand") == F.col("b_brand")) & text.families_fit(F.col("a_family"), F.col("b_family")) & ((n("a_colors") >= 2) == (n("b_colors") >= 2))
+    profiles = color.profiles_fit_softly(*(F.col(f"{p}_{c}") for c in ("profile", "hexes", "arity") for p in "ab"))
+    gates = (F.col("a_brand") == F.col("b_brand")) & text.families_fit(F.col("a_family"), F.col("b_family")) & profiles
     rows = a.join(b, gates)
     half = F.when(F.contains("a_family", F.col("b_family")) | F.contains("b_family", F.col("a_family")), 0.5).otherwise(0.0)
     parts = {

@@ -571,13 +571,15 @@ def mined_lexicon(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _decomposed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    left = fuzzy.decomposed(view(spark, d, "left_product"), "id", "vendor", "name", "material", "color_hex", OPTIONS)
-    return left, fuzzy.decomposed(view(spark, d, "right_product"), "id", "vendor", "name", "type", "color", OPTIONS)
+    right = view(spark, d, "right_product")
+    terms = lexicon.index(lexicon.mine(right, "name", "vendor", "type"))
+    left = fuzzy.decomposed(view(spark, d, "left_product"), "id", "vendor", "name", "material", "color_hex", OPTIONS, terms)
+    return left, fuzzy.decomposed(right, "id", "vendor", "name", "type", "color", OPTIONS, terms)
 
 
 @query()
 def fuzzy_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Best and alternate reference products of each left one."""
+    """Best and alternate reference products of each left one."""
     return fuzzy.ranked(fuzzy.scored(*_decomposed(spark, d)), OPTIONS)
 
 

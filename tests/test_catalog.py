@@ -247,6 +247,27 @@ def test_ranking(spark):
     assert fuzzy.suggestions(d(mine.filter("id = '1'")), d(ref)).first().id in ("a", "b", "d")
 
 
+def test_names_are_decomposed():
+    tags = tuple(FINISH_TAGS)
+    parse = lambda name, vendor="Acme", material="PLA", terms=lexicon.index(): fuzzy.parsed(text.residual(name, vendor, material, tags), terms)
+    assert parse("Acme Temperature Change Purple to Red PLA Silk") == (["temperature change"], ["purple", "red"])
+    assert parse("Dual Color Orchid / Peru & Orchid") == (["dual color"], ["orchid", "peru", "orchid"])
+    assert parse("Dual & Color 95A rockfill fill") == (["dual", "rockfill"], [])  # no term across a separator
+    assert parse("Gray Navy Violet", "Navy Works") == ([], ["grey", "purple"])  # a word of the vendor is no color
+    assert parse("tall dark stack color", terms=frozenset(("tall dark stack", "dark stack color", "color"))) == (["tall dark stack", "color"], [])  # words are consumed
+
+
+def test_scores_see_colors_and_modifiers(spark):
+    cols = "id string, vendor string, name string, type string, color string"
+    mine = spark.createDataFrame([("1", "acme", "Turquoise Marble", "PLA", None), ("2", "acme", "Orchid & Peru", "PLA", None)], cols)
+    ref = spark.createDataFrame([("a", "Acme", "Turquoise Marble", "PLA", None), ("b", "Acme", "Orchid Neon", "PLA", None), ("c", "Acme", "Peru/Orchid", "PLA", None), ("d", "Acme", "Plain", "PLA", None)], cols)
+    d = lambda f: fuzzy.decomposed(f, "id", "vendor", "name", "type", "color", Options())
+    scores = {(r.left_id, r.right_id): r.score for r in fuzzy.scored(d(mine), d(ref)).collect()}
+    assert scores == {("1", "a"): 0.9, ("1", "b"): 0.35, ("1", "d"): 0.55, ("2", "c"): 0.825}
+    arranged = lambda f, how: fuzzy.decomposed(f, "id", "vendor", "name", "type", "color", Options(), profile=F.lit(how), hexes=F.lit(2))
+    assert fuzzy.scored(arranged(mine, "gradient"), arranged(ref, "coextruded")).count() == 0 and fuzzy.scored(arranged(mine, "gradient"), arranged(ref, "gradient")).count() == 8
+
+
 def test_plan_is_preview(spark):
     from lakeledger.queries import _plan
 
