@@ -662,6 +662,15 @@ def state_dump(spark: SparkSession, d: str) -> DataFrame:
     return state.dump_lines(view(spark, d, "left_product"), view(spark, d, "left_item")).filter("section = 'product'").select("id", "section", "line")
 
 
+@query("""select cast(id as varchar) as id, 'product' as section, concat_ws(' | ', coalesce(vendor, ''), coalesce(name, ''), coalesce(material, '')) as line from left_product
+union all select cast(id as varchar), 'item', concat_ws(' | ', coalesce(cast(product_id as varchar), ''), coalesce(cast(remaining_weight as varchar), ''), coalesce(location, '')) from left_item
+union all select id, 'right_product', concat_ws(' | ', coalesce(vendor, ''), coalesce(name, ''), coalesce(type, ''), coalesce(color, ''), coalesce(cast(tare as varchar), ''), coalesce(parent_id, '')) from right_product
+union all select id, 'right_item', concat_ws(' | ', coalesce(product_id, ''), coalesce(cast(total_weight as varchar), ''), coalesce(cast(retired as varchar), '')) from right_item""", "left_product", "left_item", "right_product", "right_item")
+def state_dump_all(spark: SparkSession, d: str) -> DataFrame:
+    """IO20, H25: the state of both sides as lines of text, four sections in order."""
+    return state.dump_lines(*(view(spark, d, v) for v in ("left_product", "left_item", "right_product", "right_item"))).select("id", "section", "line")
+
+
 @query("""t as (select * from (values ('1.2.3', '1.2.2', true, true), ('1.2', '1.2.0', false, true), ('v2.0.0', '10.0.0', false, false), ('x', '1.0.0', false, true)) v(a, b, newer, enough)) select * from t""".replace("t as (", "with t as (", 1))
 def versions(spark: SparkSession, d: str) -> DataFrame:
     """Versions compared."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -116,11 +117,19 @@ def import_state(spark: SparkSession, path: str, mapping: DataFrame, conflicts:
     )
 
 
-def dump_lines(products: DataFrame, items: DataFrame) -> DataFrame:
-    """State as text, one line per entity, sorted by section and id."""
+def dump_lines(products: DataFrame, items: DataFrame, right_products: DataFrame | None = None, right_items: DataFrame | None = None) -> DataFrame:
+    """State as text, one line per entity, sorted by section and id: (section, id, line).
+
+    The sections are left products and items, then those of the right side where it is given.
+    """
     line = lambda *cs: F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cs))
-    rows = products.select(F.lit("product").alias("section"), F.col("id").cast("string").alias("id"), line("vendor", "name", "material").alias("line"))
-    return rows.unionByName(items.select(F.lit("item").alias("section"), F.col("id").cast("string").alias("id"), line("product_id", "remaining_weight", "location").alias("line")))
+    parts = [
+        ("product", products, ("vendor", "name", "material")), ("item", items, ("product_id", "remaining_weight", "location")),
+        ("right_product", right_products, ("vendor", "name", "type", "color", "tare", "parent_id")), ("right_item", right_items, ("product_id", "total_weight", "retired")),
+    ]
+    rows = [df.select(F.lit(k).alias("_at"), F.lit(section).alias("section"), F.col("id").cast("string").alias("id"), line(*cs).alias("line")) for k, (section, df, cs) in enumerate(parts) if df is not None]
+    every = functools.reduce(DataFrame.unionByName, rows)
+    return every.orderBy("_at", F.col("id").try_cast("long"), "id").drop("_at")
 
 
 def merge_settings(old: Column, new: Column) -> Column:

@@ -312,6 +312,17 @@ def test_export_and_import(spark, tmp_path):
     assert [g.count() for g in again] == [2, 1, 1]
 
 
+def test_dump_has_four_sorted_sections(spark):
+    left = spark.createDataFrame([(10, "v", "n", "m"), (9, "v", None, "m")], "id long, vendor string, name string, material string")
+    items = spark.createDataFrame([(2, 10, 5.0, "a"), (1, 9, None, "b")], "id long, product_id long, remaining_weight double, location string")
+    right = spark.createDataFrame([("R2", "v", "n", "t", None, 1.5, None), ("R1", "v", "n", "t", "#f00", None, "R2")], "id string, vendor string, name string, type string, color string, tare double, parent_id string")
+    stock = spark.createDataFrame([("S2", "R1", 7.0, False), ("S1", "R2", 8.0, True)], "id string, product_id string, total_weight double, retired boolean")
+    lines = [(r.section, r.id, r.line) for r in state.dump_lines(left, items, right, stock).collect()]
+    assert [x[:2] for x in lines] == [("product", "9"), ("product", "10"), ("item", "1"), ("item", "2"), ("right_product", "R1"), ("right_product", "R2"), ("right_item", "S1"), ("right_item", "S2")]
+    assert lines[2][2] == "9 |  | b" and lines[4][2] == "v | n | t | #f00 |  | R2" and lines[6][2] == "R2 | 8.0 | true"
+    assert state.dump_lines(left, items).count() == 4
+
+
 def test_settings_maps(spark):
     old = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
     row = spark.range(1).select(state.merge_settings(old, F.create_map(F.lit("b"), F.lit("3"))).alias("m"), state.without_keys(old, ["a"]).alias("w")).first()
