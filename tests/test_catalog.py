@@ -17,6 +17,7 @@ from lakeledger.operators import changes, conflicts, fuzzy, lexicon, matching, r
 from lakeledger.options import BASE_COLORS, COMPOSITE_SEEDS, FINISH_TAGS, MODIFIER_SEEDS, STOP_WORDS, Options, field_map, parse_pairs, parse_words
 from lakeledger.plans import decisions, import_plan, reports, resolve
 from lakeledger.sources import archive, reference, state
+from lakeledger.sources.views import with_views
 from lakeledger.streaming import runner
 
 from .conftest import SF_DIR
@@ -181,6 +182,23 @@ def test_queue_keeps_ids(spark):
     assert conflicts.queue(c.unionByName(new, allowMissingColumns=True), found).count() == 0
 
 
+def test_all_items_are_queued(spark, db):
+    """Every item's key without an open conflict, and ids without gaps after the last one."""
+    keys = """f as (select distinct id - id % 2 as left_id from left_item) select left_id from f where not exists
+    (select 1 from conflict c where c.resolved_at is null and c.left_id = f.left_id and c.field_name = 'weight' and c.conflict_type = 'field' and c.entity_type = 'item')"""
+    expected = sorted(r[0] for r in db.execute(with_views(keys, "conflict", "left_item")).fetchall())
+    last = db.execute(with_views("select max(id) from conflict", "conflict")).fetchone()[0]
+    rows = queries.QUERIES["queued_conflicts_all"](spark, SF_DIR).collect()
+    assert sorted(r.left_id for r in rows) == expected and sorted(r.id for r in rows) == list(range(last + 1, last + 1 + len(expected)))
+    assert {(r.entity_type, r.field_name, r.conflict_type) for r in rows} == {("item", "weight", "field")}
+
+
+def test_all_identities_are_pinned(spark, db):
+    expected = db.execute(with_views("select left_id, right_id from product_mapping where right_id in (select id from right_product)", "product_mapping", "right_product")).fetchall()
+    rows = queries.QUERIES["fuzzy_matches_with_names"](spark, SF_DIR).filter("role = 'best' and score = 1.0").collect()
+    assert {(r.left_id, r.right_id) for r in rows} >= set(expected)
+
+
 def test_lexicon(spark):
     names = [("Acme", "dual color red & blue"), ("Zed", "dual color green"), ("Acme", "dual color x1 42"), ("Zed", "dual color / shiny"), ("Acme", "dual color pink")] + [("B", f"other{k} thing{k}") for k in range(60)]
     frame = spark.createDataFrame(names, "brand string, name string")
