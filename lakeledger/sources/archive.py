@@ -8,7 +8,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color
@@ -17,24 +17,100 @@ KINDS = {"brands": "brand", "materials": "material", "material-packages": "packa
 SCHEMA = "kind string, folder string, file string, fields map<string,string>"
 
 
+ENTRY = re.compile(r"""^(?:'([^']+)'|"([^"]+)"|([A-Za-z_][\w-]*))\s*:(?:\s+(.*))?$""")
+
+
 def flat_yaml(text: str) -> dict[str, str] | None:
-    """Top-level scalars of a document, lists of scalars comma-joined; None for what is not one."""
+    """Scalars of a document under dotted keys, lists of scalars comma-joined, maps in lists by their place; None for what is not one."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#") and x.strip() not in ("---", "...")]
     found: dict[str, str] = {}
-    last = None
-    for line in text.splitlines():
-        if not line.strip() or line.lstrip().startswith("#") or line.strip() == "---":
+    try:
+        return found if not lines or _read(lines, 0, lines[0][0], "", found) == len(lines) else None
+    except ValueError:
+        return None
+
+
+def _read(lines: list[tuple[int, str]], i: int, indent: int, path: str, found: dict[str, str]) -> int:
+    """Reads the map or list at ``indent`` from line ``i`` on; the first line after it."""
+    listed: list[str] = []
+    n = 0
+    in_list = lines[i][1] == "-" or lines[i][1].startswith("- ")
+    while i < len(lines) and lines[i][0] == indent and (lines[i][1] == "-" or lines[i][1].startswith("- ")) == in_list:
+        text = lines[i][1]
+        if in_list:
+            body = text[1:].lstrip()
+            if not body:
+                if i + 1 < len(lines) and lines[i + 1][0] > indent:
+                    i = _read(lines, i + 1, lines[i + 1][0], f"{path}.{n}", found)
+                else:
+                    i += 1
+            elif ENTRY.match(body):
+                lines[i] = (indent + len(text) - len(body), body)
+                i = _read(lines, i, lines[i][0], f"{path}.{n}", found)
+            else:
+                here: dict[str, str] = {}
+                _value(body, "", here)
+                listed += [here[""]] if "" in here else []
+                found.update({f"{path}.{n}{k}": v for k, v in here.items() if k})
+                i += 1
+            n += 1
+            continue
+        entry = ENTRY.match(text)
+        if not entry:
+            raise ValueError(text)
+        key, value = f"{path}.{entry[1] or entry[2] or entry[3]}".lstrip("."), _plain(entry[4] or "")
+        i += 1
+        deeper = i < len(lines) and lines[i][0] > indent
+        if not value and i < len(lines) and (deeper or (lines[i][0] == indent and lines[i][1].startswith("-"))):
+            i = _read(lines, i, lines[i][0], key, found)
             continue
-        entry = re.match(r"^([A-Za-z_][\w-]*):\s*(.*)$", line)
-        item = re.match(r"^\s*-\s+(.*)$", line)
-        if entry:
-            last = entry[1]
-            value = entry[2].strip()
-            found[last] = ",".join(x.strip().strip("'\"") for x in value[1:-1].split(",")) if value.startswith("[") else value.strip("'\"")
-        elif item and last is not None:
-            found[last] = ",".join(x for x in (found[last], item[1].strip().strip("'\"")) if x)
-        elif not line.startswith(" "):
-            return None
-    return found
+        more = []
+        while i < len(lines) and lines[i][0] > indent:  # the rest of a text over several lines
+            more.append(lines[i][1])
+            i += 1
+        if re.match(r"^[|>][+-]?\d?$", value):
+            found[key] = ("\n" if value[0] == "|" else " ").join(more)
+        else:
+            _value(" ".join([value, *more]), key, found)
+    if in_list and (listed or not n):
+        found[path] = ",".join(listed)
+    if i < len(lines) and lines[i][0] > indent:
+        raise ValueError(lines[i][1])
+    return i
+
+
+def _plain(value: str) -> str:
+    """Without a comment behind it."""
+    quoted = re.match(r"""^('(?:[^']|'')*'|"(?:[^"\\]|\\.)*")\s*(#.*)?$""", value)
+    return quoted[1] if quoted else re.sub(r"(^|\s)#.*$", "", value).strip()
+
+
+def _value(value: str, key: str, found: dict[str, str]) -> None:
+    """A scalar, or a list or map in brackets."""
+    value = value.strip()
+    if value[:1] in ("[", "{"):
+        if value[-1:] != {"[": "]", "{": "}"}[value[0]]:
+            raise ValueError(value)
+        parts = [x.strip() for x in re.findall(r"""(?:'[^']*'|"[^"]*"|\[[^\]]*\]|\{[^}]*\}|[^,])+""", value[1:-1]) if x.strip()]
+        listed = []
+        for n, part in enumerate(parts):
+            entry = ENTRY.match(part) if value[0] == "{" else None
+            if value[0] == "{" and not entry:
+                raise ValueError(part)
+            if entry:
+                _value(entry[4] or "", f"{key}.{entry[1] or entry[2] or entry[3]}", found)
+            elif part[0] in "[{":
+                _value(part, f"{key}.{n}", found)
+            else:
+                listed.append(part.strip("'\""))
+        if value[0] == "[" and (listed or not parts):
+            found[key] = ",".join(listed)
+    elif value[:1] == "'" and value[-1:] == "'" and len(value) > 1:
+        found[key] = value[1:-1].replace("''", "'")
+    elif value[:1] == '"' and value[-1:] == '"' and len(value) > 1:
+        found[key] = value[1:-1].replace('\\"', '"')
+    elif value not in ("", "~", "null"):
+        found[key] = value
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -59,12 +135,56 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, SCHEMA)
 
 
+#: Columns of a material -> number under ``properties``.
+NUMBERS = {
+    "nozzle_temp_min": "min_print_temperature", "nozzle_temp_max": "max_print_temperature", "bed_temp_min": "min_bed_temperature", "bed_temp_max": "max_bed_temperature",
+    "chamber_temp_min": "min_chamber_temperature", "chamber_temp_max": "max_chamber_temperature", "preheat_temp": "preheat_temperature", "drying_temp": "drying_temperature",
+    "drying_time": "drying_time", "hardness_shore_d": "hardness_shore_d", "hardness_shore_a": "hardness_shore_a", "heatbreak_temp": "heatbreak_temperature",
+    "nozzle_diameter_min": "min_nozzle_diameter", "cure_wavelength": "cure_wavelength",
+}
+
+
+def _get(key: str) -> Column:
+    return F.try_element_at("fields", F.lit(key))
+
+
+def _number(key: str) -> Column:
+    return _get(key).try_cast("double")
+
+
+def _filaments(docs: DataFrame, kind: str) -> DataFrame:
+    """Documents of the filament class; an unknown class counts as filament."""
+    return docs.filter(F.col("kind") == kind).filter(F.coalesce(_get("class"), F.lit("FFF")) == "FFF")
+
+
 def materials(docs: DataFrame) -> DataFrame:
-    """Materials of the filament class with their brand's name; an unknown class counts as filament."""
-    get = lambda k: F.try_element_at("fields", F.lit(k))
-    brands = docs.filter("kind = 'brand'").select(get("slug").alias("folder"), get("name").alias("brand"))
-    rows = docs.filter("kind = 'material'").filter(F.coalesce(get("class"), F.lit("FFF")) == "FFF")
-    return rows.join(brands, "folder", "left").select(
-        get("uuid").alias("uuid"), get("slug").alias("slug"), "brand", get("name").alias("name"), get("type").alias("type"),
-        color.rgba_to_hex(get("primary_color")).alias("color"), F.filter(F.split(F.coalesce(get("tags"), F.lit("")), ","), lambda t: t != "").alias("tags"), get("density").try_cast("double").alias("density"),
+    """Materials of the filament class with their brand's name, or its slug where the brand is not there."""
+    brands = docs.filter("kind = 'brand'").groupBy(_get("slug").alias("brand_slug")).agg(F.max_by(_get("name"), "file").alias("_brand"))
+    rows = _filaments(docs, "material").withColumn("brand_slug", F.coalesce(_get("brand.slug"), "folder"))
+    place = lambda e: F.struct(F.split(e["key"], r"\.")[1].cast("int").alias("at"), color.rgba_to_hex(e["value"]).alias("hex"))
+    secondary = F.array_sort(F.transform(F.filter(F.map_entries("fields"), lambda e: e["key"].rlike(r"^secondary_colors\.\d+\.color_rgba$")), place))
+    chamber = F.coalesce(F.nullif(_number("properties.min_chamber_temperature"), F.lit(0.0)), _number("properties.chamber_temperature"))
+    return rows.join(brands, "brand_slug", "left").select(
+        _get("uuid").alias("uuid"), _get("slug").alias("slug"), F.coalesce("_brand", "brand_slug").alias("brand"), _get("name").alias("name"), _get("type").alias("type"),
+        color.rgba_to_hex(F.coalesce(_get("primary_color.color_rgba"), _get("primary_color"))).alias("color"), F.filter(F.split(F.coalesce(_get("tags"), F.lit("")), ","), lambda t: t != "").alias("tags"),
+        F.coalesce(_number("properties.density"), _number("density")).alias("density"), "brand_slug", _get("abbreviation").alias("abbreviation"),
+        F.filter(F.transform(secondary, lambda s: s["hex"]), lambda h: h.isNotNull()).alias("secondary"), chamber.alias("chamber_temp"), *(_number(f"properties.{k}").alias(c) for c, k in NUMBERS.items()),
+        _number("transmission_distance").alias("transmission_distance"), _get("photos.0.url").alias("photo_url"), _get("url").alias("product_url"),
     )
+
+
+def packages(docs: DataFrame) -> DataFrame:
+    """Packages of the filament class that name a material, to be joined by its slug; ``ord`` is their order."""
+    return _filaments(docs, "package").select(
+        _get("material.slug").alias("material"), F.concat_ws("/", "folder", "file").alias("ord"), _get("slug").alias("slug"), _get("uuid").alias("uuid"), _get("gtin").alias("gtin"),
+        _get("brand_specific_id").alias("brand_specific_id"), _get("url").alias("url"), _number("nominal_netto_full_weight").alias("net"), _number("filament_diameter").alias("diameter"),
+        _number("filament_diameter_tolerance").alias("tolerance"), _get("container.slug").alias("container"),
+    ).filter("material is not null")
+
+
+def containers(docs: DataFrame) -> DataFrame:
+    """Containers, one row per slug: the last document counts."""
+    sizes = [_number(k).alias(k) for k in ("outer_diameter", "inner_diameter", "hole_diameter", "width")]
+    row = F.struct(_get("uuid").alias("uuid"), _get("name").alias("name"), _get("class").alias("class"), _get("brand.slug").alias("brand"), _number("empty_weight").alias("tare"), *sizes)
+    rows = docs.filter("kind = 'container'").filter(_get("slug").isNotNull())
+    return rows.groupBy(_get("slug").alias("slug")).agg(F.max_by(row, F.concat_ws("/", "folder", "file")).alias("r")).select("slug", "r.*")

@@ -358,6 +358,29 @@ def test_archive(spark, tmp_path):
     assert [(r.uuid, r.brand, r.name, r.color, r.tags, r.density) for r in rows] == [("u1", "Acme", "Red", "FF0000", ["silk", "matte"], 1.24)]
 
 
+def test_nested_archive(spark, tmp_path):
+    files = {
+        "data/brands/acme.yaml": "slug: acme\nname: Acme\n",
+        "data/materials/acme/x.yaml": "uuid: u1\nslug: x\nname: 'Red & Blue'  # shown\nbrand:\n  slug: acme\nclass: FFF\nprimary_color:\n  color_rgba: '#ff0000ff'\nsecondary_colors:\n- color_rgba: '#00ff00ff'\n  name: g\n- color_rgba: '#0000ffff'\nproperties:\n  density: 1.24\n  min_print_temperature: 200\n  chamber_temperature: 40\ntags: [silk, matte]\nphotos:\n  - url: http://p/1\n",
+        "data/materials/none/y.yaml": "slug: y\nbrand: {slug: gone}\nsecondary_colors: []\n",
+        "data/material-packages/acme/p.yaml": "slug: p\nmaterial:\n  slug: x\ncontainer: {slug: c}\nnominal_netto_full_weight: 1000\n",
+        "data/material-packages/acme/q.yaml": "slug: q\nclass: SLA\nmaterial:\n  slug: x\n",
+        "data/material-containers/c.yaml": "slug: c\nbrand:\n  slug: acme\nempty_weight: 250\n",
+    }
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
+        for name, body in files.items():
+            info = tarfile.TarInfo("root/" + name)
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body.encode()))
+    docs = archive.documents(spark, str(tmp_path / "a.tar.gz"))
+    rows = {r.slug: r for r in archive.materials(docs).collect()}
+    x = rows["x"]
+    assert (x.brand, x.name, x.color, x.secondary, x.density, x.nozzle_temp_min, x.chamber_temp, x.tags, x.photo_url) == ("Acme", "Red & Blue", "FF0000", ["00FF00", "0000FF"], 1.24, 200.0, 40.0, ["silk", "matte"], "http://p/1")
+    assert (rows["y"].brand, rows["y"].color, rows["y"].secondary) == ("gone", None, [])
+    found = fuzzy.package_weights(archive.materials(docs), archive.packages(docs), archive.containers(docs)).collect()
+    assert {tuple(r) for r in found} == {("x", 1000.0, 250.0), ("y", None, None)}
+
+
 def test_streaming_runner(spark, tmp_path):
     schema = "entity_id string, weight double, seen_at timestamp"
     at = lambda h: datetime.datetime(2024, 1, 1, h)
