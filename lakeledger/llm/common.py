@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a task; bounds a Python worker's memory whatever the batch.
 PIECE_BYTES = 3 << 20
@@ -20,19 +23,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (in tests) a new one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (local sessions, as in tests) a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lakeledger-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Where each table of ``written`` lies, while somebody holds it.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` after their last use, when what was made of them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop(table))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(batch: pa.RecordBatch, sizes: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -52,8 +71,27 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         yield from cut(batch, np.nan_to_num(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), nan=0), limit)
 
 
-def null_safe_id(name: str = "doc_id"):
+#: Stands for a null id inside; no id that tables hold is as small.
+NO_ID = -(2**63)
+
+
+def null_safe_id(name: str = "doc_id") -> Column:
     """An id for ordering and joining: null counts as the smallest."""
-    from pyspark.sql import functions as F
+    return F.coalesce(F.col(name), F.lit(NO_ID).cast("long"))
+
+
+def given_id(name: str) -> Column:
+    """The id as it was before ``null_safe_id``."""
+    return F.nullif(F.col(name), F.lit(NO_ID).cast("long"))
+
+
+def with_first_id(rows: DataFrame, keys: list[str], shards: int = 64) -> DataFrame:
+    """``rows`` (id, ...) with ``first_id``, the smallest id of equal ``keys``.
 
-    return F.coalesce(F.col(name), F.lit(-(2**63)).cast("long"))
+    The rows of a key are dealt out by their id, and its shards meet as one row each, so a key with
+    a third of all rows is no task's alone.
+    """
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    part = dealt.groupBy(*keys, "shard").agg(F.min("id").alias("first_id"))
+    whole = part.groupBy(*keys).agg(F.min("first_id").alias("first_id"))
+    return dealt.join(part.select(*keys, "shard").join(whole, keys), [*keys, "shard"]).drop("shard")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -17,12 +17,15 @@ def classes(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    labels = written(labels, "labels")
+    labels = written(labels.withColumn("was", F.lit(None).cast("long")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "node")
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        far = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = written(hooked.join(far, "label").select("node", "was", F.least("label", "next").alias("label")), "labels")
-        labels = new.select("node", "label")
+        now = labels.select("node", "label")
+        near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "node")
+        hooked = now.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+        far = now.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        new = written(hooked.join(far, "label").select("node", F.least("label", "next").alias("label"), "was"), "labels")
+        discard(labels)
+        labels = new
         if new.filter("was <> label").isEmpty():
-            return labels
+            discard(both)
+            return new

@@ -8,34 +8,35 @@ similarity, so bands of registers become buckets.  In each bucket every document
 against its lead, the one that shares most places in buckets: pairs that agree on at least 0.8 of their distinct shingles are
 links.  Where a lead's documents still hold several classes, two of them can only be a link if they
 share one of their first shingles in an order that both use: those that the lead lacks first, then
-by hash (as many first ones as a partner may lack at 0.8, and one).  So documents meet under lead,
-shingle and size, only those of different classes, once, and only where their common first shingles
-and what follows can be enough.  No pair of a bucket that could be a link is left out; near misses, which all
-have changed shingles of their own first, hardly meet.
+by hash (as many first ones as a partner may lack at 0.8, and one).  So documents of different
+classes meet under lead and shingle, as ids with a place and 512 parity bits of what sets each apart
+from the lead: places and bits both bound what two documents can share, and pairs that cannot be
+links never leave the join.  No pair of a bucket that could be a link is left out; near misses,
+which all have changed shingles of their own first, hardly meet.
 
 Results: documents of equal word sequences are copies and share a class whatever their length;
 so are all documents without a word (null or empty text).  A text of one to four words is one
-shingle.  A null id counts as the smallest.  Rows that share an id are one document.  The class
-id is the smallest id of the class.
+shingle.  A null id counts as the smallest and comes back as null, in either column.  Rows that
+share an id are one document and give one row.  The class id is the smallest id of the class.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe_id, pieces, written
+from .common import discard, given_id, null_safe_id, pieces, with_first_id, written
 from .graph import classes
-from .words import U64, Words, mix, whole_hash, windows, words
+from .words import SALT, U64, Words, mix, whole_hash, windows, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no bucket with probability (1 - 0.8 ** 5) ** 25 = 5e-5
-SIZE_STEP = 1.05  # sizes within this factor share a bin
+BIT_WORDS = 8  # 64 parity bits each
 
 
 def shingles(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,12 +92,23 @@ def sketch(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(whole_hash(w).view(np.int64)), pa.array(whole_hash(w, 1).view(np.int64)), bands], names=["id", "c1", "c2", "bands"])
 
 
-def compare(left: pa.Array, right: pa.Array, similarity: float) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
-    """Row by row: similarity of two texts' sets of distinct shingles (0 where both are empty), and size and
-    first shingles of the right one, those that the left one lacks before the others, each by hash."""
+@dataclass(frozen=True)
+class Compared:
+    """Row by row, two texts' sets of distinct shingles: similarity (0 where both are empty), and of the
+    right one its size, its first shingles (those that the left one lacks before the others, each by
+    hash) and the parity bits of all shingles that only one of the two has."""
+
+    similarity: np.ndarray
+    size: np.ndarray
+    first: pa.ListArray
+    bits: np.ndarray
+
+
+def compare(left: pa.Array, right: pa.Array, similarity: float) -> Compared:
     (h1, t1, _), (h2, t2, _) = shingles(words(left)), shingles(words(right))
     n = len(left)
-    common = np.isin(mix(h2 ^ mix(t2.astype(U64))), mix(h1 ^ mix(t1.astype(U64))))
+    of1, of2 = mix(h1 ^ mix(t1.astype(U64))), mix(h2 ^ mix(t2.astype(U64)))
+    common, missing = np.isin(of2, of1), ~np.isin(of1, of2)
     size = np.bincount(t2, minlength=n)
     both = np.bincount(t2[common], minlength=n)
     either = np.bincount(t1, minlength=n) + size - both
@@ -105,49 +117,56 @@ def compare(left: pa.Array, right: pa.Array, similarity: float) -> tuple[np.ndar
     n_first = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
     kept = np.arange(len(order)) - first[t2[order]] < n_first[t2[order]]
     bounds = np.concatenate([[0], np.cumsum(n_first)]).astype(np.int32)
-    return both / np.maximum(either, 1), size, pa.ListArray.from_arrays(pa.array(bounds), pa.array(h2[order][kept].view(np.int64)))
+    bits = np.zeros((n, BIT_WORDS), U64)
+    for text, h in ((t2[~common], h2[~common]), (t1[missing], mix(h1[missing] + SALT))):
+        slot = h % U64(64 * BIT_WORDS)
+        np.bitwise_xor.at(bits, (text, (slot >> U64(6)).astype(np.int64)), U64(1) << (slot & U64(63)))
+    return Compared(both / np.maximum(either, 1), size, pa.ListArray.from_arrays(pa.array(bounds), pa.array(h2[order][kept].view(np.int64))), bits.view(np.int64))
+
+
+BIT_NAMES = [f"bits{k}" for k in range(BIT_WORDS)]
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) with whether their texts are close, and size and first shingles of ``b`` as seen from ``a``."""
+    """The ``pairs`` (a, b) with whether their texts are close, and ``b`` as seen from ``a``."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
+    names = ["a", "b", "close", "n", "first", *BIT_NAMES]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             for part in pieces(iter([batch]), "other"):
-                close, size, first = compare(part.column("text"), part.column("other"), similarity)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(close >= similarity), pa.array(size), first], names=["a", "b", "close", "n", "first"])
-
-    return both.select("a", "b", "text", "other").mapInArrow(check, "a long, b long, close boolean, n long, first array<long>")
+                seen = compare(part.column("text"), part.column("other"), similarity)
+                columns = [pa.array(seen.similarity >= similarity), pa.array(seen.size), seen.first, *map(pa.array, np.ascontiguousarray(seen.bits.T))]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *columns], names=names)
 
-
-def _bin(size: Column) -> Column:
-    return F.floor(F.log(size) / math.log(SIZE_STEP))
+    schema = "a long, b long, close boolean, n long, first array<long>, " + ", ".join(f"{x} long" for x in BIT_NAMES)
+    return both.select("a", "b", "text", "other").mapInArrow(check, schema)
 
 
 def _further_pairs(compared: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     """Pairs of documents of one lead and of different classes that may still be links."""
-    named = compared.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    named = compared.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     mixed = named.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("a")
-    rows = written(named.join(written(mixed, "mixed"), "a").select("a", "b", "label", "n", "first", F.posexplode("first").alias("at", "shingle")), "first-shingles")
-    shared = rows.groupBy("a", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("a", "shingle")
-    # with ``at`` shingles behind, the largest partner that the rest is enough for
+    # with ``at`` shingles before it, the largest partner that the rest is enough for
     most = F.col("n") / similarity - F.col("at") * (1 + similarity) / similarity + 1e-6
-    rows = written(rows.join(written(shared, "shared"), ["a", "shingle"]).select("a", "shingle", "b", "label", F.col("n").cast("double").alias("n"), most.alias("most"), "first"), "meeting")
-    smaller = rows.filter("most >= n").withColumn("size_bin", _bin(F.col("n")))
-    bins = F.sequence(_bin(F.greatest(F.ceil(F.col("n") * similarity - 1e-6), F.lit(1))), _bin(F.least("n", "most")))
-    larger = rows.filter(F.col("most") >= F.ceil(F.col("n") * similarity - 1e-6)).select("a", "shingle", F.explode(bins).alias("size_bin"), F.col("b").alias("c"), F.col("label").alias("c_label"), F.col("n").alias("c_n"), F.col("most").alias("c_most"), F.col("first").alias("c_first"))
-    # a pair meets once, at the first shingle that both have there; what else they can share lies behind
-    # the first shingles of one of them
-    common = F.array_intersect("first", "c_first")
-    behind = F.greatest(F.col("n") - F.size("first"), F.col("c_n") - F.size("c_first"))
-    enough = (F.get(common, F.lit(0)) == F.col("shingle")) & (F.size(common) + behind >= (F.col("n") + F.col("c_n")) * (similarity / (1 + similarity)) - 1e-6)
-    met = smaller.join(larger, ["a", "shingle", "size_bin"]).filter("label <> c_label and n <= c_n and c_n <= most and n <= c_most").filter(enough)
-    return met.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-
-
-def group_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, class_id) for every id of ``docs``."""
+    rows = named.join(mixed, "a").select("a", "b", "label", "n", F.posexplode("first").alias("at", "shingle"), *BIT_NAMES)
+    rows = written(rows.select("a", "shingle", "b", "label", "n", most.alias("most"), *BIT_NAMES).filter(F.col("most") >= F.ceil(F.col("n") * similarity - 1e-6)), "first-shingles")
+    shared = rows.groupBy("a", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("a", "shingle")
+    meeting = written(rows.join(shared, ["a", "shingle"]), "meeting")
+    x, y = meeting.alias("x"), meeting.alias("y")
+    here = (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle"))
+    once = F.struct("x.n", "x.b") < F.struct("y.n", "y.b")
+    apart = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in BIT_NAMES), F.lit(0))
+    alike = apart <= (F.col("x.n") + F.col("y.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    enough = (F.col("x.label") != F.col("y.label")) & once & (F.col("y.n") <= F.col("x.most")) & (F.col("x.n") <= F.col("y.most")) & alike
+    met = x.join(y, here & enough).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+    pairs = written(met.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    discard(rows, meeting)
+    return pairs
+
+
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
+    """(id, class_id) for every id of ``docs``, null ids as the smallest."""
     own = docs.select(null_safe_id().alias("id"), "text")
 
     def sketch_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +174,8 @@ def group_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Da
             yield sketch(batch.column("id"), batch.column("text"))
 
     known = written(own.mapInArrow(sketch_all, "id long, c1 long, c2 long, bands array<long>"), "sketch")
-    smallest = known.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
-    members = known.select("id", "c1", "c2").join(smallest, ["c1", "c2"]).select("id", "rep")
-    reps = known.join(smallest.withColumnRenamed("rep", "id"), ["c1", "c2", "id"], "left_semi")
+    members = written(with_first_id(known.select("id", "c1", "c2"), ["c1", "c2"]).select("id", F.col("first_id").alias("rep")), "members")
+    reps = known.join(members.filter("id = rep").select("id").distinct(), "id", "left_semi")
 
     banded = reps.select("id", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -166,27 +184,34 @@ def group_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Da
     places = shared.groupBy("id").agg(F.sum("size").alias("places"))
     leads = shared.join(places, "id").groupBy("key").agg(F.min(F.struct((-F.col("places")).alias("minus"), "id")).alias("top"))
     buckets = written(shared.join(leads.select("key", F.col("top.id").alias("lead")), "key").select("id", "lead").distinct(), "buckets")
-    texts = written(own.join(buckets.select("id").distinct(), "id", "left_semi"), "texts")
-
-    # first every document against the lead of its buckets, which settles most groups
+    discard(known, shared)
     tried = buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    labels = None
-    if not tried.isEmpty():
-        compared = written(_compared(tried, texts, similarity), "compared")
-        links = compared.filter("close").select("a", "b")
-        labels = classes(links)
-        # then documents of one lead and of different classes, where they may still be links
-        pairs = written(_further_pairs(compared, labels, similarity).join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-        found = written(_compared(pairs, texts, similarity).filter("close").select("a", "b"), "links")
-        if not found.isEmpty():
-            labels = classes(links.union(found))
-    if labels is None:
+    if tried.isEmpty():
         return members.groupBy("id").agg(F.min("rep").alias("class_id"))
-    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("class_id"))
+
+    # first every document against the lead of its buckets, which settles most groups; then documents
+    # of one lead and of different classes, where they may still be links
+    texts = written(own.join(buckets.select("id").distinct(), "id", "left_semi"), "texts")
+    compared = written(_compared(tried, texts, similarity), "compared")
+    links = compared.filter("close").select("a", "b")
+    labels = classes(links)
+    pairs = _further_pairs(compared, labels, similarity)
+    found = written(_compared(pairs, texts, similarity).filter("close").select("a", "b"), "links")
+    if not found.isEmpty():
+        before, labels = labels, classes(links.union(found))
+        discard(before)
+    discard(buckets, texts, compared, pairs, found)
+    named = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("class_id"))
     return named.groupBy("id").agg(F.min("class_id").alias("class_id"))
 
 
+def group_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, class_id) for every id of ``docs``."""
+    return _classes(docs, similarity).select(given_id("id").alias("id"), given_id("class_id").alias("class_id"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class."""
-    kept = group_near_duplicates(docs).filter("id = class_id").select(F.col("id").alias("__kept"))
-    return docs.join(kept, null_safe_id() == F.col("__kept"), "left_semi")
+    """The rows of ``docs``, in its columns, whose id is the smallest of its class."""
+    kept = _classes(docs, SIMILARITY).filter("id = class_id").select(given_id("id").alias("doc_id"))
+    d, k = docs.alias("d"), kept.alias("k")
+    return d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, null_safe_id, pieces, written
-from .words import BASE, INVERSE, U64, Words, byte_view, mix, powers, whole_hash, windows, words
+from .words import Runs, U64, Words, byte_view, mix, whole_hash, windows, words
 
 WINDOW, SEED = 20, 10
 SALT = 0x5851F42D4C957F2D
@@ -212,10 +212,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
 
 def run_hashes(w: Words, a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of the words ``a:b`` of each pair; another one for another salt."""
-    h = mix(w.hashes + U64(salt)) if salt else w.hashes
-    total = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * powers(BASE, len(h)), out=total[1:])
-    return mix((total[b] - total[a]) * powers(INVERSE, len(h) + 1)[a] + (b - a).astype(U64))
+    return Runs(mix(w.hashes ^ U64(salt)) if salt else w.hashes).of(a, b - a)
 
 
 def packed(batch: pa.RecordBatch) -> pa.RecordBatch:

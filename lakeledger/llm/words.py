@@ -8,14 +8,17 @@ Python object.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Ranges of more bytes are hashed one by one by a library function instead of eight bytes a step.
+LONG_BYTES = 128
+ODD, SALT = U64(0x9E3779B97F4A7C15), U64(0x5851F42D4C957F2D)
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,12 +32,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """``base ** 0 .. base ** (n - 1)`` modulo 2**64."""
-    out = np.full(n, base, U64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out, dtype=U64)
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two values in order; nothing in it is linear, so sequences do not cancel out."""
+    return mix(a * ODD + (b ^ (b >> U64(29))))
 
 
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,11 +92,57 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``data[s:e]`` for each range, from one running polynomial sum."""
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * powers(BASE, len(data)), out=total[1:])
-    back = powers(INVERSE, len(data) + 1)
-    return mix((total[ends] - total[starts]) * back[starts] ^ (ends - starts).astype(U64))
+    """A 64-bit hash of ``data[s:e]`` for each range: eight bytes a step, each step mixed.
+
+    Ranges of up to eight bytes never collide with others of their length.
+    """
+    size = ends - starts
+    out = mix(size.astype(U64) + SALT)
+    if not len(size):
+        return out
+    two = np.zeros(len(data) + 8, np.uint16)
+    two[: len(data)] = data
+    two[:-1] |= two[1:] << 8
+    four = two.astype(np.uint32)
+    four[:-2] |= four[2:] << 16
+    eight = four.astype(U64)
+    eight[:-4] |= eight[4:] << U64(32)
+    row = np.flatnonzero((size > 0) & (size <= LONG_BYTES))
+    done = 0
+    while len(row):
+        out[row] = mix((out[row] ^ (eight[starts[row] + done] & MASKS[np.minimum(size[row] - done, 8)])) * ODD)
+        done += 8
+        row = row[size[row] > done]
+    view = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(size > LONG_BYTES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(view[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+class Runs:
+    """Hashes of runs of words, built by doubling: of 1, 2, 4 ... words from every word on."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.levels = [hashes]
+
+    def level(self, k: int) -> np.ndarray:
+        """The hash of the ``2 ** k`` words from each word on, as far as there are so many."""
+        while len(self.levels) <= k:
+            last, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(joined(last[: max(0, len(last) - step)], last[step:]))
+        return self.levels[k]
+
+    def of(self, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+        """The hash of the ``sizes`` words from each of ``starts`` on."""
+        sizes = np.broadcast_to(np.asarray(sizes, np.int64), starts.shape)
+        out = mix(sizes.astype(U64) * ODD)
+        at = starts.copy()
+        for k in range(int(sizes.max(initial=0)).bit_length()):
+            row = np.flatnonzero((sizes >> k) & 1)
+            if len(row):
+                out[row] = joined(out[row], self.level(k)[at[row]])
+                at[row] += 1 << k
+        return out
 
 
 def words(texts: pa.Array) -> Words:
@@ -106,21 +152,17 @@ def words(texts: pa.Array) -> Words:
     return Words(data, offsets, starts, ends, range_hashes(data, starts, ends), first)
 
 
-def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(w: Words, n: int, runs: Runs | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text and first word of every run of ``n`` words that lies in one text."""
     text = w.text_of()
     count = max(0, len(w.hashes) - n + 1)
-    total = np.zeros(len(w.hashes) + 1, U64)
-    np.cumsum(w.hashes * powers(BASE, len(w.hashes)), out=total[1:])
     at = np.flatnonzero(text[:count] == text[n - 1 : n - 1 + count]) if count else np.zeros(0, np.int64)
-    h = mix((total[at + n] - total[at]) * powers(INVERSE, len(w.hashes) + 1)[at])
-    return h, text[at], at
+    return (runs or Runs(w.hashes)).of(at, n), text[at], at
 
 
 def whole_hash(w: Words, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each text's whole word sequence."""
+    """A 64-bit hash of each text's whole word sequence: its words, each mixed with its place."""
+    place = np.arange(len(w.hashes), dtype=U64) - np.repeat(w.first[:-1], w.counts).astype(U64)
     total = np.zeros(len(w.hashes) + 1, U64)
-    salted = mix(w.hashes + U64(seed)) if seed else w.hashes
-    np.cumsum(salted * powers(BASE, len(w.hashes)), out=total[1:])
-    a, b = w.first[:-1], w.first[1:]
-    return mix((total[b] - total[a]) * powers(INVERSE, len(w.hashes) + 1)[a] + mix(w.counts.astype(U64)))
+    np.cumsum(mix(joined(w.hashes ^ mix(np.full(1, seed, U64)), place)), out=total[1:])
+    return mix(total[w.first[1:]] - total[w.first[:-1]] + mix(w.counts.astype(U64) + SALT))
