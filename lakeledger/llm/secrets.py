@@ -1,10 +1,15 @@
 """Secret scan: every rule in one pass of one minimised automaton.
 
-The rules are written as runs of byte sets, turned into one nondeterministic automaton, made
-deterministic by subset construction over byte classes, minimised by partition refinement and
-kept as a transition array.  Texts are scanned whole: bytes that send every state back to the
-start cut them into lanes, and all lanes of a batch step through the array together.  Only lanes
-in which the automaton accepts are then read by the exact patterns, for the spans.
+The regular expressions of all rules are compiled into one deterministic automaton over byte
+classes (``automaton.py``).  A batch of texts is one tape, cut into blocks of equal length that all
+step together; each block is entered at the start state, and entered again from where the block
+before it really ends until both runs agree, so one long token costs no more steps than many short
+ones.  The states along the tape name the rules that end at each byte.  Where a run of such bytes
+stops, a match ends; the same rule read backwards from there gives its leftmost start behind the
+match before, which for these rules is what a search from left to right finds.
+
+Lengths are not in the automaton: a rule names the least length of its last part, and a match whose
+part is shorter is dropped after it has used up its bytes.
 
 Results: a null text counts as empty; an empty text has no spans and the digest of the empty
 string; rows that repeat are scanned on their own; columns other than ``doc_id`` and ``text`` are
@@ -15,237 +20,201 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
+from .automaton import Automaton, compile_rules
 from .common import pieces
 from .words import byte_view
 
-Piece = tuple[frozenset[int], int, int | None]
-
-LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-ALNUM = LOWER + UPPER + DIGITS
 
+@dataclass(frozen=True)
+class Rule:
+    """``least`` is the least number of bytes from the first byte at which ``pattern`` has matched to the match's end.
 
-def run(chars: str, least: int = 1, most: int | None = -1) -> Piece:
-    """``least`` to ``most`` bytes out of ``chars``; ``most`` None means any number."""
-    return frozenset(chars.encode()), least, least if most == -1 else most
+    The pattern must end in a run of one byte set or in a fixed text, so that a match goes on until it cannot.
+    """
 
+    kind: str
+    pattern: str
+    least: int
 
-def literal(word: str, either_case: bool = False) -> list[Piece]:
-    return [run(c.lower() + c.upper() if either_case else c) for c in word]
 
+#: Kinds, expressions, least lengths.
+RULES = (
+    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 8),
+    Rule("access", "AKIA[A-Z0-9]+", 12),
+    Rule("hex", "[0-9a-f]+", 32),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]+", 36),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 10),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
+)
+N_BASE = 3
+#: Bytes of a block of the tape.
+BLOCK = 256
 
-def assignment() -> list[list[Piece]]:
-    keys = [literal(k, True) for k in ("password", "passwd", "secret", "token")]
-    keys.append([*literal("api", True), run("_", 0, 1), *literal("key", True)])
-    tail = [run("\"'", 0, 1), run(" ", 0, None), run(":="), run(" ", 0, None), run("\"'", 0, 1), run(ALNUM + "+/_.=-", 8, None)]
-    return [k + tail for k in keys]
 
+@dataclass(frozen=True)
+class Scanner:
+    """All rules as one automaton, and each as one that reads from its start and one that reads from its end."""
 
-#: Kind, alternatives for the automaton, exact pattern, group and length to keep.
-#: An automaton rule may be wider than its exact pattern, which keeps the states few; never narrower.
-BASE_KINDS = ("assign", "access", "hex")
-RULES: list[tuple[str, list[list[Piece]], re.Pattern, int, int]] = [
-    ("assign", assignment(), re.compile(rb"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 2, 8),
-    ("access", [[*literal("AKIA"), run(UPPER + DIGITS, 12, None)]], re.compile(rb"AKIA[A-Z0-9]+"), 0, 16),
-    ("hex", [[run(DIGITS + "abcdef", 32, None)]], re.compile(rb"[0-9a-f]+"), 0, 32),
-    ("github", [[*literal("gh"), run("pousr"), run("_"), run(ALNUM, 6, None)]], re.compile(rb"gh[pousr]_[A-Za-z0-9]+"), 0, 40),
-    ("slack", [[*literal("xox"), run("abprs"), run("-"), run(ALNUM + "-", 6, None)]], re.compile(rb"xox[abprs]-[A-Za-z0-9-]+"), 0, 15),
-    ("pem", [literal("PRIVATE KEY-----")], re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 0),
-]
+    every: Automaton
+    forwards: list[Automaton]
+    backwards: list[Automaton]
 
 
-@dataclass(frozen=True)
-class Automaton:
-    """``table[state * 256 + byte]`` is the next state; state 0 is the start, ``accept`` absorbs."""
-
-    table: np.ndarray
-    accept: int
-    cut: np.ndarray  # 256 booleans: bytes after which every state but ``accept`` is the start
-
-    @property
-    def n_states(self) -> int:
-        return len(self.table) // 256
-
-
-def _nfa(rules: list[list[Piece]]) -> tuple[list[list[tuple[frozenset[int], int]]], list[list[int]], set[int]]:
-    """Byte edges and empty edges of each state, and the final states; state 0 starts every rule."""
-    moves: list[list[tuple[frozenset[int], int]]] = [[]]
-    jumps: list[list[int]] = [[]]
-    final = set()
-
-    def new() -> int:
-        moves.append([])
-        jumps.append([])
-        return len(moves) - 1
-
-    for pieces_ in rules:
-        at = new()
-        jumps[0].append(at)
-        for chars, least, most in pieces_:
-            for _ in range(least):
-                to = new()
-                moves[at].append((chars, to))
-                at = to
-            if most is None:
-                moves[at].append((chars, at))
-                to = new()  # so that a loop never shares its state with the next piece
-                jumps[at].append(to)
-                at = to
-            for _ in range((most or least) - least):
-                to = new()
-                moves[at].append((chars, to))
-                jumps[at].append(to)
-                at = to
-        final.add(at)
-    return moves, jumps, final
-
-
-def compile_rules(rules: list[list[Piece]]) -> Automaton:
-    """One deterministic automaton that finds any of ``rules`` anywhere in its input."""
-    moves, jumps, final = _nfa(rules)
-
-    def closure(states: set[int]) -> frozenset[int]:
-        todo, out = list(states), set(states)
-        while todo:
-            for to in jumps[todo.pop()]:
-                if to not in out:
-                    out.add(to)
-                    todo.append(to)
-        return frozenset(out)
-
-    # bytes that no rule tells apart share a class
-    sets = sorted({chars for edges in moves for chars, _ in edges}, key=sorted)
-    signature: dict[tuple[bool, ...], int] = {}
-    class_of = np.array([signature.setdefault(tuple(b in s for s in sets), len(signature)) for b in range(256)])
-    sample = [int(np.flatnonzero(class_of == c)[0]) for c in range(len(signature))]
-
-    start = closure({0})
-    number: dict[frozenset[int], int] = {start: 0}
-    accept = -1
-    rows: list[list[int]] = []
-    todo = [start]
-    for state in todo:
-        row = []
-        for byte in sample:
-            to = closure({0} | {t for s in state for chars, t in moves[s] if byte in chars})
-            if to & final:
-                row.append(accept)
-                continue
-            if to not in number:
-                number[to] = len(number)
-                todo.append(to)
-            row.append(number[to])
-        rows.append(row)
-    table = np.array([*rows, [len(rows)] * len(sample)])
-    table[table == accept] = len(rows)
-
-    # partition refinement: two states stay together while their rows lead to the same blocks
-    block = np.zeros(len(table), np.int64)
-    block[-1] = 1
+@functools.cache
+def scanner() -> Scanner:
+    patterns = [r.pattern for r in RULES]
+    return Scanner(compile_rules(patterns), [compile_rules([p], anywhere=False) for p in patterns], [compile_rules([p], anywhere=False, backwards=True) for p in patterns])
+
+
+def states_along(machine: Automaton, data: np.ndarray) -> np.ndarray:
+    """The state after each byte of ``data``, from the start state on."""
+    n_blocks = max(1, -(-len(data) // BLOCK))
+    tape = np.zeros(n_blocks * BLOCK, np.int32)
+    tape[: len(data)] = machine.class_of[data]
+    tape = np.ascontiguousarray(tape.reshape(n_blocks, BLOCK).T)
+    states = np.empty((BLOCK, n_blocks), np.int16)
+    state = np.zeros(n_blocks, np.int32)
+    for i in range(BLOCK):
+        state = machine.table[state * machine.n_classes + tape[i]]
+        states[i] = state
+    entered = np.zeros(n_blocks, np.int32)
     while True:
-        _, finer = np.unique(np.column_stack([block, block[table]]), axis=0, return_inverse=True)
-        finer = finer.reshape(-1)
-        if finer.max() == block.max():
+        before = np.concatenate([[0], states[-1, :-1]]).astype(np.int32)
+        todo = np.flatnonzero(before != entered)
+        if not len(todo):
+            return np.ascontiguousarray(states.T).reshape(-1)[: len(data)]
+        entered = before
+        state = before[todo]
+        for i in range(BLOCK):
+            state = machine.table[state * machine.n_classes + tape[i, todo]]
+            differs = states[i, todo] != state
+            todo, state = todo[differs], state[differs]
+            if not len(todo):
+                break
+            states[i, todo] = state
+
+
+def start_of(machine: Automaton, raw: bytes, end: int, stop: int) -> int:
+    """The leftmost start, ``stop`` or later, of a match that ends at ``end``; -1 if there is none."""
+    state, found = 0, -1
+    table, class_of, ends, n = machine.table, machine.class_of, machine.ends, machine.n_classes
+    for at in range(end - 1, stop - 1, -1):
+        state = table[state * n + class_of[raw[at]]]
+        if state == machine.dead:
             break
-        block = finer
-    order = {b: i for i, b in enumerate(dict.fromkeys(block.tolist()))}
-    names = np.array([order[b] for b in block.tolist()])
-    small = np.zeros((len(order), len(sample)), np.int64)
-    small[names] = names[table]
-    full = small[:, class_of]
-    end = int(names[-1])
-    others = np.arange(len(order)) != end
-    return Automaton(np.ascontiguousarray(full.reshape(-1).astype(np.int32)), end, (full[others] == 0).all(axis=0))
+        if ends[state]:
+            found = at
+    return found
 
 
-@functools.cache
-def automaton() -> Automaton:
-    return compile_rules([alternative for _, alternatives, *_ in RULES for alternative in alternatives])
-
-
-def lanes(data: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte ranges between cutting bytes and the bounds of texts, without empty ones."""
-    at = np.flatnonzero(cut[data])
-    ends = np.unique(np.concatenate([at, offsets[1:]]))
-    starts = np.concatenate([[0], ends[:-1]])
-    starts = starts + (cut[data[np.minimum(starts, len(data) - 1)]] if len(data) else 0)
-    keep = ends > starts
-    return starts[keep], ends[keep]
-
-
-def accepted(machine: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Indices of the lanes in which some rule matches.  All lanes take one step at a time."""
-    order = np.argsort(starts - ends, kind="stable")
-    length = (ends - starts)[order]
-    at = starts[order].copy()
-    state = np.zeros(len(order), np.int32)
-    active = len(order)
-    step = 0
-    left = np.bincount(length, minlength=1)
-    while active:
-        s = state[:active]
-        s *= 256
-        s += data[at[:active]]
-        np.take(machine.table, s, out=s)
-        at[:active] += 1
-        step += 1
-        active -= int(left[step])
-    return order[state == machine.accept]
-
-
-def spans_of(lane: bytes) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of every rule's matches in ``lane``, in bytes."""
-    return [(m.start(), kind, m.end()) for kind, (_, _, pattern, group, least) in enumerate(RULES) for m in pattern.finditer(lane) if len(m[group]) >= least]
+def first_end(machine: Automaton, raw: bytes, start: int) -> int:
+    """The place of the first byte at which what begins at ``start`` has matched."""
+    state, at = 0, start
+    while True:
+        state = machine.table[state * machine.n_classes + machine.class_of[raw[at]]]
+        if machine.ends[state]:
+            return at
+        at += 1
+
+
+def matches(scan: Scanner, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, start, rule, end) of every match of sufficient length, in bytes; a text must end in a byte of no rule."""
+    ending = scan.every.ends.astype(np.uint8)[states_along(scan.every, data)]
+    raw = data.tobytes()
+    out = []
+    for rule, (own, forwards, backwards) in enumerate(zip(RULES, scan.forwards, scan.backwards, strict=True)):
+        edge = np.diff(np.concatenate([[0], (ending >> rule) & 1, [0]]).astype(np.int8))
+        begins, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        enough = stops - begins >= own.least
+        if not enough.any():
+            continue
+        if forwards.ends[forwards.table[: forwards.n_classes]].any():  # all bytes of such a rule are of one kind, and its runs are its matches
+            begins, stops = begins[enough], stops[enough]
+            text = np.searchsorted(offsets, begins, "right") - 1
+            out += zip(text.tolist(), begins.tolist(), [rule] * len(text), stops.tolist(), strict=True)
+            continue
+        text = np.searchsorted(offsets, begins, "right") - 1
+        some = np.isin(text, text[enough])
+        used = -1
+        for of, stop in zip(text[some].tolist(), stops[some].tolist(), strict=True):
+            start = start_of(backwards, raw, stop, max(used, int(offsets[of])))
+            if start < 0:
+                continue
+            used = stop
+            if stop - first_end(forwards, raw, start) >= own.least:
+                out.append((of, start, rule, stop))
+    return sorted(out)
 
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_other long"
 
 
-def scan_batch(machine: Automaton, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-    data, offsets = byte_view(texts)
-    starts, ends = lanes(data, offsets, machine.cut)
-    hits = np.sort(accepted(machine, data, starts, ends))
+def scan_batch(scan: Scanner, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    ended = pa.compute.binary_join_element_wise(pa.compute.fill_null(texts.cast(pa.large_string()), ""), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+    data, offsets = byte_view(ended)
     n = len(texts)
     counts = np.zeros((n, len(RULES)), np.int64)
-    base = [""] * n
-    every = [""] * n
-    if len(hits):
-        point = np.cumsum((data & 0xC0) != 0x80)  # code points that start up to and with each byte
-        raw = data.tobytes()
-        of = np.searchsorted(offsets, starts[hits], "right") - 1
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for hit, text in zip(hits.tolist(), of.tolist(), strict=True):
-            a = int(starts[hit])
-            for s, kind, e in spans_of(raw[a : int(ends[hit])]):
-                skip = int(point[offsets[text] - 1]) if offsets[text] else 0
-                begin = int(point[a + s]) - 1 - skip
-                found.setdefault(text, []).append((begin, kind, begin + e - s))
-        for text, rows in found.items():
-            rows.sort()
-            shown = [(kind, f"{RULES[kind][0]}:{s}:{e}") for s, kind, e in rows]
-            base[text] = ",".join(x for kind, x in shown if kind < len(BASE_KINDS))
-            every[text] = ",".join(x for _, x in shown)
-            for _, kind, _ in rows:
-                counts[text, kind] += 1
+    base: list[list[str]] = [[] for _ in range(n)]
+    every: list[list[str]] = [[] for _ in range(n)]
+    found = matches(scan, data, offsets)
+    if found:
+        point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
+        for text, start, rule, end in found:
+            begin = int(point[start] - point[offsets[text]])
+            shown = f"{RULES[rule].kind}:{begin}:{begin + end - start}"
+            every[text].append(shown)
+            if rule < N_BASE:
+                base[text].append(shown)
+            counts[text, rule] += 1
+    digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in base]
     return pa.RecordBatch.from_arrays(
-        [ids, *(pa.array(counts[:, k]) for k in range(3)), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base]), pa.array(every), pa.array(counts[:, 3:].sum(axis=1))],
-        names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_other"],
+        [ids, *(pa.array(counts[:, k]) for k in range(N_BASE)), pa.array(digests), pa.array([",".join(x) for x in every]), pa.array(counts[:, N_BASE:].sum(axis=1))],
+        names=[f.split()[0] for f in SCHEMA.split(", ")],
     )
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Per document: counts of each base kind, the digest of the base spans, all spans, further finds."""
-    machine = automaton()
+    scan = scanner()
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            yield scan_batch(machine, batch.column("doc_id"), batch.column("text"))
-
-    return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
+            yield scan_batch(scan, batch.column("doc_id"), batch.column("text"))
+
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def _kind_sql(number: int, rule: Rule) -> str:
+    """Rows (doc_id, start, kind, span) of one rule: matches, and the text between them, which gives their places."""
+    pattern = rule.pattern.replace("(?i:", "(?:(?i)") if rule.kind == "assign" else rule.pattern
+    pattern = pattern.replace("'", "''")
+    head = pattern.rpartition("[")[0] if rule.kind != "pem" else ""
+    if not head and pattern.endswith("+"):  # a bare run: no match of less can use up what a longer one needs
+        pattern = f"{pattern[:-1]}{{{rule.least},}}"
+    tail = f"length(regexp_replace(m, '^(?:{head})', ''))" if head else "length(m)"
+    return f"""
+select doc_id, place as start, {number} as kind, '{rule.kind}:' || place || ':' || (place + length(m)) as span from (
+  select doc_id, unnest(found) as m, unnest(list_transform(found, lambda x, i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda y: length(y))), 0)))::bigint as place
+  from (select doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') as found, string_split_regex(coalesce(text, ''), '{pattern}') as gaps from documents where regexp_matches(text, '{pattern}')))
+where {tail} >= {rule.least}"""
+
+
+#: The same rows in DuckDB, whose own patterns find the matches.
+ORACLE = (
+    "with spans as ("
+    + " union all ".join(_kind_sql(k, r) for k, r in enumerate(RULES))
+    + f""")
+select d.doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex,
+  sha256(coalesce(string_agg(span, ',' order by start, kind) filter (where kind < {N_BASE}), '')) as base_sha256,
+  coalesce(string_agg(span, ',' order by start, kind), '') as spans, count(*) filter (where kind >= {N_BASE}) as n_other
+from documents d left join spans s on s.doc_id = d.doc_id group by d.doc_id
+"""
+)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeledger.llm import decontaminate, line_dedup, near_dedup, packing, quality_model, quality_rules, secrets, substring_dedup, toxicity
+from lakeledger.llm import words as words_module
 from lakeledger.llm.common import read
 
 from ..conftest import SF_DIR
@@ -121,15 +122,73 @@ def test_secrets(spark, odd):
     assert "pem:0:31" in got[n + 5].spans and "github:0:40" in got[n + 6].spans
 
 
+def plain_spans(text):
+    """All spans by the pattern module, in code points."""
+    import re
+
+    out = []
+    for k, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("(?i:", "(?ai:")
+        head = pattern.rpartition("[")[0] if rule.kind != "pem" else ""
+        for m in re.finditer(pattern, text or ""):
+            tail = len(m[0]) - (len(re.match(head, m[0])[0]) if head else 0)
+            if tail >= rule.least:
+                out.append((m.start(), k, m.end()))
+    return ",".join(f"{secrets.RULES[k].kind}:{a}:{b}" for a, k, b in sorted(out))
+
+
 def test_automaton_agrees_with_patterns():
-    machine = secrets.automaton()
-    from lakeledger.llm.words import byte_view
-
-    texts = ["token: " + "a" * k for k in range(5, 12)] + ["AKIA" + "B" * k for k in range(8, 16)] + ["ab" * k for k in range(12, 20)]
-    data, offsets = byte_view(pa.array(texts))
-    starts, ends = secrets.lanes(data, offsets, machine.cut)
-    hit = {int(np.searchsorted(offsets, starts[k], "right")) - 1 for k in secrets.accepted(machine, data, starts, ends)}
-    assert hit == {i for i, t in enumerate(texts) if secrets.spans_of(t.encode())}
+    import random
+
+    rnd = random.Random(5)
+    parts = ["token", "secret", "api_key", "apikey", "passwd", "PassWord", ":", "=", " ", "'", '"', "abcdefgh", "ab", "AKIA", "A1B2C3D4E5F6", "0123456789abcdef", "é", "\n", "ghp_", "xoxb-", "a" * 36, "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-", "_", "x"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(80))) for _ in range(1500)]
+    texts += ["f" * 300_000, "token" + " " * 3000 + "= " + "Z" * 9000, "a" * 255 + "token=abcdefgh", "", None]
+    got = secrets.scan_batch(secrets.scanner(), pa.array(range(len(texts))), pa.array(texts)).column("spans").to_pylist()
+    assert got == [plain_spans(t) for t in texts] and sum(map(bool, got)) > 500
+
+
+def test_expressions_are_compiled_as_written():
+    import re
+    from itertools import product
+
+    from lakeledger.llm.automaton import compile_rules
+
+    for pattern in ("a(b|cd)*e?", "[a-c]{2,3}d", "(?i:ab)+", "x{2}|y", "a\\x62|c[-d]"):
+        machine = compile_rules([pattern], anywhere=False)
+        back = compile_rules([pattern], anywhere=False, backwards=True)
+        for n in range(1, 5):
+            for text in map("".join, product("abcdeA-xy", repeat=n)):
+                for m, order in ((machine, text), (back, text[::-1])):
+                    state = 0
+                    for b in order.encode():
+                        state = m.table[state * m.n_classes + m.class_of[b]]
+                    assert bool(m.ends[state]) == bool(re.fullmatch(pattern, text)), (pattern, text)
+
+
+def test_sequences_that_cancel_out_in_linear_hashes():
+    """A Thue-Morse sequence and its complement, as letters of a word, words of a text and lines."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = (["ab"[b ^ flip] for b in bits] for flip in (0, 1))
+    for sep in ("", " ", "\n"):
+        w = words_module.words(pa.array([sep.join(one), sep.join(two)]))
+        assert len(set(words_module.whole_hash(w).tolist())) == 2 and len(set(words_module.whole_hash(w, 1).tolist())) == 2
+    w = words_module.words(pa.array([" ".join(one), " ".join(two)]))
+    assert words_module.Runs(w.hashes).of(np.array([0, 1024]), 1024).tolist()[0] != words_module.Runs(w.hashes).of(np.array([0, 1024]), 1024).tolist()[1]
+
+
+def test_such_sequences_in_operators(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    long_words = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    texts = [prose(19, 50) + " " + long_words[0], prose(19, 50) + " " + long_words[1], "\n".join(long_words)]
+    docs = table(spark, texts)
+    assert [r.n_removed for r in substring_dedup.remove_repeats(docs).orderBy("doc_id").collect()] == [0, 0, 0]
+    assert {r.doc_id: r.n_dup_lines for r in quality_rules.measure_quality(docs).collect()} == {0: 0, 1: 0, 2: 0}
+    sequences = table(spark, [" ".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)])
+    assert {r.id: r.class_id for r in near_dedup.group_near_duplicates(sequences).collect()} == near_classes([(r.doc_id, r.text) for r in sequences.collect()])
+    benchmark = spark.createDataFrame([(0, texts[0])], "item_id long, text string")
+    found = {r.doc_id: r.similarity for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    assert found[0] == 1.0 and found[1] == 0.95
 
 
 def test_leaks(spark):
