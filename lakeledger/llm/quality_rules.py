@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces
-from .words import U64, Words, byte_view, mix, range_hashes, spans, windows
+from .words import Runs, U64, Words, byte_view, mix, range_hashes, spans, windows
 
 LEAST_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 #: Largest share of word characters inside repeated n-grams (first occurrence included), by n.
@@ -45,9 +45,9 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def covered(w: Words, n: int) -> np.ndarray:
+def covered(w: Words, n: int, runs: Runs) -> np.ndarray:
     """Words inside a window of ``n`` words that its text holds twice or more."""
-    h, text, at = windows(w, n)
+    h, text, at = windows(w, n, runs)
     at = at[repeated(mix(h ^ mix(text.astype(U64))))]
     edge = np.zeros(len(w.starts) + 1, np.int64)
     edge[at] += 1
@@ -62,7 +62,7 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def line_repeats(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text: lines with a word that equal an earlier line, and the bytes of those lines."""
+    """Per text: lines with a word that equal an earlier line, and the characters of those lines."""
     n = len(offsets) - 1
     ends = np.sort(np.concatenate([np.flatnonzero(data == 10), offsets[1:]]), kind="stable")
     starts = np.concatenate([[0], ends[:-1]])
@@ -75,7 +75,8 @@ def line_repeats(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> tu
     keys = mix(range_hashes(data, starts, ends) ^ mix(text.astype(U64)))
     order = np.lexsort((starts, keys))
     later = order[1:][keys[order[1:]] == keys[order[:-1]]]
-    return np.bincount(text[later], minlength=n), np.bincount(text[later], weights=(ends - starts)[later], minlength=n)
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.bincount(text[later], minlength=n), np.bincount(text[later], weights=(chars[ends] - chars[starts])[later], minlength=n)
 
 
 def measure(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
@@ -88,11 +89,12 @@ def measure(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     of_word = chars[ends] - chars[starts]
     word_chars = np.diff(chars[offsets])
     n_words = w.counts
-    n_dup_lines, dup_bytes = line_repeats(data, offsets, blank)
-    n_repeat = per_text(covered(w, REPEAT_WINDOW), first)
+    n_dup_lines, dup_chars = line_repeats(data, offsets, blank)
+    runs = Runs(w.hashes)
+    n_repeat = per_text(covered(w, REPEAT_WINDOW, runs), first)
     failed = (n_words < LEAST_WORDS) | (100 * n_repeat > REPEAT_PERCENT * n_words)
-    shares = [per_text(of_word * covered(w, n), first) / np.maximum(word_chars, 1) for n in NGRAM_LIMITS]
-    lines = dup_bytes / np.maximum(np.diff(offsets), 1)
+    shares = [per_text(of_word * covered(w, n, runs), first) / np.maximum(word_chars, 1) for n in NGRAM_LIMITS]
+    lines = dup_chars / np.maximum(per_text(point, offsets), 1)
     bad = failed | (lines > LINE_LIMIT)
     for share, limit in zip(shares, NGRAM_LIMITS.values(), strict=True):
         bad |= share > limit
@@ -121,3 +123,35 @@ def keep_good(docs: DataFrame) -> DataFrame:
             yield batch.filter(verdict.column("kept"))
 
     return docs.mapInArrow(run, docs.schema).select(*(F.col(f"`{n}`") for n in names))
+
+
+def _ngram_sql(n: int) -> str:
+    """Words (doc_id, i) that a window of ``n`` words covers which its text holds twice or more."""
+    return f"""select doc_id, i, coalesce(max(m) over (partition by doc_id order by i rows between {n - 1} preceding and current row), 1) > 1 as inside from (
+  select doc_id, i, case when i + {n - 1} <= n then count(*) over (partition by doc_id, g, i + {n - 1} <= n) end as m from (
+    select doc_id, i, n, string_agg(w, ' ') over (partition by doc_id order by i rows between current row and {n - 1} following) as g from tokens))"""
+
+
+#: The same rows in DuckDB: windows by their words.
+ORACLE = f"""
+with tokens as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i, len(ws) as n from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents)),
+{", ".join(f"c{n} as ({_ngram_sql(n)})" for n in (REPEAT_WINDOW, *NGRAM_LIMITS))},
+counted as (
+  select doc_id, count(*) as n_words, sum(length(w))::bigint as word_chars, count(*) filter (where c{REPEAT_WINDOW}.inside) as n_repeat_words,
+    {", ".join(f"coalesce(sum(length(w)) filter (where c{n}.inside), 0) / sum(length(w)) as dup_{n}gram_share" for n in NGRAM_LIMITS)}
+  from tokens {" ".join(f"join c{n} using (doc_id, i)" for n in (REPEAT_WINDOW, *NGRAM_LIMITS))} group by doc_id),
+lines as (
+  select doc_id, count(*)::bigint as n_dup_lines, sum(length(line)) as dup_chars from (
+    select doc_id, line, row_number() over (partition by doc_id, line order by no) as turn from (
+      select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from documents)
+    where regexp_matches(line, '[^\\x20\\x09-\\x0D]'))
+  where turn > 1 group by doc_id),
+judged as (
+  select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+    coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(dup_chars, 0) / greatest(length(coalesce(text, '')), 1) as dup_line_share,
+    {", ".join(f"coalesce(dup_{n}gram_share, 0) as dup_{n}gram_share" for n in NGRAM_LIMITS)}
+  from documents d left join counted c on c.doc_id = d.doc_id left join lines l on l.doc_id = d.doc_id)
+select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words as base_failed,
+  not (n_words < {LEAST_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words or dup_line_share > {LINE_LIMIT} or {" or ".join(f"dup_{n}gram_share > {x}" for n, x in NGRAM_LIMITS.items())}) as kept
+from judged
+"""

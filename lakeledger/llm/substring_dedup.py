@@ -1,12 +1,14 @@
 """Substring dedup by level-wise doubling: only what repeats at one length is looked at in the next.
 
-Words are removed where a window of 20 words also starts earlier.  The first length is half of
-that: each 20-word window stands under its least 10-gram hash, so equal windows stand under the
-same one and only about one word in six is sent.  Windows whose 10-gram repeats, and they alone,
-are extended to 20 words and compared by 128-bit hashes, first as runs under one seed, then singly
-where the runs of a seed differ; there it is decided which start earlier, so no longer length is
-needed.  Texts equal as word sequences are set apart first: all
-but the smallest id lose all words (from 20 words on), so no group of copies enters a level.
+Words are removed where a window of 20 words also starts earlier.  Each 20-word window stands under
+its least 10-gram hash, and that 10-gram under its least 5-gram, so equal windows stand under the
+same ones and only about one word in six is sent.  The lengths are taken in turn: 5-grams that
+repeat, and they alone, are extended to their 10-grams; 10-grams that repeat to their 20-word
+windows, which are compared by 128-bit hashes, first as runs under one seed, then singly where the
+runs of a seed differ.  A window that repeats at 20 words is decided there (which starts earlier),
+so no candidate is left for a longer length, and the levels end.  Texts equal as word sequences are
+set apart first: all but the smallest id lose all words (from 20 words on), so no group of copies
+enters a level.
 
 Results: a null or empty text has no words and keeps none.  A null id counts as the smallest.
 Rows that share an id count as one document: none of them takes words from another.  A text of
@@ -23,10 +25,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, null_safe_id, pieces, written
+from .common import cut, discard, null_safe_id, pieces, with_first_id, written
 from .words import Runs, U64, Words, byte_view, mix, whole_hash, windows, words
 
-WINDOW, SEED = 20, 10
+WINDOW, SEED, FIRST = 20, 10, 5  # each twice the next
 SALT = 0x5851F42D4C957F2D
 TOP = np.iinfo(np.uint64).max
 KEPT_SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
@@ -61,30 +63,49 @@ def _lists(values: np.ndarray, text: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values.view(np.int64)))
 
 
-def sketch(ids: pa.Array, texts: pa.Array, window: int = WINDOW, seed: int = SEED) -> pa.RecordBatch:
-    """Per text: number of words, hashes of the whole, and its windows' seeds.
+def _at_most_two(values: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Order of ``values`` by text and value in which none stands more than twice."""
+    order = np.lexsort((values, text))
+    v, t = values[order], text[order]
+    third = np.zeros(len(v), bool)
+    third[2:] = (v[2:] == v[:-2]) & (t[2:] == t[:-2])
+    return order[~third]
 
-    A seed that stands at two places of the text or more is listed twice.
+
+def sketch(ids: pa.Array, texts: pa.Array, window: int = WINDOW, seed: int = SEED, first: int = FIRST) -> pa.RecordBatch:
+    """Per text: number of words, hashes of the whole, its windows' seeds, each with the short seed below
+    it, and the short seeds alone.
+
+    A seed or short seed that stands at two places of the text or more is listed twice.
     """
     w = words(texts)
     n = len(texts)
+    runs = Runs(w.hashes)
     _, text, at, least = seeded_windows(w, window, seed)
-    values, owner = np.zeros(0, U64), np.zeros(0, np.int64)
+    lists = [_lists(np.zeros(0, U64), np.zeros(0, np.int64), n)] * 3
     if len(at):
-        s, s_text, s_at = windows(w, seed)
+        s, s_text, s_at = windows(w, seed, runs)
         low = np.zeros(len(w.hashes) + window, U64)  # the least seed of each window, at the window's last seed
         low[at + window] = least
         greatest = TOP - _least(TOP - low, window - seed + 1)  # over the windows that hold the seed
         chosen = greatest[s_at + seed] == s >> U64(1)
-        s, s_text = s[chosen] >> U64(1), s_text[chosen]
-        order = np.lexsort((s, s_text))
-        s, s_text = s[order], s_text[order]
-        third = np.zeros(len(s), bool)
-        third[2:] = (s[2:] == s[:-2]) & (s_text[2:] == s_text[:-2])
-        values, owner = s[~third], s_text[~third]
+        s, s_text, s_at = s[chosen] >> U64(1), s_text[chosen], s_at[chosen]
+        short = np.full(len(w.hashes), TOP, U64)
+        h, _, h_at = windows(w, first, runs)
+        short[h_at] = h >> U64(1)
+        below = short[s_at]
+        place = s_at.copy()
+        for j in range(1, seed - first + 1):
+            less = short[s_at + j] < below
+            below, place = np.where(less, short[s_at + j], below), np.where(less, s_at + j, place)
+        keep = _at_most_two(s, s_text)
+        _, once = np.unique(place, return_index=True)
+        alone, owner = below[once], s_text[once]
+        two = _at_most_two(alone, owner)
+        lists = [_lists(s[keep], s_text[keep], n), _lists(below[keep], s_text[keep], n), _lists(alone[two], owner[two], n)]
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array(w.counts), pa.array(whole_hash(w).view(np.int64)), pa.array(whole_hash(w, 1).view(np.int64)), _lists(values, owner, n)],
-        names=["id", "n_words", "c1", "c2", "seeds"],
+        [ids, pa.array(w.counts), pa.array(whole_hash(w).view(np.int64)), pa.array(whole_hash(w, 1).view(np.int64)), *lists],
+        names=["id", "n_words", "c1", "c2", "seeds", "below", "short"],
     )
 
 
@@ -156,26 +177,35 @@ def units(batch: pa.RecordBatch, window: int, seed: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (least[first], run_hashes(w, a, b), run_hashes(w, a, b, SALT), ids)], names=["seed", "u1", "u2", "id"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def _repeated(rows: DataFrame, key: str) -> DataFrame:
+    """The values of ``key`` that stand twice or more."""
+    return rows.groupBy(key).count().filter("count > 1").select(key)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, first: int = FIRST) -> DataFrame:
     """Per document: words, words removed and the kept words joined by one space."""
     own = docs.select("doc_id", null_safe_id().alias("id"), "text")
 
     def sketch_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            yield sketch(batch.column("id"), batch.column("text"), window, seed)
+            yield sketch(batch.column("id"), batch.column("text"), window, seed, first)
 
-    known = written(own.select("id", "text").mapInArrow(sketch_all, "id long, n_words long, c1 long, c2 long, seeds array<long>"), "sketch").filter(F.col("n_words") >= window)
+    schema = "id long, n_words long, c1 long, c2 long, seeds array<long>, below array<long>, short array<long>"
+    table = written(own.select("id", "text").mapInArrow(sketch_all, schema), "sketch")
+    known = table.filter(F.col("n_words") >= window)
 
     # copies: all but the smallest id of each word sequence
-    smallest = known.groupBy("c1", "c2").agg(F.min("id").alias("first_id"))
-    copies = known.select("id", "c1", "c2").join(smallest, ["c1", "c2"]).filter("id > first_id").groupBy("id").agg(F.collect_set("c1").alias("copies"))
+    copies = with_first_id(known.select("id", "c1", "c2"), ["c1", "c2"]).filter("id > first_id").groupBy("id").agg(F.collect_set("c1").alias("copies"))
 
-    # first length: seeds that stand twice, in one text or in two (a text repeats those that it has twice)
-    shared = known.select(F.explode("seeds").alias("seed")).groupBy("seed").count().filter("count > 1").select("seed")
-    alive = known.select("id", F.explode(F.array_distinct("seeds")).alias("seed")).join(shared, "seed")
-    plan = written(alive.groupBy("id").agg(F.collect_set("seed").alias("seeds")).join(copies, "id", "full"), "plan")
+    # first length: what stands twice, in one text or in two (a text repeats what it has twice); then,
+    # for that alone, the double length
+    short = _repeated(known.select(F.explode("short").alias("below")), "below")
+    alive = written(known.select("id", F.inline(F.arrays_zip("seeds", "below"))).join(short, "below").select("id", "seeds"), "seeds")
+    alive_twice = alive.distinct().join(_repeated(alive, "seeds"), "seeds")
+    plan = written(alive_twice.groupBy("id").agg(F.collect_list("seeds").alias("seeds")).join(copies, "id", "full"), "plan")
+    discard(table, alive)
 
-    # double length: runs of windows under one seed.  Where all runs of a seed span the same words,
+    # double again: runs of windows under one seed.  Where all runs of a seed span the same words,
     # the smallest id has them first; other seeds are open, and their windows are compared one by one
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -232,3 +262,14 @@ def unpackable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the unpacked texts of each are of bounded size."""
     for batch in batches:
         yield from cut(batch, batch.column("n_bytes").to_numpy(zero_copy_only=False))
+
+
+#: The same rows in DuckDB: every window by its words.
+ORACLE = """
+with tokens as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i, len(ws) as n from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents)),
+windows as (select doc_id, i, hash(string_agg(w, ' ') over f) as h1, hash('1 ' || string_agg(w, ' ') over f) as h2, n from tokens window f as (partition by doc_id order by i rows between current row and 19 following)),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by h1, h2 order by doc_id, i) as turn from windows where i + 19 <= n) where turn > 1),
+covered as (select doc_id, i, w, max(l) over (partition by doc_id order by i rows between 19 preceding and current row) is not null as gone from (select t.doc_id, t.i, t.w, l.i as l from tokens t left join later l on t.doc_id = l.doc_id and t.i = l.i))
+select d.doc_id, count(c.i) as n_words, count(c.i) filter (where gone) as n_removed, sha256(coalesce(string_agg(w, ' ' order by i) filter (where not gone), '')) as kept_sha256
+from documents d left join covered c on c.doc_id = d.doc_id group by d.doc_id
+"""
