@@ -1,8 +1,10 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 A line goes if an equal line, or one within one edit (a character put in, taken out or changed),
-starts earlier in the order of (id, line number).  Lines of fewer than 20 characters only match
-exactly; lines without a visible character always stay.
+starts earlier in the order of (id, line number).  One edit counts as the same line only where it is
+at most a twentieth of it, so lines of fewer than ``least_chars`` (20) characters match exactly, else
+"1." and "2." would be one line; ``least_chars=1`` gives every line the bound.  Lines without a
+visible character always stay.
 
 Two lines within one edit agree in the first or in the last half, counted in the length of the
 shorter.  So the neighbourhoods are built in three steps, each for the survivors of the one
@@ -61,14 +63,14 @@ def _tagged(keys: Column, kind: str) -> Column:
     return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("variant")))
 
 
-def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def _near_lines(docs: DataFrame, firsts: DataFrame, least_chars: int) -> DataFrame:
     """(id, no) of first lines that lie within one edit of an earlier one."""
     place = F.struct("id", "no")
     halves = firsts.filter("keys is not null").select("id", "no", F.posexplode("keys").alias("role", "key"))
     # a line's hash tells different lines apart; its place is as good and is already there
     halves = halves.join(_shared(halves.withColumn("place", place), "key", "place"), "key", "left_semi")
     lines = written(
-        docs.select("id", _lines(F.col("text")).alias("lines")).join(halves, "id").select("id", "no", "role", "key", F.get("lines", F.col("no")).alias("line")).filter(F.char_length("line") >= LEAST_CHARS),
+        docs.select("id", _lines(F.col("text")).alias("lines")).join(halves, "id").select("id", "no", "role", "key", F.get("lines", F.col("no")).alias("line")).filter(F.char_length("line") >= least_chars),
         "halves",
     )
 
@@ -111,42 +113,43 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return pairs.join(whole, ["id", "no"]).filter(F.levenshtein("line", "of_line", 1) == 1).select(F.col("of_id").alias("id"), F.col("of_no").alias("no")).distinct()
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
+def kept_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(id, kept): the sorted numbers of each document's visible lines that stay, where some do."""
     own = docs.select(null_safe_id().alias("id"), "text")
     lines = own.select("id", F.posexplode(_lines(F.col("text"))).alias("no", "line")).filter(_visible(F.col("line")))
-    keyed = lines.select("id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.when(F.char_length("line") >= LEAST_CHARS, _half_keys(F.col("line"))).alias("keys"))
+    keyed = lines.select("id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.when(F.char_length("line") >= least_chars, _half_keys(F.col("line"))).alias("keys"))
     firsts = written(
         keyed.groupBy("h1", "h2").agg(F.min(F.struct("id", "no")).alias("at"), F.first("keys").alias("keys")).select("at.id", "at.no", "keys"),
         "first-lines",
     )
-    near = _near_lines(own, firsts)
+    near = _near_lines(own, firsts, least_chars)
     return firsts.select("id", "no").join(near, ["id", "no"], "left_anti").groupBy("id").agg(F.array_sort(F.collect_set("no")).alias("kept"))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Per document: lines, lines removed, and the numbers of the lines that stay, comma-joined."""
     lines = _lines(F.col("text"))
     blank = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~_visible(F.get(lines, i)))
     counts = docs.select("doc_id", null_safe_id().alias("id"), F.size(lines).alias("n_lines"), blank.alias("blank"))
     kept = F.array_sort(F.array_union(F.coalesce("kept", F.array().cast("array<int>")), F.col("blank")))
-    out = counts.join(kept_lines(docs), "id", "left").select("doc_id", F.col("n_lines").cast("long"), F.filter(kept, lambda i: i < F.col("n_lines")).alias("stay"))
+    out = counts.join(kept_lines(docs, least_chars), "id", "left").select("doc_id", F.col("n_lines").cast("long"), F.filter(kept, lambda i: i < F.col("n_lines")).alias("stay"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("stay")).alias("n_removed"), F.array_join("stay", ",").alias("kept_lines"))
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with repeated lines taken out; documents of which no visible line is left go."""
-    names = docs.columns
-    kept = kept_lines(docs).select(F.col("id").alias("__id"), F.col("kept").alias("__kept"))
-    rows = docs.join(kept, null_safe_id() == F.col("__id"), "left").withColumn("__lines", _lines(F.col("text")))
-    blank = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: ~_visible(F.get("__lines", i)))
-    stay = F.array_sort(F.array_union(F.filter(F.col("__kept"), lambda i: i < F.size("__lines")), blank))
-    text = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
-    rows = rows.filter(F.col("__kept").isNotNull() | ~_visible(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("text", F.when(F.col("__kept").isNull(), F.col("text")).otherwise(text))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*(F.col(f"`{n}`") for n in names))
+    given = F.struct(*(F.col(f"`{n}`") for n in docs.columns))  # as one column: no name of theirs meets one of ours
+    rows = docs.select(null_safe_id().alias("id"), F.col("text"), given.alias("given")).join(kept_lines(docs, least_chars), "id", "left")
+    rows = rows.filter(F.col("kept").isNotNull() | ~_visible(F.coalesce("text", F.lit(""))))
+    rows = rows.select("given", "text", "kept", _lines(F.col("text")).alias("lines"))
+    blank = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~_visible(F.get("lines", i)))
+    stay = F.array_sort(F.array_union(F.filter(F.col("kept"), lambda i: i < F.size("lines")), blank))
+    text = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    rows = rows.select("given", F.when(F.col("kept").isNull(), F.col("text")).otherwise(text).alias("text"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(new.get(n, F.col("given").getField(n)).alias(n) for n in docs.columns))
 
 
 #: The same rows in DuckDB, by edit distances between all lines that share a first or last part.

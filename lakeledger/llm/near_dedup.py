@@ -215,3 +215,21 @@ def keep_first(docs: DataFrame) -> DataFrame:
     kept = _classes(docs, SIMILARITY).filter("id = class_id").select(given_id("id").alias("doc_id"))
     d, k = docs.alias("d"), kept.alias("k")
     return d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+
+
+#: The same rows in DuckDB: all pairs that share a shingle, and everything that links reach.
+ORACLE = """
+with recursive parsed as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+members as (select doc_id, min(doc_id) over (partition by array_to_string(ws, ' ')) as rep, ws from parsed),
+reps as (select doc_id as id, ws from members where doc_id = rep and len(ws) > 0),
+shingles as (
+  select distinct id, case when len(ws) < 5 then '<' || array_to_string(ws, ' ') else array_to_string(ws[i:i + 4], ' ') end as s
+  from (select id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from reps)),
+sizes as (select id, count(*) as n from shingles group by id),
+common as (select x.id as a, y.id as b, count(*) as c from shingles x join shingles y on x.s = y.s and x.id < y.id group by x.id, y.id),
+links as (select a, b from common join sizes p on p.id = a join sizes q on q.id = b where c >= 0.8 * (p.n + q.n - c)),
+edges as (select a, b from links union all select b, a from links),
+reach(id, other) as (select a, a from edges union select r.id, e.b from reach r join edges e on e.a = r.other),
+labels as (select id, min(other) as label from reach group by id)
+select doc_id, min(coalesce(label, rep)) as class_id from members left join labels on id = rep group by doc_id
+"""

@@ -7,8 +7,9 @@ text is estimated as well: a first model separates positives from unlabelled tex
 is the least ratio of unlabelled to positive mass above a threshold (best-bin estimate).  Negative
 labels are never used.
 
-The fit uses at most ``POSITIVES`` labelled rows and ``UNLABELLED`` others, taken by hash of the
-id; every row is scored.  Results: a null or empty text has the statistics of no words; texts are
+Gradient steps use at most ``positives`` labelled rows and ``unlabelled`` others, taken by hash of the
+id: a larger sample only makes the weights steadier.  The prior comes from all documents, as a
+histogram of the first model's scores, and every row is scored.  Results: a null or empty text has the statistics of no words; texts are
 measured whole; repeated rows score equally; without positives every score is 0.5.
 """
 
@@ -31,6 +32,8 @@ POSITIVES, UNLABELLED = 4000, 8000
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 BINS, STEPS = 12, 400
+#: Share of the positives that a threshold of the prior must leave, and number of thresholds.
+LEAST_POSITIVES, CUTS = 0.2, 81
 FEATURES = ("word_chars", "words", "distinct", "same_as_last", "symbols", "upper", "digits", "marks", "bare_words", "marked_words", "dup_lines", "line_chars", "line_ends", "long_words", "short_words", "wide")
 SCHEMA = "doc_id long, score double"
 
@@ -112,17 +115,17 @@ def descend(gradient, size: int, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.2) -> float:
-    """The least ratio of unlabelled to positive mass above a score, where some positives are."""
-    cuts = np.quantile(positive, np.linspace(0, 1 - least, 81))
+def estimate_prior(positive: np.ndarray, cuts: np.ndarray, above: np.ndarray, n_unlabelled: int) -> float:
+    """The least ratio of unlabelled to positive mass above a score, where some positives are; ``above`` counts
+    the unlabelled at each of ``cuts`` or higher."""
     p = 1 - np.searchsorted(np.sort(positive), cuts, "left") / len(positive)
-    u = 1 - np.searchsorted(np.sort(unlabelled), cuts, "left") / len(unlabelled)
-    slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(unlabelled)) + 1 / np.sqrt(len(positive)))
-    return float(np.clip(((u + slack) / p).min() - slack, 0.05, 0.98))
+    some = p >= LEAST_POSITIVES
+    slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(n_unlabelled) + 1 / np.sqrt(len(positive)))
+    return float(np.clip(((above / n_unlabelled + slack)[some] / p[some]).min() - slack, 0.05, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    """A model from the statistics of trusted positives and of unlabelled texts."""
+def fit_first(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """A model that sets positives apart from unlabelled texts, each half of the weight."""
     both = np.concatenate([positive, unlabelled]) if len(positive) else unlabelled
     edges = [np.unique(np.quantile(both[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) if len(both) else np.zeros(0) for k in range(len(FEATURES))]
     p, u = binned(positive, edges), binned(unlabelled, edges)
@@ -130,11 +133,16 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     if not len(p) or not len(u):
         return Model(edges, np.zeros(size), 0.5)
 
-    def apart(w: np.ndarray) -> np.ndarray:  # positives against unlabelled, each half of the weight
+    def apart(w: np.ndarray) -> np.ndarray:
         return 0.5 * gather(u, sigmoid(apply(u, w)), size) - 0.5 * gather(p, 1 - sigmoid(apply(p, w)), size)
 
-    first = descend(apart, size)
-    prior = estimate_prior(apply(p, first), apply(u, first))
+    return Model(edges, descend(apart, size), 0.5)
+
+
+def fit(first: Model, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+    """The model of least non-negative risk, over the bins of ``first``."""
+    p, u = binned(positive, first.edges), binned(unlabelled, first.edges)
+    edges, size = first.edges, len(first.weights)
 
     def risk(w: np.ndarray) -> np.ndarray:
         at_p, at_u = apply(p, w), apply(u, w)
@@ -147,10 +155,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     return Model(edges, descend(risk, size), prior)
 
 
-def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labelled good rows outside the held-out fold, and from any documents."""
-    good = first_by_hash(labels.filter((fold(FOLDS) != HELD_OUT) & (F.col("quality") == 1)).select("doc_id"), POSITIVES)
-    web = first_by_hash(docs.select("doc_id").filter("doc_id is not null"), UNLABELLED)
+def fit_on(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+    """A model from the labelled good rows outside the held-out fold, and from all documents."""
+    good = first_by_hash(labels.filter((fold(FOLDS) != HELD_OUT) & (F.col("quality") == 1)).select("doc_id"), positives)
+    web = first_by_hash(docs.select("doc_id").filter("doc_id is not null"), unlabelled)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -160,12 +168,30 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
         rows = with_texts(ids, docs).mapInArrow(measure, "doc_id long, x array<double>").orderBy("doc_id").toArrow()
         return np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
 
-    return fit(measured(good), measured(web))
+    p, u = measured(good), measured(web)
+    first = fit_first(p, u)
+    if not len(p) or not len(u):
+        return first
+    of_p = apply(binned(p, first.edges), first.weights)
+    cuts = np.quantile(of_p, np.linspace(0, 1 - LEAST_POSITIVES, CUTS))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CUTS + 1, np.int64)
+        for batch in pieces(batches):
+            value = apply(binned(statistics(batch.column("text")), first.edges), first.weights)
+            total += np.bincount(np.searchsorted(cuts, value, "right"), minlength=CUTS + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(CUTS + 1), pa.int32()), pa.array(total)], names=["bin", "n"])
+
+    bins = np.zeros(CUTS + 1, np.int64)
+    for row in docs.select("text").mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # a row for each bin
+        bins[row["bin"]] = row["n"]
+    above = np.cumsum(bins[::-1])[::-1][1:]  # at each cut or higher
+    return fit(first, p, u, estimate_prior(of_p, cuts, above, int(bins.sum())))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
-    model = fit_on(docs, labels)
+    model = fit_on(docs, labels, positives, unlabelled)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

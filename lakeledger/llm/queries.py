@@ -53,4 +53,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_packing, op4_secrets, op5_decontamination, op6_toxicity, op7_quality_model, op8_quality_rules, op9_warc, op10_substring_dedup)}
 
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op4_secrets": secrets.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op9_warc": warc.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op4_secrets": secrets.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op9_warc": warc.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}

@@ -10,7 +10,8 @@ that score too high.  As the kernel is a product of subsequence weights, the mac
 one weight per subsequence, and scoring is one pass over the bytes.  A text's score is a logistic
 function of its best words' scores.
 
-Labels come from a sample of at most ``SAMPLE`` texts of either label.  Results: a null or empty
+Labels come from at most ``sample`` texts of either label; where these are few, words of a language that the
+sample hardly holds are not learnt.  Results: a null or empty
 text scores as having no word; a text of any length is scored whole; repeated rows score equally;
 with no labelled texts of both kinds every score is 0.
 """
@@ -26,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import discard, pieces, written
 from .sampling import first_by_hash, fold, held_out, with_texts
 from .words import byte_view, mix, range_hashes, spans
 
@@ -187,43 +188,58 @@ def train_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarr
     return beta
 
 
-def parts(column: pa.Array) -> Iterator[pa.Array]:
-    """The sample in pieces of bounded size."""
-    for piece in pieces(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), limit=1 << 20):
-        yield piece.column("text")
-
-
-def vocabulary(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Hashes and spellings of the distinct words, and the distinct pairs of word and text."""
-    spelled: dict[int, bytes] = {}
-    found = []
-    before = 0
-    for part in parts(column):
-        data, starts, ends, text = text_words(part)
-        hashes = range_hashes(CODE.astype(np.uint8)[data], starts, ends)
-        distinct, at = np.unique(hashes, return_index=True)
-        raw = data.tobytes()
-        for h, i in zip(distinct.tolist(), at.tolist(), strict=True):
-            if h not in spelled:
-                spelled[h] = raw[starts[i] : ends[i]]
-        rows = np.unique(np.column_stack([hashes, text.astype(np.uint64)]), axis=0)
-        found.append((rows[:, 0], rows[:, 1].astype(np.int64) + before))
-        before += len(part)
-    known = np.array(sorted(spelled), np.uint64)
-    word = np.searchsorted(known, np.concatenate([h for h, _ in found]))
-    return known, [spelled[h] for h in known.tolist()], np.column_stack([word, np.concatenate([t for _, t in found])])
+@dataclass(frozen=True)
+class Sample:
+    """What the fit needs of labelled texts, instead of the texts: their distinct words, and which text has which."""
+
+    words: list[bytes]  # with their bounds, by hash
+    hashes: np.ndarray
+    pairs: np.ndarray  # (word, text)
+    labels: np.ndarray
+
+
+def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Hash, text and spelling of the distinct words of each text, by text."""
+    data, starts, ends, text = text_words(texts)
+    hashes = range_hashes(CODE.astype(np.uint8)[data], starts, ends)
+    order = np.lexsort((hashes, text))
+    h, t = hashes[order], text[order]
+    new = order[np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])] if len(order) else order
+    raw = data.tobytes()
+    return hashes[new], text[new], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+
+
+def sample_of(hashes: np.ndarray, text: np.ndarray, spelled: list[bytes], labels: np.ndarray) -> Sample:
+    """A sample from the distinct words of texts 0, 1, ... and their labels."""
+    known, at, word = np.unique(hashes, return_index=True, return_inverse=True)
+    return Sample([spelled[i] for i in at.tolist()], known, np.column_stack([word.reshape(-1), text]), labels)
 
 
 def fit(texts: list[str], labels: list[int], rate: float | None = None) -> Model:
-    """A model from labelled texts; ``rate`` is the share of toxic ones before sampling."""
+    """A model from a few labelled texts at hand."""
     seen: dict[str, int] = {}
     for text, label in zip(texts, labels, strict=True):  # copies would count as evidence of their own
         seen[text or ""] = max(seen.get(text or "", 0), int(label))
-    labels_ = np.array(list(seen.values()), np.int64)
     column = pa.array(list(seen), pa.large_string())
+    plain = fit_words(sample_of(*distinct_words(column), np.array(list(seen.values()), np.int64)))
+    best = plain.best(column)
+    return linked(plain, best, np.array(list(seen.values()), np.int64), rate)
+
+
+def linked(model: Model, best: np.ndarray, labels: np.ndarray, rate: float | None) -> Model:
+    """``model`` with the logistic weights for its best word scores; ``rate`` is the share of toxic texts before sampling."""
+    if not model.weights.any():
+        return model
+    share = labels.mean()
+    rate = share if rate is None else rate
+    return Model(model.weights, model.constant, train_logistic(best, labels, np.where(labels == 1, rate / share, (1 - rate) / (1 - share))))
+
+
+def fit_words(sample: Sample) -> Model:
+    """The kernel machine, without the logistic weights."""
+    labels_, known, words, pairs = sample.labels, sample.hashes, sample.words, sample.pairs
     if not len(labels_) or labels_.min() == labels_.max():
         return Model(np.zeros(SYMBOLS**3), 0.0, np.array([0.0] * BEST + [-40.0]))
-    known, words, pairs = vocabulary(column)
     spelled = words.__getitem__
     toxic_texts = np.bincount(pairs[labels_[pairs[:, 1]] == 1, 0], minlength=len(known))
     clean_texts = np.bincount(pairs[labels_[pairs[:, 1]] == 0, 0], minlength=len(known))
@@ -275,26 +291,50 @@ def fit(texts: list[str], labels: list[int], rate: float | None = None) -> Model
         positive = np.union1d(positive, chosen[value[chosen] > 0])
         hard = in_clean[value[in_clean] > -0.5]
         negative = np.union1d(negative, hard[np.argsort(-value[hard], kind="stable")][: NEGATIVES // 4])
-    plain = Model(*model, np.zeros(BEST + 1))
-    best = np.concatenate([plain.best(part) for part in parts(column)])
-    share = labels_.mean()
-    rate = share if rate is None else rate
-    link = train_logistic(best, labels_, np.where(labels_ == 1, rate / share, (1 - rate) / (1 - share)))
-    return Model(*model, link)
+    return Model(*model, np.zeros(BEST + 1))
+
 
+def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from at most ``sample`` rows of either label outside the held-out fold.
 
-def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labelled rows outside the held-out fold."""
+    The driver gets the sampled texts' distinct words, then their best word scores, never a text.
+    """
     known = labels.select("doc_id", F.col("toxic").alias("label")).filter((fold(FOLDS) != HELD_OUT) & F.col("label").isin(0, 1))
-    ids = first_by_hash(known.filter("label = 1"), SAMPLE).union(first_by_hash(known.filter("label = 0"), SAMPLE))
-    rows = with_texts(ids, docs).orderBy("doc_id").toArrow()
+    ids = first_by_hash(known.filter("label = 1"), sample).union(first_by_hash(known.filter("label = 0"), sample))
+    rows = with_texts(ids, docs).withColumn("text", F.coalesce("text", F.lit("")))
+    # copies would count as evidence of their own
+    rows = written(rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.max("label").cast("long").alias("label")), "labelled")
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            hashes, text, spelled = distinct_words(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(text)), pa.array(hashes.view(np.int64)), pa.array(spelled, pa.binary())], names=["digest", "hash", "word"])
+
+    texts = rows.select("digest", "label").orderBy("digest").toArrow()
+    digests, known_labels = texts.column("digest").to_pylist(), texts.column("label").to_numpy()
+    words = rows.mapInArrow(spell, "digest string, hash long, word binary")
+    pairs = words.select("digest", "hash").orderBy("digest", "hash").toArrow()
+    spellings = words.groupBy("hash").agg(F.min("word").alias("word")).orderBy("hash").toArrow()
+    number = {d: i for i, d in enumerate(digests)}
+    spelled = dict(zip(spellings.column("hash").to_pylist(), spellings.column("word").to_pylist(), strict=True))
+    hashes = pairs.column("hash").to_numpy()
+    of = np.array([number[d] for d in pairs.column("digest").to_pylist()], np.int64)
+    plain = fit_words(sample_of(hashes.view(np.uint64), of, [spelled[h] for h in hashes.tolist()], known_labels))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), *map(pa.array, plain.best(batch.column("text")).T.copy())], names=["digest", *(f"best{k}" for k in range(BEST))])
+
+    best = rows.mapInArrow(measure, "digest string, " + ", ".join(f"best{k} double" for k in range(BEST))).orderBy("digest").toArrow()
     rate = known.agg(F.avg("label").alias("rate")).first()["rate"]
-    return fit(rows.column("text").to_pylist(), rows.column("label").to_pylist(), rate)
+    model = linked(plain, np.column_stack([best.column(f"best{k}").to_numpy() for k in range(BEST)]), known_labels, rate)
+    discard(rows)
+    return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
-    model = fit_on(docs, labels)
+    model = fit_on(docs, labels, sample)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import io
 import random
 
 import duckdb
@@ -73,7 +72,9 @@ def test_prior_estimate():
     rng = np.random.default_rng(2)
     good, bad = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
     mixed = np.concatenate([good[2000:], bad[:1000]])
-    assert abs(quality_model.estimate_prior(good[:2000], mixed) - 2 / 3) < 0.1
+    cuts = np.quantile(good[:2000], np.linspace(0, 0.8, 81))
+    above = np.array([(mixed >= c).sum() for c in cuts])
+    assert abs(quality_model.estimate_prior(good[:2000], cuts, above, len(mixed)) - 2 / 3) < 0.1
 
 
 def test_loser_tree_merges():
@@ -88,11 +89,13 @@ PAGES = [(1, "http://www.A.com/x#f", "p" * 1200), (2, "http://a.com/x", "p" * 12
 
 def test_archives_round_trip(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
-    path = warc.write_archives(pages.withColumnRenamed("page_id", "page_id"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").collect()
+    path = warc.write_archives(pages.selectExpr("*", "1 as leader", "'x' as shard", "2 as payload_bytes", "3 as run", "4 as value"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content").collect()
     bodies = {}
     for f in files:
-        for _, headers, block in warc.parse(io.BytesIO(gzip.decompress(f.content))):
+        for offset, n, record in warc.stored(memoryview(f.content)):
+            assert gzip.decompress(f.content[offset : offset + n]) == record  # each record can be read on its own
+            headers, block = warc.parse(record)
             bodies[headers["WARC-Record-ID"]] = (headers["WARC-Type"], block.partition(b"\r\n\r\n")[2].decode())
     assert len(bodies) == len(PAGES)
     for i, _, html in PAGES:
@@ -100,10 +103,10 @@ def test_archives_round_trip(spark):
         assert (kind, body) == (("revisit", "") if i in (1, 2) else ("response", html or ""))
     index = {r.page_id: r for r in warc.archive_pages(pages).collect()}
     for i, url, html in PAGES:
-        r = index[-(2**63) if i is None else i]
+        r = index[i]
         assert (r.payload_bytes, r.payload_digest) == (len((html or "").encode()), hashlib.sha1((html or "").encode()).hexdigest())
         assert r.refers_to == (7 if i in (1, 2) else None)
-    order = sorted(index.values(), key=lambda r: (r.url_key, r.captured, r.page_id))
+    order = sorted(index.values(), key=lambda r: (r.url_key, r.captured, r.page_id or 0))
     assert [r.capture_order for r in order] == list(range(len(PAGES)))
     assert index[1].url_key == index[2].url_key == "com,a)/x"
     assert warc.archive_pages(pages.limit(0)).count() == 0
@@ -149,3 +152,9 @@ def test_queries_match_sql(spark, name):
     columns = [c[0] for c in expected.description]
     got = queries.QUERIES[name](spark, SF_DIR).select(*columns).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected.fetchall()))
+
+
+def test_large_and_repeated_pages(spark):
+    rows = [(1, "u", "q" * 70_000), (2, "u", "q" * 70_000), (2, "u", "q" * 70_000), (3, "v", None), (3, "v", None), (4, "w", "z" * (5 << 20)), (5, "w", "ab" * (9 << 20))]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [(i, len(h or ""), "revisit" if i == 1 else "response", 2 if i == 1 else None) for i, _, h in rows]
