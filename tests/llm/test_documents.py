@@ -207,6 +207,25 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_match_exhaustive_alignment(spark):
+    """Every item against every whole text, without seeds and windows."""
+    docs, benchmark = read(spark, SF_DIR, "documents").select("doc_id", "text"), read(spark, SF_DIR, "benchmark").select("item_id", "text")
+    odd = [(10_000, None), (10_001, ""), (10_002, prose(3000, 70)), (10_003, prose(3000, 71) + " " + benchmark.orderBy("item_id").first().text)]
+    docs = docs.union(spark.createDataFrame([*odd, odd[3], (None, odd[3][1])], docs.schema))
+    items = [(r.item_id, decontaminate.folded_words(pa.array([r.text])).hashes) for r in benchmark.collect()]
+    expected = []
+    longest = max(len(h) for _, h in items)
+    padded = np.stack([np.concatenate([h, np.ones(longest - len(h), np.uint64)]) for _, h in items])
+    sizes = np.array([len(h) for _, h in items])
+    for r in docs.collect():
+        passage = decontaminate.folded_words(pa.array([r.text], pa.string())).hashes
+        if len(passage):
+            score, _ = decontaminate.align(padded, sizes, np.tile(passage, (len(items), 1)))
+            expected += [(r.doc_id, i, round(x, 9)) for (i, _), x in zip(items, score / (2 * sizes), strict=True) if x >= decontaminate.SIMILARITY]
+    found = [(r.doc_id, r.item_id, round(r.similarity, 9)) for r in decontaminate.find_leaks(docs, benchmark).collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr) and len(found) >= 3
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(3)
     for _ in range(30):
