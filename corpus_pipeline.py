@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeledger.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
-from lakeledger.llm.common import read, written
+from lakeledger.llm.common import discard, read, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +45,15 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Aligning passages and hashing shingles are not SQL; tests hold the result against brute force.
+#: Packing (a dynamic program) is not SQL; tests hold every stage against a plain version of it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
