@@ -20,7 +20,8 @@ def pairs(mapping: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
 def weight_changes(paired: DataFrame, then_left: DataFrame, then_right: DataFrame, options: Options) -> DataFrame:
     """Per pair: weights then and now, which side changed, and the action.
 
-    A pair without a snapshot on either side is a first sight: it gets a baseline only.
+    A pair without a snapshot on either side is a first sight: it gets a baseline only.  For
+    newest-wins ``paired`` has ``left_ts`` and ``right_ts`` (see ``with_times``).
     """
     rows = (
         paired.join(then_left.select(F.col("entity_id").alias("left_item_id"), F.col("remaining_weight").alias("left_then")), "left_item_id", "left")
@@ -30,7 +31,7 @@ def weight_changes(paired: DataFrame, then_left: DataFrame, then_right: DataFram
     baseline = F.col("left_then").isNull() | F.col("right_then").isNull()
     left_changed = ~baseline & units.weight_changed(F.col("left_then"), F.col("left_remaining_weight"), options.weight_threshold)
     right_changed = ~baseline & units.weight_changed(F.col("right_then"), F.col("right_total_weight"), options.weight_threshold)
-    act = values.action(left_changed, right_changed, F.lit(options.direction), F.lit(options.policy), F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp"))
+    act = values.action(left_changed, right_changed, F.lit(options.direction), F.lit(options.policy), *_times(rows))
     return rows.select(
         "left_item_id", "right_item_id", "left_then", F.col("left_remaining_weight").alias("left_now"), "right_then", F.col("right_total_weight").alias("right_now"),
         left_changed.alias("left_changed"), right_changed.alias("right_changed"), F.when(baseline, "baseline").otherwise(act).alias("action"),
@@ -62,16 +63,29 @@ def field_changes(now: DataFrame, then: DataFrame, options: Options, either_miss
     baseline = F.col("seen").isNull() | missing
     left_changed, right_changed = values.differ(F.col("left"), F.col("left_then")), values.differ(F.col("right"), F.col("right_then"))
     equal = F.col("left").eqNullSafe(F.col("right"))
-    act = values.action(left_changed, right_changed, F.lit(options.direction), F.lit(options.policy), F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp"))
+    act = values.action(left_changed, right_changed, F.lit(options.direction), F.lit(options.policy), *_times(rows))
     act = F.when(baseline, "baseline").otherwise(F.when(left_changed & right_changed & equal, "converge").otherwise(act) if agree else act)
     if "inherited" in now.columns:
         act = F.when(F.col("inherited") & equal, "skip").when(F.col("inherited") & (act == "push_right"), "master_divergence").otherwise(act)
     return rows.select("pair", "field", "left_then", "left", "right_then", "right", act.alias("action"))
 
 
-def newest_times(left: Column, right: Column, captured: Column) -> tuple[Column, Column]:
-    """Timestamps for newest-wins, void unless they are after the snapshot."""
-    return units.after(left, captured), units.after(right, captured)
+def _times(rows: DataFrame) -> tuple[Column, Column]:
+    """The times of both sides, void where the rows have none."""
+    return tuple(F.col(c) if c in rows.columns else F.lit(None).cast("timestamp") for c in ("left_ts", "right_ts"))
+
+
+def with_times(rows: DataFrame, times: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the times that newest-wins compares.
+
+    ``times`` has (key, last_used, registered, updated, captured_left, captured_right), the first
+    three as ISO text.  The left time is that of the last use, else of the registration; either is
+    void unless it is after the earlier capture.
+    """
+    anchor = F.least("captured_left", "captured_right")  # of one side where the other has none
+    left = units.instant(F.coalesce(F.nullif("last_used", F.lit("")), "registered"))
+    found = times.select(key, units.after(left, anchor).alias("left_ts"), units.after(units.instant(F.col("updated")), anchor).alias("right_ts"))
+    return rows.join(found, key, "left")
 
 
 def deletions(paired: DataFrame, xref_cleared: Column) -> DataFrame:
@@ -95,3 +109,16 @@ def new_records(items: DataFrame, mapping: DataFrame, product_mapping: DataFrame
     known = product_mapping.select(F.col("left_id").alias("product_id"), F.lit(True).alias("known"))
     route = F.when(~F.lit(auto_create), "conflict").when(F.col("known"), "create_item").otherwise("import_product")
     return free.join(known, "product_id", "left").select("id", "product_id", F.coalesce("known", F.lit(False)).alias("product_mapped"), (F.coalesce("remaining_weight", F.lit(0.0)) <= 0).alias("empty"), route.alias("route"))
+
+
+def new_item_routes(live: DataFrame, mapped: DataFrame, products: DataFrame, held: DataFrame | None) -> DataFrame:
+    """Live items (id, product_id, weight) of one side that nothing is mapped to: under a mapped product the item is
+    created, else the product imported; products of ``held`` wait for the user's choice of how families are formed."""
+    free = live.join(mapped, "id", "left_anti").join(products.distinct().withColumn("known", F.lit(True)), "product_id", "left")
+    waiting = F.lit(False)
+    if held is not None:
+        free = free.join(held.withColumn("held", F.lit(True)), "product_id", "left")
+        waiting = F.coalesce("held", F.lit(False))
+    known = F.coalesce("known", F.lit(False))
+    route = F.when(waiting & ~known, "held").when(known, "create_item").otherwise("import_product")
+    return free.select(F.col("id").cast("string").alias("record"), route.alias("route"), (F.coalesce("weight", F.lit(0.0)) <= 0).alias("empty"))

@@ -117,3 +117,36 @@ def failures_first(results: DataFrame) -> DataFrame:
 def unknown_last(rows: DataFrame, group: str) -> DataFrame:
     """Groups in alphabetic order, the unknown ones at the end."""
     return rows.orderBy(F.lower(group).startswith("unknown"), F.lower(group), "id")
+
+
+IDENTITY = "vendor string, name string, color_hex string, material string"
+
+
+def identity_of(blob: Column) -> Column:
+    """A stored identity as a struct; null for plain text of older rows and for objects without a name."""
+    parsed = F.from_json(blob, IDENTITY)
+    return F.when(parsed["name"].isNotNull(), parsed)
+
+
+def left_identity() -> Column:
+    return F.to_json(F.struct("vendor", "name", "color_hex", "material"))
+
+
+def right_identity() -> Column:
+    return F.to_json(F.struct("vendor", "name", F.col("color").alias("color_hex"), F.col("type").alias("material")))
+
+
+def identity_backfill(mapping: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Mappings with an identity where they had none: of the left product, else of the right one.  ``was`` is the old one."""
+    a = left.select(F.col("id").alias("left_id"), left_identity().alias("_left"))
+    b = right.select(F.col("id").alias("right_id"), right_identity().alias("_right"))
+    rows = mapping.withColumnRenamed("identity", "was").join(a, "left_id", "left").join(b, "right_id", "left")
+    return rows.withColumn("identity", F.coalesce("was", "_left", "_right")).drop("_left", "_right")
+
+
+def identity_cleared(products: DataFrame, chosen: DataFrame, key: str = "right_id") -> DataFrame:
+    """Products (left_id, extra): the chosen ones without their cross reference, and the right id that each had."""
+    rows = products.join(chosen.select("left_id").distinct().withColumn("_chosen", F.lit(True)), "left_id", "left")
+    had = extra_value(F.col("extra"), key)
+    clear = F.coalesce("_chosen", F.lit(False)) & had.isNotNull()
+    return rows.select("left_id", had.alias("cleared_right_id"), clear.alias("cleared"), F.when(clear, F.map_filter("extra", lambda k, v: k != key)).otherwise(F.col("extra")).alias("extra"))

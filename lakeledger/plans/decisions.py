@@ -79,3 +79,9 @@ def seed_snapshots(pairs: DataFrame, fields: list[str], side: str, now: Column)
     """First snapshot rows of new pairs, so that the next run starts from what was written."""
     rows = F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields)))
     return pairs.select(F.lit(side).alias("source"), F.col(f"{side}_item_id").cast("string").alias("entity_id"), rows).withColumn("captured_at", now)
+
+
+def settled_with(conflicts: DataFrame, gone: DataFrame) -> DataFrame:
+    """All conflicts, and which open ones are settled because their product is gone."""
+    known = gone.select("left_id").distinct().withColumn("_gone", F.lit(True))
+    return conflicts.join(known, "left_id", "left").withColumn("settled", F.col("resolved_at").isNull() & F.coalesce("_gone", F.lit(False))).drop("_gone")

@@ -126,3 +126,13 @@ def ordered(rows: DataFrame, column: str, descending: bool = False) -> DataFrame
     """Sorted case-insensitively with missing values last either way."""
     key: Column = F.lower(F.col(column).cast("string"))
     return rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "id")
+
+
+def newest_conflicts(queue: DataFrame, n: int) -> DataFrame:
+    """The newest open conflicts (a page)."""
+    return conflicts.open_ones(queue).orderBy(F.col("detected_at").desc(), F.col("id").desc()).limit(n)
+
+
+def by_cycle(log: DataFrame) -> DataFrame:
+    """A row per cycle: its rows, their first and last ids (cycles are shown by the first), and the kinds of action."""
+    return log.groupBy("cycle_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.array_join(F.array_sort(F.collect_set("action")), ",").alias("actions"))

@@ -19,6 +19,63 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+#: Pairs of products for the field passes: a base value of each field, what either side had at the last sync, and what
+#: it has now.  One in 11 left and one in 13 right values moved, one in 17 moved to the same value on both sides.
+NUMBERS = {
+    "cost": "p_retailprice",
+    "bed_temp": "cast(50 + p_size as double)",
+    "nozzle_temp": "cast(200 + p_size as double)",
+    "density": "round(1 + p_size / 100, 3)",
+    "diameter": "1.75e0",
+    "spool_weight": "150.0e0 + p_size",
+    "weight": "1000e0",
+    "nozzle_temp_min": "190e0 + p_size",
+    "nozzle_temp_max": "230e0 + p_size",
+    "drying_temp": "50e0",
+    "drying_time": "480e0",
+    "hardness_shore_a": "90e0",
+    "hardness_shore_d": "40.5e0",
+    "transmission_distance": "1.5e0 + p_size / 10",
+}
+RIGHT_NAMES = {"spool_weight": "tare", "weight": "net_weight"}
+
+
+def _moved(base: str, k: int, side: str, null: str) -> str:
+    """SQL of a number now: moved by its side's turn, by both sides' turn, or null."""
+    turn, step = ("11", "2") if side == "left" else ("13", "3")
+    return f"case when (p_partkey + {k}) % {null} = 0 then null when (p_partkey + {k}) % 17 = 0 then {base} + 5 when (p_partkey + {k}) % {turn} = 0 then {base} + {step} else {base} end"
+
+
+def _pair_sql(now: bool) -> str:
+    columns = ["p_partkey as pair"]
+    for k, (name, base) in enumerate(NUMBERS.items()):
+        for side in ("left", "right"):
+            value = _moved(base, k, side, "37" if side == "left" else "41") if now else f"case when (p_partkey + {k}) % 29 = 0 then null else {base} end"
+            columns.append(f"{value} as {side}_{RIGHT_NAMES.get(name, name) if side == 'right' else name}")
+    for side, name, turn in (("left", "material", 11), ("right", "type", 13)):
+        columns.append(f"case when {str(now).lower()} and p_partkey % {turn} = 1 then concat(' ', p_type, ' {side} ') else p_type end as {side}_{name}")
+    for side, name, turn in (("left", "lot", 11), ("right", "lot", 13)):
+        columns.append(f"case when {str(now).lower()} and p_partkey % {turn} = 2 then '{side}' when p_partkey % 5 = 0 then null else 'lot' end as {side}_{name}")
+    hexes = "case p_size % 4 when 0 then 'FF0000' when 1 then '00FF00' when 2 then '0000FF' else null end"
+    moved = lambda turn, k: f"{str(now).lower()} and p_partkey % {turn} = {k}"
+    columns += [
+        f"case when {moved(11, 3)} then 'ABCDEF' else {hexes} end as left_color_hex",
+        f"case when {moved(11, 4)} then 'aa0000,00bb00' when p_partkey % 6 = 0 then '112233,445566' else null end as left_multi",
+        "case when p_partkey % 12 = 0 then 'coaxial' else 'longitudinal' end as left_direction",
+        f"case when p_partkey % 12 = 0 then null when p_partkey % 6 = 0 then '#112233' when {moved(13, 3)} then '#00FFAA' else '#' || {hexes} end as right_color",
+        "case when p_partkey % 12 = 0 then '#112233,#445566' when p_partkey % 6 = 0 then '#445566' else '' end as right_secondary_csv",
+        f"case when {moved(13, 5)} then '28,17,900' when p_partkey % 12 = 0 then '29,16' when p_partkey % 6 = 0 then '28' else '900' end as right_tags_csv",
+        "p_name as left_name", f"case when {moved(11, 6)} then '[17, 16]' when p_partkey % 4 = 0 then '16' else null end as left_tags",
+        "case when p_partkey % 3 = 0 then 'density,spool_weight,lot' when p_partkey % 3 = 1 then 'material,net_weight' else '' end as right_inherited_csv",
+    ]
+    return f"select {', '.join(columns)} from part{'' if now else ' where p_partkey % 23 <> 0'}"
+
+
+VIEWS["pair_now"] = (("part",), _pair_sql(True))
+VIEWS["pair_then"] = (("part",), _pair_sql(False))
+VIEWS["item_times"] = (("orders",), "select o_orderkey as left_item_id, case when o_orderkey % 3 = 0 then '' when o_orderkey % 4 = 0 then 'soon' else concat(substr(cast(o_orderdate as varchar(40)), 1, 10), 'T10:00:00Z') end as last_used, concat(substr(cast(o_orderdate as varchar(40)), 1, 10), ' 08:30:00') as registered, case when o_orderkey % 5 = 0 then null when o_orderkey % 2 = 0 then concat(substr(cast(o_orderdate as varchar(40)), 1, 10), 'T09:00:00Z') else concat(substr(cast(o_orderdate as varchar(40)), 1, 10), 'T10:00:00+00:00') end as updated, case when o_orderkey % 7 = 0 then null else cast(o_orderdate as timestamp) + interval '9' hour end as captured_left, case when o_orderkey % 8 = 0 then null when o_orderkey % 6 = 1 then cast(o_orderdate as timestamp) + interval '7' hour else cast(o_orderdate as timestamp) + interval '12' hour end as captured_right from orders")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the views as a DataFrame."""
     tables, sql = VIEWS[name]
