@@ -105,6 +105,11 @@ def right_profile(secondary: Column, tags: Column, words: Column) -> Column:
     return F.coalesce(arrangement(every), F.when(F.size(F.coalesce(secondary, _empty(STRINGS))) >= 2, "multi_unknown").otherwise("single"))
 
 
+def is_multicolor(multi: Column, tags: Column) -> Column:
+    """Whether the left list has two hexes or more, or the right tags name an arrangement."""
+    return (F.size(split_hexes(multi)) >= 2) | arrangement(F.coalesce(tags, _empty("array<int>"))).isNotNull()
+
+
 def profiles_fit(a: Column, b: Column) -> Column:
     return (a == b) | ((a != "single") & (b != "single") & ((a == "multi_unknown") | (b == "multi_unknown")))
 
@@ -119,14 +124,24 @@ def profiles_fit_softly(a: Column, b: Column, hexes_a: Column, hexes_b: Column,
     return F.when(arranged, profiles_fit(a, b)).otherwise((arity_a >= 2) == (arity_b >= 2))
 
 
+def rgb(c: Column) -> Column:
+    """Red, green and blue of a hex code; null for what is none.  Worked out once per product, not per pair."""
+    bare = F.regexp_replace(c, "^#+", "")
+    part = lambda k: F.conv(F.substr(bare, F.lit(1 + 2 * k), F.lit(2)), 16, 10).cast("double")
+    return F.when(bare.rlike("^[0-9A-Fa-f]{6}"), F.array(*(part(k) for k in range(3))))
+
+
+def rgb_distance(a: Column, b: Column) -> Column:
+    """Distance of two colors from 0 to 1; 0.5 where either is unknown."""
+    squares = sum(((a[k] - b[k]) * (a[k] - b[k]) for k in range(3)), F.lit(0.0))
+    return F.when(a.isNull() | b.isNull(), 0.5).otherwise(F.sqrt(squares) / (255 * 3**0.5))
+
+
 def distance(a: Column, b: Column) -> Column:
-    """RGB distance from 0 to 1; 0.5 where either is unknown."""
-    part = lambda c, k: F.conv(F.substr(F.regexp_replace(c, "^#+", ""), F.lit(1 + 2 * k), F.lit(2)), 16, 10).cast("double")
-    valid = lambda c: F.regexp_replace(c, "^#+", "").rlike("^[0-9A-Fa-f]{6}")
-    squares = sum(((part(a, k) - part(b, k)) * (part(a, k) - part(b, k)) for k in range(3)), F.lit(0.0))
-    return F.when(valid(a) & valid(b), F.sqrt(squares) / (255 * 3**0.5)).otherwise(0.5)
+    return rgb_distance(rgb(a), rgb(b))
 
 
 def hex_score(a: Column, b: Column) -> Column:
-    d = distance(a, b)
+    """What two colors (of ``rgb``) that are near each other add to a match."""
+    d = rgb_distance(a, b)
     return F.when(d <= 0.5, F.greatest(F.lit(0.0), 0.05 * (1 - d / 0.5))).otherwise(0.0)

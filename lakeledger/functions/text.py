@@ -8,7 +8,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,12 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+def composed(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with ``columns`` in Unicode NFKC.  Rows of plain ASCII, which are in it already, never leave the JVM."""
+    plain = functools.reduce(lambda a, b: a & b, (~_text(F.col(c)).rlike(r"[^\x00-\x7F]") for c in columns))
+    return rows.filter(plain).unionByName(rows.filter(~plain).withColumns({c: nfkc(F.col(c)) for c in columns}))
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity of two names; edit distance is not equivalent."""
@@ -141,14 +147,16 @@ def without_finishes(material: Column, tags: dict[str, int]) -> Column:
     out = _text(material)
     for word in sorted(tags, key=lambda w: (-len(w), w)):
         out = F.regexp_replace(out, rf"(?iu)[\s_-]*\Q{word}\E[\s_-]*", " ")
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(out, r"\s+", " ")), F.lit("")), F.trim(_text(material)))
+    left = F.transform(F.array(F.trim(F.regexp_replace(out, r"\s+", " "))), lambda c: F.when(c != "", c).otherwise(F.trim(_text(material))))
+    return F.get(left, F.lit(0))
 
 
 def material_family(material: Column, tags: dict[str, int]) -> Column:
     """Base polymer of a material; an unknown one stands for itself, null for ''."""
-    plain = F.lower(without_finishes(material, tags))
-    known = [F.when(plain.startswith(p) & ~F.substr(plain, F.lit(len(p) + 1), F.lit(1)).rlike(r"\p{L}"), F.lit(f)) for p, f in FAMILY_PREFIXES]
-    return F.when(_text(material) == "", "").otherwise(F.coalesce(*known, plain))
+    family = lambda plain: F.coalesce(*(F.when(plain.startswith(p) & ~F.substr(plain, F.lit(len(p) + 1), F.lit(1)).rlike(r"\p{L}"), F.lit(f)) for p, f in FAMILY_PREFIXES), plain)
+    # as an element of an array the plain material is worked out once, not once for each prefix
+    found = F.transform(F.array(F.lower(without_finishes(material, tags))), family)
+    return F.when(_text(material) == "", "").otherwise(F.get(found, F.lit(0)))
 
 
 def families_fit(left: Column, right: Column) -> Column:
@@ -171,11 +179,25 @@ def vendor_hint(a: Column, b: Column) -> Column:
     return F.when((a != b) & (vendor_key(a) == vendor_key(b)), F.concat(a, F.lit(" = "), b))
 
 
+def minus_color(name: Column, color: Column) -> Column:
+    """A right name without its color word as given, in lower and in title case; the whole name if nothing is left."""
+    word = _text(color)
+    cut = lambda c, w: F.when(w == "", c).otherwise(F.replace(c, w, F.lit("")))
+    return F.coalesce(F.nullif(name_key(cut(cut(cut(_text(name), word), F.lower(word)), F.initcap(word))), F.lit("")), name_key(name))
+
+
+def container_name(vendor: Column, material: Column, finish: Column, marker: Column) -> Column:
+    """Name of a family's container: vendor, material and finish, with a marker that sets it apart from its members."""
+    return F.concat_ws(" ", label(vendor, material, finish), marker)
+
+
 def display_name(vendor: Column, material: Column, name: Column) -> Column:
-    """Name of a new product: vendor and material in front unless the name has them already."""
+    """Name of a new product: vendor and material in front, each unless the name has it already; without a name
+    what there is of them."""
     key = name_key(name)
-    with_material = F.when((name_key(material) == "") | F.contains(key, name_key(material)), F.trim(_text(name))).otherwise(F.concat_ws(" ", F.trim(material), F.trim(_text(name))))
-    return F.when((name_key(vendor) == "") | key.startswith(name_key(vendor)), with_material).otherwise(F.concat_ws(" ", F.trim(vendor), with_material))
+    front = F.when((name_key(vendor) != "") & ~key.startswith(name_key(vendor)), F.trim(vendor))
+    middle = F.when((name_key(material) != "") & ~F.contains(key, name_key(material)), F.trim(material))
+    return F.concat_ws(" ", front, middle, F.nullif(F.trim(_text(name)), F.lit("")))
 
 
 def tags_to_csv(tags: Column) -> Column:

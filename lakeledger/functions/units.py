@@ -47,9 +47,13 @@ def instant(c: Column) -> Column:
 
 
 def day(c: Column) -> Column:
-    """The date that the text itself names, else null."""
-    found = F.regexp_extract(F.coalesce(c, F.lit("")), r"^(\d{4}-\d{2}-\d{2})", 1)
-    return F.when(F.try_to_timestamp(found).isNotNull(), found)
+    """The date that the text itself names in its own zone, else its first ten characters; null if it is shorter."""
+    return F.when(F.char_length(c) >= 10, F.substr(c, F.lit(1), F.lit(10)))
+
+
+def provenance(registered: Column, first_used: Column) -> tuple[Column, Column]:
+    """When an item was bought and when it was opened."""
+    return day(registered).alias("purchased"), day(first_used).alias("opened")
 
 
 def after(ts: Column, anchor: Column) -> Column:

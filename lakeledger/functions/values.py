@@ -51,22 +51,35 @@ def action(left_changed: Column, right_changed: Column, direction: Column, polic
     )
 
 
+def _overlap(a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Shared and all elements of two arrays without repeats, and whether either is empty (then nothing is shared)."""
+    empty = (F.size(a) == 0) | (F.size(b) == 0)
+    shared = F.when(empty, 0).otherwise(F.size(F.array_intersect(a, b)))
+    return shared, F.size(a) + F.size(b) - shared, empty
+
+
 def finish_score(a: Column, b: Column) -> Column:
-    shared, every = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(every == 0, 0.05).when((F.size(a) == 0) | (F.size(b) == 0), -0.10).when(shared == 0, -0.07).otherwise(0.10 * shared / every)
+    shared, every, empty = _overlap(a, b)
+    return F.when(every == 0, 0.05).when(empty, -0.10).when(shared == 0, -0.07).otherwise(0.10 * shared / every)
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    every = F.size(F.array_union(a, b))
-    return F.when(every == 0, 0.5).otherwise(F.size(F.array_intersect(a, b)) / every)
+    shared, every, _ = _overlap(a, b)
+    return F.when(every == 0, 0.5).otherwise(shared / every)
+
+
+def token_similarity(a: Column, b: Column) -> Column:
+    """Jaccard of two token sets, or the share of the larger that the smaller is, where it lies in it; 0.5 if one is empty."""
+    shared, small, large = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    plain = shared / F.size(F.array_union(a, b))
+    return F.when(small == 0, 0.5).when(shared == 0, 0.0).when(shared == small, F.greatest(plain, small / large)).otherwise(plain)
 
 
 def multiset_score(a: Column, b: Column) -> Column:
     """Shared over greatest counts of two maps word -> count; 0.5 where one is empty."""
-    words = F.array_union(F.map_keys(a), F.map_keys(b))
-    count = lambda m, w: F.coalesce(F.try_element_at(m, w), F.lit(0))
-    total = lambda f: F.aggregate(words, F.lit(0), lambda s, w: s + f(count(a, w), count(b, w)))
-    return F.when((F.size(F.map_keys(a)) == 0) | (F.size(F.map_keys(b)) == 0), 0.5).otherwise(total(F.least) / total(F.greatest))
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda s, n: s + n)
+    shared = F.aggregate(F.map_entries(a), F.lit(0), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at(b, e["key"]), F.lit(0))))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.5).otherwise(F.transform(F.array(shared), lambda n: n / (total(a) + total(b) - n))[0])
 
 
 def conflict_class(field: Column, kind: Column, left: Column, right: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, text, values
-from ..options import BASE_COLORS, COLOR_SYNONYMS, Options
+from ..options import BASE_COLORS, BIOPOLYMERS, COLOR_SYNONYMS, Options
 from . import lexicon
 
 PARTS = ("family", "brand", "color", "modifier", "finish", "hex", "name")
@@ -55,6 +55,9 @@ def decomposed(
     are for catalogs with multiple colors, ``tag_words`` for one that has finishes as words beside the name.
     """
     index = lexicon.index() if index is None else index
+    # a family is told by the material alone: once for each distinct one, as it takes many patterns
+    kinds = products.select(F.col(material).alias("_material")).distinct().select("_material", text.material_family(F.col("_material"), options.finish_tags).alias("_family"))
+    products = products.join(kinds, F.col(material).eqNullSafe(F.col("_material")))
     products = products.withColumn("_parts", name_parts(F.col(name), F.col(vendor), F.col(material), options.finish_tags, index))
     named = F.col("_parts")["colors"]
     found = F.map_from_entries(F.transform(F.array_distinct(named), lambda w: F.struct(w, F.size(F.filter(named, lambda x: x == w)))))
@@ -62,7 +65,7 @@ def decomposed(
     kind = F.col(material) if tag_words is None else F.concat_ws(" ", F.col(material), tag_words)
     return products.select(
         F.col(id_).alias("id"), text.vendor_key(F.col(vendor), options.vendor_aliases).alias("brand"), text.name_key(F.col(name)).alias("name"),
-        text.material_family(F.col(material), options.finish_tags).alias("family"), text.finish_ids(F.col(name), kind, options.finish_tags).alias("finishes"),
+        F.col("_family").alias("family"), text.finish_ids(F.col(name), kind, options.finish_tags).alias("finishes"),
         found.alias("colors"), F.col("_parts")["modifiers"].alias("modifiers"), F.col(hex_).alias("hex"),
         (F.lit("single") if profile is None else profile).alias("profile"), hexes.alias("hexes"), color.arity(hexes, F.size(named)).alias("arity"),
     )
@@ -71,13 +74,15 @@ def decomposed(
 def scored(left: DataFrame, right: DataFrame, with_names: bool = False) -> DataFrame:
     """(left_id, right_id, score) of all pairs of one brand that pass the family and color gates.
 
-    The pairs of a brand are what is asked for; AQE splits a brand that holds a large share.
+    Brand and family block are the key of the join; AQE splits one that holds a large share.
     ``with_names`` adds the similarity of the names, which only Python computes.
     """
-    a, b = (df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns)) for p, df in (("a", left), ("b", right)))
+    a, b = (df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns), color.rgb(F.col("hex")).alias(f"{p}_rgb")) for p, df in (("a", left), ("b", right)))
     profiles = color.profiles_fit_softly(*(F.col(f"{p}_{c}") for c in ("profile", "hexes", "arity") for p in "ab"))
-    gates = (F.col("a_brand") == F.col("b_brand")) & text.families_fit(F.col("a_family"), F.col("b_family")) & profiles
-    rows = a.join(b, gates)
+    # families fit where they are of one block (biopolymers are one), or where the right one is unknown
+    block = lambda c: F.when(c.isin(*BIOPOLYMERS), BIOPOLYMERS[0]).otherwise(c)
+    brand, left_block = F.col("a_brand") == F.col("b_brand"), block(F.col("a_family"))
+    rows = a.join(b, brand & (left_block == block(F.col("b_family"))) & profiles).unionByName(a.filter(left_block != "").join(b.filter("b_family = ''"), brand & profiles))
     half = F.when(F.contains("a_family", F.col("b_family")) | F.contains("b_family", F.col("a_family")), 0.5).otherwise(0.0)
     parts = {
         "family": 0.15 * F.when(F.col("a_family") == F.col("b_family"), 1.0).otherwise(half),
@@ -85,7 +90,7 @@ def scored(left: DataFrame, right: DataFrame, with_names: bool = False) -> DataF
         "color": 0.40 * values.multiset_score(F.col("a_colors"), F.col("b_colors")),
         "modifier": 0.15 * values.jaccard(F.col("a_modifiers"), F.col("b_modifiers")),
         "finish": values.finish_score(F.col("a_finishes"), F.col("b_finishes")),
-        "hex": color.hex_score(F.col("a_hex"), F.col("b_hex")),
+        "hex": color.hex_score(F.col("a_rgb"), F.col("b_rgb")),
         "name": 0.05 * text.sequence_ratio(F.col("a_name"), F.col("b_name")) if with_names else F.lit(0.0),
     }
     total: Column = F.lit(0.0)
@@ -94,22 +99,50 @@ def scored(left: DataFrame, right: DataFrame, with_names: bool = False) -> DataF
     return rows.select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), F.round(total, 4).alias("score"))
 
 
+def _best(rows: DataFrame, key: str, order: list[Column], most: int, by: str) -> DataFrame:
+    """The first ``most`` rows of each ``key`` with their ``rank``; a first selection per (key, shard) bounds what meets in one window."""
+    dealt = rows.withColumn("_shard", F.pmod(F.xxhash64(by), F.lit(16)))
+    dealt = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(key, "_shard").orderBy(*order))).filter(F.col("rank") <= most)
+    return dealt.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= most).drop("_shard")
+
+
 def ranked(pairs: DataFrame, options: Options) -> DataFrame:
     """The best right product of each left one and its alternates, in order of score, then of id.
 
-    Below the least score there is no best; then the alternates begin at the top row.  A first
-    selection per (left, shard) bounds what meets in one window, however many pairs a left has.
+    Below the least score there is no best; then the alternates begin at the top row.
     """
     most = options.alternates + 1
-    order = [F.col("score").desc(), F.col("right_id")]
-    pairs = pairs.withColumn("_shard", F.pmod(F.xxhash64("right_id"), F.lit(16)))
-    pairs = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("left_id", "_shard").orderBy(*order))).filter(F.col("_n") <= most)
-    rows = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("left_id").orderBy(*order))).filter(F.col("rank") <= most)
+    rows = _best(pairs, "left_id", [F.col("score").desc(), F.col("right_id")], most, "right_id")
     top = F.max(F.when(F.col("rank") == 1, F.col("score"))).over(Window.partitionBy("left_id"))
     role = F.when((F.col("rank") == 1) & (F.col("score") >= options.least_match), "best").otherwise("alternate")
     return rows.withColumn("_top", top).withColumn("role", role).filter((F.col("_top") >= options.least_match) | (F.col("rank") <= options.alternates)).select("left_id", "right_id", "score", "rank", "role")
 
 
+def _alike(products: DataFrame, with_names: bool) -> DataFrame:
+    """Products with ``key``, equal where a score cannot tell them apart."""
+    entries = F.array_sort(F.map_entries("colors"))
+    seen = F.struct("brand", "family", "finishes", entries.alias("colors"), F.array_sort("modifiers").alias("modifiers"), "hex", "profile", "hexes", "arity", *(["name"] if with_names else []))
+    return products.withColumn("key", F.sha2(F.to_json(seen), 256))
+
+
+def matches(left: DataFrame, right: DataFrame, options: Options, with_names: bool = False) -> DataFrame:
+    """``ranked(scored(left, right))``, but products that a score cannot tell apart are scored once.
+
+    Of a left group the best right groups, by score and least id, are as many as rows are asked
+    for: each holds a row that comes before all rows of a later group.  Of a right group as many
+    of the least ids can appear.
+    """
+    most = options.alternates + 1
+    a, b = _alike(left, with_names), _alike(right, with_names)
+    one = lambda rows, id_: rows.groupBy("key").agg(id_.alias("id"), *(F.first(c).alias(c) for c in left.columns if c != "id")).drop("key")
+    groups = scored(one(a, F.first("key")), one(b, F.min("id")), with_names)
+    best = _best(groups, "left_id", [F.col("score").desc(), F.col("right_id")], most, "right_id").withColumnRenamed("right_id", "first_id").drop("rank")
+    members = _best(b.select("key", "id"), "key", [F.col("id").asc()], most, "id")
+    members = members.join(members.filter("rank = 1").select("key", F.col("id").alias("first_id")), "key").select("first_id", F.col("id").alias("right_id"))
+    rows = ranked(best.join(members, "first_id").select("left_id", "right_id", "score"), options).withColumnRenamed("left_id", "key")
+    return a.select("key", F.col("id").alias("left_id")).join(rows, "key").drop("key")
+
+
 def pinned(ranked_rows: DataFrame, identities: DataFrame) -> DataFrame:
     """Known identities (left_id, right_id) as best matches of score 1; the scored rows become alternates."""
     sure = identities.select("left_id", "right_id", F.lit(1.0).alias("score"), F.lit(1).alias("rank"), F.lit("best").alias("role"))
@@ -167,14 +200,3 @@ def search(reference: DataFrame, probe: DataFrame, options: Options, limit: int)
     """
     rows = scored(probe, reference.join(probe.select(F.col("family").alias("_f")), (F.col("family") == "") | (F.col("_f") == "") | (F.col("family") == F.col("_f"))).drop("_f"))
     return rows.orderBy(F.col("score").desc(), "right_id").limit(min(limit, 50))
-
-
-def suggestions(probe: DataFrame, products: DataFrame, limit: int = 8) -> DataFrame:
-    """Products that may be meant by a conflict's record (a top-k report): vendor, then base name, then color."""
-    a, b = (df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "brand", "name", "hex"))) for p, df in (("a", probe), ("b", products)))
-    score = (
-        F.when(F.col("a_brand") == F.col("b_brand"), 0.5).otherwise(0.0) + F.when(text.without_colors(F.col("a_name"), F.col("a_hex")) == text.without_colors(F.col("b_name"), F.col("b_hex")), 0.3).otherwise(0.0)
-        + F.when(text.color_key(F.col("a_hex")) == text.color_key(F.col("b_hex")), 0.2).otherwise(0.0)
-    )
-    rows = b.join(F.broadcast(a), F.lit(True))  # one probe row
-    return rows.select(F.col("b_id").alias("id"), F.col("b_name").alias("name"), F.round(score, 4).alias("score")).filter("score > 0").orderBy(F.col("score").desc(), "name", "id").limit(limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +32,16 @@ def residual_ngrams(names: DataFrame, name: str, brand: str, material: str | Non
 
 
 def runs(words: DataFrame, longest: int) -> DataFrame:
-    """(n, term, brand) of segments (brand, w)."""
-    out = None
+    """(n, term, brand) of segments (brand, w); all lengths in one pass over the words."""
+    each = []
     for n in range(1, longest + 1):
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        terms = words.select(F.lit(n).alias("n"), F.explode(_runs(starts, n)).alias("term"), "brand")
-        out = terms if out is None else out.unionByName(terms)
-    return out
+        each.append(_numbered(_runs(starts, n), n))
+    return words.select("brand", F.inline(F.concat(*each))).select("n", "term", "brand")
+
+
+def _numbered(terms: Column, n: int) -> Column:
+    return F.transform(terms, lambda t: F.struct(F.lit(n).alias("n"), t.alias("term")))
 
 
 def _runs(starts: Column, n: int) -> Column:
@@ -64,9 +68,10 @@ def mine(
     """(kind, term, n, freq): modifiers and colors, longest first, then by term; a seed that does not occur has freq 0.
 
     Modifiers are frequent terms of several brands, bigrams with lift, without what longer ones cover;
-    and the seeds.  Colors are the base ones and what ``promoted`` finds.
+    and the seeds.  Colors are the base ones and what ``promoted`` finds.  The counts, a row for
+    each distinct term, are used several times and stay cached, on disk where they do not fit.
     """
-    counted = counts(residual_ngrams(names, name, brand, material, tags))
+    counted = counts(residual_ngrams(names, name, brand, material, tags)).persist(StorageLevel.MEMORY_AND_DISK)
     often = counted.filter((F.col("freq") >= LEAST_COUNT) & (F.col("brands") >= LEAST_BRANDS) & ~((F.col("n") == 1) & F.col("term").isin(*stop)))
     pairs = lifts(counted, F.lit(names.count())).filter(F.col("lift") >= LEAST_LIFT).select("term")
     kept = often.filter("n <> 2").unionByName(often.filter("n = 2").join(pairs, "term", "left_semi").select(*often.columns))

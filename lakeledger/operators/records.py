@@ -77,9 +77,9 @@ def label_fields(rows: DataFrame, columns: list[str], wanted: list[str]) -> Data
     return rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in wanted if c in columns))
 
 
-def files_kept(files: DataFrame) -> DataFrame:
+def files_kept(files: DataFrame, *by: str) -> DataFrame:
     """Number and bytes of retained files."""
-    return files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    return files.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
 def file_time(name: Column, modified: Column) -> Column:
@@ -150,3 +150,15 @@ def identity_cleared(products: DataFrame, chosen: DataFrame, key: str = "right_i
     had = extra_value(F.col("extra"), key)
     clear = F.coalesce("_chosen", F.lit(False)) & had.isNotNull()
     return rows.select("left_id", had.alias("cleared_right_id"), clear.alias("cleared"), F.when(clear, F.map_filter("extra", lambda k, v: k != key)).otherwise(F.col("extra")).alias("extra"))
+
+
+def product_refs(left: DataFrame, items: DataFrame, right: DataFrame, uuid_key: str) -> DataFrame:
+    """Short references of all products of both sides: left ones tagged or not, with active items and the source of the
+    tare; right ones containers or not."""
+    active = items.groupBy(F.col("product_id").alias("id")).agg(F.count_if(~F.col("archived")).alias("n_active"))
+    tagged = F.coalesce(extra_value(F.col("extra"), uuid_key), F.lit("")) != ""
+    source = F.when(F.col("spool_weight").isNull(), "needs_input").otherwise("left")
+    a = left.join(active, "id", "left").select(F.lit("left").alias("side"), F.col("id").cast("string").alias("id"), "vendor", "name", tagged.alias("flag"), F.coalesce("n_active", F.lit(0)).alias("n_active"), source.alias("tare_source"))
+    parents = right.filter("parent_id <> id").select(F.col("parent_id").alias("id"), F.lit(True).alias("_has")).distinct()
+    b = right.join(parents, "id", "left").select(F.lit("right").alias("side"), "id", "vendor", "name", F.coalesce("_has", F.lit(False)).alias("flag"), F.lit(None).cast("long").alias("n_active"), F.lit(None).cast("string").alias("tare_source"))
+    return a.unionByName(b)

@@ -14,9 +14,9 @@ def saved(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, new, ["left_id"])
 
 
-def variant_masters(clusters: DataFrame) -> DataFrame:
-    """(left_id, master_id) of clusters with their members listed."""
-    return clusters.select("master_id", F.explode("members").alias("left_id")).filter("left_id <> master_id")
+def variant_masters(members: DataFrame) -> DataFrame:
+    """(left_id, master_id) of all members (id, n, master_id) of families of two or more but the masters themselves."""
+    return members.filter("n >= 2 and id <> master_id").select(F.col("id").alias("left_id"), "master_id")
 
 
 def overlay(payload: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -88,3 +88,46 @@ def execution(planned: DataFrame) -> DataFrame:
     rows = product_rows(planned)
     first = rows.select(F.when(F.col("action") == "create", 1).otherwise(2).alias("seq"), F.lit("product").alias("entity"), F.col("left_id").alias("id"), "action")
     return first.unionByName(planned.select(F.lit(3).alias("seq"), F.lit("item").alias("entity"), F.col("item_id").alias("id"), F.lit("create").alias("action")))
+
+
+def roles(planned: DataFrame, members: DataFrame) -> DataFrame:
+    """(left_id, role, parent_left_id, planned_name) of the plan's products.
+
+    A product that is created is the master of its family, a variant under it where the master is
+    created too, or stands alone; a linked one keeps its right name.
+    """
+    made = planned.select("left_id", "action").distinct()
+    rows = made.join(members.select(F.col("id").alias("left_id"), "n", "master_id", "vendor", "material", "name"), "left_id")
+    created = made.filter("action = 'create'").select(F.col("left_id").alias("master_id"), F.lit(True).alias("_created"))
+    rows = rows.join(created, "master_id", "left")
+    in_family = (F.col("action") == "create") & (F.col("n") >= 2) & F.coalesce("_created", F.lit(False))
+    own = F.col("left_id") == F.col("master_id")
+    role = F.when(F.col("action") == "link", "link").when(~in_family, "standalone").when(own, "master").otherwise("variant")
+    name = F.when(F.col("action") == "create", text.display_name(F.col("vendor"), F.col("material"), F.col("name")))
+    return rows.select("left_id", role.alias("role"), F.when(in_family & ~own, F.col("master_id")).alias("parent_left_id"), name.alias("planned_name"))
+
+
+def execution_passes(planned: DataFrame, planned_roles: DataFrame) -> DataFrame:
+    """Ordered actions (seq, entity, id, action) from left to right; applying them is the caller's.
+
+    Containers of families come first, then masters and standalone products, variants, changes of
+    linked products, tags, identities, and last the items.
+    """
+    steps = (
+        (0, "container", "create", ("master",)), (1, "product", "create", ("master", "standalone")), (2, "variant", "create", ("variant",)),
+        (3, "reconcile", "update", ("link",)), (4, "tags", "update", ("master", "variant", "standalone")), (5, "identity", "update", ("master", "variant", "standalone", "link")),
+    )
+    each = F.array(*(F.when(F.col("role").isin(*which), F.struct(F.lit(seq).alias("seq"), F.lit(entity).alias("entity"), F.lit(act).alias("action"))) for seq, entity, act, which in steps))
+    products = planned_roles.select(F.col("left_id").alias("id"), F.inline(F.filter(each, lambda x: x.isNotNull())))
+    items = planned.select(F.col("item_id").alias("id"), F.lit(6).alias("seq"), F.lit("item").alias("entity"), F.lit("create").alias("action"))
+    return products.unionByName(items).select("seq", "entity", "id", "action")
+
+
+def right_to_left(right: DataFrame, right_items: DataFrame, left: DataFrame, mapping: DataFrame, item_mapping: DataFrame) -> DataFrame:
+    """Actions of an import from right to left: products with a live item that is not empty are linked or created, then their unmapped items."""
+    live = right_items.filter(~F.col("retired") & (F.coalesce("total_weight", F.lit(0.0)) > 0)).select("id", "product_id")
+    known = mapping.join(left.select(F.col("id").alias("left_id")), "left_id", "left_semi").groupBy(F.col("right_id").alias("id")).agg(F.min("left_id").alias("left_id"))
+    used = right.select("id").join(live.select(F.col("product_id").alias("id")), "id", "left_semi").join(known, "id", "left")
+    products = used.select(F.lit(1).alias("seq"), F.lit("product").alias("entity"), "id", F.when(F.col("left_id").isNull(), "create").otherwise("link").alias("action"))
+    free = live.join(right.select(F.col("id").alias("product_id")), "product_id", "left_semi").join(item_mapping.select(F.col("right_item_id").alias("id")), "id", "left_anti")
+    return products.unionByName(free.select(F.lit(2).alias("seq"), F.lit("item").alias("entity"), "id", F.lit("create").alias("action")))

@@ -136,3 +136,42 @@ def newest_conflicts(queue: DataFrame, n: int) -> DataFrame:
 def by_cycle(log: DataFrame) -> DataFrame:
     """A row per cycle: its rows, their first and last ids (cycles are shown by the first), and the kinds of action."""
     return log.groupBy("cycle_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.array_join(F.array_sort(F.collect_set("action")), ",").alias("actions"))
+
+
+def page(sorted_rows: DataFrame, size: int) -> DataFrame:
+    """The first ``size`` of sorted rows with their places from 1 (a report)."""
+    return sorted_rows.limit(size).withColumn("place", (F.monotonically_increasing_id() + 1).cast("long"))
+
+
+def dry_run(planned: DataFrame, updates: DataFrame, queue: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(source, id, kind) of all that a run would do; conflicts over new records that are mapped by now are false ones."""
+    created = planned.filter("action = 'create'").select(F.lit("create").alias("source"), F.col("left_id").alias("id"), F.lit("product").alias("kind")).distinct()
+    asked = conflicts.open_ones(queue).select("left_id", "conflict_type")
+    settled = mapped.select("left_id").withColumn("conflict_type", F.lit("new_record"))
+    real = asked.join(settled, ["left_id", "conflict_type"], "left_anti").select(F.lit("conflict").alias("source"), F.col("left_id").alias("id"), F.col("conflict_type").alias("kind")).distinct()
+    return created.unionByName(updates.select(F.lit("update").alias("source"), "id", "kind")).unionByName(real)
+
+
+def sync_state(items: DataFrame, item_mapping: DataFrame, product_mapping: DataFrame, queue: DataFrame) -> DataFrame:
+    """One row: linked and unlinked items, mapped products, open conflicts and the newest of them."""
+    linked = item_mapping.select(F.col("left_item_id").alias("id"), F.lit(True).alias("linked"))
+    n = items.join(linked, "id", "left").agg(F.count("linked").alias("n_linked"), F.count_if(F.col("linked").isNull()).alias("n_unlinked"))
+    n = n.crossJoin(product_mapping.agg(F.count("*").alias("n_products")))  # single rows
+    return n.crossJoin(conflicts.open_ones(queue).agg(F.count("*").alias("n_open"), F.max("detected_at").cast("timestamp").alias("newest")))
+
+
+def filtered(rows: DataFrame, text: str = "", text_in: tuple[str, ...] = (), hide_empty: bool = False, **values: tuple[str, ...]) -> DataFrame:
+    """Rows with one of the given values in each named column, the text in one of its columns, and, if wanted, not empty."""
+    for column, allowed in values.items():
+        rows = rows.filter(F.col(column).isin(*allowed))
+    if hide_empty:
+        rows = rows.filter(~F.col("empty"))
+    if text and text_in:
+        hits = [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(text.lower())) for c in text_in]
+        rows = rows.filter(F.greatest(*(h.cast("int") for h in hits)) == 1) if len(hits) > 1 else rows.filter(hits[0])
+    return rows
+
+
+def by_completeness(rows: DataFrame) -> DataFrame:
+    """Stale rows first, then those that miss most, then by brand."""
+    return rows.orderBy(F.col("stale").desc(), F.col("n_missing").desc(), F.lower("brand"), "id")

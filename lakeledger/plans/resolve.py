@@ -68,3 +68,14 @@ def siblings_settled(conflicts: DataFrame, decision: DataFrame, variants: DataFr
     done = decision.filter("how = 'apply_all'").join(variants.select("variant_id", "master_id"), "variant_id").select("master_id", "field")
     rows = conflicts.filter("resolved_at is null and conflict_type = 'master_divergence'").join(variants.select("variant_id", "master_id"), "variant_id")
     return rows.join(done.withColumnRenamed("field", "field_name"), ["master_id", "field_name"], "left_semi").select("id")
+
+
+def import_records(conflicts: DataFrame, items: DataFrame, product_mapping: DataFrame, item_mapping: DataFrame) -> DataFrame:
+    """What importing the left item of each open new-record conflict does, or why it cannot be done."""
+    known = product_mapping.groupBy(F.col("left_id").alias("product_id")).agg(F.min("right_id").alias("right_id"))
+    live = items.select(F.col("id").alias("left_id"), "product_id", "archived", (F.coalesce("remaining_weight", F.lit(0.0)) <= 0).alias("empty"))
+    mapped = item_mapping.select(F.col("left_item_id").alias("left_id"), F.lit(True).alias("mapped"))
+    rows = conflicts.filter("resolved_at is null").select("id", "left_id").join(live, "left_id", "left").join(mapped, "left_id", "left").join(known, "product_id", "left")
+    error = F.when(F.col("product_id").isNull(), "record is gone").when(F.col("mapped"), "already mapped").when(F.col("archived"), "archived").when(F.col("empty"), "empty")
+    act = F.when(error.isNotNull(), None).when(F.col("right_id").isNull(), "create_product_and_item").otherwise("create_item")
+    return rows.select("id", "left_id", "product_id", "right_id", error.alias("error"), act.alias("action"))

@@ -606,7 +606,7 @@ def _decomposed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query()
 def fuzzy_matches(spark: SparkSession, d: str) -> DataFrame:
     """Best and alternate reference products of each left one."""
-    return fuzzy.ranked(fuzzy.scored(*_decomposed(spark, d)), OPTIONS)
+    return fuzzy.matches(*_decomposed(spark, d), OPTIONS)
 
 
 @query()
@@ -614,7 +614,7 @@ def fuzzy_matches_with_names(spark: SparkSession, d: str) -> DataFrame:
     """W2 with the name similarity F46 (Arrow), and known identities pinned."""
     there = view(spark, d, "right_product").select(F.col("id").alias("right_id"))
     known = view(spark, d, "product_mapping").select("left_id", "right_id").join(there, "right_id", "left_semi")
-    return fuzzy.pinned(fuzzy.ranked(fuzzy.scored(*_decomposed(spark, d), with_names=True), OPTIONS), known)
+    return fuzzy.pinned(fuzzy.matches(*_decomposed(spark, d), OPTIONS, with_names=True), known)
 
 
 @query("""m as (select left_id, right_id from product_mapping), l as (select id, lower(trim(name)) as name, lower(trim(vendor)) as vendor from left_product), r as (select id, lower(trim(name)) as name, lower(trim(vendor)) as vendor, tare from right_product),

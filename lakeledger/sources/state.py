@@ -85,6 +85,14 @@ def change_lines(log: DataFrame) -> DataFrame:
     return audited(log).select("id", F.concat_ws(" | ", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss"), F.upper("action"), "entity_type", F.concat(F.lit("#"), clean("left_id")), clean("value")).alias("line"))
 
 
+def directed_lines(log: DataFrame) -> DataFrame:
+    """One text line per audited row: when, what, which record, to which side."""
+    side = F.when(F.col("direction") == "left_to_right", "right").when(F.col("direction") == "right_to_left", "left").otherwise("both")
+    verb = F.when(F.col("action") == "create", "new").when(F.col("action") == "update", "changed").when(F.col("action") == "delete", "gone").otherwise("used")
+    record = F.concat("entity_type", F.lit(" #"), F.regexp_replace(F.col("left_id").cast("string"), r"\p{C}", " "))
+    return audited(log).select("id", F.concat_ws(" | ", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss"), F.upper("action"), record, F.concat(F.lit("-> "), side), verb).alias("line"))
+
+
 def retained(log: DataFrame, days: int, now: Column) -> DataFrame:
     """Rows of the last ``days``; 0 keeps all."""
     return log if days == 0 else log.filter(F.col("logged_at") >= now - F.make_dt_interval(F.lit(days)))

@@ -76,15 +76,19 @@ VIEWS["pair_then"] = (("part",), _pair_sql(False))
 VIEWS["item_times"] = (("orders",), "select o_orderkey as left_item_id, case when o_orderkey % 3 = 0 then '' when o_orderkey % 4 = 0 then 'soon' else concat(substr(cast(o_orderdate as varchar(40)), 1, 10), 'T10:00:00Z') end as last_used, concat(substr(cast(o_orderdate as varchar(40)), 1, 10), ' 08:30:00') as registered, case when o_orderkey % 5 = 0 then null when o_orderkey % 2 = 0 then concat(substr(cast(o_orderdate as varchar(40)), 1, 10), 'T09:00:00Z') else concat(substr(cast(o_orderdate as varchar(40)), 1, 10), 'T10:00:00+00:00') end as updated, case when o_orderkey % 7 = 0 then null else cast(o_orderdate as timestamp) + interval '9' hour end as captured_left, case when o_orderkey % 8 = 0 then null when o_orderkey % 6 = 1 then cast(o_orderdate as timestamp) + interval '7' hour else cast(o_orderdate as timestamp) + interval '12' hour end as captured_right from orders")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views as a DataFrame."""
-    tables, sql = VIEWS[name]
+def from_sql(spark: SparkSession, sf_dir: str, tables: tuple[str, ...], sql: str) -> DataFrame:
+    """SQL over some of the tables as a DataFrame."""
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     for t in tables:  # spark.sql fills {name} with a DataFrame
         sql = sql.replace(f"from {t}", f"from {{{t}}}")
     return spark.sql(sql, **frames)
 
 
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the views as a DataFrame."""
+    return from_sql(spark, sf_dir, *VIEWS[name])
+
+
 def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL that has the views in front; ``sql`` goes on with further ``name as (...)`` or a select."""
     heads = ", ".join(f"{n} as ({VIEWS[n][1]})" for n in names)
