@@ -80,18 +80,17 @@ def sketch(ids: pa.Array, texts: pa.Array, window: int = WINDOW, seed: int = SEE
     """
     w = words(texts)
     n = len(texts)
-    runs = Runs(w.hashes)
     _, text, at, least = seeded_windows(w, window, seed)
     lists = [_lists(np.zeros(0, U64), np.zeros(0, np.int64), n)] * 3
     if len(at):
-        s, s_text, s_at = windows(w, seed, runs)
+        s, s_text, s_at = windows(w, seed)
         low = np.zeros(len(w.hashes) + window, U64)  # the least seed of each window, at the window's last seed
         low[at + window] = least
         greatest = TOP - _least(TOP - low, window - seed + 1)  # over the windows that hold the seed
         chosen = greatest[s_at + seed] == s >> U64(1)
         s, s_text, s_at = s[chosen] >> U64(1), s_text[chosen], s_at[chosen]
         short = np.full(len(w.hashes), TOP, U64)
-        h, _, h_at = windows(w, first, runs)
+        h, _, h_at = windows(w, first)
         short[h_at] = h >> U64(1)
         below = short[s_at]
         place = s_at.copy()

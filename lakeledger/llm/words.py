@@ -8,6 +8,7 @@ Python object.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from dataclasses import dataclass
 
@@ -24,17 +25,29 @@ MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the splitmix finaliser)."""
     x = x.astype(U64, copy=True)
-    x ^= x >> U64(30)
+    part = x >> U64(30)
+    x ^= part
     x *= U64(0xBF58476D1CE4E5B9)
-    x ^= x >> U64(27)
+    np.right_shift(x, U64(27), out=part)
+    x ^= part
     x *= U64(0x94D049BB133111EB)
-    x ^= x >> U64(31)
+    np.right_shift(x, U64(31), out=part)
+    x ^= part
     return x
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of two values in order; nothing in it is linear, so sequences do not cancel out."""
-    return mix(a * ODD + (b ^ (b >> U64(29))))
+    out = b >> U64(29)
+    out ^= b
+    part = a * ODD
+    out += part
+    np.right_shift(out, U64(32), out=part)
+    out ^= part
+    out *= U64(0xBF58476D1CE4E5B9)
+    np.right_shift(out, U64(29), out=part)
+    out ^= part
+    return out
 
 
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +76,10 @@ class Words:
     hashes: np.ndarray
     first: np.ndarray  # len n_texts + 1: words of text i are first[i]:first[i + 1]
 
+    @functools.cached_property
+    def runs(self) -> Runs:
+        return Runs(self.hashes)
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -132,9 +149,18 @@ class Runs:
             self.levels.append(joined(last[: max(0, len(last) - step)], last[step:]))
         return self.levels[k]
 
-    def of(self, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+    def every(self, n: int) -> np.ndarray:
+        """The hash of the ``n`` words from each word on, as far as there are so many."""
+        out, at, count = None, 0, max(0, len(self.levels[0]) - n + 1)
+        for k in reversed(range(n.bit_length())):
+            if n >> k & 1:
+                part = self.level(k)[at : at + count]
+                out = part if out is None else joined(out, part)
+                at += 1 << k
+        return out
+
+    def of(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The hash of the ``sizes`` words from each of ``starts`` on."""
-        sizes = np.broadcast_to(np.asarray(sizes, np.int64), starts.shape)
         out = mix(sizes.astype(U64) * ODD)
         at = starts.copy()
         for k in range(int(sizes.max(initial=0)).bit_length()):
@@ -152,12 +178,12 @@ def words(texts: pa.Array) -> Words:
     return Words(data, offsets, starts, ends, range_hashes(data, starts, ends), first)
 
 
-def windows(w: Words, n: int, runs: Runs | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text and first word of every run of ``n`` words that lies in one text."""
     text = w.text_of()
     count = max(0, len(w.hashes) - n + 1)
     at = np.flatnonzero(text[:count] == text[n - 1 : n - 1 + count]) if count else np.zeros(0, np.int64)
-    return (runs or Runs(w.hashes)).of(at, n), text[at], at
+    return w.runs.every(n)[at], text[at], at
 
 
 def whole_hash(w: Words, seed: int = 0) -> np.ndarray:
