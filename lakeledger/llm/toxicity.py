@@ -305,27 +305,31 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # copies would count as evidence of their own
     rows = written(rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.max("label").cast("long").alias("label")), "labelled")
 
+    texts = rows.select("digest", "label").orderBy("digest").toArrow()
+    known_labels = texts.column("label").to_numpy()
+    numbers = docs.sparkSession.createDataFrame(list(zip(texts.column("digest").to_pylist(), range(len(known_labels)), strict=True)), "digest string, text_no int")  # at most two samples
+    texts_ = rows.join(F.broadcast(numbers), "digest").select("text_no", "text")
+
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             hashes, text, spelled = distinct_words(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(text)), pa.array(hashes.view(np.int64)), pa.array(spelled, pa.binary())], names=["digest", "hash", "word"])
-
-    texts = rows.select("digest", "label").orderBy("digest").toArrow()
-    digests, known_labels = texts.column("digest").to_pylist(), texts.column("label").to_numpy()
-    words = rows.mapInArrow(spell, "digest string, hash long, word binary")
-    pairs = words.select("digest", "hash").orderBy("digest", "hash").toArrow()
-    spellings = words.groupBy("hash").agg(F.min("word").alias("word")).orderBy("hash").toArrow()
-    number = {d: i for i, d in enumerate(digests)}
-    spelled = dict(zip(spellings.column("hash").to_pylist(), spellings.column("word").to_pylist(), strict=True))
-    hashes = pairs.column("hash").to_numpy()
-    of = np.array([number[d] for d in pairs.column("digest").to_pylist()], np.int64)
-    plain = fit_words(sample_of(hashes.view(np.uint64), of, [spelled[h] for h in hashes.tolist()], known_labels))
+            yield pa.RecordBatch.from_arrays([batch.column("text_no").take(pa.array(text)), pa.array(hashes.view(np.int64)), pa.array(spelled, pa.binary())], names=["text_no", "hash", "word"])
+
+    words = texts_.mapInArrow(spell, "text_no int, hash long, word binary")
+    pairs = words.select("text_no", "hash").orderBy("text_no", "hash").toArrow()
+    spellings = words.groupBy("hash").agg(F.min("word").alias("word")).toArrow()
+    hashes = spellings.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    word = np.searchsorted(hashes[order], pairs.column("hash").to_numpy().view(np.uint64))
+    sample_ = Sample(spellings.column("word").take(pa.array(order)).to_pylist(), hashes[order], np.column_stack([word, pairs.column("text_no").to_numpy().astype(np.int64)]), known_labels)
+    del pairs, spellings
+    plain = fit_words(sample_)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), *map(pa.array, plain.best(batch.column("text")).T.copy())], names=["digest", *(f"best{k}" for k in range(BEST))])
+            yield pa.RecordBatch.from_arrays([batch.column("text_no"), *map(pa.array, plain.best(batch.column("text")).T.copy())], names=["text_no", *(f"best{k}" for k in range(BEST))])
 
-    best = rows.mapInArrow(measure, "digest string, " + ", ".join(f"best{k} double" for k in range(BEST))).orderBy("digest").toArrow()
+    best = texts_.mapInArrow(measure, "text_no int, " + ", ".join(f"best{k} double" for k in range(BEST))).orderBy("text_no").toArrow()
     rate = known.agg(F.avg("label").alias("rate")).first()["rate"]
     model = linked(plain, np.column_stack([best.column(f"best{k}").to_numpy() for k in range(BEST)]), known_labels, rate)
     discard(rows)
