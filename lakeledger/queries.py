@@ -68,19 +68,6 @@ def reconcile_summary(spark: SparkSession, d: str) -> DataFrame:
     return reports.summary(reconcile_report(spark, d))
 
 
-@query(f"""{KEYS}, known as (select left_id, right_id from product_mapping where left_id % 7 = 0 and left_id in (select id from a) and right_id in (select id from b)),
-fa as (select * from a where id not in (select left_id from known)), fb as (select * from b where id not in (select right_id from known)),
-offers as (select vendor, name, color, count(*) as n, min(id) as right_id from fb group by all), firsts as (select vendor, name, color, min(id) as first_left from fa group by all)
-select left_id, right_id, 'matched' as bucket from known
-union all select fa.id, case when n = 1 and fa.id = first_left then right_id end, case when n > 1 then 'ambiguous' when n = 1 and fa.id = first_left then 'matched' else 'unmatched_left' end
-  from fa left join offers using (vendor, name, color) join firsts using (vendor, name, color)
-union all select null, fb.id, 'unmatched_right' from fb anti join firsts using (vendor, name, color)""", "left_product", "right_product", "product_mapping")
-def match_with_references(spark: SparkSession, d: str) -> DataFrame:
-    """J1 with the cross-reference pass (J2) in front."""
-    known = view(spark, d, "product_mapping").filter("left_id % 7 = 0").select("left_id", "right_id")
-    return matching.match(*_keys(spark, d), known)
-
-
 @query(f"""{KEYS}, known as (select left_id, right_id from product_mapping where left_id in (select id from a) and right_id in (select id from b)),
 fa as (select * from a where id not in (select left_id from known)), fb as (select * from b where id not in (select right_id from known)),
 offers as (select vendor, name, color, count(*) as n, min(id) as right_id from fb group by all), firsts as (select vendor, name, color, min(id) as first_left from fa group by all)
@@ -88,7 +75,7 @@ select left_id, right_id, 'matched' as bucket from known
 union all select fa.id, case when n = 1 and fa.id = first_left then right_id end, case when n > 1 then 'ambiguous' when n = 1 and fa.id = first_left then 'matched' else 'unmatched_left' end
   from fa left join offers using (vendor, name, color) join firsts using (vendor, name, color)
 union all select null, fb.id, 'unmatched_right' from fb anti join firsts using (vendor, name, color)""", "left_product", "right_product", "product_mapping")
-def match_with_references_all(spark: SparkSession, d: str) -> DataFrame:
+def match_with_references(spark: SparkSession, d: str) -> DataFrame:
     """J1 with the cross-reference pass (J2) over all known references in front."""
     return matching.match(*_keys(spark, d), view(spark, d, "product_mapping").select("left_id", "right_id"))
 
@@ -239,12 +226,12 @@ def duplicate_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return conflicts.prune_duplicates(view(spark, d, "conflict"))
 
 
-@query("""f as (select distinct 'item' as entity_type, id - id % 2 as left_id, 'weight' as field_name, 'field' as conflict_type from left_item where id % 5 = 0)
+@query("""f as (select distinct 'item' as entity_type, id - id % 2 as left_id, 'weight' as field_name, 'field' as conflict_type from left_item)
 select count(*) as n, count(*) + (select max(id) from conflict) as last_id, count(distinct left_id) as n_left from f
 where not exists (select 1 from conflict c where c.resolved_at is null and c.left_id = f.left_id and c.field_name = f.field_name and c.conflict_type = f.conflict_type and c.entity_type = f.entity_type)""", "conflict", "left_item")
 def queued_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """New conflicts without an open one of their key, numbered without gaps after the last id."""
-    found = view(spark, d, "left_item").filter("id % 5 = 0").select(F.lit("item").alias("entity_type"), (F.col("id") - F.col("id") % 2).alias("left_id"), F.lit("weight").alias("field_name"), F.lit("field").alias("conflict_type"))
+    found = view(spark, d, "left_item").select(F.lit("item").alias("entity_type"), (F.col("id") - F.col("id") % 2).alias("left_id"), F.lit("weight").alias("field_name"), F.lit("field").alias("conflict_type"))
     return conflicts.queue(view(spark, d, "conflict"), found).agg(F.count_distinct("id").alias("n"), F.max("id").alias("last_id"), F.count_distinct("left_id").alias("n_left"))
 
 
@@ -382,16 +369,9 @@ def first_references(spark: SparkSession, d: str) -> DataFrame:
     return matching.first_reference(items, "product_id", "xref", "id")
 
 
-@query("""k as (select id, trim(lower(vendor)) as v, trim(lower(name)) as n from left_product where id % 2 = 0), b as (select v, n, count(*) as n_batch from k group by 1, 2), t as (select trim(lower(vendor)) as v, trim(lower(name)) as n, count(*) as c from right_product where id like '%3' group by 1, 2)
-select k.id, n_batch, coalesce(c, 0) as n_there from k join b using (v, n) left join t using (v, n) where n_batch > 1 or coalesce(c, 0) > 0""", "left_product", "right_product")
-def name_collisions(spark: SparkSession, d: str) -> DataFrame:
-    """Names that are taken."""
-    return matching.name_collisions(view(spark, d, "left_product").filter("id % 2 = 0"), view(spark, d, "right_product").filter("id like '%3'"))
-
-
 @query("""k as (select id, trim(lower(vendor)) as v, trim(lower(name)) as n from left_product), b as (select v, n, count(*) as n_batch from k group by 1, 2), t as (select trim(lower(vendor)) as v, trim(lower(name)) as n, count(*) as c from right_product group by 1, 2)
 select k.id, n_batch, coalesce(c, 0) as n_there from k join b using (v, n) left join t using (v, n) where n_batch > 1 or coalesce(c, 0) > 0""", "left_product", "right_product")
-def name_collisions_all(spark: SparkSession, d: str) -> DataFrame:
+def name_collisions(spark: SparkSession, d: str) -> DataFrame:
     """Names that are taken, of all products."""
     return matching.name_collisions(view(spark, d, "left_product"), view(spark, d, "right_product"))
 
@@ -563,10 +543,10 @@ def conflict_writes(spark: SparkSession, d: str) -> DataFrame:
     return resolve.writes(resolve.choose(c, _decisions(c))).select("id", "side", "value")
 
 
-@query("""select id, case when id % 2 = 0 then 'usage' when id % 3 = 0 then 'set' else 'none' end as kind, case when id % 2 = 0 then cast(10.0 as double) end as grams, round(greatest(remaining_weight + case when id % 2 = 0 then -10 when id % 3 = 0 then 7 else 0 end, 0), 2) as weight from left_item where remaining_weight > 10""", "left_item")
+@query("""select id, case when id % 2 = 0 then 'usage' when id % 3 = 0 then 'set' else 'none' end as kind, case when id % 2 = 0 then cast(10.0 as double) end as grams, round(greatest(remaining_weight + case when id % 2 = 0 then -10 when id % 3 = 0 then 7 else 0 end, 0), 2) as weight from left_item""", "left_item")
 def weight_convergence(spark: SparkSession, d: str) -> DataFrame:
     """Absolute weights as events or sets."""
-    rows = view(spark, d, "left_item").filter("remaining_weight > 10")
+    rows = view(spark, d, "left_item")
     target = F.col("remaining_weight") + F.when(F.col("id") % 2 == 0, -10.0).when(F.col("id") % 3 == 0, 7.0).otherwise(0.0)
     return resolve.converge_weight(rows.select("id", F.col("remaining_weight").alias("current"), target.alias("target")))
 
@@ -655,11 +635,11 @@ def package_weights(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy.package_weights(view(spark, d, "left_product").select(F.col("id").alias("slug")), packages, containers)
 
 
-@query("""select s.entity_id, case when t.entity_id is not null then t.remaining_weight else s.remaining_weight end as remaining_weight from snapshot_left s left join (select id as entity_id, remaining_weight from left_item where id % 4 = 0) t using (entity_id)
-union all select id, remaining_weight from left_item where id % 4 = 0 and id not in (select entity_id from snapshot_left)""", "snapshot_left", "left_item")
+@query("""select s.entity_id, case when t.entity_id is not null then t.remaining_weight else s.remaining_weight end as remaining_weight from snapshot_left s left join (select id as entity_id, remaining_weight from left_item) t using (entity_id)
+union all select id, remaining_weight from left_item where id not in (select entity_id from snapshot_left)""", "snapshot_left", "left_item")
 def snapshot_upsert(spark: SparkSession, d: str) -> DataFrame:
     """IO13, IO14, IO18: keyed upsert of snapshot rows."""
-    new = view(spark, d, "left_item").filter("id % 4 = 0").select(F.col("id").alias("entity_id"), "remaining_weight")
+    new = view(spark, d, "left_item").select(F.col("id").alias("entity_id"), "remaining_weight")
     return state.upsert(view(spark, d, "snapshot_left"), new, ["entity_id"])
 
 
@@ -683,17 +663,11 @@ def content_digest(spark: SparkSession, d: str) -> DataFrame:
     return reports.content_digest(view(spark, d, "left_product"), ["id", "vendor", "name", "color_hex"])
 
 
-@query("""select id, 'product' as section, concat_ws(' | ', vendor, name, material) as line from (select cast(id as varchar) as id, vendor, name, material from left_product)""", "left_product")
-def state_dump(spark: SparkSession, d: str) -> DataFrame:
-    """IO20, H25: the state as lines of text (products)."""
-    return state.dump_lines(view(spark, d, "left_product"), view(spark, d, "left_item")).filter("section = 'product'").select("id", "section", "line")
-
-
 @query("""select cast(id as varchar) as id, 'product' as section, concat_ws(' | ', coalesce(vendor, ''), coalesce(name, ''), coalesce(material, '')) as line from left_product
 union all select cast(id as varchar), 'item', concat_ws(' | ', coalesce(cast(product_id as varchar), ''), coalesce(cast(remaining_weight as varchar), ''), coalesce(location, '')) from left_item
 union all select id, 'right_product', concat_ws(' | ', coalesce(vendor, ''), coalesce(name, ''), coalesce(type, ''), coalesce(color, ''), coalesce(cast(tare as varchar), ''), coalesce(parent_id, '')) from right_product
 union all select id, 'right_item', concat_ws(' | ', coalesce(product_id, ''), coalesce(cast(total_weight as varchar), ''), coalesce(cast(retired as varchar), '')) from right_item""", "left_product", "left_item", "right_product", "right_item")
-def state_dump_all(spark: SparkSession, d: str) -> DataFrame:
+def state_dump(spark: SparkSession, d: str) -> DataFrame:
     """IO20, H25: the state of both sides as lines of text, four sections in order."""
     return state.dump_lines(*(view(spark, d, v) for v in ("left_product", "left_item", "right_product", "right_item"))).select("id", "section", "line")
 

@@ -100,7 +100,7 @@ REFERENCE = """reference as (select p_partkey as id, concat('slug-', cast(p_part
 HEXES = "list_filter(list_concat([upper(regexp_replace(coalesce(color, ''), '^#+', ''))], list_transform(string_split(secondary_csv, ','), lambda h: upper(regexp_replace(h, '^#+', '')))), lambda h: h <> '')"
 
 
-@query(f"""with {REFERENCE}, packs as (select l_partkey as material, l_linenumber as ord, l_orderkey as no, case when l_quantity > 25 then l_quantity * 10 end as full_weight, case when l_linenumber % 2 = 0 then l_suppkey end as container from lineitem where l_orderkey % 50 = 0),
+@query(f"""with {REFERENCE}, packs as (select l_partkey as material, l_linenumber as ord, l_orderkey as no, case when l_quantity > 25 then l_quantity * 10 end as full_weight, case when l_linenumber % 2 = 0 then l_suppkey end as container from lineitem),
 holders as (select s_suppkey as id, case when s_suppkey % 3 = 0 then null else cast(s_suppkey as double) + 100 end as empty_weight from supplier),
 weights as (select material, min_by(full_weight, (no, ord)) filter (where full_weight is not null) as weight from packs group by 1),
 tares as (select material, min_by(empty_weight, (no, ord)) as spool_weight from packs join holders h on h.id = container where empty_weight is not null group by 1),
@@ -115,7 +115,7 @@ def reference_payloads(spark: SparkSession, d: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
     rows = views.from_sql(spark, d, ("part",), REFERENCE.partition(" as (")[2][:-1])
     rows = rows.withColumns({"secondary": F.split("secondary_csv", ","), "tags": F.filter(F.split("tags_csv", ","), lambda t: t != "")})
-    packages = read("lineitem").filter("l_orderkey % 50 = 0").select(F.col("l_partkey").alias("material"), F.struct("l_orderkey", "l_linenumber").alias("ord"), F.when(F.col("l_quantity") > 25, F.col("l_quantity") * 10).alias("net"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey")).alias("container"))
+    packages = read("lineitem").select(F.col("l_partkey").alias("material"), F.struct("l_orderkey", "l_linenumber").alias("ord"), F.when(F.col("l_quantity") > 25, F.col("l_quantity") * 10).alias("net"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey")).alias("container"))
     containers = read("supplier").select(F.col("s_suppkey").alias("slug"), F.when(F.col("s_suppkey") % 3 == 0, None).otherwise(F.col("s_suppkey").cast("double") + 100).alias("tare"))
     out = reference_payload.payloads(rows, packages, containers, {"silk": 17, "matte": 16})
     return out.withColumn("tags", F.array_join("tags", ","))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,14 +37,45 @@ class StateTable:
         _, folder = self.current()
         return None if folder is None else self.spark.read.parquet(folder)
 
+    def _path(self, name: str):
+        """A Hadoop path and its file system, the one that Spark's own readers use."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def write(self, rows: DataFrame, *partition_by: str) -> int:
-        """Writes ``rows`` as the next version; a failed write leaves the current one in force."""
+        """Writes ``rows`` as the next version; a failed write leaves the current one in force.
+
+        Of two writers that began at one version the second one fails, since a version's manifest
+        file is made once and never replaced.
+        """
         version, _ = self.current()
         folder = f"{self.path}/v{version + 1}-{uuid.uuid4().hex[:8]}"
         rows.write.partitionBy(*partition_by).parquet(folder)
-        self.spark.createDataFrame([(version + 1, folder)], "version long, folder string").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        line, files = self._path(f"{self.path}/manifest/v{version + 1}.json")
+        out = files.create(line, False)
+        out.write(bytearray(json.dumps({"version": version + 1, "folder": folder}).encode()))
+        out.close()
         return version + 1
 
+    def prune(self, keep: int = 2) -> int:
+        """Deletes all but the newest ``keep`` versions, which nobody may be reading; returns how many."""
+        named = self._manifest()
+        old = [] if named is None else named.orderBy(F.col("version").desc()).collect()[keep:]
+        for row in old:
+            for name in (f"{self.path}/manifest/v{row['version']}.json", row["folder"]):
+                path, files = self._path(name)
+                files.delete(path, True)
+        return len(old)
+
+    def clear(self) -> int:
+        """Makes an empty version; returns the number of rows that the current one holds."""
+        rows = self.read()
+        if rows is None:
+            return 0
+        n = rows.count()
+        self.write(rows.limit(0))
+        return n
+
     def append(self, rows: DataFrame) -> None:
         """Adds rows to the current version without rewriting it (audit log)."""
         _, folder = self.current()

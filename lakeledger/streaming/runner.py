@@ -9,33 +9,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import units
-from ..sources.state import StateTable, upsert
+from ..sources.state import StateTable
+
+
+def newest_readings(stored: DataFrame, batch: str | None = None) -> DataFrame:
+    """(entity_id, weight, seen_at): the newest stored reading of each item, those of ``batch`` left out."""
+    rows = stored if batch is None else stored.filter(F.col("batch") != batch)
+    return rows.groupBy("entity_id").agg(F.max(F.struct("seen_at", "weight")).alias("r")).select("entity_id", "r.weight", "r.seen_at")
 
 
 def weight_events(batch: DataFrame, then: DataFrame | None, threshold: float) -> DataFrame:
-    """Newest reading of each item in the batch against the stored one: baseline, changed or same."""
-    last = batch.groupBy("entity_id").agg(F.max_by("weight", "seen_at").alias("now"), F.max("seen_at").alias("seen_at"))
+    """Newest reading of each item in the batch against the stored one: baseline, changed, same or late.
+
+    Of readings of one time the greatest weight counts; one without a time is late where one is stored.
+    """
+    last = newest_readings(batch).withColumnRenamed("weight", "now")
     if then is None:
         return last.select("entity_id", F.lit(None).cast("double").alias("then"), "now", "seen_at", F.lit("baseline").alias("action"))
-    rows = last.join(then.select("entity_id", F.col("weight").alias("then"), F.col("seen_at").alias("_then_at")), "entity_id", "left")
-    old = F.col("_then_at") >= F.col("seen_at")
-    action = F.when(F.col("_then_at").isNull(), "baseline").when(old, "late").when(units.weight_changed(F.col("then"), F.col("now"), threshold), "changed").otherwise("same")
+    rows = last.join(then.select("entity_id", F.col("weight").alias("then"), F.col("seen_at").alias("_then_at"), F.lit(True).alias("_stored")), "entity_id", "left")
+    newer = F.col("_then_at").isNull() | F.coalesce(F.col("seen_at") > F.col("_then_at"), F.lit(False))
+    action = F.when(F.col("_stored").isNull(), "baseline").when(~newer, "late").when(units.weight_changed(F.col("then"), F.col("now"), threshold), "changed").otherwise("same")
     return rows.select("entity_id", "then", "now", "seen_at", action.alias("action"))
 
 
-def run(stream: DataFrame, state: StateTable, threshold: float, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Starts the run over all there is.  ``sink`` gets each batch's events; the state moves after it.
+def run(stream: DataFrame, state: StateTable, threshold: float, checkpoint: str, sink: Callable[[DataFrame, int], None], fold_every: int = 100) -> StreamingQuery:
+    """Starts the run over all there is.  ``sink`` gets each batch's events and its number.
 
-    A batch that is replayed after a failure meets readings that are not newer than the state and
-    yields none but late events, so nothing is pushed twice once the state has moved.
+    A batch appends its readings to the state, marked with its number, and is compared with the
+    readings of other batches only.  So one that is replayed after a failure hands the same events
+    under the same number to ``sink`` again, which can tell by it, and the state is none the worse.
+    Every ``fold_every`` batches the state is folded to one reading an item, and older versions go.
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
+        mark = f"{checkpoint}#{epoch}"
+        if epoch and epoch % fold_every == 0 and (stored := state.read()) is not None:
+            state.write(newest_readings(stored, mark).withColumn("batch", F.lit("")))
+            state.prune()
         then = state.read()
-        events = weight_events(batch, then, threshold)
-        sink(events, epoch)
-        fresh = events.filter("action in ('baseline', 'changed')").select("entity_id", F.col("now").alias("weight"), "seen_at")
-        state.write(upsert(then, fresh, ["entity_id"]))
+        if then is not None:  # the few items of a batch, before their readings are grouped
+            then = newest_readings(then.join(batch.select("entity_id").distinct(), "entity_id", "left_semi"), mark)
+        events = weight_events(batch, then, threshold).persist()
+        try:
+            sink(events, epoch)
+            state.append(events.filter("action in ('baseline', 'changed')").select("entity_id", F.col("now").alias("weight"), "seen_at", F.lit(mark).alias("batch")))
+        finally:
+            events.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -326,6 +326,27 @@ def test_state_versions(spark, tmp_path):
     assert table.read().count() == 5 and table.current()[0] == 2
 
 
+def test_state_is_cleared_and_pruned(spark, tmp_path):
+    table = state.StateTable(spark, str(tmp_path / "s"))
+    assert table.clear() == 0 and table.prune() == 0
+    for n in (3, 4, 5):
+        table.write(spark.range(n))
+    assert table.prune(keep=1) == 2 and table.read().count() == 5
+    assert len(list((tmp_path / "s").glob("v*"))) == 1
+    assert table.clear() == 5 and table.read().count() == 0 and table.read().columns == ["id"]
+    assert table.write(spark.range(2)) == 5 and table.read().count() == 2
+
+
+def test_second_writer_of_a_version_fails(spark, tmp_path):
+    table = state.StateTable(spark, str(tmp_path / "s"))
+    table.write(spark.range(3))
+    late = state.StateTable(spark, str(tmp_path / "s"))
+    late.current = lambda: (0, None)  # it looked before the other one wrote
+    with pytest.raises(Exception, match="exists"):
+        late.write(spark.range(9))
+    assert table.read().count() == 3
+
+
 def test_export_and_import(spark, tmp_path):
     m = spark.createDataFrame([(1, "a"), (None, "b")], "left_id long, right_id string")
     c = spark.createDataFrame([(1, "item", 1, "w", "field", None), (2, "item", 2, "w", "field", datetime.datetime(2024, 1, 1))], "id long, entity_type string, left_id long, field_name string, conflict_type string, resolved_at timestamp")
@@ -401,7 +422,39 @@ def test_streaming_runner(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         run()
     assert sorted(events[:2]) == [("a", "baseline"), ("b", "baseline")] and sorted(events[2:4]) == [("a", "changed"), ("b", "same")] and events[4:] == [("a", "late")]
-    assert {(r.entity_id, r.weight) for r in table.read().collect()} == {("a", 795.0), ("b", 5.0)}
+    assert {(r.entity_id, r.weight) for r in runner.newest_readings(table.read()).collect()} == {("a", 795.0), ("b", 5.0)}
+
+
+def test_replayed_batch_gives_the_same_events(spark, tmp_path):
+    schema = "entity_id string, weight double, seen_at timestamp"
+    table, got, broken = state.StateTable(spark, str(tmp_path / "state")), [], [True]
+
+    def run(sink):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        runner.run(stream, table, 2.0, str(tmp_path / "ck"), sink, fold_every=2).awaitTermination()
+
+    def sink(df, n):
+        got.append((n, sorted((r.entity_id, r.action) for r in df.collect())))
+
+    class Late(state.StateTable):
+        def append(self, rows):
+            super().append(rows)
+            if broken.pop():
+                raise OSError("lost after the state was written")
+
+    for hour in range(5):
+        rows = [("a", 100.0 * hour, datetime.datetime(2024, 1, 1, hour)), (f"n{hour}", 1.0, None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if hour == 2:
+            whole, table = table, Late(spark, str(tmp_path / "state"))
+            with pytest.raises(Exception, match="lost"):
+                run(sink)
+            table = whole
+        run(sink)
+    assert [n for n, _ in got] == [0, 1, 2, 2, 3, 4] and got[2] == got[3]
+    assert all(events == [("a", "baseline" if n == 0 else "changed"), (f"n{n}", "baseline")] for n, events in got)
+    now = {r.entity_id: r.weight for r in runner.newest_readings(table.read()).collect()}
+    assert now == {"a": 400.0} | {f"n{h}": 1.0 for h in range(5)}
 
 
 def test_options():
