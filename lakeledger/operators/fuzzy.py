@@ -178,9 +178,9 @@ def unmatched_reason(left: DataFrame, brands: DataFrame, matched: DataFrame, pas
 
 
 def package_weights(materials: DataFrame, packages: DataFrame, containers: DataFrame) -> DataFrame:
-    """Net weight and tare of a material: from the first package that has each, in package order."""
+    """Net weight and tare of a material: from the first package that has each, in package order; of packages of one place the least value."""
     rows = packages.join(containers.select(F.col("slug").alias("container"), "tare"), "container", "left")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord")))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("ord", c)))
     found = rows.groupBy("material").agg(first("net").alias("net"), first("tare").alias("tare"))
     return materials.join(found, materials["slug"] == found["material"], "left").select("slug", "net", "tare")
 

@@ -102,8 +102,8 @@ HEXES = "list_filter(list_concat([upper(regexp_replace(coalesce(color, ''), '^#+
 
 @query(f"""with {REFERENCE}, packs as (select l_partkey as material, l_linenumber as ord, l_orderkey as no, case when l_quantity > 25 then l_quantity * 10 end as full_weight, case when l_linenumber % 2 = 0 then l_suppkey end as container from lineitem),
 holders as (select s_suppkey as id, case when s_suppkey % 3 = 0 then null else cast(s_suppkey as double) + 100 end as empty_weight from supplier),
-weights as (select material, min_by(full_weight, (no, ord)) filter (where full_weight is not null) as weight from packs group by 1),
-tares as (select material, min_by(empty_weight, (no, ord)) as spool_weight from packs join holders h on h.id = container where empty_weight is not null group by 1),
+weights as (select material, min_by(full_weight, (no, ord, full_weight)) filter (where full_weight is not null) as weight from packs group by 1),
+tares as (select material, min_by(empty_weight, (no, ord, empty_weight)) as spool_weight from packs join holders h on h.id = container where empty_weight is not null group by 1),
 shown as (select *, case when tags_csv like '%coextruded%' then 'coextruded' when tags_csv like '%gradient%' then 'gradient' end as arranged, coalesce(nullif(type, ''), abbreviation, '') as raw from reference),
 counted as (select *, list_reduce(list_prepend([]::varchar[], list_transform({HEXES}, lambda h: [h])), lambda acc, h: case when list_contains(acc, h[1]) then acc else list_append(acc, h[1]) end) as hexes from shown)
 select c.id, nullif(case when raw = 'Silk PLA' then 'PLA' else raw end, '') as material, array_to_string(list_filter([case when tags_csv = 'matte' then '16' end, case when raw = 'Silk PLA' or tags_csv like '%silk%' then '17' end], lambda x: x is not null), ',') as tags,

@@ -15,7 +15,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "product_mapping": (("part",), "select p_partkey as id, p_partkey as left_id, concat('R', cast(p_partkey as varchar(20))) as right_id from part where p_partkey % 4 <> 3"),
     "item_mapping": (("orders",), "select o_orderkey as id, o_orderkey as left_item_id, concat('S', cast(o_orderkey as varchar(20))) as right_item_id from orders where o_orderkey % 3 <> 2"),
     "sync_log": (("events",), "select event_id as id, cast(date_trunc('hour', ts) as varchar(40)) as cycle_id, ts as logged_at, event_type as action, case when user_id % 2 = 0 then 'item' else 'product' end as entity_type, user_id as left_id, value, props from events"),
-    "conflict": (("orders",), "select o_orderkey as id, 'item' as entity_type, o_orderkey - o_orderkey % 2 as left_id, case o_orderkey % 4 when 0 then 'weight' when 1 then 'location' when 2 then 'lifecycle' else 'color' end as field_name, case o_orderkey % 5 when 0 then 'new_record' when 1 then 'deletion' else 'field' end as conflict_type, o_orderdate as detected_at, case when o_orderkey % 3 = 0 then o_orderdate else null end as resolved_at from orders where o_orderkey % 6 < 4"),
+    "conflict": (("orders",), "select o_orderkey as id, 'item' as entity_type, o_orderkey - o_orderkey % 2 as left_id, case (o_orderkey - o_orderkey % 2) % 8 when 0 then 'weight' when 2 then 'location' when 4 then 'lifecycle' else 'color' end as field_name, case (o_orderkey - o_orderkey % 2) % 10 when 0 then 'new_record' when 2 then 'deletion' else 'field' end as conflict_type, o_orderdate as detected_at, case when o_orderkey % 7 = 0 then o_orderdate else null end as resolved_at from orders where o_orderkey % 6 < 4"),
 }
 
 

@@ -511,3 +511,12 @@ def test_reference_freshness(spark):
     a = reference.fingerprint(products, ["id", "name"], one_, "x")
     b = reference.fingerprint(products.withColumn("name", F.lit("b")), ["id", "name"], one_, "x")
     assert tuple(reference.inputs_changed(a, b).first()) == (False, True, False)
+
+
+def test_package_weights_of_one_place(spark):
+    materials = spark.createDataFrame([(1,), (2,)], "slug long")
+    containers = spark.createDataFrame([(7, 120.0), (8, 90.0)], "slug long, tare double")
+    packages = spark.createDataFrame([(1, 3, 400.0, 7), (1, 3, 340.0, 8), (1, 2, None, None), (1, 9, 10.0, 8)], "material long, ord int, net double, container long")
+    for order in (F.col("net"), F.col("net").desc()):
+        found = fuzzy.package_weights(materials, packages.orderBy(order), containers)
+        assert {tuple(r) for r in found.collect()} == {(1, 340.0, 90.0), (2, None, None)}
