@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, packing, quality_model, quality_rules, secrets, substring_dedup, toxicity, warc
+from . import centroids, collocations, decontaminate, line_dedup, mixing, near_dedup, packing, quality_model, quality_rules, secrets, substring_dedup, toxicity, warc
 from .common import read
 
 
@@ -51,6 +51,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_packing, op4_secrets, op5_decontamination, op6_toxicity, op7_quality_model, op8_quality_rules, op9_warc, op10_substring_dedup)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(read(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op4_secrets": secrets.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op9_warc": warc.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_packing, op4_secrets, op5_decontamination, op6_toxicity, op7_quality_model, op8_quality_rules, op9_warc, op10_substring_dedup, op11_collocations, op12_centroids, op13_mixing)}
+
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op4_secrets": secrets.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op9_warc": warc.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE, "op11_collocations": collocations.ORACLE, "op12_centroids": centroids.ORACLE, "op13_mixing": mixing.ORACLE}
