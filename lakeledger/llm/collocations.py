@@ -33,7 +33,7 @@ from .words import byte_view
 
 LONGEST, LEAST, KEPT, SUBSUMED_PERCENT, SCALE = 3, 10, 2000, 50, 1_000_000
 #: Bytes of text in one shard's trie, and bytes of text for each prefix range.
-SHARD_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
+SHARD_BYTES, RANGE_BYTES = 3 << 20, 4 << 20
 #: Bounds of ranges come from about so many texts and so many paths of each; they decide balance, not results.
 SAMPLED_TEXTS, SAMPLED_PATHS, BOUND_BYTES = 2000, 32, 64
 SALTS = 32
