@@ -30,7 +30,7 @@ from .common import discard, written
 from .packing import word_count
 
 WEIGHTS, MOST_COPIES = (1, 2, 3), 3
-SHARD_ROWS, RANGE_ROWS = 50_000, 250_000
+SHARD_ROWS, RANGE_ROWS = 10_000, 250_000
 
 
 def in_order(rows: DataFrame, keys: list[str], value: str, before: str, n_rows: int) -> DataFrame:
