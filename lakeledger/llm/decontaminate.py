@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard, pieces, written
-from .words import U64, Words, byte_view, range_hashes, spans, windows
+from .words import U64, Words, byte_view, range_digests, spans, windows
 
 SEED, RARE, STRETCH, SIMILARITY = 3, 1e-7, 12, 0.45
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -52,7 +52,7 @@ def folded_words(texts: pa.Array) -> Words:
     data, offsets = byte_view(texts)
     data = FOLD[data]
     starts, ends, first = spans(data, offsets)
-    return Words(data, offsets, starts, ends, range_hashes(data, starts, ends), first)
+    return Words(data, offsets, starts, ends, range_digests(data, starts, ends), first)
 
 
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +106,7 @@ def seeds_of(words: np.ndarray, sizes: np.ndarray, share: np.ndarray) -> tuple[n
     """Hash, item and place of the seeds of items with ``sizes`` words each, given each word's share."""
     first = np.concatenate([[0], np.cumsum(sizes)])
     nothing = np.zeros(0, np.uint8)
-    w = Words(nothing, first, first[:0], first[:0], words, first)
+    w = Words(nothing, first, first[:0], first[:0], np.stack([words, words]), first)
     out = []
     for n in range(1, SEED + 1):
         h, item, at = windows(w, n)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import pieces
 from .quality_rules import SYMBOLS, line_repeats, per_text, repeated
 from .sampling import first_by_hash, fold, held_out, with_texts
-from .words import U64, Words, byte_view, mix, range_hashes, spans
+from .words import U64, Words, byte_view, mix, range_digests, spans
 
 POSITIVES, UNLABELLED = 4000, 8000
 FOLDS, HELD_OUT = 5, 0
@@ -42,7 +42,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     """One row of ``FEATURES`` per text."""
     data, offsets = byte_view(texts)
     starts, ends, first = spans(data, offsets)
-    w = Words(data, offsets, starts, ends, range_hashes(data, starts, ends), first)
+    w = Words(data, offsets, starts, ends, range_digests(data, starts, ends), first)
     text = w.text_of()
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     point = (data & 0xC0) != 0x80

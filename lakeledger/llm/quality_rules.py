@@ -1,9 +1,11 @@
 """Quality rules: how much of a text lies inside n-grams and lines that it repeats.
 
-For each of several n-gram lengths, hashes of all word windows come from one running sum, equal
-ones within a text are found by one sort, and the characters of the words that they cover are
-set against all characters of words.  Lines are measured alike.  A text is rejected if it fails
-the base rules or if any share is above its limit.
+Words become codes of a batch's distinct words.  A polynomial of the codes modulo a prime is rolled over
+the batch as one running sum, from which the hash of any window is a difference; equal ones within a
+text are found by one sort for each n-gram length, and compared word by word before they count.  The
+characters of the words that they cover are set against all characters of words.  Lines are measured
+alike, by codes of distinct lines.  A text is rejected if it fails the base rules or if any share is above
+its limit.
 
 Results: a null or empty text has no words and fails the base rules; each row is judged on its
 own, so repeated rows get equal results; only ``doc_id`` and ``text`` are read.
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces
-from .words import U64, Words, byte_view, mix, range_hashes, spans, windows
+from .words import U64, byte_view, coded, spans
 
 LEAST_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 #: Largest share of word characters inside repeated n-grams (first occurrence included), by n.
@@ -45,13 +47,76 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def covered(w: Words, n: int) -> np.ndarray:
+#: The rolling hash is a polynomial modulo this prime.
+BITS = 61
+PRIME, BASE = (1 << BITS) - 1, 0x1B0A_5C3D_9E87_F241
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, from halves of 30 and 31 bits; 2^61 counts as 1."""
+    low, half = U64(2**31 - 1), U64(31)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    return reduced((a1 * b1 << U64(1)) + (middle >> U64(30)) + ((middle & U64(2**30 - 1)) << half) + a0 * b0)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & U64(PRIME)) + (x >> U64(BITS))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0, base^1, ... by doubling."""
+    out = np.ones(1, U64)
+    while len(out) < n:
+        out = np.concatenate([out, times(out, np.full(1, pow(base, len(out), PRIME), U64))])
+    return out[:n]
+
+
+class Rolling:
+    """Hashes of all windows of a sequence of codes, from one running sum of code times power."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes = codes
+        base = BASE % PRIME
+        terms = times(codes.astype(U64) + U64(1), powers(base, len(codes)))
+        high, low = np.cumsum(terms >> U64(30), dtype=U64), np.cumsum(terms & U64(2**30 - 1), dtype=U64)
+        self.sums = np.concatenate([np.zeros(1, U64), reduced(times(reduced(high), np.full(1, 1 << 30, U64)) + reduced(low))])
+        self.back = powers(pow(base, PRIME - 2, PRIME), len(codes))
+
+    def windows(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The hash of ``n`` codes from each of ``at`` on."""
+        return times(reduced(self.sums[at + n] + U64(PRIME) - self.sums[at]), self.back[at])
+
+    def exact(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Numbers for the windows, equal for equal ones only: a code more at a time."""
+        out = self.codes[at].astype(np.int64)
+        for j in range(1, n):
+            out = np.unique(out * (int(self.codes.max()) + 1) + self.codes[at + j], return_inverse=True)[1]
+        return out
+
+
+def covered(rolling: Rolling, text: np.ndarray, n: int) -> np.ndarray:
     """Words inside a window of ``n`` words that its text holds twice or more."""
-    h, text, at = windows(w, n)
-    at = at[repeated(mix(h ^ mix(text.astype(U64))))]
-    edge = np.zeros(len(w.starts) + 1, np.int64)
-    edge[at] += 1
-    edge[at + n] -= 1  # windows start at different words, so no index occurs twice
+    count = max(0, len(text) - n + 1)
+    at = np.flatnonzero(text[:count] == text[n - 1 : n - 1 + count]) if count else np.zeros(0, np.int64)
+    edge = np.zeros(len(text) + 1, np.int64)
+    if len(at):
+        key = rolling.windows(at, n)
+        order = np.lexsort((key, text[at]))
+        a, b = at[order[:-1]], at[order[1:]]
+        pair = np.flatnonzero((key[order[1:]] == key[order[:-1]]) & (text[a] == text[b]))
+        same = np.ones(len(pair), bool)
+        for j in range(n):
+            same &= rolling.codes[a[pair] + j] == rolling.codes[b[pair] + j]
+        if not same.all():  # two windows of one hash: tell them apart by their words
+            key = rolling.exact(at, n)
+            order = np.lexsort((key, text[at]))
+            a, b = at[order[:-1]], at[order[1:]]
+            pair = np.flatnonzero((key[order[1:]] == key[order[:-1]]) & (text[a] == text[b]))
+        at = np.union1d(a[pair], b[pair])
+        edge[at] += 1
+        edge[at + n] -= 1  # windows start at different words, so no index occurs twice
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -72,9 +137,9 @@ def line_repeats(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> tu
     keep = solid[ends] > solid[starts]
     starts, ends = starts[keep], ends[keep]
     text = np.searchsorted(offsets, starts, "right") - 1
-    keys = mix(range_hashes(data, starts, ends) ^ mix(text.astype(U64)))
-    order = np.lexsort((starts, keys))
-    later = order[1:][keys[order[1:]] == keys[order[:-1]]]
+    _, line = coded(data, starts, ends)
+    order = np.lexsort((starts, line, text))
+    later = order[1:][(line[order[1:]] == line[order[:-1]]) & (text[order[1:]] == text[order[:-1]])]
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     return np.bincount(text[later], minlength=n), np.bincount(text[later], weights=(chars[ends] - chars[starts])[later], minlength=n)
 
@@ -82,17 +147,18 @@ def line_repeats(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> tu
 def measure(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     data, offsets = byte_view(texts)
     starts, ends, first = spans(data, offsets)
-    w = Words(data, offsets, starts, ends, range_hashes(data, starts, ends), first)
+    _, codes = coded(data, starts, ends)
+    rolling, text = Rolling(codes), np.repeat(np.arange(len(first) - 1), np.diff(first))
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     point = (data & 0xC0) != 0x80
     chars = np.concatenate([[0], np.cumsum(point & ~blank)])
     of_word = chars[ends] - chars[starts]
     word_chars = np.diff(chars[offsets])
-    n_words = w.counts
+    n_words = np.diff(first)
     n_dup_lines, dup_chars = line_repeats(data, offsets, blank)
-    n_repeat = per_text(covered(w, REPEAT_WINDOW), first)
+    n_repeat = per_text(covered(rolling, text, REPEAT_WINDOW), first)
     failed = (n_words < LEAST_WORDS) | (100 * n_repeat > REPEAT_PERCENT * n_words)
-    shares = [per_text(of_word * covered(w, n), first) / np.maximum(word_chars, 1) for n in NGRAM_LIMITS]
+    shares = [per_text(of_word * covered(rolling, text, n), first) / np.maximum(word_chars, 1) for n in NGRAM_LIMITS]
     lines = dup_chars / np.maximum(per_text(point, offsets), 1)
     bad = failed | (lines > LINE_LIMIT)
     for share, limit in zip(shares, NGRAM_LIMITS.values(), strict=True):

@@ -26,10 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard, null_safe_id, pieces, with_first_id, written
-from .words import Runs, U64, Words, byte_view, mix, whole_hash, windows, words
+from .words import U64, Words, byte_view, mix, whole_hash, windows, words
 
 WINDOW, SEED, FIRST = 20, 10, 5  # each twice the next
-SALT = 0x5851F42D4C957F2D
 TOP = np.iinfo(np.uint64).max
 KEPT_SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
 
@@ -173,7 +172,7 @@ def units(batch: pa.RecordBatch, window: int, seed: int) -> pa.RecordBatch:
     a = at[first]
     b = at[np.concatenate([first[1:], [len(at)]]) - 1] + window
     ids = batch.column("id").to_numpy(zero_copy_only=False)[text[first]]
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (least[first], run_hashes(w, a, b), run_hashes(w, a, b, SALT), ids)], names=["seed", "u1", "u2", "id"])
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (least[first], w.runs.of(a, b - a), w.other_runs.of(a, b - a), ids)], names=["seed", "u1", "u2", "id"])
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
@@ -220,7 +219,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, firs
             h, text, at, _ = candidates(w, batch.column("open"), window, seed)
             new = _first_in_text(h, text)
             ids = batch.column("id").to_numpy(zero_copy_only=False)[text[new]]
-            second = run_hashes(w, at[new], at[new] + window, SALT)
+            second = w.other_runs.every(window)[at[new]]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h[new].view(np.int64)), pa.array(second.view(np.int64))], names=["id", "h1", "h2"])
 
     def strip_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,11 +238,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, firs
     return rows.select("doc_id", "n_bytes", "packed", "seeds", "copies", "own", "firsts").mapInArrow(strip_all, KEPT_SCHEMA)
 
 
-def run_hashes(w: Words, a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of the words ``a:b`` of each pair; another one for another salt."""
-    return Runs(mix(w.hashes ^ U64(salt)) if salt else w.hashes).of(a, b - a)
-
-
 def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Compressed texts, which are what joins by id move about."""
     data, offsets = byte_view(batch.column("text"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, pieces, written
 from .sampling import first_by_hash, fold, held_out, with_texts
-from .words import byte_view, mix, range_hashes, spans
+from .words import byte_view, mix, range_digests, spans
 
 SAMPLE = 1500
 FOLDS, HELD_OUT = 4, 2
@@ -201,7 +201,7 @@ class Sample:
 def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Hash, text and spelling of the distinct words of each text, by text."""
     data, starts, ends, text = text_words(texts)
-    hashes = range_hashes(CODE.astype(np.uint8)[data], starts, ends)
+    hashes = range_digests(CODE.astype(np.uint8)[data], starts, ends)[0]
     order = np.lexsort((hashes, text))
     h, t = hashes[order], text[order]
     new = order[np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])] if len(order) else order

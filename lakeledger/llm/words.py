@@ -16,10 +16,9 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Ranges of more bytes are hashed one by one by a library function instead of eight bytes a step.
-LONG_BYTES = 128
 ODD, SALT = U64(0x9E3779B97F4A7C15), U64(0x5851F42D4C957F2D)
-MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Digests of so many distinct short words are kept by a worker, for the next batch.
+REMEMBERED, SHORT = 100_000, 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,19 +66,32 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words of ``n_texts`` texts in order: byte ranges, 64-bit hashes and each text's first word."""
+    """Words of ``n_texts`` texts in order: byte ranges, 128-bit digests and each text's first word."""
 
     data: np.ndarray
     offsets: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    hashes: np.ndarray
+    digests: np.ndarray  # two rows of 64 bits
     first: np.ndarray  # len n_texts + 1: words of text i are first[i]:first[i + 1]
 
+    @property
+    def hashes(self) -> np.ndarray:
+        """Half of the digests, for finding; where equality decides, ``others`` must agree too."""
+        return self.digests[0]
+
+    @property
+    def others(self) -> np.ndarray:
+        return self.digests[1]
+
     @functools.cached_property
     def runs(self) -> Runs:
         return Runs(self.hashes)
 
+    @functools.cached_property
+    def other_runs(self) -> Runs:
+        return Runs(self.others)
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -108,32 +120,37 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``data[s:e]`` for each range: eight bytes a step, each step mixed.
+def coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct ones of these ranges (ascending, apart), and which of them each is: compared byte by byte."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy()
 
-    Ranges of up to eight bytes never collide with others of their length.
-    """
-    size = ends - starts
-    out = mix(size.astype(U64) + SALT)
-    if not len(size):
-        return out
-    two = np.zeros(len(data) + 8, np.uint16)
-    two[: len(data)] = data
-    two[:-1] |= two[1:] << 8
-    four = two.astype(np.uint32)
-    four[:-2] |= four[2:] << 16
-    eight = four.astype(U64)
-    eight[:-4] |= eight[4:] << U64(32)
-    row = np.flatnonzero((size > 0) & (size <= LONG_BYTES))
-    done = 0
-    while len(row):
-        out[row] = mix((out[row] ^ (eight[starts[row] + done] & MASKS[np.minimum(size[row] - done, 8)])) * ODD)
-        done += 8
-        row = row[size[row] > done]
-    view = memoryview(np.ascontiguousarray(data))
-    for i in np.flatnonzero(size > LONG_BYTES).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(view[starts[i] : ends[i]], digest_size=8).digest(), "little")
-    return out
+
+_remembered: dict[bytes, bytes] = {}
+
+
+def digest(value: bytes) -> bytes:
+    """128 bits of a cryptographic hash: no two values with equal ones can be written down."""
+    known = _remembered.get(value)
+    if known is None:
+        known = hashlib.blake2b(value, digest_size=16).digest()
+        if len(value) <= SHORT:
+            if len(_remembered) >= REMEMBERED:
+                _remembered.clear()
+            _remembered[value] = known
+    return known
+
+
+def range_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two rows of 64 bits: a digest of ``data[s:e]`` for each range; each distinct range is hashed once."""
+    distinct, code = coded(data, starts, ends)
+    each = np.frombuffer(b"".join(map(digest, distinct.to_pylist())), U64).reshape(-1, 2).T
+    return each[:, code]
 
 
 class Runs:
@@ -175,7 +192,7 @@ def words(texts: pa.Array) -> Words:
     """The words of each text with their hashes."""
     data, offsets = byte_view(texts)
     starts, ends, first = spans(data, offsets)
-    return Words(data, offsets, starts, ends, range_hashes(data, starts, ends), first)
+    return Words(data, offsets, starts, ends, range_digests(data, starts, ends), first)
 
 
 def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,9 +203,9 @@ def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w.runs.every(n)[at], text[at], at
 
 
-def whole_hash(w: Words, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each text's whole word sequence: its words, each mixed with its place."""
+def whole_hash(w: Words, half: int = 0) -> np.ndarray:
+    """Half of a 128-bit hash of each text's whole word sequence: its words, each mixed with its place."""
     place = np.arange(len(w.hashes), dtype=U64) - np.repeat(w.first[:-1], w.counts).astype(U64)
     total = np.zeros(len(w.hashes) + 1, U64)
-    np.cumsum(mix(joined(w.hashes ^ mix(np.full(1, seed, U64)), place)), out=total[1:])
+    np.cumsum(mix(joined(w.digests[half], place)), out=total[1:])
     return mix(total[w.first[1:]] - total[w.first[:-1]] + mix(w.counts.astype(U64) + SALT))
