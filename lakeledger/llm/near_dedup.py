@@ -4,7 +4,9 @@ A document is the weighted set of its five-word shingles (weight 1 + ln of the c
 shingle starts a Poisson process at the rate of its weight; every arrival falls on one register,
 and a register keeps the shingle that came first.  A shingle stops as soon as its next arrival is
 later than all registers of its document.  Two registers agree with the probability Jaccard
-similarity, so bands of registers become buckets.  In each bucket every document is first set
+similarity, so bands of registers become buckets.  A document that repeats shingles is sketched a second time
+at equal rates, as others are anyway: those registers agree with the Jaccard similarity of distinct shingles, which
+is the one verified, so repeats on one side cannot hide a pair.  In each bucket every document is first set
 against its lead, the one that shares most places in buckets: pairs that agree on at least 0.8 of their distinct shingles are
 links.  Where a lead's documents still hold several classes, two of them can only be a link if they
 share one of their first shingles in an order that both use: those that the lead lacks first, then
@@ -82,14 +84,32 @@ def sketch(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     w = words(texts)
     n = len(texts)
     h, text, count = shingles(w)
-    signature = prob_minhash(h, text, 1.0 + np.log(count), n, BANDS * ROWS).reshape(n, BANDS, ROWS)
+    full = w.counts > 0
+    repeats = np.zeros(n, bool)
+    repeats[text[count > 1]] = True
+    again = repeats[text]
+    weighted = band_keys(h[again], text[again], 1.0 + np.log(count[again]), n)
+    keys, of = [], []
+    for rows, found in ((full, band_keys(h, text, np.ones(len(h)), n)), (repeats, weighted)):
+        keys.append(found[rows].reshape(-1))
+        of.append(np.repeat(np.flatnonzero(rows), BANDS))
+    values, row = np.concatenate(keys), np.concatenate(of)
+    order = np.lexsort((values, row))
+    new = np.ones(len(order), bool)
+    new[1:] = (values[order[1:]] != values[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+    order = order[new]
+    bounds = np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)
+    bands = pa.ListArray.from_arrays(pa.array(bounds), pa.array(values[order].view(np.int64)))
+    return pa.RecordBatch.from_arrays([ids, pa.array(whole_hash(w).view(np.int64)), pa.array(whole_hash(w, 1).view(np.int64)), bands], names=["id", "c1", "c2", "bands"])
+
+
+def band_keys(h: np.ndarray, text: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """One key for each text and band of its registers."""
+    signature = prob_minhash(h, text, weight, n, BANDS * ROWS).reshape(n, BANDS, ROWS)
     keys = np.zeros((n, BANDS), U64) + mix(np.arange(BANDS, dtype=U64))
     for r in range(ROWS):
         keys = mix(keys ^ signature[:, :, r])
-    full = w.counts > 0
-    bounds = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
-    bands = pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[full].reshape(-1).view(np.int64)))
-    return pa.RecordBatch.from_arrays([ids, pa.array(whole_hash(w).view(np.int64)), pa.array(whole_hash(w, 1).view(np.int64)), bands], names=["id", "c1", "c2", "bands"])
+    return keys
 
 
 @dataclass(frozen=True)

@@ -92,6 +92,20 @@ def test_large_group_of_near_copies(spark):
     assert classes == {0}
 
 
+def test_repeats_on_one_side_hide_no_pair():
+    """Pairs at 0.8 of distinct shingles, of which the unshared ones stand 60 times: all share a bucket."""
+    found = 0
+    for trial in range(120):
+        shared = prose(44, 900 + trial)
+        pair = [shared + " " + " ".join([" ".join(f"{side}{trial}x{k}" for k in range(5))] * 60) for side in "ab"]
+        a, b = (set(x) for x in near_dedup.sketch(pa.array([0, 1]), pa.array(pair)).column("bands").to_pylist())
+        x, y = near_dedup.shingles(words_module.words(pa.array(pair[:1])))[0], near_dedup.shingles(words_module.words(pa.array(pair[1:])))[0]
+        similarity = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        assert 0.65 < similarity < 0.8
+        found += bool(a & b)
+    assert found >= 0.95 * 120
+
+
 def test_prob_minhash_estimates_weighted_similarity():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 300).astype(np.uint64)
