@@ -1,20 +1,41 @@
-"""The reference catalog: a gzip tar of YAML documents, read as binary files."""
+"""The reference catalog: tar archives of YAML documents as a data source, split over tasks.
+
+An archive is first read once by one task for each file, which writes an index: where a part of about
+``PART_BYTES`` of documents begins, as a place in the stored bytes from which unpacking can start and the
+bytes to pass over behind it.  The reader makes a partition of each part.  Plain tars start anywhere, gzip
+tars where a gzip member starts (``write_archives`` begins one with every document; a tar that is a single member is
+unpacked from its start by each task, which costs far less than reading its YAML).  Nothing holds an archive whole:
+documents are read one by one.
+"""
 
 from __future__ import annotations
 
+import gzip
 import io
 import re
 import tarfile
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import color
 
+try:
+    import yaml
+except ImportError:  # then documents are read by ``flat_yaml``, which knows no anchors
+    yaml = None
+
 KINDS = {"brands": "brand", "materials": "material", "material-packages": "package", "material-containers": "container"}
-SCHEMA = "kind string, folder string, file string, fields map<string,string>"
+SCHEMA = "kind string, folder string, file string, doc int, fields map<string,string>"
+INDEX_SCHEMA = "path string, start long, skip long, n int"
+PART_BYTES = 4 << 20
 
 
 ENTRY = re.compile(r"""^(?:'([^']+)'|"([^"]+)"|([A-Za-z_][\w-]*))\s*:(?:\s+(.*))?$""")
@@ -113,26 +134,231 @@ def _value(value: str, key: str, found: dict[str, str]) -> None:
         found[key] = value
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, folder, file, fields) of every document in the archives under ``path``; bad ones are skipped."""
+def flat_node(node, path: str, found: dict[str, str]) -> None:
+    """Puts what a YAML node holds under dotted keys; aliases are the nodes that they stand for, ``<<`` merges maps."""
+    if isinstance(node, yaml.MappingNode):
+        merged = [v for k, v in node.value if k.value == "<<"]
+        own = {k.value for k, _ in node.value}
+        for base in (m for v in merged for m in (v.value if isinstance(v, yaml.SequenceNode) else [v])):
+            taken = {}
+            flat_node(base, path, taken)
+            head = f"{path}." if path else ""
+            found.update({k: v for k, v in taken.items() if k not in found and k[len(head) :].split(".")[0] not in own})
+        for key, value in node.value:
+            if key.value != "<<":
+                flat_node(value, f"{path}.{key.value}" if path else key.value, found)
+    elif isinstance(node, yaml.SequenceNode):
+        listed = []
+        for n, item in enumerate(node.value):
+            if isinstance(item, yaml.ScalarNode):
+                listed += [item.value] if item.tag != "tag:yaml.org,2002:null" else []
+            else:
+                flat_node(item, f"{path}.{n}", found)
+        if listed or not node.value:
+            found[path] = ",".join(listed)
+    elif node.tag != "tag:yaml.org,2002:null":
+        found[path] = node.value
+
+
+def yaml_documents(text: str) -> list[dict[str, str]]:
+    """Every document of a file, its scalars under dotted keys; what is no map, or cannot be read, gives an empty one."""
+    if yaml is None:
+        return [flat_yaml(part) or {} for part in re.split(r"(?m)^---.*$", text) if part.strip()]
+    out: list[dict[str, str]] = []
+    try:
+        for node in yaml.compose_all(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+            found: dict[str, str] = {}
+            if isinstance(node, yaml.MappingNode):
+                flat_node(node, "", found)
+            out.append(found)
+    except (yaml.YAMLError, RecursionError):
+        return [*out, {}]
+    return out
+
+
+class Unpacked(io.RawIOBase):
+    """The unpacked bytes of a gzip or plain stream; notes where each gzip member begins."""
+
+    def __init__(self, raw, packed: bool) -> None:
+        self.raw, self.packed = raw, packed
+        self.restarts = [(0, 0)]  # (unpacked, stored) places
+        self.held, self.at, self.stored, self.stream = b"", 0, 0, None
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, n: int = -1) -> bytes:
+        out = []
+        while n and (part := self.raw.read(n) if not self.packed else self._more(n)):
+            out.append(part)
+            self.at += len(part)
+            n -= len(part) if n > 0 else 0
+        return b"".join(out)
+
+    def _more(self, n: int) -> bytes:
+        """Up to ``n`` bytes of the current gzip member or of the next one; none at the end."""
+        while self.held or (data := self.raw.read(1 << 16)):
+            self.held = self.held or data
+            if self.stream is None or self.stream.eof:
+                if self.stream is not None:
+                    self.restarts.append((self.at, self.stored))
+                self.stream = zlib.decompressobj(31)
+            n_held = len(self.held)
+            part = self.stream.decompress(self.held, n if n > 0 else 1 << 20)
+            self.held = self.stream.unused_data if self.stream.eof else self.stream.unconsumed_tail
+            self.stored += n_held - len(self.held)
+            if part:
+                return part
+        return b""
+
+
+def opened(path: str, start: int) -> Unpacked:
+    """An archive from a stored place on, in any store that Arrow reads."""
+    files, name = pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if path.startswith("file:") else path)
+    raw = files.open_input_file(name)
+    packed = raw.read_at(2, 0) == b"\x1f\x8b"
+    raw.seek(start)
+    return Unpacked(raw, packed)
+
+
+def place(name: str) -> tuple[str, str, str] | None:
+    """Kind, folder and file of a member that is a document, else nothing."""
+    parts = name.split("/")
+    at = next((i for i, p in enumerate(parts) if p in KINDS and i > 0 and parts[i - 1] == "data"), None)
+    if at is None or not name.endswith((".yaml", ".yml")):
+        return None
+    return KINDS[parts[at]], parts[at + 1] if len(parts) > at + 2 else "", parts[-1]
+
+
+def parts_of(path: str, part_bytes: int) -> Iterator[tuple[str, int, int, int]]:
+    """(path, start, skip, members) of each part of an archive, in one streaming pass over its headers."""
+    stream = opened(path, 0)
+    if not stream.raw.size():
+        return
+    first, n, size = None, 0, 0
+    with tarfile.open(fileobj=stream, mode="r|") as tar:
+        for member in tar:
+            if first is None:
+                first = member.offset
+            n, size = n + 1, size + member.size
+            tar.members = []  # or tarfile keeps every header
+            if size >= part_bytes:
+                yield (path, *restart(stream, first), n)
+                first, n, size = None, 0, 0
+    if n:
+        yield (path, *restart(stream, first), n)
+
+
+def restart(stream: Unpacked, at: int) -> tuple[int, int]:
+    """The last stored place to unpack from for the unpacked place ``at``, and the bytes between; earlier ones are forgotten."""
+    if not stream.packed:
+        return at, 0
+    before = [r for r in stream.restarts if r[0] <= at]
+    stream.restarts = stream.restarts[len(before) - 1 :]
+    return before[-1][1], at - before[-1][0]
+
+
+@dataclass
+class Part(InputPartition):
+    """Consecutive members of one archive."""
+
+    path: str
+    start: int
+    skip: int
+    n: int
+
+
+class ArchiveReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.index = options["index"]
+        self.kinds = {k.strip() for k in options.get("kinds", "").split(",") if k.strip()}
+
+    def partitions(self) -> list[Part]:
+        """One for each row of the index, which grows with the archives' bytes, not with their documents."""
+        files, name = pa.fs.FileSystem.from_uri(self.index)
+        rows = pa.dataset.dataset(name, filesystem=files, format="parquet").to_table().to_pylist()
+        return [Part(**r) for r in sorted(rows, key=lambda r: (r["path"], r["start"], r["skip"]))]
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        stream = opened(partition.path, partition.start)
+        stream.read(partition.skip)
+        with tarfile.open(fileobj=stream, mode="r|") as tar:
+            for k, member in enumerate(tar):
+                if k == partition.n:
+                    return
+                tar.members = []
+                at = place(member.name) if member.isfile() else None
+                if at is None or (self.kinds and at[0] not in self.kinds):
+                    continue
+                for doc, fields in enumerate(yaml_documents(tar.extractfile(member).read().decode("utf-8", "replace"))):
+                    if fields:
+                        yield (*at, doc, fields)
+
+
+class ReferenceArchives(DataSource):
+    """``spark.read.format("reference_archive").option("index", ...)``: documents of the archives that an index names.
+
+    ``kinds`` (a comma list) leaves out members of other kinds before their YAML is read.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "reference_archive"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> ArchiveReader:
+        return ArchiveReader(self.options)
+
+
+def write_index(spark: SparkSession, path: str, index: str, part_bytes: int = PART_BYTES) -> None:
+    """Writes the parts of all archives under ``path``, each archive read by a task of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                rows = list(parts_of(name, part_bytes))
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+                types = (pa.string(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "start", "skip", "n"])
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    files.repartition("path").mapInArrow(run, INDEX_SCHEMA).write.parquet(index)
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def documents(spark: SparkSession, path: str, index: str, part_bytes: int = PART_BYTES, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """(kind, folder, file, doc, fields) of every document in the archives under ``path``; bad ones are skipped.
+
+    ``index`` is a new folder where all tasks see it.
+    """
+    write_index(spark, path, index, part_bytes)
+    spark.dataSource.register(ReferenceArchives)
+    return spark.read.format("reference_archive").option("index", index).option("kinds", ",".join(kinds)).load()
+
+
+def write_archives(members: DataFrame, path: str, per_file: int = 20_000) -> None:
+    """Writes (name, body) rows as gzip tars of up to ``per_file`` members, a gzip member for each.
+
+    Spark's text writer writes them: a gzip member ends in the highest byte of its length, which is zero below
+    16 MB, and a zero is what the writer puts after each row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r:gz") as tar:
-                    for member in tar:
-                        parts = member.name.split("/")
-                        at = next((i for i, p in enumerate(parts) if p in KINDS and i > 0 and parts[i - 1] == "data"), None)
-                        if at is None or not member.isfile() or not member.name.endswith((".yaml", ".yml")):
-                            continue
-                        fields = flat_yaml(tar.extractfile(member).read().decode("utf-8", "replace"))
-                        if fields:
-                            rows.append((KINDS[parts[at]], parts[at + 1] if len(parts) > at + 2 else "", parts[-1], list(fields.items())))
-                types = [pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["kind", "folder", "file", "fields"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, SCHEMA)
+            out = []
+            for name, body in zip(batch.column("name").to_pylist(), batch.column("body"), strict=True):
+                data = body.as_buffer().to_pybytes()
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                packed = gzip.compress(info.tobuf() + data + b"\0" * (-len(data) % 512), 6, mtime=0)
+                if packed[-1]:
+                    packed += gzip.compress(b"", mtime=0)
+                out.append(packed[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+    rows = members.select("name", F.col("body").cast("binary")).mapInArrow(run, "value binary")
+    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
 
 
 #: Columns of a material -> number under ``properties``.
@@ -176,7 +402,7 @@ def materials(docs: DataFrame) -> DataFrame:
 def packages(docs: DataFrame) -> DataFrame:
     """Packages of the filament class that name a material, to be joined by its slug; ``ord`` is their order."""
     return _filaments(docs, "package").select(
-        _get("material.slug").alias("material"), F.concat_ws("/", "folder", "file").alias("ord"), _get("slug").alias("slug"), _get("uuid").alias("uuid"), _get("gtin").alias("gtin"),
+        _get("material.slug").alias("material"), F.concat_ws("/", "folder", "file", F.lpad(F.col("doc").cast("string"), 6, "0")).alias("ord"), _get("slug").alias("slug"), _get("uuid").alias("uuid"), _get("gtin").alias("gtin"),
         _get("brand_specific_id").alias("brand_specific_id"), _get("url").alias("url"), _number("nominal_netto_full_weight").alias("net"), _number("filament_diameter").alias("diameter"),
         _number("filament_diameter_tolerance").alias("tolerance"), _get("container.slug").alias("container"),
     ).filter("material is not null")

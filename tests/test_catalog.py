@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lakeledger import queries, queries_plans, queries_sync, queries_values  # noqa: F401  they register their queries
+from lakeledger import queries, queries_plans, queries_sources, queries_sync, queries_values  # noqa: F401  they register their queries
 from lakeledger.functions import color, text, units, values
 from lakeledger.operators import changes, conflicts, fuzzy, lexicon, matching, records
 from lakeledger.options import BASE_COLORS, COMPOSITE_SEEDS, FINISH_TAGS, MODIFIER_SEEDS, STOP_WORDS, Options, field_map, parse_pairs, parse_words
@@ -382,7 +382,7 @@ def test_archive(spark, tmp_path):
             info = tarfile.TarInfo("root/" + name)
             info.size = len(body)
             tar.addfile(info, io.BytesIO(body.encode()))
-    rows = archive.materials(archive.documents(spark, str(tmp_path / "a.tar.gz"))).collect()
+    rows = archive.materials(archive.documents(spark, str(tmp_path / "a.tar.gz"), f"file://{tmp_path}/index")).collect()
     assert [(r.uuid, r.brand, r.name, r.color, r.tags, r.density) for r in rows] == [("u1", "Acme", "Red", "FF0000", ["silk", "matte"], 1.24)]
 
 
@@ -400,7 +400,7 @@ def test_nested_archive(spark, tmp_path):
             info = tarfile.TarInfo("root/" + name)
             info.size = len(body)
             tar.addfile(info, io.BytesIO(body.encode()))
-    docs = archive.documents(spark, str(tmp_path / "a.tar.gz"))
+    docs = archive.documents(spark, str(tmp_path / "a.tar.gz"), f"file://{tmp_path}/index")
     rows = {r.slug: r for r in archive.materials(docs).collect()}
     x = rows["x"]
     assert (x.brand, x.name, x.color, x.secondary, x.density, x.nozzle_temp_min, x.chamber_temp, x.tags, x.photo_url) == ("Acme", "Red & Blue", "FF0000", ["00FF00", "0000FF"], 1.24, 200.0, 40.0, ["silk", "matte"], "http://p/1")
@@ -409,6 +409,61 @@ def test_nested_archive(spark, tmp_path):
     assert {tuple(r) for r in found} == {("x", 1000.0, 250.0), ("y", None, None)}
 
 
+YAML = """# a comment
+base: &b
+  density: 1.2
+  "temp": 200
+---
+slug: 'it''s'
+<<: *b
+temp: 210
+list: [a, ~, b]
+maps:
+  - {x: 1}
+  - <<: *b
+text: |
+  two
+  lines
+folded: >-
+  one
+  line
+"""
+
+
+def test_yaml_documents():
+    # an anchor ends with its document
+    assert archive.yaml_documents(YAML) == [{"base.density": "1.2", "base.temp": "200"}, {}]
+    found = archive.yaml_documents(YAML.replace("---\n", ""))
+    assert found == [{
+        "base.density": "1.2", "base.temp": "200", "slug": "it's", "density": "1.2", "temp": "210", "list": "a,b", "maps.0.x": "1",
+        "maps.1.density": "1.2", "maps.1.temp": "200", "text": "two\nlines\n", "folded": "one line",
+    }]
+    assert archive.yaml_documents("a: 1\n---\n- no map\n---\nb: 2") == [{"a": "1"}, {}, {"b": "2"}]
+    assert archive.yaml_documents("][") == [{}] and archive.yaml_documents("") == []
+
+
+@pytest.mark.parametrize("mode", ["w", "w:gz", "members"])
+def test_archive_in_parts(spark, tmp_path, mode):
+    files = {f"r/data/brands/{'long-name-' * 14}{k}.yaml": f"slug: s{k}\nname: {'x' * (k * 37 % 900)}\n---\nslug: t{k}\n" for k in range(300)}
+    path = f"{tmp_path}/archives"
+    if mode == "members":
+        rows = spark.createDataFrame(list({n.replace("long-name-", ""): b for n, b in files.items()}.items()), "name string, body string")
+        archive.write_archives(rows, path, per_file=70)
+    else:
+        (tmp_path / "archives").mkdir()
+        with tarfile.open(f"{path}/a.tar", mode) as tar:
+            for name, body in files.items():
+                info = tarfile.TarInfo(name)
+                info.size = len(body)
+                tar.addfile(info, io.BytesIO(body.encode()))
+    docs = archive.documents(spark, path, f"{tmp_path}/index", part_bytes=4000)
+    assert docs.rdd.getNumPartitions() > 10
+    assert sorted(r.fields["slug"] for r in docs.collect()) == sorted(f"{c}{k}" for k in range(300) for c in "st")
+    starts = spark.read.parquet(f"{tmp_path}/index")
+    assert starts.filter("start > 0").count() == (0 if mode == "w:gz" else starts.count() - starts.select("path").distinct().count())
+    assert archive.documents(spark, path, f"{tmp_path}/index2", kinds=("material",)).count() == 0
+
+
 def test_streaming_runner(spark, tmp_path):
     schema = "entity_id string, weight double, seen_at timestamp"
     at = lambda h: datetime.datetime(2024, 1, 1, h)
