@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import matching_sql
 from .functions import color, text, units, values
 from .operators import changes, conflicts, fuzzy, lexicon, matching, records, tare
 from .options import Options
@@ -570,7 +571,7 @@ def bigram_lifts(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.lifts(counted, F.lit(part.count())).select("term", "freq", F.round("lift", 6).alias("lift"))
 
 
-@query()
+@query(matching_sql.MINED)
 def mined_lexicon(spark: SparkSession, d: str) -> DataFrame:
     """Modifiers and colors of names after coverage, with seeds and counts."""
     return lexicon.mine(spark.read.parquet(f"{d}/part.parquet"), "p_name", "p_brand", "p_type")
@@ -579,16 +580,34 @@ def mined_lexicon(spark: SparkSession, d: str) -> DataFrame:
 def _decomposed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     right = view(spark, d, "right_product")
     terms = lexicon.index(lexicon.mine(right, "name", "vendor", "type"))
-    left = fuzzy.decomposed(view(spark, d, "left_product"), "id", "vendor", "name", "material", "color_hex", OPTIONS, terms)
-    return left, fuzzy.decomposed(right, "id", "vendor", "name", "type", "color", OPTIONS, terms)
-
-
-@query()
+    multi, secondary = F.coalesce("multi", F.lit("")), F.filter(F.split("secondary_csv", ","), lambda h: h != "")
+    some = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", 1).otherwise(0)
+    left = fuzzy.decomposed(
+        view(spark, d, "left_product").join(view(spark, d, "left_palette"), "id"), "id", "vendor", "name", "material", "color_hex", OPTIONS, terms,
+        profile=color.left_profile(F.col("multi"), F.col("direction")), hexes=F.when(multi != "", 1 + F.size(F.split(multi, ","))).otherwise(some("color_hex")),
+    )
+    tags = F.transform(F.filter(F.split("tags_csv", ","), lambda t: t != ""), lambda t: t.cast("int"))
+    right = fuzzy.decomposed(
+        right.join(view(spark, d, "right_palette"), "id"), "id", "vendor", "name", "type", "color", OPTIONS, terms,
+        profile=color.right_profile(secondary, tags, F.array().cast("array<string>")), hexes=some("color") + F.size(secondary),
+    )
+    return left, right
+
+
+@query(matching_sql.RANKED)
 def fuzzy_matches(spark: SparkSession, d: str) -> DataFrame:
     """Best and alternate reference products of each left one."""
     return fuzzy.matches(*_decomposed(spark, d), OPTIONS)
 
 
+@query(matching_sql.REASONS)
+def no_match_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why products have no match of 0.8 or more."""
+    left, right = _decomposed(spark, d)
+    top = fuzzy.matches(left, right, OPTIONS).filter("rank = 1")
+    return fuzzy.unmatched_reason(left, right.select("brand").distinct(), top.filter("score >= 0.8"), top)
+
+
 @query()
 def fuzzy_matches_with_names(spark: SparkSession, d: str) -> DataFrame:
     """W2 with the name similarity F46 (Arrow), and known identities pinned."""

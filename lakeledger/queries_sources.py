@@ -66,15 +66,15 @@ select 'part-' || p_partkey as slug, p_brand as brand, p_name as name, p_type as
 from part left join firsts on l_partkey = p_partkey""")
 def archive_catalog(spark: SparkSession, d: str) -> DataFrame:
     """IO7, J9: archives written from the tables and read back in parts: materials with their brands, packages and containers."""
-    path, index = new_folder(spark, "archives"), new_folder(spark, "archive-index")
+    path, index, read, table = (new_folder(spark, n) for n in ("archives", "archive-index", "documents", "catalog"))
     archive.write_archives(catalog_members(spark, d), path)
-    docs = archive.documents(spark, path, index, part_bytes=256 << 10)
+    archive.documents(spark, path, index, part_bytes=256 << 10).write.parquet(read)  # YAML is read once
+    docs = spark.read.parquet(read)
     materials, packages = archive.materials(docs), archive.packages(docs)
     counted = packages.groupBy(F.col("material").alias("slug")).agg(F.count(F.lit(1)).alias("n_packages"))
     weights = fuzzy.package_weights(materials.select("slug"), packages, archive.containers(docs))
     rows = materials.join(counted, "slug", "left").join(weights, "slug")
-    table = new_folder(spark, "catalog")
     rows.select("slug", "brand", "name", "type", "color", "density", "nozzle_temp_min", "drying_time", F.coalesce("n_packages", F.lit(0)).alias("n_packages"), "net", "tare").write.parquet(table)
-    for done in (path, index):
+    for done in (path, index, read):
         delete_folder(spark, done)
     return spark.read.parquet(table)

@@ -18,6 +18,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "conflict": (("orders",), "select o_orderkey as id, 'item' as entity_type, o_orderkey - o_orderkey % 2 as left_id, case (o_orderkey - o_orderkey % 2) % 8 when 0 then 'weight' when 2 then 'location' when 4 then 'lifecycle' else 'color' end as field_name, case (o_orderkey - o_orderkey % 2) % 10 when 0 then 'new_record' when 2 then 'deletion' else 'field' end as conflict_type, o_orderdate as detected_at, case when o_orderkey % 7 = 0 then o_orderdate else null end as resolved_at from orders where o_orderkey % 6 < 4"),
 }
 
+#: Several colors of either side's products: a list with a direction, and further colors with tags.
+VIEWS["left_palette"] = (("part",), """select p_partkey as id, case when p_partkey % 6 = 0 then '112233,445566' when p_partkey % 10 = 3 then 'AA0000,00BB00,0000CC' else null end as multi,
+  case when p_partkey % 12 = 0 then 'coaxial' when p_partkey % 4 = 2 then 'longitudinal' else null end as direction from part""")
+VIEWS["right_palette"] = (("part",), """select concat('R', cast(p_partkey as varchar(20))) as id, case when p_partkey % 6 = 0 then '#445566' when p_partkey % 10 = 3 then '00BB00,0000CC' else '' end as secondary_csv,
+  case when p_partkey % 12 = 0 then '29,16' when p_partkey % 6 = 0 then '28' else '' end as tags_csv from part""")
 
 #: Pairs of products for the field passes: a base value of each field, what either side had at the last sync, and what
 #: it has now.  One in 11 left and one in 13 right values moved, one in 17 moved to the same value on both sides.
