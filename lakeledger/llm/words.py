@@ -17,8 +17,10 @@ import pyarrow as pa
 
 U64 = np.uint64
 ODD, SALT = U64(0x9E3779B97F4A7C15), U64(0x5851F42D4C957F2D)
-#: Digests of so many distinct short words are kept by a worker, for the next batch.
-REMEMBERED, SHORT = 100_000, 64
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Ranges of more bytes are hashed one by one.
+LONG_BYTES = 128
+KEY = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -131,25 +133,75 @@ def coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Ar
     return found.dictionary, found.indices.to_numpy()
 
 
-_remembered: dict[bytes, bytes] = {}
-
-
-def digest(value: bytes) -> bytes:
-    """128 bits of a cryptographic hash: no two values with equal ones can be written down."""
-    known = _remembered.get(value)
-    if known is None:
-        known = hashlib.blake2b(value, digest_size=16).digest()
-        if len(value) <= SHORT:
-            if len(_remembered) >= REMEMBERED:
-                _remembered.clear()
-            _remembered[value] = known
-    return known
+def _round(v: list[np.ndarray]) -> None:
+    """One SipRound on four words, in place."""
+    v0, v1, v2, v3 = v
+
+    def turn(x: np.ndarray, n: int) -> np.ndarray:
+        high = x << U64(n)
+        x >>= U64(64 - n)
+        x |= high
+        return x
+
+    v0 += v1
+    turn(v1, 13)
+    v1 ^= v0
+    turn(v0, 32)
+    v2 += v3
+    turn(v3, 16)
+    v3 ^= v2
+    v0 += v3
+    turn(v3, 21)
+    v3 ^= v0
+    v2 += v1
+    turn(v1, 17)
+    v1 ^= v2
+    turn(v2, 32)
+
+
+def sip_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: tuple[int, int] = KEY) -> np.ndarray:
+    """SipHash-2-4 with 128 bits of each range, as two rows; ranges of equally many blocks are worked together."""
+    eight = np.zeros(len(data) + 8, U64)
+    for k in range(8):
+        eight[: len(data) - k] |= data[k:].astype(U64) << U64(8 * k) if k < len(data) else U64(0)
+    size = ends - starts
+    out = np.zeros((2, len(size)), U64)
+    blocks = size >> 3
+    for n in np.unique(blocks).tolist():
+        row = np.flatnonzero(blocks == n)
+        v = [np.full(len(row), x, U64) for x in (key[0] ^ 0x736F6D6570736575, key[1] ^ 0x646F72616E646F6D ^ 0xEE, key[0] ^ 0x6C7967656E657261, key[1] ^ 0x7465646279746573)]
+        for k in range(n + 1):
+            m = eight[starts[row] + 8 * k]
+            if k == n:
+                rest = size[row] & 7
+                m = np.where(rest > 0, m & MASKS[rest], U64(0)) | (size[row].astype(U64) << U64(56))
+            v[3] ^= m
+            _round(v)
+            _round(v)
+            v[0] ^= m
+        v[2] ^= U64(0xEE)
+        for half in range(2):
+            for _ in range(4):
+                _round(v)
+            out[half, row] = v[0] ^ v[1] ^ v[2] ^ v[3]
+            v[1] ^= U64(0xDD)
+    return out
 
 
 def range_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Two rows of 64 bits: a digest of ``data[s:e]`` for each range; each distinct range is hashed once."""
+    """Two rows of 64 bits: a digest of ``data[s:e]`` for each range, in which no equal ones can simply be written down.
+
+    Each distinct range is hashed once: by SipHash in numpy, long ones by a library's hash.
+    """
     distinct, code = coded(data, starts, ends)
-    each = np.frombuffer(b"".join(map(digest, distinct.to_pylist())), U64).reshape(-1, 2).T
+    raw, bounds = byte_view(distinct)
+    first, last = bounds[:-1], bounds[1:]
+    short = np.flatnonzero(last - first <= LONG_BYTES)
+    each = np.zeros((2, len(first)), U64)
+    each[:, short] = sip_digests(raw, first[short], last[short])
+    view = memoryview(np.ascontiguousarray(raw))
+    for i in np.flatnonzero(last - first > LONG_BYTES).tolist():
+        each[:, i] = np.frombuffer(hashlib.blake2b(view[first[i] : last[i]], digest_size=16).digest(), U64)
     return each[:, code]
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lakeledger.llm import line_dedup, near_dedup, quality_rules, substring_dedup
-from lakeledger.llm.words import range_digests, words
+from lakeledger.llm.words import range_digests, sip_digests, words
 
 from .helpers import near_classes, prose, repeat_counts, strip_repeats, table
 
@@ -29,6 +29,13 @@ def test_digests_of_many_words_are_distinct():
     assert d.shape == (2, len(starts)) and len(np.unique(d[0])) == len(np.unique(d[1])) == len(starts)
 
 
+def test_siphash_is_the_published_one():
+    key = (0x0706050403020100, 0x0F0E0D0C0B0A0908)
+    data = np.arange(64, dtype=np.uint8)
+    got = sip_digests(data, np.zeros(2, np.int64), np.array([0, 1]), key)
+    assert got[:, 0].tobytes().hex() == "a3817f04ba25a8e66df67214c7550293" and got[:, 1].tobytes().hex() == "da87c1d86b99af44347659119b22fc45"
+
+
 @pytest.fixture(scope="module")
 def texts():
     base = prose(30, 5).split()
