@@ -46,6 +46,19 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def letters(name: Column) -> Column:
+    """How often each character stands in a name."""
+    chars = F.filter(F.split(_text(name), ""), lambda c: c != "")
+    return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, F.size(F.filter(chars, lambda x: x == c)))))
+
+
+def ratio_bound(a: Column, b: Column, name_a: Column, name_b: Column) -> Column:
+    """At least ``sequence_ratio`` of two names: twice the characters that both have (``letters``), over all; built-in functions only."""
+    both = F.aggregate(F.map_entries(a), F.lit(0), lambda n, e: n + F.least(e["value"], F.coalesce(F.try_element_at(b, e["key"]), F.lit(0))))
+    every = F.char_length(_text(name_a)) + F.char_length(_text(name_b))
+    return F.when(every == 0, 1.0).otherwise(2.0 * both / every)
+
+
 def _bare(v: str | None) -> str:
     return unicodedata.normalize("NFKC", v or "").lower().strip()
 

@@ -12,6 +12,7 @@ from . import lexicon
 
 PARTS = ("family", "brand", "color", "modifier", "finish", "hex", "name")
 BASES = frozenset(BASE_COLORS)
+NAME_WEIGHT = 0.05
 
 
 def parsed(segments: list[list[str]], index: frozenset[str]) -> tuple[list[str], list[str]]:
@@ -71,18 +72,21 @@ def decomposed(
     )
 
 
-def scored(left: DataFrame, right: DataFrame, with_names: bool = False) -> DataFrame:
-    """(left_id, right_id, score) of all pairs of one brand that pass the family and color gates.
+def paired(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All pairs of one brand that pass the family and color gates, columns as ``a_...`` and ``b_...``.
 
     Brand and family block are the key of the join; AQE splits one that holds a large share.
-    ``with_names`` adds the similarity of the names, which only Python computes.
     """
     a, b = (df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns), color.rgb(F.col("hex")).alias(f"{p}_rgb")) for p, df in (("a", left), ("b", right)))
     profiles = color.profiles_fit_softly(*(F.col(f"{p}_{c}") for c in ("profile", "hexes", "arity") for p in "ab"))
     # families fit where they are of one block (biopolymers are one), or where the right one is unknown
     block = lambda c: F.when(c.isin(*BIOPOLYMERS), BIOPOLYMERS[0]).otherwise(c)
     brand, left_block = F.col("a_brand") == F.col("b_brand"), block(F.col("a_family"))
-    rows = a.join(b, brand & (left_block == block(F.col("b_family"))) & profiles).unionByName(a.filter(left_block != "").join(b.filter("b_family = ''"), brand & profiles))
+    return a.join(b, brand & (left_block == block(F.col("b_family"))) & profiles).unionByName(a.filter(left_block != "").join(b.filter("b_family = ''"), brand & profiles))
+
+
+def total(name: Column) -> Column:
+    """The score of a pair of ``paired`` whose names are as similar as ``name`` says."""
     half = F.when(F.contains("a_family", F.col("b_family")) | F.contains("b_family", F.col("a_family")), 0.5).otherwise(0.0)
     parts = {
         "family": 0.15 * F.when(F.col("a_family") == F.col("b_family"), 1.0).otherwise(half),
@@ -91,12 +95,41 @@ def scored(left: DataFrame, right: DataFrame, with_names: bool = False) -> DataF
         "modifier": 0.15 * values.jaccard(F.col("a_modifiers"), F.col("b_modifiers")),
         "finish": values.finish_score(F.col("a_finishes"), F.col("b_finishes")),
         "hex": color.hex_score(F.col("a_rgb"), F.col("b_rgb")),
-        "name": 0.05 * text.sequence_ratio(F.col("a_name"), F.col("b_name")) if with_names else F.lit(0.0),
+        "name": NAME_WEIGHT * name,
     }
-    total: Column = F.lit(0.0)
+    out: Column = F.lit(0.0)
     for p in PARTS:
-        total = total + parts[p]
-    return rows.select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), F.round(total, 4).alias("score"))
+        out = out + parts[p]
+    return out
+
+
+def scored(left: DataFrame, right: DataFrame, with_names: bool = False) -> DataFrame:
+    """(left_id, right_id, score) of all ``paired``; ``with_names`` adds the similarity of the names, which only Python computes."""
+    name = text.sequence_ratio(F.col("a_name"), F.col("b_name")) if with_names else F.lit(0.0)
+    return paired(left, right).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), F.round(total(name), 4).alias("score"))
+
+
+def open_pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """(left_id, right_id, base, a_name, b_name): the pairs that may be among a left product's ``most`` best once names count.
+
+    Two names share at most the letters that both have, so ``base`` (the score without names) with that bound must
+    reach the score that ``most`` pairs have without their names.  All of it runs in the JVM.
+    """
+    lettered = lambda df: df.withColumn("letters", text.letters(F.col("name")))
+    bound = text.ratio_bound(F.col("a_letters"), F.col("b_letters"), F.col("a_name"), F.col("b_name"))
+    rows = paired(lettered(left), lettered(right)).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), total(F.lit(0.0)).alias("base"), bound.alias("bound"), "a_name", "b_name")
+    rows = rows.withColumn("score", F.round("base", 4))
+    sure = _best(rows.select("left_id", "right_id", "score"), "left_id", [F.col("score").desc(), F.col("right_id")], most, "right_id")
+    least = sure.groupBy("left_id").agg(F.when(F.count(F.lit(1)) == most, F.min("score")).alias("least"))
+    reach = F.round(F.col("base") + NAME_WEIGHT * F.col("bound"), 4)
+    return rows.join(least, "left_id").filter(F.coalesce(reach >= F.col("least"), F.lit(True))).select("left_id", "right_id", "base", "a_name", "b_name")
+
+
+def named(pairs: DataFrame) -> DataFrame:
+    """(left_id, right_id, score) of ``open_pairs``; Python compares each pair of names once."""
+    ratio = text.sequence_ratio(F.col("a_name"), F.col("b_name"))
+    ratios = pairs.select("a_name", "b_name").distinct().withColumn("ratio", ratio)
+    return pairs.join(ratios, ["a_name", "b_name"]).select("left_id", "right_id", F.round(F.col("base") + NAME_WEIGHT * F.col("ratio"), 4).alias("score"))
 
 
 def _best(rows: DataFrame, key: str, order: list[Column], most: int, by: str) -> DataFrame:
@@ -135,7 +168,8 @@ def matches(left: DataFrame, right: DataFrame, options: Options, with_names: boo
     most = options.alternates + 1
     a, b = _alike(left, with_names), _alike(right, with_names)
     one = lambda rows, id_: rows.groupBy("key").agg(id_.alias("id"), *(F.first(c).alias(c) for c in left.columns if c != "id")).drop("key")
-    groups = scored(one(a, F.first("key")), one(b, F.min("id")), with_names)
+    ours, theirs = one(a, F.first("key")), one(b, F.min("id"))
+    groups = named(open_pairs(ours, theirs, most)) if with_names else scored(ours, theirs)
     best = _best(groups, "left_id", [F.col("score").desc(), F.col("right_id")], most, "right_id").withColumnRenamed("right_id", "first_id").drop("rank")
     members = _best(b.select("key", "id"), "key", [F.col("id").asc()], most, "id")
     members = members.join(members.filter("rank = 1").select("key", F.col("id").alias("first_id")), "key").select("first_id", F.col("id").alias("right_id"))

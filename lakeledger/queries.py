@@ -676,7 +676,11 @@ def hourly_actions(spark: SparkSession, d: str) -> DataFrame:
     return runner.hourly_actions(view(spark, d, "sync_log"))
 
 
-@query()
+@query("""hashed as (select sha256(concat_ws('|', cast(id as varchar), coalesce(vendor, chr(0)), coalesce(name, chr(0)), coalesce(color_hex, chr(0)))) as h from left_product),
+sums as (select ('0x' || substr(h, 1, 3))::int as b, count(*) as n, sum(('0x' || substr(h, 4, 12))::bigint) as s0, sum(('0x' || substr(h, 16, 12))::bigint) as s1,
+  sum(('0x' || substr(h, 28, 12))::bigint) as s2, sum(('0x' || substr(h, 40, 12))::bigint) as s3 from hashed group by 1),
+lines as (select n, concat_ws(':', b::varchar, n::varchar, s0::varchar, s1::varchar, s2::varchar, s3::varchar) as line from sums)
+select sum(n)::bigint as n, sha256(string_agg(line, chr(10) order by line)) as digest from lines""", "left_product")
 def content_digest(spark: SparkSession, d: str) -> DataFrame:
     """A12, IO10: one digest of all products, whatever their order."""
     return reports.content_digest(view(spark, d, "left_product"), ["id", "vendor", "name", "color_hex"])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import fuzzy
 from .queries import query
-from .sources import archive
+from .sources import archive, snapshots
 from .sources.shared import delete_folder, new_folder
+from .sources.views import view
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -78,3 +81,63 @@ def archive_catalog(spark: SparkSession, d: str) -> DataFrame:
     for done in (path, index, read):
         delete_folder(spark, done)
     return spark.read.parquet(table)
+
+
+@query("""base as (select entity_id, remaining_weight from snapshot_left),
+one as (select id as entity_id, remaining_weight from left_item where id % 3 = 0),
+two as (select id as entity_id, -1.0::double as remaining_weight from left_item where id % 100 = 1),
+final as (
+  select coalesce(t.entity_id, o.entity_id, b.entity_id) as entity_id,
+    case when t.entity_id is not null then t.remaining_weight when o.entity_id is not null then o.remaining_weight else b.remaining_weight end as remaining_weight
+  from base b full join one o on o.entity_id = b.entity_id full join two t on t.entity_id = coalesce(o.entity_id, b.entity_id))
+select entity_id, remaining_weight, (entity_id in (select entity_id from base))::int + (entity_id in (select entity_id from base) or entity_id % 3 = 0)::int
+  + (entity_id in (select entity_id from base) or entity_id % 3 = 0 or entity_id % 100 = 1)::int as seen
+from final where entity_id % 10 <> 7""", "snapshot_left", "left_item")
+def snapshot_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """IO13, IO14, IO18: a snapshot table through two upserts and a deletion, read after each; and how often each entity was there."""
+    store = snapshots.SnapshotStore(spark, new_folder(spark, "snapshots"))
+    items = view(spark, d, "left_item").select(F.col("id").alias("entity_id"), "remaining_weight")
+    seen = []
+    with store.change() as step:
+        step.create("left", view(spark, d, "snapshot_left").select("entity_id", "remaining_weight"), ["entity_id"], buckets=8)
+    seen.append(store.read("left").select("entity_id"))
+    with store.change() as step:
+        step.upsert("left", items.filter("entity_id % 3 = 0"))
+    seen.append(store.read("left").select("entity_id"))
+    with store.change() as step:
+        step.upsert("left", items.filter("entity_id % 100 = 1").withColumn("remaining_weight", F.lit(-1.0)))
+    seen.append(store.read("left").select("entity_id"))
+    with store.change() as step:
+        step.delete("left", seen[2].filter("entity_id % 10 = 7"))
+        step.compact("left", most=3)
+    times = seen[0].unionByName(seen[1]).unionByName(seen[2]).groupBy("entity_id").agg(F.count(F.lit(1)).alias("seen"))
+    return store.read("left").join(times, "entity_id")
+
+
+@query("""gone as (select left_id from product_mapping where left_id % 6 = 0)
+select 'mapping' as kind, cast(left_id as varchar) as id, null as state from product_mapping where left_id not in (select left_id from gone)
+union all select 'snapshot', cast(entity_id as varchar), null from snapshot_left where entity_id not in (select left_id from gone)
+union all select 'snapshot', 'new-' || left_id, null from gone
+union all select 'conflict', cast(id as varchar), case when resolved_at is not null then 'resolved' when left_id in (select left_id from gone) then 'settled' else 'open' end from conflict""", "product_mapping", "snapshot_left", "conflict")
+def purge_in_one_step(spark: SparkSession, d: str) -> DataFrame:
+    """Mappings, snapshots and conflicts of products that are gone change in one step, after a step that failed half-way."""
+    store = snapshots.SnapshotStore(spark, new_folder(spark, "state"))
+    snap = view(spark, d, "snapshot_left").select(F.col("entity_id").cast("string").alias("entity_id"), F.lit("weight").alias("field"), F.col("remaining_weight").cast("string").alias("value"))
+    state = F.when(F.col("resolved_at").isNotNull(), "resolved").otherwise("open").alias("state")
+    with store.change() as step:
+        step.create("mapping", view(spark, d, "product_mapping").select("left_id", "right_id"), ["left_id"], buckets=8)
+        step.create("snapshot", snap, ["entity_id", "field"], buckets=8)
+        step.create("conflict", view(spark, d, "conflict").select("id", "left_id", state), ["id"], buckets=8)
+    gone = store.read("mapping").filter("left_id % 6 = 0").select("left_id")  # the products that were deleted
+    with suppress(InterruptedError), store.change() as step:  # this writer dies between two tables
+        step.delete("mapping", gone)
+        raise InterruptedError
+    with store.change() as step:
+        step.delete("mapping", gone)
+        step.delete("snapshot", store.read("snapshot").join(gone.select(F.col("left_id").cast("string").alias("entity_id")), "entity_id", "left_semi"))
+        step.upsert("conflict", store.read("conflict").filter("state = 'open'").join(gone, "left_id", "left_semi").withColumn("state", F.lit("settled")))
+        first = gone.select(F.concat(F.lit("new-"), F.col("left_id").cast("string")).alias("entity_id"), F.lit("weight").alias("field"), F.lit("0").alias("value"))
+        step.insert_absent("snapshot", first)
+    none = F.lit(None).cast("string").alias("state")
+    rows = [store.read("mapping").select(F.lit("mapping").alias("kind"), F.col("left_id").cast("string").alias("id"), none), store.read("snapshot").select(F.lit("snapshot").alias("kind"), F.col("entity_id").alias("id"), none)]
+    return rows[0].unionByName(rows[1]).unionByName(store.read("conflict").select(F.lit("conflict").alias("kind"), F.col("id").cast("string").alias("id"), "state"))

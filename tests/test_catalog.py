@@ -16,7 +16,7 @@ from lakeledger.functions import color, text, units, values
 from lakeledger.operators import changes, conflicts, fuzzy, lexicon, matching, records
 from lakeledger.options import BASE_COLORS, COMPOSITE_SEEDS, FINISH_TAGS, MODIFIER_SEEDS, STOP_WORDS, Options, field_map, parse_pairs, parse_words
 from lakeledger.plans import decisions, import_plan, reports, resolve
-from lakeledger.sources import archive, reference, state
+from lakeledger.sources import archive, reference, snapshots, state
 from lakeledger.sources.views import with_views
 from lakeledger.streaming import runner
 
@@ -201,6 +201,22 @@ def test_matches_are_those_of_all_pairs(spark, with_names):
     assert sorted(map(tuple, got.select(*every.columns).collect())) == sorted(map(tuple, every.collect()))
 
 
+def test_few_pairs_of_names_reach_python(spark):
+    """Pairs that cannot be among the best, whatever their names, are dropped by the letters alone; names are compared once."""
+    rng = random.Random(4)
+    colors, words = ("red", "blue", "green", "black", "white", "pink", "gold", "teal"), ("alpha", "bravo", "charlie", "delta", "echo", "foxtrot")
+    products = spark.createDataFrame([(k, "acme", f"{rng.choice(colors)} {rng.choice(words)} {rng.choice(words)}", "pla", None) for k in range(300)], "id long, vendor string, name string, material string, hex string")
+    left, right = (fuzzy.decomposed(products.filter(f), "id", "vendor", "name", "material", "hex", Options()) for f in ("id < 100", "id >= 100"))
+    every, rest = fuzzy.paired(left, right).count(), fuzzy.open_pairs(left, right, 3)
+    assert every > 10_000 and rest.count() < every / 4 and rest.select("a_name", "b_name").distinct().count() < every / 5
+    whole = fuzzy.ranked(fuzzy.scored(left, right, True), Options(alternates=2)).select("left_id", "right_id", "score", "rank")
+    assert sorted(map(tuple, fuzzy.ranked(fuzzy.named(rest), Options(alternates=2)).select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    rows = spark.createDataFrame([("abc", "cab"), ("", ""), (None, "x"), ("red ring", "bed rang"), ("ab" * 130, "ba" * 130)], "a string, b string")
+    bound = text.ratio_bound(text.letters(F.col("a")), text.letters(F.col("b")), F.col("a"), F.col("b"))
+    found = rows.select(bound.alias("bound"), text.sequence_ratio(F.col("a"), F.col("b")).alias("ratio")).collect()
+    assert all(r.ratio <= r.bound + 1e-12 for r in found) and found[0].bound == 1.0 and found[2].bound == 0.0
+
+
 def test_all_identities_are_pinned(spark, db):
     expected = db.execute(with_views("select left_id, right_id from product_mapping where right_id in (select id from right_product)", "product_mapping", "right_product")).fetchall()
     rows = queries.QUERIES["fuzzy_matches_with_names"](spark, SF_DIR).filter("role = 'best' and score = 1.0").collect()
@@ -347,6 +363,63 @@ def test_second_writer_of_a_version_fails(spark, tmp_path):
     assert table.read().count() == 3
 
 
+def stored(store, table):
+    return sorted(map(tuple, store.read(table).collect()), key=str)
+
+
+def test_upserts_touch_few_buckets(spark, tmp_path):
+    store = snapshots.SnapshotStore(spark, f"file://{tmp_path}/s")
+    rows = lambda some: spark.createDataFrame(some, "k long, v string")
+    with store.change() as step:
+        step.create("t", rows([(k, "a") for k in range(1000)] + [(None, "none")]), ["k"], buckets=16)
+    with store.change() as step:
+        step.upsert("t", rows([(5, "b"), (5, "c"), (None, "null"), (2000, "new")]))
+    parts = store.manifest()[1]["t"]["parts"]
+    assert len(parts) == 2 and len(parts[0]["buckets"]) == 16 and len(parts[1]["buckets"]) <= 3
+    kept = {(k, "a") for k in range(1000) if k != 5} | {(5, "c"), (None, "null"), (2000, "new")}
+    assert set(stored(store, "t")) == kept
+    # only buckets of several parts are shuffled, and only their files are read there
+    text = store.read("t")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("PartitionFilters: [isnotnull(_bucket") + text.count("PartitionFilters: [_bucket") >= 3
+    with store.change() as step:
+        step.delete("t", rows([(5, None), (7777, None)]).select("k"))
+        folded = step.compact("t", most=1)
+    facts = store.manifest()[1]["t"]
+    assert set(stored(store, "t")) == kept - {(5, "c")}
+    assert set(folded) == {b for b in range(16) if sum(b in p["buckets"] for p in parts) > 1} | set(folded)
+    assert sorted(b for p in facts["parts"] for b in p["buckets"]) == list(range(16)) and facts["parts"][0]["folder"] == parts[0]["folder"]
+
+
+def test_steps_are_whole_or_not_there(spark, tmp_path):
+    store = snapshots.SnapshotStore(spark, f"file://{tmp_path}/s")
+    one = spark.createDataFrame([(1, "a")], "k long, v string")
+    with store.change() as step:
+        step.create("x", one, ["k"], buckets=2)
+        step.create("y", one, ["k"], buckets=2)
+    reader, seen = store.manifest(), store.read("x")
+    with pytest.raises(InterruptedError), store.change() as step:
+        step.upsert("x", one.withColumn("v", F.lit("b")))
+        raise InterruptedError
+    assert stored(store, "x") == stored(store, "y") == [(1, "a")] and store.versions() == [1]
+    with pytest.raises(Exception, match="[eE]xist"), store.change() as step:  # noqa: PT012
+        step.upsert("x", one.withColumn("v", F.lit("c")))
+        with store.change() as other:
+            other.upsert("y", one.withColumn("v", F.lit("d")))
+            other.insert_absent("y", spark.createDataFrame([(1, "e"), (2, "e")], "k long, v string"))
+    assert stored(store, "x") == [(1, "a")] and stored(store, "y") == [(1, "d"), (2, "e")]
+    assert store.read("y", reader[1]).collect() == [(1, "a")] and seen.collect() == [(1, "a")]
+    assert store.sweep(keep=1) == 2  # what the two failed writers left
+    assert stored(store, "x") == [(1, "a")] and stored(store, "y") == [(1, "d"), (2, "e")] and store.sweep(keep=1) == 0
+
+
+def test_empty_tables_in_the_store(spark, tmp_path):
+    store = snapshots.SnapshotStore(spark, f"file://{tmp_path}/s")
+    with store.change() as step:
+        step.create("t", spark.createDataFrame([], "k long, v string"), ["k"])
+        assert step.compact("t") == []
+    assert stored(store, "t") == [] and store.read("t").columns == ["k", "v"]
+
+
 def test_export_and_import(spark, tmp_path):
     m = spark.createDataFrame([(1, "a"), (None, "b")], "left_id long, right_id string")
     c = spark.createDataFrame([(1, "item", 1, "w", "field", None), (2, "item", 2, "w", "field", datetime.datetime(2024, 1, 1))], "id long, entity_type string, left_id long, field_name string, conflict_type string, resolved_at timestamp")
