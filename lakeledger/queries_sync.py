@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import values
 from .operators import changes, conflicts, passes, records
 from .options import FINISH_TAGS
-from .plans import decisions, reports
+from .plans import appliers, decisions, reports
 from .queries import OPTIONS, query
 from .sources.views import view
 
@@ -201,3 +201,89 @@ def newest_conflicts(spark: SparkSession, d: str) -> DataFrame:
 def log_by_cycle(spark: SparkSession, d: str) -> DataFrame:
     """Log rows by cycle, with the first of each for the order in which cycles were seen."""
     return reports.by_cycle(view(spark, d, "sync_log"))
+
+
+#: One conflict of each pair: the field by its number, the decision by another.
+KINDS = ("cost", "bed_temp", "material", "spool_weight", "drying_time", "lot", "color", "multicolor", "finish_tags", "weight", "location", "lifecycle", "nobody_knows")
+_VALUES = {
+    "cost": ("left_cost", "right_cost"), "bed_temp": ("left_bed_temp", "right_bed_temp"), "material": ("left_material", "right_type"), "spool_weight": ("left_spool_weight", "right_tare"),
+    "drying_time": ("left_drying_time", "right_drying_time"), "lot": ("left_lot", "right_lot"), "color": ("left_color_hex", "right_color"), "weight": ("left_weight", "right_net_weight"),
+    "location": ("case when pair % 2 = 0 then ' ' else concat(' shelf ', cast(pair % 7 as varchar(9))) end", "'rack'"), "lifecycle": ("case when pair % 3 = 0 then 'true' else 'false' end", "'true'"),
+}
+_OF = "case pair % 13 " + " ".join(f"when {k} then cast({{}} as varchar(200))" for k, n in enumerate(KINDS) if n in _VALUES) + " end"
+DECISIONS = f"""select *, case pair % 13 {" ".join(f"when {k} then '{n}'" for k, n in enumerate(KINDS))} end as field_name,
+  case pair % 5 when 0 then 'left' when 1 then 'right' when 2 then 'manual' when 3 then 'left' else 'later' end as resolution,
+  {_OF.format(*(_VALUES[n][0] for n in KINDS if n in _VALUES))} as left_value, {_OF.format(*(_VALUES[n][1] for n in KINDS if n in _VALUES))} as right_value,
+  case when pair % 13 in (2, 5, 10) then 'by hand' when pair % 13 = 9 and pair % 2 = 0 then 'much' else '77.5' end as manual from {{}}"""
+_HEX = "nullif(ltrim(trim({}), '#'), '')"
+_NUMBERS_OF = "list_transform(string_split({}, ','), lambda x: cast(x as int))"
+_UNMANAGED = f"list_filter({_NUMBERS_OF.format('right_tags_csv')}, lambda t: not list_contains({MANAGED}, t))"
+_PLAIN_TAGS = f"list_filter({_NUMBERS_OF.format('right_tags_csv')}, lambda t: t not in (28, 29))"
+_SOLID, _COAXIAL = "len(string_split(coalesce(left_multi, ''), ',')) <= 1", "left_direction = 'coaxial'"
+_SECONDARY = "list_filter(string_split(right_secondary_csv, ','), lambda h: h <> '')"
+_EVERY = f"list_filter(list_concat([{_HEX.format('right_color')}], list_transform({_SECONDARY}, lambda h: {_HEX.format('h')})), lambda h: h is not null)"
+
+
+def _quoted(word: str) -> str:
+    return f"'{word}'"
+
+
+def _sql_steps(write_right: tuple[str, str], write_left: tuple[str, str], key: str, left: str, right: str | None = None) -> str:
+    """A list of steps as DuckDB structs."""
+    one = lambda kind, side, path, value: f"{{'kind': '{kind}', 'side': {side}, 'path': {path}, 'value': cast({value} as varchar)}}"
+    return f"[{one('write', _quoted('right'), *write_right)}, {one('write', _quoted('left'), *write_left)}, {one('snapshot', _quoted('left'), key, left)}, {one('snapshot', _quoted('right'), key, right or left)}, {one('record', 'null', _quoted('value'), left)}]"
+
+
+def _one(kind: str, side: str, path: str, value: str) -> str:
+    return f"{{'kind': '{kind}', 'side': {side}, 'path': '{path}', 'value': cast({value} as varchar)}}"
+
+
+def _kept(key: str, value: str) -> str:
+    return ", ".join((_one("snapshot", "'left'", key, value), _one("snapshot", "'right'", key, value), _one("record", "null", "value", value)))
+
+
+_FIXED = {"cost": ("price", "cost"), "bed_temp": ("bed_temp", "temperatures.bed"), "material": ("material", "type"), "spool_weight": ("spool_weight", "tare"), "drying_time": ("extra.drying_time", "drying_time")}
+_KEYS = {"cost": "_cost"}
+_GONE = "coalesce(try_cast(value as boolean), false)"
+_IDS = f"coalesce(case when resolution = 'left' then {LEFT_TAGS} else {RIGHT_TAGS} end, '')"
+APPLIED = f"""decided as ({DECISIONS.format("pair_now")}),
+chosen as (select *, case resolution when 'left' then left_value when 'right' then right_value else manual end as value, coalesce(right_tare, 200.0) as t from decided),
+weighed as (select *, round(try_cast(value as double) - case when resolution = 'right' and field_name = 'weight' then t else 0 end, 2) as net from chosen),
+grossed as (select *, round(net + t, 2) as gross, case when field_name = 'weight' then try_cast(right_value as double) end as now_ from weighed),
+stepped as (select pair as id, case
+  when resolution = 'later' then [{_one("error", "null", "", "'unknown resolution'")}]
+  when resolution = 'manual' and field_name in ('multicolor', 'finish_tags') then [{_one("error", "null", "", "'not by hand'")}]
+  when field_name = 'nobody_knows' then [{_one("error", "null", "", "'no applier for this field'")}]
+  {" ".join(f"when field_name = '{n}' then {_sql_steps((_quoted(r), 'value'), (_quoted(a), 'value'), _quoted(_KEYS.get(n, f'_mp_{n}')), 'value')}" for n, (a, r) in _FIXED.items())}
+  when field_name = 'lot' then {_sql_steps(("'lot'", "value"), ("'extra.lot'", "value"), "'lot'", "value")}
+  when field_name = 'color' then {_sql_steps(("'color'", "'#' || " + _HEX.format("value")), ("'extra.hex'", _HEX.format("value")), "'color'", _HEX.format("value"), "'#' || " + _HEX.format("value"))}
+  when field_name = 'weight' and net is null then [{_one("error", "null", "", "'not a number'")}]
+  when field_name = 'weight' then {_sql_steps(("case when gross < now_ then 'usage' else 'total_weight' end", "case when gross < now_ then round(now_ - gross, 2) else gross end"), ("'remaining_weight'", "net"), "'weight'", "net", "gross")}
+  when field_name = 'location' then {_sql_steps(("'location_name'", "nullif(trim(value), '')"), ("'location'", "nullif(trim(value), '')"), "'location'", "nullif(trim(value), '')")}
+  when field_name = 'lifecycle' then [{_one("write", "'right'", "retired", _GONE)}, {_one("write", "'left'", "archived", _GONE)}, {_one("snapshot", "'left'", "archived", _GONE)}, {_one("snapshot", "'right'", "retired", _GONE)}, {_one("record", "null", "value", _GONE)}]
+  when field_name = 'multicolor' and resolution = 'left' then [
+    {_one("write", "'right'", "color", f"case when {_SOLID} then '#' || left_color_hex when {_COAXIAL} then null else '#' || string_split(left_multi, ',')[1] end")},
+    {_one("write", "'right'", "secondary", f"case when {_SOLID} then '' when {_COAXIAL} then '#' || replace(left_multi, ',', ',#') else '#' || array_to_string(string_split(left_multi, ',')[2:], ',#') end")},
+    {_one("write", "'right'", "tags", f"array_to_string(case when {_SOLID} then {_PLAIN_TAGS} else list_append({_PLAIN_TAGS}, case when {_COAXIAL} then 29 else 28 end) end, ',')")},
+    {_kept("_mc_sig", LEFT_SIGNATURE)}]
+  when field_name = 'multicolor' then list_concat(list_filter([
+    {_one("write", "'left'", "color_hex", f"case when len({_EVERY}) < 2 then {_EVERY}[1] end")}, {_one("write", "'left'", "multi", f"case when len({_EVERY}) >= 2 then array_to_string({_EVERY}, ',') end")},
+    {_one("write", "'left'", "direction", f"case when len({_EVERY}) < 2 then null when list_contains(string_split(right_tags_csv, ','), '29') then 'coaxial' when list_contains(string_split(right_tags_csv, ','), '28') then 'longitudinal' end")}],
+    lambda s: s.value is not null), [{_kept("_mc_sig", RIGHT_SIGNATURE)}])
+  when field_name = 'finish_tags' then [
+    {_one("write", "'right'", "tags", f"array_to_string(list_concat({_UNMANAGED}, case when {_IDS} = '' then [] else list_sort(list_transform(string_split({_IDS}, ','), lambda x: cast(x as int))) end), ',')")},
+    {_one("write", "'left'", "extra.finish_tags", _IDS)}, {_kept("_finish_sig", _IDS)}]
+  end as steps from grossed)
+select id, generate_subscripts(steps, 1) - 1 as step, unnest(steps).kind as kind, unnest(steps).side as side, unnest(steps).path as path, unnest(steps).value as value from stepped"""
+
+
+@query(APPLIED, "pair_now")
+def applied_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """What resolving conflicts of every kind writes to both sides, to both snapshots and to the conflict."""
+    pairs = _pairs(spark, d, "pair_now")
+    decided = spark.sql(DECISIONS.format("{pairs}"), pairs=pairs)
+    rows = decided.select(
+        F.col("pair").alias("id"), "field_name", "resolution", "left_value", "right_value", "manual", F.col("right_tare").alias("tare"), F.col("left_color_hex").alias("color_hex"), F.col("left_multi").alias("multi"),
+        F.col("left_direction").alias("direction"), "left_tags", F.col("left_name").alias("name"), F.col("left_material").alias("material"), F.col("right_color").alias("color"), F.col("right_secondary").alias("secondary"), F.col("right_tags").alias("tags"),
+    )
+    return appliers.applied(rows, {"lot": "lot", "color": "hex"}, FINISH_TAGS)
