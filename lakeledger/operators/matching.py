@@ -11,7 +11,8 @@ KEY = ["vendor", "name", "color"]
 
 
 def keyed(products: DataFrame, id_: str, vendor: str, name: str, color: str, aliases: dict[str, str] | None = None) -> DataFrame:
-    """(id, vendor, name, color) in normal form."""
+    """(id, vendor, name, color) in normal form, of names in Unicode NFKC."""
+    products = text.composed(products.select(*dict.fromkeys((id_, vendor, name, color))), *dict.fromkeys((vendor, name)))
     return products.select(F.col(id_).alias("id"), text.vendor_key(F.col(vendor), aliases).alias("vendor"), text.name_key(F.col(name)).alias("name"), text.color_key(F.col(color)).alias("color"))
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, units
+from ..functions import color, text, units
 from ..options import DEFAULT_DIAMETER
-from . import fuzzy
+from . import fuzzy, passes
 
 
 def hexes(primary: Column, secondary: Column) -> Column:
@@ -22,13 +22,16 @@ def payloads(materials: DataFrame, packages: DataFrame, containers: DataFrame, t
 
     Two colors or more are a list with a direction (coaxial unless a gradient), never a single
     color beside it; one color is single unless the material is said to have an arrangement, of
-    which the rest is then unknown, so nothing is written.  Numbers that cannot be read are left out.
+    which the rest is then unknown, so nothing is written.  An arrangement is told by words or by
+    integer tags (``opt_tags``).  Numbers that cannot be read are left out; those of the option fields
+    are whole or not as their passes have them, drying time in minutes on both sides.
     """
     raw = F.coalesce(F.nullif("type", F.lit("")), F.nullif("abbreviation", F.lit("")), F.lit(""))
     words = F.coalesce("tags", F.array().cast("array<string>"))
     finishes = F.array_sort(F.array_distinct(F.concat(text.finish_ids(F.array_join(words, " "), F.lit(""), tags), text.finish_ids(F.col("name"), raw, tags))))
     lower = F.transform(words, lambda w: F.lower(F.trim(w)))
-    arranged = F.when(F.array_contains(lower, "coextruded"), "coextruded").when(F.arrays_overlap(lower, F.array(F.lit("gradient"), F.lit("gradual_color_change"))), "gradient")
+    profile = color.right_profile(F.array().cast("array<string>"), F.col("opt_tags"), words)
+    arranged = F.when(profile.isin("coextruded", "gradient"), profile)
     found = hexes(F.col("color"), F.col("secondary"))
     many = F.size(found) >= 2
     weights = fuzzy.package_weights(materials.select(F.col("id").alias("slug")), packages, containers).select(F.col("slug").alias("id"), F.col("net").cast("double").alias("weight"), F.col("tare").alias("spool_weight"))
@@ -37,7 +40,9 @@ def payloads(materials: DataFrame, packages: DataFrame, containers: DataFrame, t
         F.when((F.size(found) == 1) & arranged.isNull(), F.get(found, F.lit(0))).alias("color_hex"), F.when(many, F.array_join(found, ",")).alias("multi"),
         F.when(many, F.when(arranged == "gradient", "longitudinal").otherwise("coaxial")).alias("direction"),
         F.col("density").try_cast("double").alias("density"), F.lit(DEFAULT_DIAMETER).alias("diameter"), F.col("nozzle_max").try_cast("double").cast("int").alias("nozzle_temp"),
-        "name", F.col("brand").alias("vendor"), F.nullif("slug", F.lit("")).alias("slug"), units.as_temperature(F.col("drying_temp")).alias("drying_temp"), "transmission",
+        F.col("bed_max").try_cast("double").cast("int").alias("bed_temp"), "name", F.col("brand").alias("vendor"),
+        F.nullif("slug", F.lit("")).alias("slug"), F.nullif("uuid", F.lit("")).alias("uuid"),
+        *(units.as_temperature(F.col(c)).alias(c) for c in passes.OPTION_INTEGERS), *(F.col(c).try_cast("double").alias(c) for c in passes.OPTION_FLOATS),
     )
     return rows.join(weights, "id", "left")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import families, matching, records, reference_payload
+from .operators import families, matching, passes, records, reference_payload
 from .plans import import_plan, reports, resolve
 from .queries import OPTIONS, query
 from .sources import views
@@ -96,7 +96,10 @@ def product_refs(spark: SparkSession, d: str) -> DataFrame:
 
 REFERENCE = """reference as (select p_partkey as id, concat('slug-', cast(p_partkey as varchar(20))) as slug, case when p_partkey % 9 = 0 then null else p_name end as name, p_brand as brand, case p_partkey % 4 when 0 then 'Silk PLA' when 1 then 'PETG' when 2 then '' else null end as type, case when p_partkey % 4 = 3 then 'ABS' else null end as abbreviation,
   case p_partkey % 5 when 0 then '#FF0000' when 1 then '' when 2 then null else '00ff00' end as color, case p_partkey % 3 when 0 then '#00FF00,#0000ff' when 1 then '' else '#ff0000' end as secondary_csv, case p_partkey % 6 when 0 then 'coextruded,silk' when 1 then 'gradient' when 2 then 'matte' else '' end as tags_csv,
-  case when p_partkey % 8 = 0 then null else '1.27' end as density, case when p_partkey % 10 = 0 then null else cast(220 + p_size as varchar(9)) end as nozzle_max, case when p_partkey % 7 = 0 then 'n/a' else '60.6' end as drying_temp, cast(p_size as double) as transmission from part)"""
+  case when p_partkey % 8 = 0 then null else '1.27' end as density, case when p_partkey % 10 = 0 then null else cast(220 + p_size as varchar(9)) end as nozzle_max, case when p_partkey % 7 = 0 then 'n/a' else '60.6' end as drying_temp,
+  case p_partkey % 11 when 0 then '29,7' when 1 then '28' when 2 then '' else '7' end as opt_tags_csv, case when p_partkey % 6 = 5 then null else cast(50 + p_size as varchar(9)) end as bed_max,
+  case when p_partkey % 14 = 0 then '' else concat('u-', cast(p_partkey as varchar(20))) end as uuid, cast(p_size + 180 as varchar(9)) as nozzle_temp_min, case when p_partkey % 10 = 0 then null else concat(cast(220 + p_size as varchar(9)), '.5') end as nozzle_temp_max,
+  '480' as drying_time, case when p_size % 2 = 0 then '94.5' else 'soft' end as hardness_shore_a, case when p_size % 3 = 0 then '40.25' else null end as hardness_shore_d, cast(p_size as double) as transmission_distance from part)"""
 HEXES = "list_filter(list_concat([upper(regexp_replace(coalesce(color, ''), '^#+', ''))], list_transform(string_split(secondary_csv, ','), lambda h: upper(regexp_replace(h, '^#+', '')))), lambda h: h <> '')"
 
 
@@ -104,17 +107,18 @@ HEXES = "list_filter(list_concat([upper(regexp_replace(coalesce(color, ''), '^#+
 holders as (select s_suppkey as id, case when s_suppkey % 3 = 0 then null else cast(s_suppkey as double) + 100 end as empty_weight from supplier),
 weights as (select material, min_by(full_weight, (no, ord, full_weight)) filter (where full_weight is not null) as weight from packs group by 1),
 tares as (select material, min_by(empty_weight, (no, ord, empty_weight)) as spool_weight from packs join holders h on h.id = container where empty_weight is not null group by 1),
-shown as (select *, case when tags_csv like '%coextruded%' then 'coextruded' when tags_csv like '%gradient%' then 'gradient' end as arranged, coalesce(nullif(type, ''), abbreviation, '') as raw from reference),
+shown as (select *, case when tags_csv like '%coextruded%' or list_contains(string_split(opt_tags_csv, ','), '29') then 'coextruded' when tags_csv like '%gradient%' or list_contains(string_split(opt_tags_csv, ','), '28') then 'gradient' end as arranged, coalesce(nullif(type, ''), abbreviation, '') as raw from reference),
 counted as (select *, list_reduce(list_prepend([]::varchar[], list_transform({HEXES}, lambda h: [h])), lambda acc, h: case when list_contains(acc, h[1]) then acc else list_append(acc, h[1]) end) as hexes from shown)
 select c.id, nullif(case when raw = 'Silk PLA' then 'PLA' else raw end, '') as material, array_to_string(list_filter([case when tags_csv = 'matte' then '16' end, case when raw = 'Silk PLA' or tags_csv like '%silk%' then '17' end], lambda x: x is not null), ',') as tags,
   case when len(hexes) = 1 and arranged is null then hexes[1] end as color_hex, case when len(hexes) >= 2 then array_to_string(hexes, ',') end as multi, case when len(hexes) >= 2 then case arranged when 'gradient' then 'longitudinal' else 'coaxial' end end as direction,
-  try_cast(density as double) as density, 1.75::double as diameter, try_cast(nozzle_max as int) as nozzle_temp, name, brand as vendor, slug, try_cast(round_even(try_cast(drying_temp as double), 0) as int) as drying_temp, transmission, weight::double as weight, spool_weight
+  try_cast(density as double) as density, 1.75::double as diameter, try_cast(nozzle_max as int) as nozzle_temp, try_cast(bed_max as int) as bed_temp, name, brand as vendor, slug, nullif(uuid, '') as uuid,
+  {", ".join(f"try_cast(round_even(try_cast({c} as double), 0) as int) as {c}" for c in passes.OPTION_INTEGERS)}, {", ".join(f"try_cast({c} as double) as {c}" for c in passes.OPTION_FLOATS)}, weight::double as weight, spool_weight
 from counted c left join weights w on w.material = c.id left join tares t on t.material = c.id""")
 def reference_payloads(spark: SparkSession, d: str) -> DataFrame:
     """What a reference material writes to a left product: colors by their number, casts, weights of its packages."""
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
     rows = views.from_sql(spark, d, ("part",), REFERENCE.partition(" as (")[2][:-1])
-    rows = rows.withColumns({"secondary": F.split("secondary_csv", ","), "tags": F.filter(F.split("tags_csv", ","), lambda t: t != "")})
+    rows = rows.withColumns({"secondary": F.split("secondary_csv", ","), "tags": F.filter(F.split("tags_csv", ","), lambda t: t != ""), "opt_tags": F.transform(F.filter(F.split("opt_tags_csv", ","), lambda t: t != ""), lambda t: t.cast("int"))})
     packages = read("lineitem").select(F.col("l_partkey").alias("material"), F.struct("l_orderkey", "l_linenumber").alias("ord"), F.when(F.col("l_quantity") > 25, F.col("l_quantity") * 10).alias("net"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey")).alias("container"))
     containers = read("supplier").select(F.col("s_suppkey").alias("slug"), F.when(F.col("s_suppkey") % 3 == 0, None).otherwise(F.col("s_suppkey").cast("double") + 100).alias("tare"))
     out = reference_payload.payloads(rows, packages, containers, {"silk": 17, "matte": 16})

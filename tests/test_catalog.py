@@ -274,6 +274,14 @@ def test_lexicon_is_the_plain_one(spark, seed):
     assert not {t for _, t in got} & {"neat product line", "filament", "95a", "pla", "blip red"}
 
 
+def test_matching_sees_composed_names(spark):
+    """Full-width and decomposed names meet their plain forms."""
+    left = spark.createDataFrame([(1, "ＡＣＭＥ", "Cafe\u0301 Ｒed", None), (2, "acme", "blue", None)], "id long, vendor string, name string, color string")
+    right = spark.createDataFrame([("R1", "acme", "café red", None), ("R2", "Acme", "Ｂlue", None)], "id string, vendor string, name string, color string")
+    keyed = [matching.keyed(x, "id", "vendor", "name", "color") for x in (left, right)]
+    assert {(r.left_id, r.right_id) for r in matching.match(*keyed).collect()} == {(1, "R1"), (2, "R2")}
+
+
 def test_ranking(spark):
     o = Options()
     cols = "id string, vendor string, name string, type string, color string"
