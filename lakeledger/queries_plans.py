@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import families, matching, passes, records, reference_payload
-from .plans import import_plan, reports, resolve
+from .plans import import_plan, journal, reports, resolve
 from .queries import OPTIONS, query
-from .sources import views
+from .sources import snapshots, views
+from .sources.shared import new_folder
 from .sources.views import view
 
 VENDOR_KEY = "trim(regexp_replace(regexp_replace(lower(trim(coalesce({}, ''))), '[-_]+', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -268,3 +269,43 @@ def item_by_right_id(spark: SparkSession, d: str) -> DataFrame:
     """Everything that is known of one right item (a point lookup)."""
     out = records.item_detail(view(spark, d, "item_mapping"), view(spark, d, "left_item"), view(spark, d, "right_item"), view(spark, d, "left_product"), "S1")
     return out.select("left_item_id", "right_item_id", "product_id", "remaining_weight", "location", "total_weight", "retired", "vendor", "name")
+
+
+@query(f"""{MEMBERS}, {PLANNED}, made as (select left_id, action, max(right_id) as right_id from planned group by all),
+roles as (
+  select p.left_id, right_id, master_id, case when action = 'link' then 'link' when not (master_id in (select left_id from made where action = 'create') and n_members >= 2) then 'standalone' when p.left_id = master_id then 'master' else 'variant' end as role
+  from made p join ranked r on r.id = p.left_id),
+first_run as (select left_id from made where left_id % 3 <> 0),
+made_of as (
+  select left_id, role, case when role = 'link' then right_id when left_id % 20 = 1 and left_id not in (select left_id from first_run) then null
+    else case when left_id in (select left_id from first_run) and role in ('master', 'standalone') then 'first-' else '' end || case when role = 'variant' then 'variant-' else 'product-' end || left_id end as made_id
+  from roles),
+steps as (
+  select 0 as seq, 'container' as entity, left_id as id, case when left_id in (select left_id from first_run) then 'first-' else '' end || 'container-' || left_id as made_id, null as parent_id, 'done' as status from roles where role = 'master'
+  union all select case when role = 'variant' then 2 when role = 'link' then 3 else 1 end, case role when 'variant' then 'variant' when 'link' then 'reconcile' else 'product' end, r.left_id, m.made_id,
+    case when role = 'variant' then case when master_id in (select left_id from first_run) then 'first-' else '' end || 'container-' || master_id when role = 'master' then case when r.left_id in (select left_id from first_run) then 'first-' else '' end || 'container-' || r.left_id end,
+    case when m.made_id is null then 'failed' else 'done' end from roles r join made_of m using (left_id, role)
+  union all select 4, 'tags', left_id, case when made_id is null then null else 'tags-' || left_id end, made_id, case when made_id is null then 'blocked' else 'done' end from made_of where role <> 'link'
+  union all select 5, 'identity', left_id, case when made_id is null then null else 'identity-' || left_id end, made_id, case when made_id is null then 'blocked' else 'done' end from made_of
+  union all select 6, 'item', item_id, case when made_id is null or item_id % 50 = 0 then null else 'item-' || item_id end, made_id, case when made_id is null then 'blocked' when item_id % 50 = 0 then 'failed' else 'done' end from planned join made_of using (left_id))
+select seq, entity, id, status, made_id, parent_id from steps""", "left_product", "left_item")
+def resumed_execution(spark: SparkSession, d: str) -> DataFrame:
+    """D6, D19 with a journal: an execution that stopped in its first two passes goes on, and new ids reach variants, tags, identities and items."""
+    planned = _planned(spark, d)
+    todo_path = new_folder(spark, "actions")
+    journal.actions("plan-1", planned, import_plan.roles(planned, _families(spark, d))).write.parquet(todo_path)
+    todo = spark.read.parquet(todo_path)
+    store = snapshots.SnapshotStore(spark, new_folder(spark, "journal"))
+    made = F.when(F.col("entity") == "reconcile", F.col("given_id")).otherwise(F.concat_ws("-", "entity", F.col("id").cast("string")))
+    first = todo.filter("seq <= 1 and id % 3 <> 0").select("key", F.lit(1).alias("attempt"), F.lit("done").alias("status"), F.concat(F.lit("first-"), made).alias("made_id"), F.lit(None).cast("string").alias("error"))
+    with store.change() as step:  # what the first run left
+        step.create("journal", first, ["key", "attempt"], buckets=8)
+
+    def apply(ready: DataFrame) -> DataFrame:
+        """Stands for the other system: some records cannot be made."""
+        bad = (F.col("entity").isin("product", "variant") & (F.col("id") % 20 == 1)) | ((F.col("entity") == "item") & (F.col("id") % 50 == 0))
+        bad = F.when(F.col("entity") == "variant", bad & (F.col("id") % 3 == 0)).otherwise(bad)
+        return ready.select("key", F.when(bad, "failed").otherwise("done").alias("status"), F.when(~bad, made).alias("made_id"), F.when(bad, "refused").alias("error"))
+
+    journal.resume(store, "journal", todo, apply)
+    return journal.standing(todo, store.read("journal")).select("seq", "entity", "id", "status", "made_id", "parent_id")
