@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import color, text, values
 from ..options import BASE_COLORS, BIOPOLYMERS, COLOR_SYNONYMS, Options
+from ..sources.shared import new_folder
+from ..sources.snapshots import SnapshotStore
 from . import lexicon
 
 PARTS = ("family", "brand", "color", "modifier", "finish", "hex", "name")
@@ -177,6 +179,49 @@ def matches(left: DataFrame, right: DataFrame, options: Options, with_names: boo
     return a.select("key", F.col("id").alias("left_id")).join(rows, "key").drop("key")
 
 
+def block_digests(left: DataFrame, right: DataFrame, settings: str) -> DataFrame:
+    """(brand, digest): what a block's matches depend on, whatever the order of its rows.
+
+    The block is the brand, the one part of the join that every pair shares.  A row's hash is cut into four numbers that are
+    summed up, so no block's rows meet in one place.
+    """
+    facts = F.to_json(F.struct("id", "family", "finishes", F.array_sort(F.map_entries("colors")).alias("colors"), F.array_sort("modifiers").alias("modifiers"), "hex", "profile", "hexes", "arity"))
+    hashed = [df.select("brand", F.sha2(F.concat(F.lit(side), facts), 256).alias("h")) for side, df in (("l", left), ("r", right))]
+    part = lambda k: F.sum(F.conv(F.substr("h", F.lit(1 + 12 * k), F.lit(12)), 16, 10).cast("decimal(38,0)")).cast("string")
+    sums = hashed[0].unionByName(hashed[1]).groupBy("brand").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(":", *(part(k) for k in range(4))).alias("sums"))
+    return sums.select("brand", F.sha2(F.concat_ws("|", F.lit(settings), F.col("n").cast("string"), "sums"), 256).alias("digest"))
+
+
+def cached_matches(store: SnapshotStore, left: DataFrame, right: DataFrame, options: Options) -> int:
+    """Brings the store's tables ``match_blocks`` and ``matches`` up to these catalogs; returns how many blocks were scored.
+
+    Blocks whose digest is as it was keep their matches; the others' are replaced, those of brands that are gone are
+    deleted, all in one step.
+    """
+    digests = block_digests(left, right, repr(options))
+    if "matches" not in store.manifest()[1]:
+        with store.change() as step:
+            step.create("match_blocks", digests.limit(0), ["brand"], buckets=8)
+            step.create("matches", ranked(scored(left, right), options).limit(0).withColumn("brand", F.lit("")), ["left_id", "right_id"], buckets=16)
+    stored, then = store.read("match_blocks"), store.read("matches")
+    path = new_folder(left.sparkSession, "blocks")
+    both = digests.join(stored.withColumnRenamed("digest", "was"), "brand", "full")
+    both.filter(~F.col("digest").eqNullSafe(F.col("was"))).select("brand", "digest").write.parquet(path)
+    moved = left.sparkSession.read.schema("brand string, digest string").parquet(path)
+    if moved.isEmpty():
+        return 0
+    brands = moved.select("brand")
+    new = matches(left.join(brands, "brand", "left_semi").select(*left.columns), right.join(brands, "brand", "left_semi").select(*right.columns), options)
+    new = new.join(left.select(F.col("id").alias("left_id"), "brand"), "left_id")
+    with store.change() as step:
+        step.delete("matches", then.join(brands, "brand", "left_semi").select("left_id", "right_id"))
+        step.upsert("matches", new.select(*then.columns))
+        step.delete("match_blocks", brands)
+        step.upsert("match_blocks", moved.filter("digest is not null"))
+        step.compact("matches", most=8)
+    return brands.count()
+
+
 def pinned(ranked_rows: DataFrame, identities: DataFrame) -> DataFrame:
     """Known identities (left_id, right_id) as best matches of score 1; the scored rows become alternates."""
     sure = identities.select("left_id", "right_id", F.lit(1.0).alias("score"), F.lit(1).alias("rank"), F.lit("best").alias("role"))

@@ -577,7 +577,7 @@ def mined_lexicon(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.mine(spark.read.parquet(f"{d}/part.parquet"), "p_name", "p_brand", "p_type")
 
 
-def _decomposed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def decomposed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     right = view(spark, d, "right_product")
     terms = lexicon.index(lexicon.mine(right, "name", "vendor", "type"))
     multi, secondary = F.coalesce("multi", F.lit("")), F.filter(F.split("secondary_csv", ","), lambda h: h != "")
@@ -597,13 +597,13 @@ def _decomposed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query(matching_sql.RANKED)
 def fuzzy_matches(spark: SparkSession, d: str) -> DataFrame:
     """Best and alternate reference products of each left one."""
-    return fuzzy.matches(*_decomposed(spark, d), OPTIONS)
+    return fuzzy.matches(*decomposed(spark, d), OPTIONS)
 
 
 @query(matching_sql.REASONS)
 def no_match_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Why products have no match of 0.8 or more."""
-    left, right = _decomposed(spark, d)
+    left, right = decomposed(spark, d)
     top = fuzzy.matches(left, right, OPTIONS).filter("rank = 1")
     return fuzzy.unmatched_reason(left, right.select("brand").distinct(), top.filter("score >= 0.8"), top)
 
@@ -613,7 +613,7 @@ def fuzzy_matches_with_names(spark: SparkSession, d: str) -> DataFrame:
     """W2 with the name similarity F46 (Arrow), and known identities pinned."""
     there = view(spark, d, "right_product").select(F.col("id").alias("right_id"))
     known = view(spark, d, "product_mapping").select("left_id", "right_id").join(there, "right_id", "left_semi")
-    return fuzzy.pinned(fuzzy.matches(*_decomposed(spark, d), OPTIONS, with_names=True), known)
+    return fuzzy.pinned(fuzzy.matches(*decomposed(spark, d), OPTIONS, with_names=True), known)
 
 
 @query("""m as (select left_id, right_id from product_mapping), l as (select id, lower(trim(name)) as name, lower(trim(vendor)) as vendor from left_product), r as (select id, lower(trim(name)) as name, lower(trim(vendor)) as vendor, tare from right_product),

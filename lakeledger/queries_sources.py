@@ -7,8 +7,9 @@ from contextlib import suppress
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import matching_sql
 from .operators import fuzzy
-from .queries import query
+from .queries import OPTIONS, decomposed, query
 from .sources import archive, snapshots
 from .sources.shared import delete_folder, new_folder
 from .sources.views import view
@@ -141,3 +142,14 @@ def purge_in_one_step(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string").alias("state")
     rows = [store.read("mapping").select(F.lit("mapping").alias("kind"), F.col("left_id").cast("string").alias("id"), none), store.read("snapshot").select(F.lit("snapshot").alias("kind"), F.col("entity_id").alias("id"), none)]
     return rows[0].unionByName(rows[1]).unionByName(store.read("conflict").select(F.lit("conflict").alias("kind"), F.col("id").cast("string").alias("id"), "state"))
+
+
+@query(matching_sql.RANKED)
+def fuzzy_matches_cached(spark: SparkSession, d: str) -> DataFrame:
+    """IO10, H28, J7: matches kept by block; of two states of the catalogs the second scores only the brands that changed."""
+    left, right = decomposed(spark, d)
+    store = snapshots.SnapshotStore(spark, new_folder(spark, "matches"))
+    before = left.filter("not (brand rlike '[37]$' and id % 20 = 0)")  # products of some brands that came later
+    fuzzy.cached_matches(store, before, right, OPTIONS)
+    fuzzy.cached_matches(store, left, right, OPTIONS)
+    return store.read("matches").drop("brand")

@@ -15,7 +15,7 @@ from lakeledger import queries, queries_plans, queries_sources, queries_sync, qu
 from lakeledger.functions import color, text, units, values
 from lakeledger.operators import changes, conflicts, fuzzy, lexicon, matching, records
 from lakeledger.options import BASE_COLORS, COMPOSITE_SEEDS, FINISH_TAGS, MODIFIER_SEEDS, STOP_WORDS, Options, field_map, parse_pairs, parse_words
-from lakeledger.plans import decisions, import_plan, reports, resolve
+from lakeledger.plans import decisions, import_plan, journal, reports, resolve
 from lakeledger.sources import archive, reference, snapshots, state
 from lakeledger.sources.views import with_views
 from lakeledger.streaming import runner
@@ -195,7 +195,7 @@ def test_all_items_are_queued(spark, db):
 
 @pytest.mark.parametrize("with_names", [False, True])
 def test_matches_are_those_of_all_pairs(spark, with_names):
-    left, right = queries._decomposed(spark, SF_DIR)
+    left, right = queries.decomposed(spark, SF_DIR)
     every = fuzzy.ranked(fuzzy.scored(left, right, with_names), Options())
     got = fuzzy.matches(left, right, Options(), with_names)
     assert sorted(map(tuple, got.select(*every.columns).collect())) == sorted(map(tuple, every.collect()))
@@ -420,6 +420,51 @@ def test_steps_are_whole_or_not_there(spark, tmp_path):
     assert stored(store, "x") == [(1, "a")] and stored(store, "y") == [(1, "d"), (2, "e")] and store.sweep(keep=1) == 0
 
 
+def test_only_changed_blocks_are_scored(spark, tmp_path):
+    left, right = queries.decomposed(spark, SF_DIR)
+    left, right = left.persist(), right.persist()
+    store = snapshots.SnapshotStore(spark, f"file://{tmp_path}/s")
+    n = left.select("brand").union(right.select("brand")).distinct().count()
+    assert fuzzy.cached_matches(store, left, right, Options()) == n
+    assert fuzzy.cached_matches(store, left, right, Options()) == 0
+    one, gone = (r.brand for r in left.select("brand").distinct().orderBy("brand").limit(2).collect())
+    moved = left.filter(F.col("brand") != gone).withColumn("hex", F.when(F.col("brand") == one, "123456").otherwise(F.col("hex")))
+    kept = right.filter(F.col("brand") != gone)
+    assert fuzzy.cached_matches(store, moved, kept, Options()) == 2
+    expected = fuzzy.matches(moved, kept, Options())
+    assert sorted(map(tuple, store.read("matches").select(*expected.columns).collect())) == sorted(map(tuple, expected.collect()))
+    assert fuzzy.cached_matches(store, moved, kept, Options(least_match=0.9)) == n - 1  # settings count
+
+
+def test_executions_are_resumed(spark, tmp_path):
+    planned = spark.createDataFrame([(1, "create", None, 10), (1, "create", None, 11), (2, "create", None, 20), (3, "link", "R3", 30)], "left_id long, action string, right_id string, item_id long")
+    roles = spark.createDataFrame([(1, "master", None), (2, "variant", 1), (3, "link", None)], "left_id long, role string, parent_left_id long")
+    todo = journal.actions("p", planned, roles)
+    store = snapshots.SnapshotStore(spark, f"file://{tmp_path}/s")
+    with store.change() as step:
+        step.create("j", spark.createDataFrame([], journal.JOURNAL), ["key", "attempt"], buckets=2)
+    asked = []
+
+    def apply(fail):
+        def run(ready):
+            rows = ready.collect()
+            asked.extend((r.entity, r.id, r.parent_id, r.attempts) for r in rows)
+            return spark.createDataFrame([(r.key, "failed" if r.entity == fail else "done", None if r.entity == fail else f"new-{r.entity}-{r.id}", None) for r in rows], "key string, status string, made_id string, error string")
+        return run
+
+    journal.resume(store, "j", todo, apply("product"))
+    standing = {(r.entity, r.id): r.status for r in journal.standing(todo, store.read("j")).collect()}
+    assert standing["container", 1] == standing["variant", 2] == standing["item", 20] == "done"
+    assert standing["product", 1] == "failed" and standing["item", 10] == standing["tags", 1] == "blocked"
+    first, asked[:] = list(asked), []
+    journal.resume(store, "j", todo, apply(None))
+    assert set(asked) == {("product", 1, "new-container-1", 1), ("tags", 1, "new-product-1", 0), ("identity", 1, "new-product-1", 0), ("item", 10, "new-product-1", 0), ("item", 11, "new-product-1", 0)}
+    assert ("variant", 2, "new-container-1", 0) in first and ("item", 30, "new-reconcile-3", 0) in first
+    asked.clear()
+    journal.resume(store, "j", todo, apply(None))
+    assert not asked and {r.status for r in journal.standing(todo, store.read("j")).collect()} == {"done"}
+
+
 def test_empty_tables_in_the_store(spark, tmp_path):
     store = snapshots.SnapshotStore(spark, f"file://{tmp_path}/s")
     with store.change() as step:
