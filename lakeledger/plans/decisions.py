@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values
+from ..options import SYNCABLE
 from ..sources.state import insert_absent, upsert
 
 
@@ -75,6 +76,15 @@ def canonical_field(name: Column, labels: dict[str, str]) -> Column:
     return found if pairs is None else F.coalesce(F.try_element_at(pairs, found), found)
 
 
+def mapped_key(field: Column, explicit: dict[str, str], excluded: tuple[str, ...] = ()) -> Column:
+    """The left key under which a conflict's right field is kept: an explicit one, else the same name where it may be
+    synchronised; null where either name is excluded or nothing is known of it."""
+    found = F.when(field.isin(*SYNCABLE), field)
+    for right, left in explicit.items():
+        found = F.when(field == right, F.lit(None if left in excluded else left)).otherwise(found)
+    return F.when(~field.isin(*excluded), found) if excluded else found
+
+
 def seed_snapshots(pairs: DataFrame, fields: list[str], side: str, now: Column) -> DataFrame:
     """First snapshot rows of new pairs, so that the next run starts from what was written."""
     rows = F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields)))

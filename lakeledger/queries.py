@@ -16,7 +16,7 @@ from .operators import changes, conflicts, fuzzy, lexicon, matching, records, ta
 from .options import Options
 from .plans import decisions, import_plan, reports, resolve
 from .sources import state
-from .sources.views import view, with_views
+from .sources.views import from_sql, view, with_views
 from .streaming import runner
 
 OPTIONS = Options()
@@ -120,27 +120,14 @@ def multicolor_signatures(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", color.left_profile(F.col("multi"), F.col("direction")).alias("profile"), color.left_signature(F.col("color_hex"), F.col("multi"), F.col("direction")).alias("sig"), color.representative(F.col("color_hex"), F.col("multi")).alias("main"), F.coalesce(back["multi"], F.lit("")).alias("multi"))
 
 
-@query("""with c as (select * from (values ('FF0000', 255, 0, 0), ('00FF00', 0, 255, 0), ('0000FF', 0, 0, 255), ('7F7F7F', 127, 127, 127)) t(hex, r, g, b))
-select x.hex as a, y.hex as b, round(sqrt((x.r - y.r) ** 2 + (x.g - y.g) ** 2 + (x.b - y.b) ** 2) / (255 * sqrt(3.0)), 6) as distance from c x, c y""")
+_CHANNEL = "('0x' || substr(ltrim({0}, '#'), {1}, 2))::int"
+
+
+@query(f"""select pair, round(case when left_color_hex is null or right_color is null then 0.5
+  else sqrt({" + ".join(f"({_CHANNEL.format('left_color_hex', k)} - {_CHANNEL.format('right_color', k)}) ** 2" for k in (1, 3, 5))}) / (255 * sqrt(3.0)) end, 6) as distance from pair_now""", "pair_now")
 def color_distances(spark: SparkSession, d: str) -> DataFrame:
-    """distance of two colors."""
-    c = spark.createDataFrame([("FF0000",), ("00FF00",), ("0000FF",), ("7F7F7F",)], "a string")
-    return c.join(c.select(F.col("a").alias("b")), F.lit(True)).select("a", "b", F.round(color.distance(F.col("a"), F.col("b")), 6).alias("distance"))  # 16 rows
-
-
-@query("""with t as (select l as l_changed, r as r_changed, d as direction, p as policy from (values (true), (false)) a(l), (values (true), (false)) b(r),
-  (values ('two_way'), ('left_to_right'), ('right_to_left')) c(d), (values ('manual'), ('left_wins'), ('right_wins'), ('newest_wins')) e(p))
-select *, case when not l_changed and not r_changed then 'noop'
-  when direction = 'left_to_right' then case when l_changed then 'push_right' else 'noop' end
-  when direction = 'right_to_left' then case when r_changed then 'push_left' else 'noop' end
-  when not r_changed then 'push_right' when not l_changed then 'push_left'
-  when policy = 'left_wins' then 'push_right' when policy = 'right_wins' then 'push_left'
-  when policy = 'newest_wins' then 'push_left' else 'conflict' end as action from t""")
-def policy_table(spark: SparkSession, d: str) -> DataFrame:
-    """The whole truth table of directions and policies; the right side is the newer."""
-    flags = spark.createDataFrame([(a, b, c, p) for a in (True, False) for b in (True, False) for c in ("two_way", "left_to_right", "right_to_left") for p in ("manual", "left_wins", "right_wins", "newest_wins")], "l_changed boolean, r_changed boolean, direction string, policy string")
-    older, newer = F.to_timestamp(F.lit("2024-01-01")), F.to_timestamp(F.lit("2024-01-02"))
-    return flags.withColumn("action", values.action(F.col("l_changed"), F.col("r_changed"), F.col("direction"), F.col("policy"), older, newer))
+    """distance of the two colors of every pair; an unknown one is half way."""
+    return view(spark, d, "pair_now").select("pair", F.round(color.distance(F.col("left_color_hex"), F.col("right_color")), 6).alias("distance"))
 
 
 PAIRED = "p as (select m.left_item_id, m.right_item_id, l.id as left_id, l.remaining_weight as left_now, r.id as right_id, r.total_weight as right_now, l.product_id from item_mapping m left join left_item l on l.id = m.left_item_id left join right_item r on r.id = m.right_item_id)"
@@ -160,6 +147,29 @@ def _weight_changes(spark: SparkSession, d: str) -> DataFrame:
     return changes.weight_changes(_paired(spark, d), view(spark, d, "snapshot_left"), view(spark, d, "snapshot_right"), OPTIONS)
 
 
+_DIRECTIONS, _POLICIES = ("two_way", "left_to_right", "right_to_left"), ("manual", "left_wins", "right_wins", "newest_wins")
+RULED = f"""{CHANGED}, ruled as (select *, d.direction, e.policy, l_ts.captured_left as left_ts, l_ts.captured_right as right_ts from c
+  join (select unnest({list(_DIRECTIONS)}) as direction) d on true join (select unnest({list(_POLICIES)}) as policy) e on true join item_times l_ts using (left_item_id))
+select left_item_id, direction, policy, case when baseline then false else lc end as left_changed, case when baseline then false else rc end as right_changed,
+  case when baseline or (not lc and not rc) then 'noop'
+    when direction = 'left_to_right' then case when lc then 'push_right' else 'noop' end
+    when direction = 'right_to_left' then case when rc then 'push_left' else 'noop' end
+    when not rc then 'push_right' when not lc then 'push_left'
+    when policy = 'left_wins' then 'push_right' when policy = 'right_wins' then 'push_left'
+    when policy = 'newest_wins' then case when left_ts > right_ts then 'push_right' when left_ts < right_ts then 'push_left' else 'conflict' end else 'conflict' end as action from ruled"""
+
+
+@query(RULED, *CHANGE_VIEWS, "item_times")
+def policy_table(spark: SparkSession, d: str) -> DataFrame:
+    """What each direction and policy would do about every pair's weights, by the times at which both sides were captured."""
+    changed = _weight_changes(spark, d).select("left_item_id", "left_changed", "right_changed")
+    times = view(spark, d, "item_times").select("left_item_id", "captured_left", "captured_right")
+    rules = F.inline(F.array(*(F.struct(F.lit(x).alias("direction"), F.lit(y).alias("policy")) for x in _DIRECTIONS for y in _POLICIES)))
+    rows = changed.join(times, "left_item_id").select("*", rules)
+    act = values.action(F.col("left_changed"), F.col("right_changed"), F.col("direction"), F.col("policy"), F.col("captured_left"), F.col("captured_right"))
+    return rows.select("left_item_id", "direction", "policy", "left_changed", "right_changed", act.alias("action"))
+
+
 @query(CHANGED + """ select left_item_id, right_item_id, left_then, left_now, right_then, right_now, not baseline and lc as left_changed, not baseline and rc as right_changed,
   case when baseline then 'baseline' when not lc and not rc then 'noop' when lc and not rc then 'push_right' when rc and not lc then 'push_left' else 'conflict' end as action from c""", *CHANGE_VIEWS)
 def weight_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -608,6 +618,15 @@ def no_match_reasons(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy.unmatched_reason(left, right.select("brand").distinct(), top.filter("score >= 0.8"), top)
 
 
+@query(f"""{matching_sql.SCORED}
+select right_id, score from scored s join products a on a.pid = 'l' || left_id join products b on b.pid = 'r' || right_id
+where left_id = (select cast(min(id) as varchar) from left_product) and (a.family = '' or b.family = '' or a.family = b.family) order by score desc, right_id limit 50""")
+def manual_search(spark: SparkSession, d: str) -> DataFrame:
+    """The first left product searched by hand in the whole reference (a top-50 report)."""
+    left, right = decomposed(spark, d)
+    return fuzzy.search(right, left.orderBy("id").limit(1), OPTIONS, 50).select("right_id", "score")
+
+
 @query()
 def fuzzy_matches_with_names(spark: SparkSession, d: str) -> DataFrame:
     """W2 with the name similarity F46 (Arrow), and known identities pinned."""
@@ -695,11 +714,20 @@ def state_dump(spark: SparkSession, d: str) -> DataFrame:
     return state.dump_lines(*(view(spark, d, v) for v in ("left_product", "left_item", "right_product", "right_item"))).select("id", "section", "line")
 
 
-@query("""t as (select * from (values ('1.2.3', '1.2.2', true, true), ('1.2', '1.2.0', false, true), ('v2.0.0', '10.0.0', false, false), ('x', '1.0.0', false, true)) v(a, b, newer, enough)) select * from t""".replace("t as (", "with t as (", 1))
+#: Version texts of two systems: with and without a v, two or three numbers, none at all.
+TOLD_VERSIONS = """select event_id as id,
+  case when event_id % 17 = 0 then 'x' when event_id % 19 = 0 then null else concat(case when event_id % 5 = 0 then 'v' else '' end, cast(event_id % 3 as varchar(9)), '.', cast(user_id % 12 as varchar(9)), case when event_id % 4 = 0 then '' else concat('.', cast(event_id % 10 as varchar(9))) end) end as a,
+  case when user_id % 23 = 0 then '-' else concat(cast(user_id % 3 as varchar(9)), '.', cast(event_id % 12 as varchar(9)), '.0') end as b from events"""
+_VERSION = "list_concat(list_transform(string_split(regexp_extract(coalesce({0}, ''), '^v?(\\d+(?:\\.\\d+){{0,2}})', 1), '.'), lambda x: coalesce(try_cast(x as int), 0)), [0, 0, 0])[1:3]"
+_READ = "regexp_matches(coalesce({0}, ''), '^v?\\d+(\\.\\d+)*')"
+
+
+@query(f"""with t as ({TOLD_VERSIONS})
+select id, {_READ.format("a")} and {_READ.format("b")} and {_VERSION.format("a")} > {_VERSION.format("b")} as newer, {_VERSION.format("a")} = [0, 0, 0] or {_VERSION.format("a")} >= {_VERSION.format("b")} as enough from t""")
 def versions(spark: SparkSession, d: str) -> DataFrame:
-    """Versions compared."""
-    rows = spark.createDataFrame([("1.2.3", "1.2.2"), ("1.2", "1.2.0"), ("v2.0.0", "10.0.0"), ("x", "1.0.0")], "a string, b string")
-    return rows.select("a", "b", units.is_newer(F.col("a"), F.col("b")).alias("newer"), units.at_least(F.col("a"), F.col("b")).alias("enough"))
+    """Versions that two systems tell, compared."""
+    rows = from_sql(spark, d, ("events",), TOLD_VERSIONS)
+    return rows.select("id", units.is_newer(F.col("a"), F.col("b")).alias("newer"), units.at_least(F.col("a"), F.col("b")).alias("enough"))
 
 
 @query("""select cast(unnest(['a', 'k' || cast(id % 3 as varchar)]) as varchar) as key, id from left_product""".replace("select cast(", "u as (select cast(").replace("from left_product", "from left_product) select key, count(*) as n from u group by 1"), "left_product")
@@ -709,12 +737,17 @@ def field_definitions(spark: SparkSession, d: str) -> DataFrame:
     return records.field_definitions(view(spark, d, "left_product").select(extra.alias("extra")))
 
 
-@query(PAIRED + """ select left_item_id, right_item_id, 'weight' as field, round(left_now + 200, 2) is not distinct from right_now as agree from p where left_id is not null and right_id is not null
-union all select left_item_id, right_item_id, 'id', false from p where left_id is not null and right_id is not null""", "left_item", "right_item", "item_mapping")
+EIGHT = {"material": ("left_material", "right_type"), "color": ("left_color_hex", "right_color"), "cost": ("left_cost", "right_cost"), "nozzle_temp": ("left_nozzle_temp", "right_nozzle_temp"), "bed_temp": ("left_bed_temp", "right_bed_temp"),
+         "density": ("left_density", "right_density"), "spool_weight": ("left_spool_weight", "right_tare"), "net_weight": ("left_weight", "right_net_weight")}
+_FORM = "case when regexp_matches({0}, '^[+-]?\\d+(\\.0*)?$') then cast(cast(cast({0} as double) as hugeint) as varchar) else {0} end"
+_SEEN = "lower(trim(coalesce(cast({} as varchar), '')))"
+
+
+@query(" union all ".join(f"select pair, '{n}' as field, cast({a} as varchar) as left, cast({b} as varchar) as right, {_FORM.format(_SEEN.format(a))} = {_FORM.format(_SEEN.format(b))} as agree from pair_now" for n, (a, b) in EIGHT.items()).replace(" as left,", ' as "left",').replace(" as right,", ' as "right",'), "pair_now")
 def side_by_side(spark: SparkSession, d: str) -> DataFrame:
-    """Fields of a pair next to each other."""
-    rows = _paired(spark, d).filter("left_id is not null and right_id is not null").withColumn("gross", F.round(F.col("left_remaining_weight") + 200, 2))
-    return records.side_by_side(rows, [("weight", "gross", "right_total_weight"), ("id", "left_id", "right_id")]).select("left_item_id", "right_item_id", "field", "agree")
+    """Eight fields of every pair next to each other."""
+    rows = view(spark, d, "pair_now").withColumns({"left_item_id": F.col("pair"), "right_item_id": F.col("pair")})
+    return records.side_by_side(rows, [(n, a, b) for n, (a, b) in EIGHT.items()]).select(F.col("left_item_id").alias("pair"), "field", "left", "right", "agree")
 
 
 @query("""select entity_id, min(captured_at) as anchor, max(captured_at) as last_synced from (select cast(entity_id as varchar) as entity_id, 10 + entity_id % 5 as captured_at from snapshot_left union all select replace(entity_id, 'S', ''), 12 from snapshot_right) group by 1""", "snapshot_left", "snapshot_right")

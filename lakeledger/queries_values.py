@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import color, text, units, values
 from .operators import fuzzy, records
-from .options import BASE_COLORS, field_map
+from .options import BASE_COLORS
 from .plans import decisions, reports
 from .queries import query
 from .sources import state
@@ -206,11 +206,11 @@ def legacy_directions(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "direction", decisions.target_of(F.col("direction")).alias("target"))
 
 
-@query("""select unnest(['material', 'lot']) as left_field, unnest(['type', 'lot']) as right_field""")
+@query("""select id, field_name, case field_name when 'color' then 'hex' when 'weight' then 'weight' when 'location' then null else null end as left_key from conflict""", "conflict")
 def mapped_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Explicit field maps, then fields of equal name, without excluded ones."""
-    found = field_map({"material": "type", "no_such": "x"}, ("lot", "price", "secret"), ("lot", "price", "secret"), ("price",))
-    return spark.createDataFrame(sorted(found.items(), reverse=True), "left_field string, right_field string")
+    """The left key of each conflict's field: explicit maps first, then fields of equal name, none for an excluded or unknown one."""
+    rows = view(spark, d, "conflict")
+    return rows.select("id", "field_name", decisions.mapped_key(F.col("field_name"), {"color": "hex"}, ("location",)).alias("left_key"))
 
 
 @query("""shown as (select id, vendor, name, row_number() over (order by lower(name) desc nulls last, id) as place from left_product) select id, place from shown where place <= 100""", "left_product")
