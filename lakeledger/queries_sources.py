@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import matching_sql
-from .operators import fuzzy
+from .operators import fuzzy, lexicon
 from .queries import OPTIONS, decomposed, query
 from .sources import archive, snapshots
 from .sources.shared import delete_folder, new_folder
@@ -153,3 +153,16 @@ def fuzzy_matches_cached(spark: SparkSession, d: str) -> DataFrame:
     fuzzy.cached_matches(store, before, right, OPTIONS)
     fuzzy.cached_matches(store, left, right, OPTIONS)
     return store.read("matches").drop("brand")
+
+
+@query(matching_sql.MINED)
+def lexicon_kept(spark: SparkSession, d: str) -> DataFrame:
+    """A14-A18 over names that come and go: stored counts follow a first load, removals, changes and additions."""
+    part = _read(spark, d, "part")
+    store = snapshots.SnapshotStore(spark, new_folder(spark, "lexicon"))
+    update = lambda added, removed: lexicon.update_counts(store, "grams", added, removed, "p_name", "p_brand", "p_type")
+    wrong = part.filter("p_partkey % 10 = 3").withColumn("p_name", F.concat(F.lit("velvet "), "p_name"))  # names before they were put right
+    update(part.filter("p_partkey % 10 not in (3, 4)").unionByName(wrong), None)
+    update(part.filter("p_partkey % 10 = 3"), wrong)
+    update(part.filter("p_partkey % 10 = 4"), None)
+    return lexicon.mine_stored(store, "grams")
