@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from contextlib import suppress
+from importlib import util
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from .queries import OPTIONS, decomposed, query
 from .sources import archive, snapshots
 from .sources.shared import delete_folder, new_folder
 from .sources.views import view
+from .streaming import runner
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -166,3 +168,40 @@ def lexicon_kept(spark: SparkSession, d: str) -> DataFrame:
     update(part.filter("p_partkey % 10 = 3"), wrong)
     update(part.filter("p_partkey % 10 = 4"), None)
     return lexicon.mine_stored(store, "grams")
+
+
+def _round_sql(k: int) -> str:
+    """Events of batch ``k`` and the state after it."""
+    then = f"state{k - 1}" if k else "(select null::bigint as user_id, null::double as weight, null::timestamp as seen_at where false)"
+    return f"""last{k} as (select user_id, value as now, ts as seen_at from events where event_id % 3 = {k} qualify row_number() over (partition by user_id order by ts desc, value desc) = 1),
+told{k} as (
+  select n.user_id, s.weight as then_, n.now, n.seen_at, case when s.user_id is null then 'baseline' when not n.seen_at > s.seen_at then 'late' when abs(s.weight - n.now) >= 25 then 'changed' else 'same' end as action
+  from last{k} n left join {then} s using (user_id)),
+state{k} as (
+  select user_id, now as weight, seen_at from told{k} where action in ('baseline', 'changed')
+  union all select * from {then} s where user_id not in (select user_id from told{k} where action in ('baseline', 'changed')))"""
+
+
+STREAMED = f"""with {", ".join(map(_round_sql, range(3)))}
+{" union all ".join(f"select cast(user_id as varchar) as entity_id, then_ as then, now, action from told{k}" for k in range(3))}""".replace("then_ as then", 'then_ as "then"')
+
+
+def weight_event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The incremental run with its state by item: readings that arrive in three batches, compared with the last stored ones."""
+    source, out, checkpoint = (new_folder(spark, n) for n in ("readings", "weight-events", "stream"))
+    readings = _read(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("entity_id"), F.col("value").alias("weight"), F.col("ts").cast("timestamp").alias("seen_at"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, runner.ROCKSDB)
+    try:
+        for k in range(3):  # a batch is there before the run that reads it
+            readings.filter(F.col("event_id") % 3 == k).drop("event_id").write.mode("append").parquet(source)
+            stream = spark.readStream.schema("entity_id string, weight double, seen_at timestamp").parquet(source)
+            runner.run_keyed(stream, 25.0, checkpoint, out).awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(runner.EVENTS).parquet(out).drop("seen_at")
+
+
+if util.find_spec("google") and util.find_spec("google.protobuf"):  # Spark's Python workers speak to the state store by it
+    query(STREAMED)(weight_event_stream)

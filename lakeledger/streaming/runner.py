@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions import units
 from ..sources.state import StateTable
@@ -59,6 +61,69 @@ def run(stream: DataFrame, state: StateTable, threshold: float, checkpoint: str,
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+EVENTS = "entity_id string, then double, now double, seen_at timestamp, action string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class LastReading(StatefulProcessor):
+    """Keeps each item's last stored reading and tells what a batch's newest reading is to it, as ``weight_events`` does.
+
+    An item that is not seen for ``silent_after`` (by the clock of the cluster) gives one event ``silent`` and is kept.
+    """
+
+    def __init__(self, threshold: float, silent_after: datetime.timedelta | None = None) -> None:
+        self.threshold, self.silent_ms = threshold, None if silent_after is None else int(silent_after.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.reading = handle.getValueState("reading", "weight double, seen_at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        readings = [(None if pd.isna(t) else t, None if pd.isna(w) else float(w)) for part in rows for t, w in zip(part["seen_at"], part["weight"], strict=True)]
+        seen_at, weight = max(readings, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0.0))
+        stored, then, then_at = self.reading.exists(), None, None
+        if stored:
+            then, then_at = self.reading.get()
+            then_at = None if then_at is None else pd.Timestamp(then_at)
+        newer = not stored or then_at is None or (seen_at is not None and seen_at > then_at)
+        moved = then is not None and weight is not None and abs(then - weight) >= self.threshold
+        action = "baseline" if not stored else "late" if not newer else "changed" if moved else "same"
+        if action in ("baseline", "changed"):
+            self.reading.update((weight, None if seen_at is None else seen_at.to_pydatetime()))
+        if self.silent_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
+        yield self._event(key, then, weight, seen_at, action)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        then, then_at = self.reading.get()
+        yield self._event(key, then, None, None if then_at is None else pd.Timestamp(then_at), "silent")
+
+    def _event(self, key, then, now, seen_at, action) -> pd.DataFrame:
+        frame = pd.DataFrame({"entity_id": [key[0]], "then": [then], "now": [now], "seen_at": [seen_at], "action": [action]})
+        return frame.astype({"then": "float64", "now": "float64", "seen_at": "datetime64[us]"})
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_events(stream: DataFrame, threshold: float, silent_after: datetime.timedelta | None = None) -> DataFrame:
+    """Events of a stream of readings (entity_id, weight, seen_at), with the state by item in the state store.
+
+    A batch reads and writes the state of its own items only, and a batch that is replayed starts from the state before
+    it, so its events are the same.  The session must use the RocksDB state store (``ROCKSDB``).
+    """
+    by_item = stream.select(F.col("entity_id").cast("string").alias("entity_id"), "weight", "seen_at").groupBy("entity_id")
+    mode = "None" if silent_after is None else "ProcessingTime"
+    return by_item.transformWithStateInPandas(LastReading(threshold, silent_after), outputStructType=EVENTS, outputMode="Append", timeMode=mode)
+
+
+def run_keyed(stream: DataFrame, threshold: float, checkpoint: str, path: str, silent_after: datetime.timedelta | None = None) -> StreamingQuery:
+    """Starts the keyed run over all there is; events go to a Parquet table under ``path``, each once."""
+    return keyed_events(stream, threshold, silent_after).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def hourly_actions(stream: DataFrame, lateness: str = "2 hours") -> DataFrame:
     """Log actions by hour, late rows up to the watermark; works on a batch as well."""
     rows = stream.withWatermark("logged_at", lateness) if stream.isStreaming else stream

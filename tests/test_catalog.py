@@ -638,6 +638,44 @@ def test_replayed_batch_gives_the_same_events(spark, tmp_path):
     assert now == {"a": 400.0} | {f"n{h}": 1.0 for h in range(5)}
 
 
+@pytest.fixture
+def rocksdb(spark):
+    pytest.importorskip("google.protobuf")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, runner.ROCKSDB)
+    yield
+    spark.conf.unset(key)
+
+
+def test_keyed_run_gives_the_events_of_the_batch_diff(spark, tmp_path, rocksdb):
+    schema = "entity_id string, weight double, seen_at timestamp"
+    rng = random.Random(8)
+    table, expected = state.StateTable(spark, str(tmp_path / "state")), []
+    batches = [[(f"i{rng.randrange(6)}", rng.choice([None, 100.0, 101.0, 105.0, 300.0]), rng.choice([None, *(datetime.datetime(2024, 1, 1, h) for h in range(12))])) for _ in range(8)] for _ in range(4)]
+    # late rows, ties, nulls, and a reading that was there before
+    batches.append(batches[1])
+
+    def run(out, checkpoint):
+        runner.run_keyed(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 2.0, str(tmp_path / checkpoint), str(tmp_path / out)).awaitTermination()
+
+    def told(df):
+        return [(r.entity_id, r.then, r.now, r.seen_at, r.action) for r in df.collect()]
+
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run("out", "ck")
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        runner.run(stream, table, 2.0, str(tmp_path / "ck2"), lambda df, n: expected.extend((r.entity_id, r.then, r.now, r.seen_at, r.action) for r in df.collect())).awaitTermination()
+        got = spark.read.schema(runner.EVENTS).parquet(str(tmp_path / "out"))
+        assert sorted(map(str, told(got))) == sorted(map(str, expected)), k
+    # the last batch is lost before its commit, and replayed from the state before it
+    commits = sorted((tmp_path / "ck" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (tmp_path / "ck" / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    run("out", "ck")
+    assert sorted(map(str, told(spark.read.schema(runner.EVENTS).parquet(str(tmp_path / "out"))))) == sorted(map(str, expected))
+
+
 def test_options():
     assert parse_pairs("a=1, B = x ,bad,=y") == {"a": "1", "b": "x"}
     assert parse_words(" Silk,silk, Matte", ()) == ("silk", "matte") and parse_words("", ("a",)) == ("a",)
