@@ -69,15 +69,6 @@ def left_payload(right: DataFrame) -> DataFrame:
     return right.select("id", F.trim("name").alias("name"), "vendor", F.col("type").alias("material"), F.coalesce("density", F.lit(DEFAULT_DENSITY)).alias("density"), F.coalesce("diameter", F.lit(DEFAULT_DIAMETER)).alias("diameter"), color.to_left(F.col("color")).alias("color_hex"), F.col("tare").alias("spool_weight"))
 
 
-def variances(products: DataFrame, items: DataFrame, right: DataFrame) -> DataFrame:
-    """Clusters of left products that would become one family, and the right parent that is there already."""
-    keyed = products.withColumn("cluster", text.cluster_key(F.col("vendor"), F.col("material"), F.col("name")))
-    parents = right.filter("parent_id is null or parent_id = id").withColumn("cluster", text.cluster_key(F.col("vendor"), F.col("type"), F.col("name")))
-    first = parents.groupBy("cluster").agg(F.min("id").alias("right_parent"))
-    groups = matching.clusters(keyed, items, 1).join(first, "cluster", "left")
-    return groups.filter("n >= 2 or right_parent is not null").select("cluster.vendor", "cluster.material", "cluster.finish", "n", "n_active", "master_id", "right_parent")
-
-
 def scope(planned: DataFrame, left_id: int) -> DataFrame:
     """The plan of one product."""
     return planned.filter(F.col("left_id") == left_id)

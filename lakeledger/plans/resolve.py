@@ -14,7 +14,8 @@ NUMERIC = ("weight", "cost", "spool_weight", "nozzle_temp", "bed_temp", "density
 
 def choose(conflicts: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decided conflicts (id, resolution, manual) with the chosen value and whether they can be applied."""
-    rows = decisions.join(conflicts.filter("resolved_at is null"), "id", "left")
+    open_ = conflicts.filter("resolved_at is null").select("id", "entity_type", "left_id", "field_name", "left_value", "right_value")  # a queue has resolutions of its own
+    rows = decisions.join(open_, "id", "left")
     value = F.when(F.col("resolution") == "left", F.col("left_value")).when(F.col("resolution") == "right", F.col("right_value")).when(F.col("resolution") == "manual", F.col("manual"))
     bad_number = F.col("field_name").isin(*NUMERIC) & value.isNotNull() & value.try_cast("double").isNull()
     error = (

@@ -554,6 +554,17 @@ def conflict_writes(spark: SparkSession, d: str) -> DataFrame:
     return resolve.writes(resolve.choose(c, _decisions(c))).select("id", "side", "value")
 
 
+@query("""d as (select id, field_name, case id % 4 when 0 then 'left' when 1 then 'right' when 2 then 'manual' end as how, case id % 4 when 0 then 'L' || cast(id as varchar) when 1 then cast(id as varchar) || '.256' else 'x' end as val from conflict where resolved_at is null and id % 4 <> 3),
+k as (select * from d where not (how = 'manual' and field_name = 'color') and not (field_name = 'weight' and try_cast(val as double) is null))
+select c.id, case when k.id is not null then timestamp '2030-01-01' else cast(resolved_at as timestamp) end as resolved_at, how as resolution, val as resolved_value from conflict c left join k on k.id = c.id""", "conflict")
+def resolved_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """H3: the conflict table after decisions, those that cannot be applied left open."""
+    none = F.lit(None).cast("string")
+    c = _conflict_values(spark, d).withColumns({"resolution": none, "resolved_value": none})
+    now = F.to_timestamp(F.lit("2030-01-01"))
+    return resolve.resolved(c, resolve.choose(c, _decisions(c)), now).select("id", F.col("resolved_at").cast("timestamp").alias("resolved_at"), "resolution", "resolved_value")
+
+
 @query("""select id, case when id % 2 = 0 then 'usage' when id % 3 = 0 then 'set' else 'none' end as kind, case when id % 2 = 0 then cast(10.0 as double) end as grams, round(greatest(remaining_weight + case when id % 2 = 0 then -10 when id % 3 = 0 then 7 else 0 end, 0), 2) as weight from left_item""", "left_item")
 def weight_convergence(spark: SparkSession, d: str) -> DataFrame:
     """Absolute weights as events or sets."""

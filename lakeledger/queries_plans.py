@@ -309,3 +309,23 @@ def resumed_execution(spark: SparkSession, d: str) -> DataFrame:
 
     journal.resume(store, "journal", todo, apply)
     return journal.standing(todo, store.read("journal")).select("seq", "entity", "id", "status", "made_id", "parent_id")
+
+
+_LINE = """line as (select id as variant_id, coalesce(parent_id, id) as master_id, tare, cast(replace(id, 'R', '') as bigint) as no from right_product where parent_id is not null and parent_id <> id),
+decided as (select variant_id, master_id, case no % 3 when 0 then 'ignore' when 1 then 'apply_all' else 'variant_override' end as how, cast(100 + no % 2 as varchar) as value
+  from line left join (select id as master_id, tare as master_tare from right_product) using (master_id) where tare is distinct from master_tare)"""
+
+
+@query(f"""{_LINE}
+select distinct right_id, 'tare' as field, value from (
+  select master_id as right_id, value from decided where how = 'apply_all'
+  union all select s.variant_id, value from decided d join line s using (master_id) where how = 'apply_all' and s.tare is not null
+  union all select variant_id, value from decided where how = 'variant_override')""", "right_product")
+def divergence_writes(spark: SparkSession, d: str) -> DataFrame:
+    """What decisions on values that differ from the master's write: to the whole line, to one variant, or nothing."""
+    right = view(spark, d, "right_product")
+    no = F.replace("variant_id", F.lit("R")).cast("long")
+    how = F.when(no % 3 == 0, "ignore").when(no % 3 == 1, "apply_all").otherwise("variant_override")
+    decided = families.divergences(right, view(spark, d, "product_mapping"), "tare").select("variant_id", how.alias("how"), F.lit("tare").alias("field"), (100 + no % 2).cast("string").alias("value"))
+    line = right.filter("parent_id is not null and parent_id <> id").select(F.col("id").alias("variant_id"), F.col("parent_id").alias("master_id"), F.col("tare").isNotNull().alias("overrides"))
+    return resolve.divergence(decided, line)
