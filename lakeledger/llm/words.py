@@ -123,13 +123,16 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The distinct ones of these ranges (ascending, apart), and which of them each is: compared byte by byte."""
-    edge = np.zeros(len(data) + 1, np.int8)
-    edge[starts] += 1
-    edge[ends] -= 1
+    """The distinct ones of these ranges, and which of them each is: compared byte by byte."""
     bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
-    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]).dictionary_encode()
+    if (ends[:-1] <= starts[1:]).all():  # in order and apart: bytes are kept or not
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[starts] += 1
+        edge[ends] -= 1
+        chosen = data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    else:
+        chosen = data[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], ends - starts)]
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(chosen)]).dictionary_encode()
     return found.dictionary, found.indices.to_numpy()
 
 

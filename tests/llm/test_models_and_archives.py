@@ -172,7 +172,7 @@ def test_pipeline_with_nothing_left(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
         db.execute(f"create view {t} as select * from '{SF_DIR}/{t}.parquet'")
     expected = db.execute(queries.ORACLES[name])
     columns = [c[0] for c in expected.description]

@@ -29,6 +29,14 @@ def test_digests_of_many_words_are_distinct():
     assert d.shape == (2, len(starts)) and len(np.unique(d[0])) == len(np.unique(d[1])) == len(starts)
 
 
+def test_ranges_may_overlap():
+    data = np.frombuffer(b" ab ab c", np.uint8)
+    starts, ends = np.array([0, 3, 6]), np.array([4, 7, 8])  # with one byte on either side, where there is one
+    d = range_digests(data, starts, ends)
+    assert d[0, 0] == d[0, 1] != d[0, 2]
+    assert (range_digests(data, starts[::-1], ends[::-1]) == d[:, ::-1]).all()
+
+
 def test_siphash_is_the_published_one():
     key = (0x0706050403020100, 0x0F0E0D0C0B0A0908)
     data = np.arange(64, dtype=np.uint8)
