@@ -127,10 +127,16 @@ def name_collisions(planned: DataFrame, existing: DataFrame) -> DataFrame:
 
 def find_by_name(wanted: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id) by vendor and name: of several the one under the expected parent, then one without parent, then the first."""
-    order = F.struct(~F.col("parent_id").eqNullSafe(F.col("expected_parent")), F.col("parent_id").isNotNull(), F.col("right_id"))
     there = right.select(F.col("id").alias("right_id"), "parent_id", text.vendor_key(F.col("vendor")).alias("v"), text.name_key(F.col("name")).alias("k"))
     mine = wanted.select(F.col("id").alias("left_id"), "expected_parent", text.vendor_key(F.col("vendor")).alias("v"), text.name_key(F.col("name")).alias("k"))
-    return mine.join(there, ["v", "k"]).groupBy("left_id").agg(F.min_by("right_id", order).alias("right_id"))
+    # a name may have many products on both sides: the right ones are summed up before they meet, so each left one meets at most one row of each kind
+    under = there.groupBy("v", "k", "parent_id").agg(F.min("right_id").alias("under"))
+    firsts = under.groupBy("v", "k").agg(F.min(F.when(F.col("parent_id").isNull(), F.col("under"))).alias("free"), F.min("under").alias("first"))
+    here = [F.col(f"m.{c}") == F.col(f"u.{c}") for c in ("v", "k")]
+    rows = mine.alias("m").join(under.alias("u"), [*here, F.col("expected_parent").eqNullSafe(F.col("parent_id"))], "left").select("left_id", "m.v", "m.k", "under").join(firsts, ["v", "k"])
+    found = F.coalesce("under", "free", "first")
+    order = F.struct(F.col("under").isNull(), F.col("free").isNull(), found)
+    return rows.groupBy("left_id").agg(F.min_by(found, order).alias("right_id"))
 
 
 def missing_dimension(names: DataFrame, dimension: DataFrame) -> DataFrame:
