@@ -74,7 +74,7 @@ def archive_catalog(spark: SparkSession, d: str) -> DataFrame:
     """IO7, J9: archives written from the tables and read back in parts: materials with their brands, packages and containers."""
     path, index, read, table = (new_folder(spark, n) for n in ("archives", "archive-index", "documents", "catalog"))
     archive.write_archives(catalog_members(spark, d), path)
-    archive.documents(spark, path, index, part_bytes=256 << 10).write.parquet(read)  # YAML is read once
+    archive.documents(spark, path, index, part_bytes=1 << 20).write.parquet(read)  # YAML is read once
     docs = spark.read.parquet(read)
     materials, packages = archive.materials(docs), archive.packages(docs)
     counted = packages.groupBy(F.col("material").alias("slug")).agg(F.count(F.lit(1)).alias("n_packages"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import itertools
 import re
 import tarfile
 import zlib
@@ -36,7 +37,9 @@ KINDS = {"brands": "brand", "materials": "material", "material-packages": "packa
 SCHEMA = "kind string, folder string, file string, doc int, fields map<string,string>"
 INDEX_SCHEMA = "path string, start long, skip long, n int"
 PART_BYTES = 4 << 20
-
+ARROW = pa.schema([("kind", pa.string()), ("folder", pa.string()), ("file", pa.string()), ("doc", pa.int32()), ("fields", pa.map_(pa.string(), pa.string()))])
+BATCH_ROWS = 2000
+MOST_TASKS = 5000  # that read archives for an index
 
 ENTRY = re.compile(r"""^(?:'([^']+)'|"([^"]+)"|([A-Za-z_][\w-]*))\s*:(?:\s+(.*))?$""")
 
@@ -160,13 +163,21 @@ def flat_node(node, path: str, found: dict[str, str]) -> None:
         found[path] = node.value
 
 
+if yaml is not None:
+
+    class NullLoader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+        """Tells plain scalars that are null from others, and no more: ``flat_node`` asks for nothing else, and every kind is a pattern to try."""
+
+        yaml_implicit_resolvers = {c: [r for r in rules if r[0] == "tag:yaml.org,2002:null"] for c, rules in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+
+
 def yaml_documents(text: str) -> list[dict[str, str]]:
     """Every document of a file, its scalars under dotted keys; what is no map, or cannot be read, gives an empty one."""
     if yaml is None:
         return [flat_yaml(part) or {} for part in re.split(r"(?m)^---.*$", text) if part.strip()]
     out: list[dict[str, str]] = []
     try:
-        for node in yaml.compose_all(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+        for node in yaml.compose_all(text, Loader=NullLoader):
             found: dict[str, str] = {}
             if isinstance(node, yaml.MappingNode):
                 flat_node(node, "", found)
@@ -279,7 +290,14 @@ class ArchiveReader(DataSourceReader):
         rows = pa.dataset.dataset(name, filesystem=files, format="parquet").to_table().to_pylist()
         return [Part(**r) for r in sorted(rows, key=lambda r: (r["path"], r["start"], r["skip"]))]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        rows = self.rows(partition)
+        while some := list(itertools.islice(rows, BATCH_ROWS)):
+            *plain, fields = zip(*some, strict=True)
+            columns = [*plain, [list(f.items()) for f in fields]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
+
+    def rows(self, partition: Part) -> Iterator[tuple]:
         stream = opened(partition.path, partition.start)
         stream.read(partition.skip)
         with tarfile.open(fileobj=stream, mode="r|") as tar:
@@ -324,7 +342,8 @@ def write_index(spark: SparkSession, path: str, index: str, part_bytes: int = PA
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "start", "skip", "n"])
 
     files = spark.read.format("binaryFile").load(path).select("path")
-    files.repartition("path").mapInArrow(run, INDEX_SCHEMA).write.parquet(index)
+    # a path is few bytes and an archive many: with a number given, and by range, the paths are not put together again
+    files.repartitionByRange(max(1, min(files.count(), MOST_TASKS)), "path").mapInArrow(run, INDEX_SCHEMA).write.parquet(index)
 
 
 def documents(spark: SparkSession, path: str, index: str, part_bytes: int = PART_BYTES, kinds: tuple[str, ...] = ()) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import itertools
 
+from pyspark.sql import functions as F
 
 from lakeledger.operators import matching
+from lakeledger.sources import archive
 
 
 def joined_rows(spark, df) -> tuple[list, int]:
@@ -38,3 +40,19 @@ def test_a_name_of_many_products_is_found_without_pairs(spark):
     rows, most = joined_rows(spark, matching.find_by_name(wanted, there))
     assert {r.left_id: r.right_id for r in rows} == {i: r for i, (_, _, r) in expected.items()} and len(rows) == 150
     assert most <= len(left)
+
+
+def test_each_archive_is_indexed_by_its_own_task(spark, tmp_path):
+    members = spark.range(400, numPartitions=1).select(F.format_string("data/brands/%d.yaml", "id").alias("name"), F.format_string("slug: s%d\n", "id").alias("body"))
+    archive.write_archives(members, f"{tmp_path}/a", per_file=20)
+    archive.write_index(spark, f"{tmp_path}/a", f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    assert index.agg(F.sum("n")).first()[0] == 400
+    # a file is written by one task, and holds its archives
+    most = index.groupBy(F.input_file_name()).agg(F.count_distinct("path").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert tuple(most) == (1, 20)
+
+
+def test_only_nulls_are_told_from_other_scalars():
+    text = "a: null\nb: ~\nc:\nd: 'null'\ne: yes\nf: 12\ng: 2024-01-02\nh: [~, no, NULL, 0x1F, .inf]\ni: {j: Null, k: '~'}\nl: &x {m: 1.0}\nn: {<<: *x, o: =}\n"
+    assert archive.yaml_documents(text) == [{"d": "null", "e": "yes", "f": "12", "g": "2024-01-02", "h": "no,0x1F,.inf", "i.k": "~", "l.m": "1.0", "n.m": "1.0", "n.o": "="}]
