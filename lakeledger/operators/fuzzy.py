@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from . import lexicon
 PARTS = ("family", "brand", "color", "modifier", "finish", "hex", "name")
 BASES = frozenset(BASE_COLORS)
 NAME_WEIGHT = 0.05
+SHARDS = 8
 
 
 def parsed(segments: list[list[str]], index: frozenset[str]) -> tuple[list[str], list[str]]:
@@ -36,6 +39,11 @@ def parsed(segments: list[list[str]], index: frozenset[str]) -> tuple[list[str],
     return list(modifiers), colors
 
 
+def tasks(rows: DataFrame) -> int:
+    """Into how many tasks rows that are few bytes but much work are dealt; Spark would put them together by their bytes."""
+    return 4 * rows.sparkSession.sparkContext.defaultParallelism
+
+
 def name_parts(name: Column, vendor: Column, material: Column, tags: dict[str, int], index: frozenset[str]) -> Column:
     """struct<modifiers, colors> of a name; Python scans it, once per product."""
     keywords = tuple(tags)
@@ -60,31 +68,45 @@ def decomposed(
     index = lexicon.index() if index is None else index
     # a family is told by the material alone: once for each distinct one, as it takes many patterns
     kinds = products.select(F.col(material).alias("_material")).distinct().select("_material", text.material_family(F.col("_material"), options.finish_tags).alias("_family"))
-    products = products.join(kinds, F.col(material).eqNullSafe(F.col("_material")))
-    products = products.withColumn("_parts", name_parts(F.col(name), F.col(vendor), F.col(material), options.finish_tags, index))
+    # what the texts tell is worked out once for each that is written alike; these are few bytes, so their number of tasks is given
+    said = products.select(F.col(name).alias("_name"), F.col(vendor).alias("_vendor"), F.col(material).alias("_kind"), *([] if tag_words is None else [tag_words.alias("_tags")])).distinct()
+    said = said.repartition(tasks(products), "_name", "_vendor", "_kind").join(kinds, F.col("_kind").eqNullSafe(F.col("_material")))
+    said = said.withColumn("_parts", name_parts(F.col("_name"), F.col("_vendor"), F.col("_kind"), options.finish_tags, index))
     named = F.col("_parts")["colors"]
     found = F.map_from_entries(F.transform(F.array_distinct(named), lambda w: F.struct(w, F.size(F.filter(named, lambda x: x == w)))))
+    kind = F.col("_kind") if tag_words is None else F.concat_ws(" ", "_kind", "_tags")
+    told = {
+        "brand": text.vendor_key(F.col("_vendor"), options.vendor_aliases), "name": text.name_key(F.col("_name")), "family": F.col("_family"), "finishes": text.finish_ids(F.col("_name"), kind, options.finish_tags),
+        "colors": found, "modifiers": F.col("_parts")["modifiers"], "n_named": F.size(named),
+    }
+    texts = [c for c in said.columns if c in ("_name", "_vendor", "_kind", "_tags")]
+    said = said.select(*texts, F.struct(*(c.alias(k) for k, c in told.items())).alias("_told"))
+    alike = [F.col(name).eqNullSafe(F.col("_name")), F.col(vendor).eqNullSafe(F.col("_vendor")), F.col(material).eqNullSafe(F.col("_kind")), *([] if tag_words is None else [tag_words.eqNullSafe(F.col("_tags"))])]
     hexes = F.when(F.coalesce(F.col(hex_), F.lit("")) != "", 1).otherwise(0) if hexes is None else hexes
-    kind = F.col(material) if tag_words is None else F.concat_ws(" ", F.col(material), tag_words)
-    return products.select(
-        F.col(id_).alias("id"), text.vendor_key(F.col(vendor), options.vendor_aliases).alias("brand"), text.name_key(F.col(name)).alias("name"),
-        F.col("_family").alias("family"), text.finish_ids(F.col(name), kind, options.finish_tags).alias("finishes"),
-        found.alias("colors"), F.col("_parts")["modifiers"].alias("modifiers"), F.col(hex_).alias("hex"),
-        (F.lit("single") if profile is None else profile).alias("profile"), hexes.alias("hexes"), color.arity(hexes, F.size(named)).alias("arity"),
+    return products.join(said, functools.reduce(Column.__and__, alike)).select(
+        F.col(id_).alias("id"), *(F.col("_told")[k].alias(k) for k in told if k != "n_named"), F.col(hex_).alias("hex"),
+        (F.lit("single") if profile is None else profile).alias("profile"), hexes.alias("hexes"), color.arity(hexes, F.col("_told")["n_named"]).alias("arity"),
     )
 
 
 def paired(left: DataFrame, right: DataFrame) -> DataFrame:
     """All pairs of one brand that pass the family and color gates, columns as ``a_...`` and ``b_...``.
 
-    Brand and family block are the key of the join; AQE splits one that holds a large share.
+    Brand and family block are the key of the join.  A block has many pairs for its rows, so the left ones are dealt to
+    shards, each of which has the block's right ones, and the number of tasks does not follow the bytes.
     """
+    n, shards = tasks(left), F.lit(SHARDS)
     a, b = (df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns), color.rgb(F.col("hex")).alias(f"{p}_rgb")) for p, df in (("a", left), ("b", right)))
+    a, b = a.withColumn("_shard", F.pmod(F.xxhash64("a_id"), shards)), b.withColumn("_shard_b", F.explode(F.sequence(F.lit(0).cast("long"), shards.cast("long") - 1)))
     profiles = color.profiles_fit_softly(*(F.col(f"{p}_{c}") for c in ("profile", "hexes", "arity") for p in "ab"))
     # families fit where they are of one block (biopolymers are one), or where the right one is unknown
     block = lambda c: F.when(c.isin(*BIOPOLYMERS), BIOPOLYMERS[0]).otherwise(c)
-    brand, left_block = F.col("a_brand") == F.col("b_brand"), block(F.col("a_family"))
-    return a.join(b, brand & (left_block == block(F.col("b_family"))) & profiles).unionByName(a.filter(left_block != "").join(b.filter("b_family = ''"), brand & profiles))
+    a, b = a.withColumn("_block", block(F.col("a_family"))), b.withColumn("_block_b", block(F.col("b_family")))
+    brand = (F.col("a_brand") == F.col("b_brand")) & (F.col("_shard") == F.col("_shard_b"))
+    dealt = lambda left_rows, right_rows, left_keys, right_keys, on: left_rows.repartition(n, *left_keys).join(right_rows.repartition(n, *right_keys).hint("shuffle_hash"), on & profiles)
+    known = dealt(a, b, ("a_brand", "_shard", "_block"), ("b_brand", "_shard_b", "_block_b"), brand & (F.col("_block") == F.col("_block_b")))
+    unknown = dealt(a.filter("_block != ''"), b.filter("b_family = ''"), ("a_brand", "_shard"), ("b_brand", "_shard_b"), brand)
+    return known.unionByName(unknown).drop("_shard", "_shard_b", "_block", "_block_b")
 
 
 def total(name: Column) -> Column:
@@ -169,8 +191,7 @@ def matches(left: DataFrame, right: DataFrame, options: Options, with_names: boo
     """
     most = options.alternates + 1
     a, b = _alike(left, with_names), _alike(right, with_names)
-    one = lambda rows, id_: rows.groupBy("key").agg(id_.alias("id"), *(F.first(c).alias(c) for c in left.columns if c != "id")).drop("key")
-    ours, theirs = one(a, F.first("key")), one(b, F.min("id"))
+    ours, theirs = _groups(a, F.first("key")), _groups(b, F.min("id"))
     groups = named(open_pairs(ours, theirs, most)) if with_names else scored(ours, theirs)
     best = _best(groups, "left_id", [F.col("score").desc(), F.col("right_id")], most, "right_id").withColumnRenamed("right_id", "first_id").drop("rank")
     members = _best(b.select("key", "id"), "key", [F.col("id").asc()], most, "id")
@@ -179,6 +200,18 @@ def matches(left: DataFrame, right: DataFrame, options: Options, with_names: boo
     return a.select("key", F.col("id").alias("left_id")).join(rows, "key").drop("key")
 
 
+def _groups(alike: DataFrame, id_: Column) -> DataFrame:
+    """One row for each key of ``_alike``, with ``id_`` as its id."""
+    return alike.groupBy("key").agg(id_.alias("id"), *(F.first(c).alias(c) for c in alike.columns if c not in ("id", "key"))).drop("key")
+
+
+def best_scores(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, score): the score of each left product's best right one; none for those that pass no gate."""
+    a = _alike(left, False)
+    best = scored(_groups(a, F.first("key")), _groups(_alike(right, False), F.min("id"))).groupBy("left_id").agg(F.max("score").alias("score"))
+    return a.select("key", F.col("id").alias("left_id")).join(best.withColumnRenamed("left_id", "key"), "key").drop("key")
+
+
 def block_digests(left: DataFrame, right: DataFrame, settings: str) -> DataFrame:
     """(brand, digest): what a block's matches depend on, whatever the order of its rows.
 

@@ -29,10 +29,14 @@ def ngrams(names: DataFrame, name: str, brand: str, longest: int = 3) -> DataFra
     return runs(names.select(F.col(brand).alias("brand"), F.explode(segments(F.col(name))).alias("w")), longest)
 
 
-def residual_ngrams(names: DataFrame, name: str, brand: str, material: str | None, tags: dict[str, int], longest: int = 3) -> DataFrame:
-    """``ngrams`` of what a name has besides vendor, material and finish; the brand as its key."""
+def residual_ngrams(names: DataFrame, name: str, brand: str, material: str | None, tags: dict[str, int], longest: int = 3, times: str | None = None) -> DataFrame:
+    """``ngrams`` of what a name has besides vendor, material and finish; the brand as its key.
+
+    ``times`` is a column that tells how many names a row stands for, kept as ``times``.
+    """
+    kept = [F.col(times).alias("times")] if times else []
     kind = F.lit(None).cast("string") if material is None else F.col(material)
-    return runs(names.select(text.vendor_key(F.col(brand)).alias("brand"), F.explode(text.residual_words(F.col(name), F.col(brand), kind, tags)).alias("w")), longest)
+    return runs(names.select(text.vendor_key(F.col(brand)).alias("brand"), F.explode(text.residual_words(F.col(name), F.col(brand), kind, tags)).alias("w"), *kept), longest)
 
 
 def runs(words: DataFrame, longest: int) -> DataFrame:
@@ -41,7 +45,8 @@ def runs(words: DataFrame, longest: int) -> DataFrame:
     for n in range(1, longest + 1):
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
         each.append(_numbered(_runs(starts, n), n))
-    return words.select("brand", F.inline(F.concat(*each))).select("n", "term", "brand")
+    kept = [c for c in words.columns if c == "times"]
+    return words.select("brand", *kept, F.inline(F.concat(*each))).select("n", "term", "brand", *kept)
 
 
 def _numbered(terms: Column, n: int) -> Column:
@@ -54,7 +59,8 @@ def _runs(starts: Column, n: int) -> Column:
 
 def counts(grams: DataFrame) -> DataFrame:
     """How often each term stands, and under how many brands."""
-    return grams.groupBy("n", "term").agg(F.count("*").alias("freq"), F.count_distinct("brand").alias("brands"))
+    freq = F.sum("times") if "times" in grams.columns else F.count("*")
+    return grams.groupBy("n", "term").agg(freq.alias("freq"), F.count_distinct("brand").alias("brands"))
 
 
 def lifts(counted: DataFrame, n_names: Column) -> DataFrame:
@@ -75,7 +81,9 @@ def mine(
     and the seeds.  Colors are the base ones and what ``promoted`` finds.  The counts, a row for
     each distinct term, are used several times and stay cached, on disk where they do not fit.
     """
-    counted = counts(residual_ngrams(names, name, brand, material, tags)).persist(StorageLevel.MEMORY_AND_DISK)
+    kinds = list(dict.fromkeys(c for c in (name, brand, material) if c))
+    said = names.groupBy(*kinds).agg(F.count(F.lit(1)).alias("_times")).repartition(4 * names.sparkSession.sparkContext.defaultParallelism, *kinds)  # each name that is written alike is scanned once
+    counted = counts(residual_ngrams(said, name, brand, material, tags, times="_times")).persist(StorageLevel.MEMORY_AND_DISK)
     return mine_counted(counted, names.count(), stop, seeds, composites, base)
 
 

@@ -6,9 +6,13 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from lakeledger.operators import matching
+from lakeledger import queries
+from lakeledger.operators import fuzzy, lexicon, matching
+from lakeledger.options import Options
 from lakeledger.sources import archive
 
+from .conftest import SF_DIR
+
 
 def joined_rows(spark, df) -> tuple[list, int]:
     """The rows of ``df``, and the most rows that one of its joins makes."""
@@ -56,3 +60,40 @@ def test_each_archive_is_indexed_by_its_own_task(spark, tmp_path):
 def test_only_nulls_are_told_from_other_scalars():
     text = "a: null\nb: ~\nc:\nd: 'null'\ne: yes\nf: 12\ng: 2024-01-02\nh: [~, no, NULL, 0x1F, .inf]\ni: {j: Null, k: '~'}\nl: &x {m: 1.0}\nn: {<<: *x, o: =}\n"
     assert archive.yaml_documents(text) == [{"d": "null", "e": "yes", "f": "12", "g": "2024-01-02", "h": "no,0x1F,.inf", "i.k": "~", "l.m": "1.0", "n.m": "1.0", "n.o": "="}]
+
+
+def test_pairs_are_dealt_to_many_tasks(spark):
+    left, right = queries.decomposed(spark, SF_DIR)
+    one = left.select("brand").orderBy("brand").first().brand
+    found = fuzzy.paired(left.filter(F.lower("brand") == one), right).groupBy(F.spark_partition_id().alias("p")).count()
+    assert found.count() > 4
+
+
+def test_each_spelling_is_scanned_once(spark):
+    """Copies of a name are told apart by their id alone, and the lexicon counts each of them."""
+    names = [("Acme", "dual color red"), ("Zed", "dual color blue"), (None, "silk red")]
+    rows = [(k, *names[k % 3], "PLA Silk" if k % 2 else None, None) for k in range(60)]
+    products = spark.createDataFrame(rows, "id long, vendor string, name string, material string, hex string")
+    scans = spark.sparkContext.accumulator(0)
+    whole = fuzzy.name_parts
+
+    def counted(name, vendor, material, tags, index):
+        parts = whole(name, vendor, material, tags, index)
+        seen = F.udf(lambda n: (scans.add(1), n)[1], "string").asNondeterministic()
+        return F.when(seen(name).isNotNull(), parts)
+
+    fuzzy.name_parts = counted
+    try:
+        got = fuzzy.decomposed(products, "id", "vendor", "name", "material", "hex", Options()).collect()
+    finally:
+        fuzzy.name_parts = whole
+    assert len(got) == 60 and {(r.id % 6, r.brand, r.family) for r in got} == {(k, ("acme", "zed", "")[k % 3], "pla" if k % 2 else "") for k in range(6)}
+    assert scans.value == 6
+    counts = {r.term: r.freq for r in lexicon.mine(products, "name", "vendor", "material").collect()}
+    assert counts["dual color"] == 40 and counts["red"] == 40
+
+
+def test_best_scores_are_those_of_the_matches(spark):
+    left, right = queries.decomposed(spark, SF_DIR)
+    top = fuzzy.matches(left, right, Options()).filter("rank = 1").select("left_id", "score")
+    assert sorted(map(tuple, fuzzy.best_scores(left, right).collect())) == sorted(map(tuple, top.collect()))
