@@ -625,7 +625,7 @@ def fuzzy_matches(spark: SparkSession, d: str) -> DataFrame:
 def no_match_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Why products have no match of 0.8 or more."""
     left, right = decomposed(spark, d)
-    top = fuzzy.matches(left, right, OPTIONS).filter("rank = 1")
+    top = fuzzy.best_scores(left, right)
     return fuzzy.unmatched_reason(left, right.select("brand").distinct(), top.filter("score >= 0.8"), top)
 
 
