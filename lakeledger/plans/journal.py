@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,10 @@ def resume(store: SnapshotStore, table: str, todo: DataFrame, apply: Callable[[D
     again, once.  A pass and its outcomes are one step of the store: a crash loses at most the outcomes of one pass.
     """
     for seq in range(PASSES):
-        ready = standing(todo.filter(F.col("seq") == seq), store.read(table)).filter("status in ('ready', 'failed')")
+        ready = standing(todo.filter(F.col("seq") == seq), store.read(table)).filter("status in ('ready', 'failed')").persist(StorageLevel.MEMORY_AND_DISK)  # used twice; its joins are made once
         done = apply(ready).join(ready.select("key", (F.col("attempts") + 1).alias("attempt")), "key")
-        with store.change() as step:
-            step.upsert(table, done.select("key", F.col("attempt").cast("int").alias("attempt"), "status", "made_id", "error"))
+        try:
+            with store.change() as step:
+                step.upsert(table, done.select("key", F.col("attempt").cast("int").alias("attempt"), "status", "made_id", "error"))
+        finally:
+            ready.unpersist()
