@@ -190,16 +190,17 @@ def weight_event_stream(spark: SparkSession, d: str) -> DataFrame:
     """The incremental run with its state by item: readings that arrive in three batches, compared with the last stored ones."""
     source, out, checkpoint = (new_folder(spark, n) for n in ("readings", "weight-events", "stream"))
     readings = _read(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("entity_id"), F.col("value").alias("weight"), F.col("ts").cast("timestamp").alias("seen_at"))
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, runner.ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in runner.KEYED_CONF}
+    for key, value in runner.KEYED_CONF.items():
+        spark.conf.set(key, value)
     try:
         for k in range(3):  # a batch is there before the run that reads it
             readings.filter(F.col("event_id") % 3 == k).drop("event_id").write.mode("append").parquet(source)
             stream = spark.readStream.schema("entity_id string, weight double, seen_at timestamp").parquet(source)
             runner.run_keyed(stream, 25.0, checkpoint, out).awaitTermination()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(runner.EVENTS).parquet(out).drop("seen_at")
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -62,12 +61,16 @@ def run(stream: DataFrame, state: StateTable, threshold: float, checkpoint: str,
 
 
 EVENTS = "entity_id string, then double, now double, seen_at timestamp, action string"
+KEYED = EVENTS.replace("seen_at timestamp", "seen_us long")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What a session sets for a keyed run: the state store, and that a batch commits what it changed, not its stores' files.
+KEYED_CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 class LastReading(StatefulProcessor):
     """Keeps each item's last stored reading and tells what a batch's newest reading is to it, as ``weight_events`` does.
 
+    Times are microseconds.  Rows pass one by one, and an item's state is read once and written at most once a batch.
     An item that is not seen for ``silent_after`` (by the clock of the cluster) gives one event ``silent`` and is kept.
     """
 
@@ -76,47 +79,48 @@ class LastReading(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.reading = handle.getValueState("reading", "weight double, seen_at timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        readings = [(None if pd.isna(t) else t, None if pd.isna(w) else float(w)) for part in rows for t, w in zip(part["seen_at"], part["weight"], strict=True)]
-        seen_at, weight = max(readings, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0.0))
-        stored, then, then_at = self.reading.exists(), None, None
-        if stored:
-            then, then_at = self.reading.get()
-            then_at = None if then_at is None else pd.Timestamp(then_at)
-        newer = not stored or then_at is None or (seen_at is not None and seen_at > then_at)
-        moved = then is not None and weight is not None and abs(then - weight) >= self.threshold
-        action = "baseline" if not stored else "late" if not newer else "changed" if moved else "same"
+        self.reading = handle.getValueState("reading", "weight double, seen_us long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        newest = max(rows, key=_place)
+        seen_us, weight = newest.seen_us, newest.weight
+        stored = self.reading.get()
+        then, then_us = (None, None) if stored is None else stored
+        newer = then_us is None or (seen_us is not None and seen_us > then_us)
+        moved = then is not None and weight is not None and not abs(then - weight) < self.threshold  # NaN is far from all
+        action = "baseline" if stored is None else "late" if not newer else "changed" if moved else "same"
         if action in ("baseline", "changed"):
-            self.reading.update((weight, None if seen_at is None else seen_at.to_pydatetime()))
+            self.reading.update((weight, seen_us))
         if self.silent_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
-        yield self._event(key, then, weight, seen_at, action)
+        yield Row(entity_id=key[0], then=then, now=weight, seen_us=seen_us, action=action)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        then, then_at = self.reading.get()
-        yield self._event(key, then, None, None if then_at is None else pd.Timestamp(then_at), "silent")
-
-    def _event(self, key, then, now, seen_at, action) -> pd.DataFrame:
-        frame = pd.DataFrame({"entity_id": [key[0]], "then": [then], "now": [now], "seen_at": [seen_at], "action": [action]})
-        return frame.astype({"then": "float64", "now": "float64", "seen_at": "datetime64[us]"})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        then, then_us = self.reading.get()
+        yield Row(entity_id=key[0], then=then, now=None, seen_us=then_us, action="silent")
 
     def close(self) -> None:
         pass
 
 
+def _place(r: Row) -> tuple:
+    """The order of readings: by time, then by weight; null is least and NaN the greatest weight."""
+    w = r.weight
+    return r.seen_us is not None, r.seen_us or 0, w is not None, w is not None and w != w, w if w is not None and w == w else 0.0
+
+
 def keyed_events(stream: DataFrame, threshold: float, silent_after: datetime.timedelta | None = None) -> DataFrame:
     """Events of a stream of readings (entity_id, weight, seen_at), with the state by item in the state store.
 
     A batch reads and writes the state of its own items only, and a batch that is replayed starts from the state before
     it, so its events are the same.  The session must use the RocksDB state store (``ROCKSDB``).
     """
-    by_item = stream.select(F.col("entity_id").cast("string").alias("entity_id"), "weight", "seen_at").groupBy("entity_id")
+    by_item = stream.select(F.col("entity_id").cast("string").alias("entity_id"), "weight", F.unix_micros("seen_at").alias("seen_us")).groupBy("entity_id")
     mode = "None" if silent_after is None else "ProcessingTime"
-    return by_item.transformWithStateInPandas(LastReading(threshold, silent_after), outputStructType=EVENTS, outputMode="Append", timeMode=mode)
+    events = by_item.transformWithState(LastReading(threshold, silent_after), outputStructType=KEYED, outputMode="Append", timeMode=mode)
+    return events.select("entity_id", "then", "now", F.timestamp_micros("seen_us").alias("seen_at"), "action")
 
 
 def run_keyed(stream: DataFrame, threshold: float, checkpoint: str, path: str, silent_after: datetime.timedelta | None = None) -> StreamingQuery:
