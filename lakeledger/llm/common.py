@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a task; bounds a Python worker's memory whatever the batch.
 PIECE_BYTES = 3 << 20
+#: The same where Python follows other stages in one executor: beside a heap in full use there is less room for it.
+STAGE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, pieces, written
+from .common import STAGE_BYTES, cut, discard, pieces, written
 from .words import U64, Words, byte_view, range_digests, spans, windows
 
 SEED, RARE, STRETCH, SIMILARITY = 3, 1e-7, 12, 0.45
@@ -90,7 +90,7 @@ def word_shares(docs: DataFrame, item_words: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = 0
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=STAGE_BYTES):
             h = folded_words(batch.column("text")).hashes
             every += len(h)
             word, n = np.unique(h[may_hold(wanted, h)], return_counts=True)
@@ -149,7 +149,7 @@ def _chunks(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     lengths = sorted(min(r["n"], SEED) for r in seeds.select(F.least("n_item", F.lit(SEED)).alias("n")).distinct().collect())  # at most three rows
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=STAGE_BYTES):
             w = folded_words(batch.column("text"))
             found = []
             for n in lengths:
@@ -228,7 +228,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, similarity: float) -> tuple[Da
     """The leaks, and the tables to delete when they have been used."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=STAGE_BYTES):
             w = folded_words(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("item_id"), _lists(w.hashes.view(np.int64), w.counts)], names=["item", "item_id", "words"])
 

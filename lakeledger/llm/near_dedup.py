@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, given_id, null_safe_id, pieces, with_first_id, written
+from .common import STAGE_BYTES, discard, given_id, null_safe_id, pieces, with_first_id, written
 from .graph import classes
 from .words import SALT, U64, Words, mix, whole_hash, windows, words
 
@@ -153,8 +153,8 @@ def _compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     names = ["a", "b", "close", "n", "first", *BIT_NAMES]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            for part in pieces(iter([batch]), "other"):
+        for batch in pieces(batches, limit=STAGE_BYTES):
+            for part in pieces(iter([batch]), "other", STAGE_BYTES):
                 seen = compare(part.column("text"), part.column("other"), similarity)
                 columns = [pa.array(seen.similarity >= similarity), pa.array(seen.size), seen.first, *map(pa.array, np.ascontiguousarray(seen.bits.T))]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *columns], names=names)
@@ -190,7 +190,7 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     own = docs.select(null_safe_id().alias("id"), "text")
 
     def sketch_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=STAGE_BYTES):
             yield sketch(batch.column("id"), batch.column("text"))
 
     known = written(own.mapInArrow(sketch_all, "id long, c1 long, c2 long, bands array<long>"), "sketch")

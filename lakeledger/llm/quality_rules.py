@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import STAGE_BYTES, pieces
 from .words import U64, byte_view, coded, spans
 
 LEAST_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
@@ -172,7 +172,7 @@ def measure_quality(docs: DataFrame) -> DataFrame:
     """Per document: the base counts, both verdicts and every measured share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=STAGE_BYTES // 2):
             yield measure(batch.column("doc_id"), batch.column("text"))
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
@@ -183,7 +183,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=STAGE_BYTES // 2):
             verdict = measure(pa.nulls(batch.num_rows, pa.int64()), batch.column("text"))
             yield batch.filter(verdict.column("kept"))
 
