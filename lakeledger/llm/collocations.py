@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, pieces, written
+from .common import discard, pieces, small_batches, written
 from .words import byte_view
 
 LONGEST, LEAST, KEPT, SUBSUMED_PERCENT, SCALE = 3, 10, 2000, 50, 1_000_000
@@ -37,15 +37,27 @@ SHARD_BYTES, RANGE_BYTES = 3 << 20, 4 << 20
 #: Bounds of ranges come from about so many texts and so many paths of each; they decide balance, not results.
 SAMPLED_TEXTS, SAMPLED_PATHS, BOUND_BYTES = 2000, 32, 64
 SALTS = 32
+#: A shard's trie leaves the worker in so many turns.
+SENDINGS = 8
 #: Characters that end a piece.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 
 NODES = "lang string, phrase string, n_words int, n long, lefts array<long>"
 
 
+def joined_key(parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    key = parent.astype(np.int64)
+    key <<= 32
+    key |= word
+    return key
+
+
 @dataclass
 class Level:
-    """Nodes of one depth in path order: index of the parent, code of the word (at the top: of the language), count."""
+    """Nodes of one depth in path order: index of the parent, code of the word (at the top: of the language), count.
+
+    Indices and codes have 32 bits: a shard or range is far below 2^31 nodes, since tasks hold it; counts have 64.
+    """
 
     parent: np.ndarray
     word: np.ndarray
@@ -53,7 +65,7 @@ class Level:
 
     @property
     def key(self) -> np.ndarray:
-        return (self.parent << 32) | self.word
+        return joined_key(self.parent, self.word)
 
 
 @dataclass
@@ -68,46 +80,60 @@ def sorted_codes(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Distinct ``values`` in byte order, and the place of each value among them."""
     coded = values.dictionary_encode()
     order = pc.array_sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
 
 
 def grouped(parent: np.ndarray, word: np.ndarray, count: np.ndarray | None) -> tuple[Level, np.ndarray]:
     """The level of these occurrences (or partial nodes), and the node of each.  Sorting merges the runs that are there."""
-    key = (parent << 32) | word
+    key = joined_key(parent, word)
     order = np.argsort(key, kind="stable")
-    ordered = key[order]
+    key = key[order]
     new = np.ones(len(key), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
+    new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
-    node = np.empty(len(key), np.int64)
-    node[order] = np.cumsum(new) - 1
+    node = np.empty(len(key), np.int32)
+    node[order] = np.cumsum(new, dtype=np.int32)
+    node -= 1
     sums = np.diff(np.append(first, len(key))) if count is None else (np.add.reduceat(count[order], first) if len(first) else count[:0])
-    return Level(ordered[first] >> 32, ordered[first] & 0xFFFFFFFF, sums), node
+    key = key[first]
+    return Level((key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32), sums), node
 
 
-def build(langs: pa.Array, texts: pa.Array, longest: int) -> Trie:
-    """The count trie of a shard."""
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of all texts in order, lower-cased; for each its text, and a number that only words of one piece share."""
     data, offsets = byte_view(texts)
-    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8, copy=False)
     ends_piece = np.isin(data, np.frombuffer(PIECE_ENDS, np.uint8))
     inside = ~(ends_piece | (data == 32) | (data == 9))
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))
     stops = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
-    text = np.searchsorted(offsets, starts, "right") - 1
-    piece = np.cumsum(ends_piece)[starts] + text if len(starts) else text  # equal for words of one piece only
-    bounds = np.concatenate([[0], np.cumsum(stops - starts)])
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[inside])])
+    text = np.searchsorted(offsets, starts, "right").astype(np.int32)
+    text -= 1
+    piece = np.searchsorted(np.flatnonzero(ends_piece), starts).astype(np.int32)
+    piece += text
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(stops - starts, out=bounds[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]), text, piece
+
+
+def build(langs: pa.Array, texts: pa.Array, longest: int) -> Trie:
+    """The count trie of a shard."""
+    words, text, piece = split(texts)
+    n_words = len(words)
     lang = pc.fill_null(langs.cast(pa.string()), "und").cast(pa.large_binary())
-    vocabulary, code = sorted_codes(pa.concat_arrays([words, lang]))
-    word, lang_code = code[: len(words)], code[len(words) :]
-    level, node = grouped(np.zeros(len(word), np.int64), lang_code[text], None)
-    levels, at = [level], np.arange(len(word))
+    words = pa.concat_arrays([words, lang])
+    vocabulary, code = sorted_codes(words)
+    del words
+    word, lang_code = code[:n_words], code[n_words:]
+    level, node = grouped(np.zeros(n_words, np.int32), lang_code[text], None)
+    del text
+    levels, at = [level], np.arange(n_words, dtype=np.int32)
     for depth in range(longest):
-        fits = at + depth < len(word)
+        fits = at < n_words - depth
         at, node = at[fits], node[fits]
         fits = piece[at] == piece[at + depth]
         at, node = at[fits], node[fits]
@@ -118,7 +144,7 @@ def build(langs: pa.Array, texts: pa.Array, longest: int) -> Trie:
 
 def cut_points(trie: Trie, bounds: list[tuple[bytes, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """For each level and bound: nodes before the bound, and whether the last of these is above it (a prefix of it)."""
-    vocabulary = trie.vocabulary.to_pylist()
+    codes, word_of = range(len(trie.vocabulary)), lambda code: trie.vocabulary[code].as_py()
     before = np.zeros((len(trie.levels), len(bounds)), np.int64)
     above = np.zeros((len(trie.levels), len(bounds)), bool)
     keys = [level.key for level in trie.levels]
@@ -126,8 +152,8 @@ def cut_points(trie: Trie, bounds: list[tuple[bytes, ...]]) -> tuple[np.ndarray,
         parent, exact = 0, True
         for d, part in enumerate(bound):
             if exact:
-                code = bisect.bisect_left(vocabulary, part)
-                found = code < len(vocabulary) and vocabulary[code] == part
+                code = bisect.bisect_left(codes, part, key=word_of)
+                found = code < len(codes) and word_of(code) == part
                 at = int(np.searchsorted(keys[d], (parent << 32) | code))
                 exact = found and at < len(keys[d]) and int(keys[d][at]) == (parent << 32) | code
             else:
@@ -176,23 +202,23 @@ def deserialised(blob: memoryview, depth: int) -> Trie:
             children, at = unpacked(blob, at)
         word, at = unpacked(blob, at)
         count, at = unpacked(blob, at)
-        parent = np.zeros(len(word), np.int64) if children is None else np.repeat(np.arange(len(children)), children)
-        levels.append(Level(parent, word.astype(np.int64), count.astype(np.int64)))
+        parent = np.zeros(len(word), np.int32) if children is None else np.repeat(np.arange(len(children), dtype=np.int32), children)
+        levels.append(Level(parent, word.astype(np.int32), count.astype(np.int64)))
     return Trie(vocabulary, levels)
 
 
 def merged(tries: list[Trie]) -> Trie:
     """One trie with the counts of all: words are coded anew, then each level's sorted runs merge under merged parents."""
     vocabulary, code = sorted_codes(pa.concat_arrays([t.vocabulary for t in tries]))
-    at = np.concatenate([[0], np.cumsum([len(t.vocabulary) for t in tries])])
+    at = np.cumsum([0, *(len(t.vocabulary) for t in tries)])
     levels, node = [], None
     for d in range(len(tries[0].levels)):
         runs = [t.levels[d] for t in tries]
         word = np.concatenate([code[at[k] + r.word] for k, r in enumerate(runs)])
         if node is None:
-            parent = np.zeros(len(word), np.int64)
+            parent = np.zeros(len(word), np.int32)
         else:
-            above = np.concatenate([[0], np.cumsum([len(t.levels[d - 1].word) for t in tries])])
+            above = np.cumsum([0, *(len(t.levels[d - 1].word) for t in tries)])
             parent = node[np.concatenate([above[k] + r.parent for k, r in enumerate(runs)])]
         level, node = grouped(parent, word, np.concatenate([r.count for r in runs]))
         levels.append(level)
@@ -243,8 +269,8 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
         held.append(batch)
         n += batch.column("text").nbytes
         if n >= size:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
+            table, held, n = pa.Table.from_batches(held).combine_chunks(), [], 0
+            yield table.to_batches()[0]
     if n or held:
         table = pa.Table.from_batches(held).combine_chunks()
         if table.num_rows:
@@ -291,8 +317,9 @@ def count_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
             start = np.concatenate([np.zeros((longest + 1, 1), np.int64), before - above], axis=1)
             end = np.concatenate([before, [[len(level.word)] for level in trie.levels]], axis=1)
             full = np.flatnonzero((end[1:] > start[1:]).any(axis=0))
-            blobs = [serialised(trie, start[:, j], end[:, j]) for j in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "nodes"])
+            for some in np.array_split(full, min(len(full), SENDINGS)):
+                blobs = [serialised(trie, start[:, j], end[:, j]) for j in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "nodes"])
 
     def merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, held, n = None, [], 0
@@ -320,7 +347,8 @@ def _suffix(k: Column) -> Column:
 
 def mine_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, kept: int = KEPT, subsumed_percent: int = SUBSUMED_PERCENT) -> DataFrame:
     """Each language's best ``kept`` phrases: rank, phrase, its count, those of its parts at the weakest cut, all words, score."""
-    nodes = written(count_phrases(docs, longest, least), "phrases")
+    with small_batches(docs.sparkSession):  # while texts and parts of tries go to Python
+        nodes = written(count_phrases(docs, longest, least), "phrases")
     totals = nodes.filter("phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))
     counts = nodes.filter("phrase is not null")
     phrases = counts.filter("n_words > 1")

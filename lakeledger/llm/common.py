@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 3 << 20
 #: The same where Python follows other stages in one executor: beside a heap in full use there is less room for it.
 STAGE_BYTES = 1 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +58,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, n_bytes: int = STAGE_BYTES) -> Iterator[None]:
+    """Lets what runs inside get its rows in Python as Arrow batches of about ``n_bytes``, in place of 10,000 rows of any size:
+    the executor holds a batch twice, as Arrow buffers (powers of two) and in its Python worker."""
+    before = spark.conf.get(BATCH_CONF, None)
+    spark.conf.set(BATCH_CONF, str(n_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_CONF) if before is None else spark.conf.set(BATCH_CONF, before)
+
+
 def cut(batch: pa.RecordBatch, sizes: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices whose ``sizes`` add up to about ``limit``, or of one row if that alone is larger."""
     ends = np.cumsum(sizes)
