@@ -289,11 +289,16 @@ def unmatched_reason(left: DataFrame, brands: DataFrame, matched: DataFrame, pas
     return rows.select("id", reason.alias("reason"))
 
 
-def package_weights(materials: DataFrame, packages: DataFrame, containers: DataFrame) -> DataFrame:
-    """Net weight and tare of a material: from the first package that has each, in package order; of packages of one place the least value."""
+def package_totals(packages: DataFrame, containers: DataFrame) -> DataFrame:
+    """By material, the number of packages, and net weight and tare from the first package that has each, in package order; of packages of one place the least value."""
     rows = packages.join(containers.select(F.col("slug").alias("container"), "tare"), "container", "left")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("ord", c)))
-    found = rows.groupBy("material").agg(first("net").alias("net"), first("tare").alias("tare"))
+    return rows.groupBy("material").agg(F.count(F.lit(1)).alias("n_packages"), first("net").alias("net"), first("tare").alias("tare"))
+
+
+def package_weights(materials: DataFrame, packages: DataFrame, containers: DataFrame) -> DataFrame:
+    """Net weight and tare of a material, as ``package_totals`` finds them; nulls where it has no package."""
+    found = package_totals(packages, containers)
     return materials.join(found, materials["slug"] == found["material"], "left").select("slug", "net", "tare")
 
 

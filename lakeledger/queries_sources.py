@@ -39,11 +39,14 @@ def catalog_members(spark: SparkSession, d: str) -> DataFrame:
             F.when(rgba == "~", rgba).otherwise(F.concat(F.lit("'"), rgba, F.lit("'"))),
         ).alias("body"),
     )
-    package = F.format_string(
-        "slug: pack-%d-%d\nmaterial: {slug: part-%d}\ncontainer: &c\n  slug: supplier-%d\nagain: *c\nnominal_netto_full_weight: %d\n",
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") * 10).cast("long"),
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    # the numbers are sorted, as their texts would be, and written out last: texts are many times as large
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", text((F.col("l_quantity") * 10).cast("long")).alias("net"))
+    package = lambda x: F.concat(
+        F.lit("slug: pack-"), text(F.col("l_orderkey")), F.lit("-"), text(x["l_linenumber"]), F.lit("\nmaterial: {slug: part-"), text(x["l_partkey"]),
+        F.lit("}\ncontainer: &c\n  slug: supplier-"), text(x["l_suppkey"]), F.lit("\nagain: *c\nnominal_netto_full_weight: "), x["net"], F.lit("\n"),
     )
-    ordered = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", package.alias("body")))), lambda x: x["body"]).alias("docs"))
+    ordered = lines.select("l_orderkey", row.alias("row")).repartition("l_orderkey").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("row")), package).alias("docs"))
     packages = ordered.select(
         F.concat(F.lit("catalog/data/material-packages/orders/"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lit(".yaml")).alias("name"),
         F.concat(F.lit("---\n"), F.array_join("docs", "---\n")).alias("body"),
@@ -72,16 +75,16 @@ select 'part-' || p_partkey as slug, p_brand as brand, p_name as name, p_type as
 from part left join firsts on l_partkey = p_partkey""")
 def archive_catalog(spark: SparkSession, d: str) -> DataFrame:
     """IO7, J9: archives written from the tables and read back in parts: materials with their brands, packages and containers."""
-    path, index, read, table = (new_folder(spark, n) for n in ("archives", "archive-index", "documents", "catalog"))
-    archive.write_archives(catalog_members(spark, d), path)
-    archive.documents(spark, path, index, part_bytes=1 << 20).write.parquet(read)  # YAML is read once
-    docs = spark.read.parquet(read)
-    materials, packages = archive.materials(docs), archive.packages(docs)
-    counted = packages.groupBy(F.col("material").alias("slug")).agg(F.count(F.lit(1)).alias("n_packages"))
-    weights = fuzzy.package_weights(materials.select("slug"), packages, archive.containers(docs))
-    rows = materials.join(counted, "slug", "left").join(weights, "slug")
+    path, index, few, table = (new_folder(spark, n) for n in ("archives", "archive-index", "documents", "catalog"))
+    archive.write_archives(catalog_members(spark, d), path, per_file=50_000, packed=50)
+    archive.write_index(spark, path, index, part_bytes=16 << 20)
+    archive.indexed(spark, index, ("brand", "container")).write.parquet(few)  # a table, so that its size is known to the joins
+    materials = archive.materials(archive.indexed(spark, index, ("material",)), spark.read.parquet(few))
+    packages = archive.packages(archive.indexed(spark, index, ("package",), archive.PACKAGE_FIELDS))  # read once: one sum gives counts and weights
+    totals = fuzzy.package_totals(packages, archive.containers(spark.read.parquet(few)))
+    rows = materials.join(totals, materials["slug"] == totals["material"], "left")
     rows.select("slug", "brand", "name", "type", "color", "density", "nozzle_temp_min", "drying_time", F.coalesce("n_packages", F.lit(0)).alias("n_packages"), "net", "tare").write.parquet(table)
-    for done in (path, index, read):
+    for done in (path, index, few):
         delete_folder(spark, done)
     return spark.read.parquet(table)
 

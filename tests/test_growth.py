@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import itertools
+import tarfile
 
 from pyspark.sql import functions as F
 
@@ -97,3 +99,84 @@ def test_best_scores_are_those_of_the_matches(spark):
     left, right = queries.decomposed(spark, SF_DIR)
     top = fuzzy.matches(left, right, Options()).filter("rank = 1").select("left_id", "score")
     assert sorted(map(tuple, fuzzy.best_scores(left, right).collect())) == sorted(map(tuple, top.collect()))
+
+
+ALIKE = "---\nslug: pack-{0}-{1}  # {1}\nmaterial: {{slug: part-{1}}}\ncontainer: &c\n  slug: 's-{0}'\nagain: *c\nnote: >\n  {1} {0}\n  {0}\nsizes: [{1}, ~, {0}.5]\nempty: ~\n---\n{0}\n---\nnet: {1}\n"
+
+
+def test_texts_alike_but_for_digits_are_read_once(monkeypatch):
+    texts = [ALIKE.format(k * 37, f"{k:03}") for k in range(400)]
+    expected = [archive.flat(archive.yaml_documents(t)) for t in texts]
+    read = []
+    compose_all = archive.yaml.compose_all
+    monkeypatch.setattr(archive.yaml, "compose_all", lambda *a, **k: read.append(a) or compose_all(*a, **k))
+    archive.shape.cache_clear()
+    assert [archive.flat_documents(t.encode()) for t in texts] == expected
+    assert len(read) == 1
+    wanted = ("material.slug", "net", "none")
+    assert archive.flat_documents(texts[7].encode(), wanted) == ([0, 2], [], [], ("part-007", None, None, None, "007", None))
+
+
+def test_digits_that_are_more_than_text_in_a_value():
+    pairs = [
+        ("a: |2\n   x\n", "a: |3\n   x\n"), ("a: &x1 b\nc: &x2 d\ne: *x1\n", "a: &x1 b\nc: &x2 d\ne: *x2\n"), ('a: "\\x41"\n', 'a: "\\x42"\n'), ("5: a\n6: b\n", "5: a\n5: b\n"),
+        ("a: {k1: ~, <<: {k1: b, k2: c}}\n", "a: {k2: ~, <<: {k1: b, k2: c}}\n"), ("%YAML 1.1\n---\na: b\n", "%YAML 9.1\n---\na: b\n"), ("a: !<tag:yaml.org,2002:null> b\n", "a: !<tag:yaml.org,2003:null> b\n"),
+        ("1: ~\n", f"{'1' * 1100}: ~\n"), ("a: 1\n", "a: 100%\n"), ("a: 1\nb: ][\n", "a: 2\nb: ][\n"), ("a: '1%s'\n", "a: '2%s'\n"), ("a: 1\0\n", "a: 2\0\n"), ("", "0"),
+    ]
+    for pair in pairs:
+        for text in (*pair, *reversed(pair)):
+            assert archive.flat_documents(text.encode()) == archive.flat(archive.yaml_documents(text)), text
+    assert archive.flat_documents(b"a: \xff1\n")[3] == ["\ufffd1"]
+
+
+def test_members_as_tarfile_reads_them(tmp_path):
+    for form, damage in itertools.product((tarfile.PAX_FORMAT, tarfile.GNU_FORMAT), ("", "header", "cut", "tail")):
+        whole = io.BytesIO()
+        with tarfile.open(fileobj=whole, mode="w", format=form) as tar:
+            for k, name in enumerate(["data/brands/a.yaml", "b" * 100, "c" * 101, "é", "data/brands", *"defgh"]):
+                info = tarfile.TarInfo(name)
+                info.type = tarfile.DIRTYPE if name == "data/brands" else tarfile.REGTYPE
+                info.size = 0 if info.isdir() else (0, 1, 512, 70_000)[k % 4]
+                tar.addfile(info, io.BytesIO(bytes([k]) * info.size))
+        data = bytearray(whole.getvalue())
+        if damage == "header":
+            data[data.rindex(b"f" + bytes(99)) + 150] ^= 1
+        elif damage == "cut":
+            del data[-12_000:]
+        elif damage == "tail":
+            data = data.rstrip(b"\0")
+        path = tmp_path / f"{form}{damage}.tar"
+        path.write_bytes(bytes(data))
+        found, expected = [], []
+        try:
+            with tarfile.open(path, "r|") as tar:
+                expected += ((m.offset, m.name, m.size, tar.extractfile(m).read() if m.isfile() else None) for m in tar)
+        except tarfile.ReadError:
+            expected.append(None)
+        try:
+            found += ((*m, read and read()) for *m, read in archive.members(archive.opened(str(path), 0)))
+        except tarfile.ReadError:
+            found.append(None)
+        assert found == expected and len(found) > 5
+    for name, size in itertools.product(("", "a/b.yaml", "x" * 100, "x" * 101, "é"), (0, 1, 8**11 - 1, 8**11)):
+        info = tarfile.TarInfo(name)
+        info.size = size
+        assert archive.header(name, size) == info.tobuf()
+
+
+def test_only_parts_of_wanted_kinds_are_opened(spark, tmp_path):
+    name = F.when(F.col("id") < 300, F.format_string("data/brands/%d.yaml", "id")).otherwise(F.format_string("data/material-packages/p/%d.yaml", "id"))
+    rows = spark.range(600, numPartitions=1).select(name.alias("name"), F.format_string("slug: s%d\nmaterial: {slug: m%d}\n", "id", F.col("id") % 7).alias("body"))
+    archive.write_archives(rows, f"{tmp_path}/a", per_file=100, packed=30)
+    archive.write_index(spark, f"{tmp_path}/a", f"{tmp_path}/index", part_bytes=1500)
+    index = spark.read.parquet(f"{tmp_path}/index")
+    assert index.select("path").distinct().count() == 7 and index.agg(F.sum("n")).first()[0] == 600  # three gzip members of 30 to a file
+    every = archive.indexed(spark, f"{tmp_path}/index")
+    some = archive.indexed(spark, f"{tmp_path}/index", ("package",), archive.PACKAGE_FIELDS)
+    opened = [df.rdd.getNumPartitions() for df in (every, some)]
+    assert opened[1] < opened[0] * 0.7
+    as_map = archive.packages(every).orderBy("ord").collect()
+    assert as_map == archive.packages(some).orderBy("ord").collect() and len(as_map) == 300
+    totals = fuzzy.package_totals(archive.packages(some), archive.containers(every)).select("material", "n_packages").collect()
+    assert {tuple(r) for r in totals} == {(f"m{k}", sum(i % 7 == k for i in range(300, 600))) for k in range(7)}
+    assert archive.indexed(spark, f"{tmp_path}/index", ("container",)).count() == 0
