@@ -201,6 +201,7 @@ def yaml_documents(text: str) -> list[dict[str, str]]:
 
 
 DIGITS = re.compile(r"([0-9]+)")
+MORE = re.compile(rb"00+")
 ZEROS = bytes.maketrans(b"123456789", b"0" * 9)
 RUNS = bytes(b if b in b"0123456789" else 32 for b in range(256))
 #: Escapes, tags, directives, anchors with digits, block texts that give their indent: there digits are no mere text. A percent sign has a use below.
@@ -276,10 +277,7 @@ def flat(found: list[dict[str, str]]) -> tuple[list[int], list[int], list[str],
 def flat_documents(data: bytes, wanted: tuple[str, ...] = ()) -> tuple[list[int], list[int], list[str], list[str | None]]:
     """``flat`` of ``yaml_documents``; with ``wanted``, no sizes and keys, and for each document the values under these keys."""
     if len(data) <= SHAPE_BYTES:
-        alike = data.translate(ZEROS)
-        while b"00" in alike:
-            alike = alike.replace(b"00", b"0")
-        form = shape(alike, wanted)
+        form = shape(MORE.sub(b"0", data.translate(ZEROS)), wanted)
         if form is not None:
             values = (form.values % form.runs(data.translate(RUNS).decode("ascii").split())).split("\0") if form.keys else []
             return (form.docs, [], [], form.wanted([*values, None])) if wanted else (form.docs, form.sizes, form.keys, values)
@@ -473,16 +471,22 @@ class ArchiveReader(DataSourceReader):
         files = self.files(partition)
         rest = True
         while rest:
-            rest, columns = False, tuple([] for _ in range(7))
-            for *at, data in files:
-                docs, *fields = flat_documents(data, self.fields)
-                for column, more in zip(columns, (*([x] * len(docs) for x in at), docs, *fields), strict=True):
-                    column += more
-                if len(columns[0]) >= BATCH_ROWS:
+            rest = False
+            kinds, folders, names, docs, sizes, keys, values = ([] for _ in range(7))
+            for kind, folder, name, data in files:
+                found = flat_documents(data, self.fields)
+                n = len(found[0])
+                kinds += [kind] * n
+                folders += [folder] * n
+                names += [name] * n
+                docs += found[0]
+                sizes += found[1]
+                keys += found[2]
+                values += found[3]
+                if len(docs) >= BATCH_ROWS:
                     rest = True
                     break
-            *plain, sizes, keys, values = columns
-            arrays = [pa.array(c, f.type) for c, f in zip(plain, ARROW, strict=False)]
+            arrays = [pa.array(c, f.type) for c, f in zip((kinds, folders, names, docs), ARROW, strict=False)]
             if self.fields:
                 found = pa.StructArray.from_arrays([pa.array(values[i :: len(self.fields)], pa.string()) for i in range(len(self.fields))], names=self.fields)
             else:
