@@ -268,6 +268,12 @@ def shape(data: bytes, wanted: tuple[str, ...] = ()) -> Shape | None:
     return Shape(docs, sizes, keys, "%s".join(parts[::2]), picker([int(x) - FIRST for x in parts[1::2]]), picker(asked))
 
 
+@lru_cache(maxsize=SHAPES)
+def seen(_: bytes) -> list[int]:
+    """Empty when a text first comes: its shape, which costs more than one reading, is made when the next one alike comes."""
+    return []
+
+
 def flat(found: list[dict[str, str]]) -> tuple[list[int], list[int], list[str], list[str]]:
     """Of the documents that hold something: their places, their numbers of fields, and all keys and values."""
     kept = [(n, doc) for n, doc in enumerate(found) if doc]
@@ -277,7 +283,11 @@ def flat(found: list[dict[str, str]]) -> tuple[list[int], list[int], list[str],
 def flat_documents(data: bytes, wanted: tuple[str, ...] = ()) -> tuple[list[int], list[int], list[str], list[str | None]]:
     """``flat`` of ``yaml_documents``; with ``wanted``, no sizes and keys, and for each document the values under these keys."""
     if len(data) <= SHAPE_BYTES:
-        form = shape(MORE.sub(b"0", data.translate(ZEROS)), wanted)
+        alike = MORE.sub(b"0", data.translate(ZEROS))
+        times = seen(alike)
+        form = shape(alike, wanted) if times else None
+        if not times:
+            times.append(1)
         if form is not None:
             values = (form.values % form.runs(data.translate(RUNS).decode("ascii").split())).split("\0") if form.keys else []
             return (form.docs, [], [], form.wanted([*values, None])) if wanted else (form.docs, form.sizes, form.keys, values)
